@@ -91,11 +91,26 @@ def boundary_pairs(
     )
 
 
-def consecutive_pairs(panel: DataFrame, product: Sequence[str], period: str, previous: Column, price: str) -> DataFrame:
-    """Each product's price with its own price one period earlier (equi-join on shifted period)."""
-    prior = panel.select(*product, F.col(period).alias("__t"), F.col(price).alias("p_0"))
-    shifted = panel.withColumn("__t", previous).withColumnRenamed(price, "p_t")
-    return null_safe_join(shifted, prior, [*product, "__t"]).withColumnRenamed("__t", "base_period")
+def consecutive_pairs(
+    panel: DataFrame, product: Sequence[str], period: str, following: Column, values: dict[str, tuple[str, str]]
+) -> DataFrame:
+    """Each product's values beside its own values one period earlier.
+
+    ``values`` maps a column to its (current, base) names and ``following`` gives the next period.
+    Every row plays both roles, current at its own period and base at the following one, so one
+    scan and one grouping replace a self-join. The panel holds one row per (product, period).
+    """
+    current = [F.col(c).alias(now) for c, (now, _) in values.items()]
+    base = [F.col(c).alias(before) for c, (_, before) in values.items()]
+    blank = lambda cols: [F.lit(None).cast("double").alias(n) for n in cols]
+    nows, befores = [v[0] for v in values.values()], [v[1] for v in values.values()]
+    roles = F.array(
+        F.struct(F.col(period).alias(period), *current, *blank(befores)),
+        F.struct(following.alias(period), *blank(nows), *base),
+    )
+    both = panel.select(*product, F.inline(roles)).groupBy(*product, period)
+    out = both.agg(*[F.max(n).alias(n) for n in (*nows, *befores)])
+    return out.where(F.col(nows[0]).isNotNull() & F.col(befores[0]).isNotNull())
 
 
 def tornqvist_bilateral(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

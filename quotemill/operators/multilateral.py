@@ -7,7 +7,7 @@ more rows than the window has periods; that bounds the pair join below whatever
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 from quotemill.functions.core import case_chain, null_safe_join, require
 from quotemill.functions.smallstats import full_rank
+from quotemill.functions.staging import staged
+from quotemill.operators.cleaning import product_id
+from quotemill.operators.elementary import consecutive_pairs, mean_price_panel
 
 PANEL = ("period", "product_id", "price", "share")
 
@@ -31,7 +34,7 @@ def panel_problems(panel: DataFrame, cells: Sequence[str], max_span: int | None
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.coalesce(F.col("price") <= 0, F.lit(True))).alias("__bad_price"),
         F.count_if(F.coalesce(F.col("share") < 0, F.lit(True))).alias("__bad_share"),
-        F.count_distinct("period").alias("n_periods"),
+        F.size(F.collect_set("period")).cast("long").alias("n_periods"),  # bounded by the calendar
         span.cast("long").alias("__span"),
     )
     tests = [
@@ -72,32 +75,31 @@ def geks_tornqvist(
     over what is left: every period must have M - 1 links.
     """
     checked = panel_problems(panel, cells, max_span)
-    usable = checked.where(F.col("skip_reason").isNull()).select(*cells, F.col("n_periods").alias("__m"))
-    links = bilateral_links(null_safe_join(panel, usable, cells, "left_semi"), cells)
-    forward = links.select(*cells, F.col("t").alias("period"), F.col("ln_index").alias("x"))
-    backward = links.select(*cells, F.col("l").alias("period"), (-F.col("ln_index")).alias("x"))
+    links = bilateral_links(panel, cells)
+    ends = F.array(
+        F.struct(F.col("t").alias("period"), F.col("ln_index").alias("x")),
+        F.struct(F.col("l").alias("period"), (-F.col("ln_index")).alias("x")),
+    )
     per_period = (
-        forward.unionByName(backward)
+        links.select(*cells, F.inline(ends))
         .groupBy(*cells, "period")
         .agg(F.sum("x").alias("__sum"), F.count(F.lit(1)).alias("__links"))
     )
-    by_cell = Window.partitionBy(*cells)
-    # Left join from the usable cells: one with no link at all must still be reported.
-    w = null_safe_join(usable, per_period, cells, "left")
-    w = w.withColumn("__got", F.sum(F.coalesce("__links", F.lit(0))).over(by_cell)).withColumn(
-        "__full", F.col("__got") == F.col("__m") * (F.col("__m") - 1)
-    )
-    c = F.col("__sum") / F.col("__m")
+    # Left join from the cells: one with no link at all must still be reported.
+    w = null_safe_join(checked, per_period, cells, "left")
+    by_cell = Window.partitionBy(*cells)  # one row per period of a cell
+    m = F.col("n_periods")
+    w = w.withColumn("__full", F.sum(F.coalesce("__links", F.lit(0))).over(by_cell) == m * (m - 1))
+    good = F.col("skip_reason").isNull() & F.col("__full")
     levels = (
-        w.where(F.col("__full"))
-        .withColumn("__c", c)
+        w.where(good)
+        .withColumn("__c", F.col("__sum") / m)
         .withColumn("__c0", F.min_by("__c", "period").over(by_cell))
         .select(*cells, "period", F.exp(F.col("__c") - F.col("__c0")).alias("index_value"))
     )
-    gaps = w.where(~F.col("__full")).select(*cells).distinct().withColumn(
-        "skip_reason", F.lit("a pair of periods shares no product")
+    skips = w.where(~good).groupBy(*cells).agg(
+        F.coalesce(F.first("skip_reason"), F.lit("a pair of periods shares no product")).alias("skip_reason")
     )
-    skips = checked.where(F.col("skip_reason").isNotNull()).select(*cells, "skip_reason").unionByName(gaps)
     return levels, skips
 
 
@@ -182,18 +184,14 @@ def time_product_dummy(
     return good, skips
 
 
-def tpd_two_periods(panel: DataFrame, cells: Sequence[str], previous: Column) -> DataFrame:
-    """Closed form between each period and ``previous``: products weigh w0 w1 / (w0 + w1)."""
-    product = [*cells, "product_id"]
-    a = panel.select(*product, F.col("period").alias("__t"), F.col("price").alias("p0"), F.col("share").alias("s0"))
-    b = panel.withColumn("__t", previous).select(
-        *product, "__t", "period", F.col("price").alias("p1"), F.col("share").alias("s1")
-    )
+def tpd_two_periods(panel: DataFrame, cells: Sequence[str], following: Column) -> DataFrame:
+    """Closed form between each period and the one before: products weigh w0 w1 / (w0 + w1)."""
     h = F.col("s0") * F.col("s1") / (F.col("s0") + F.col("s1"))
-    return (
-        null_safe_join(b, a, [*product, "__t"])
-        .groupBy(*cells, "period")
-        .agg(F.exp(F.sum(h * F.log(F.col("p1") / F.col("p0"))) / F.sum(h)).alias("index_value"))
+    pairs = consecutive_pairs(
+        panel, [*cells, "product_id"], "period", following, {"price": ("p1", "p0"), "share": ("s1", "s0")}
+    )
+    return pairs.groupBy(*cells, "period").agg(
+        F.exp(F.sum(h * F.log(F.col("p1") / F.col("p0"))) / F.sum(h)).alias("index_value")
     )
 
 
@@ -211,11 +209,9 @@ def elementary_cells(
 ) -> tuple[DataFrame, DataFrame]:
     """(cells, skips): GEKS level at the first period and at ``as_of``, quotes at ``as_of`` and the
     share of first-period products still observed at ``as_of``."""
-    from quotemill.operators.cleaning import product_id
-    from quotemill.operators.elementary import mean_price_panel
-
     work = quotes.select(*cells, F.col(period).alias("period"), product_id(products).alias("product_id"), price)
-    panel = mean_price_panel(work, [*cells, "period", "product_id"], price)
+    # the panel is an aggregate that five branches read
+    panel = staged(mean_price_panel(work, [*cells, "period", "product_id"], price), "panel")
     levels, skips = geks_tornqvist(panel, cells, max_span)
     by_cell = Window.partitionBy(*cells)
     marked = panel.withColumn("__first", F.min("period").over(by_cell))
