@@ -230,7 +230,9 @@ def quotes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Quote view with the named columns (all when none is named). Only the tables those columns
     need are joined; money columns also exist as decimals."""
     want = columns or (*_QUOTE, *_MONEY)
-    q = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # both sides grow with the data: a merge join spreads the rows, also when the input is one split
+    orders = table(spark, d, "orders").hint("merge")
+    q = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     exprs = [_QUOTE[_MONEY.get(c, c)] for c in want]
     if any("p_brand" in e for e in exprs):
         q = q.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))

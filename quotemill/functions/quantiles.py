@@ -1,12 +1,14 @@
-"""Exact grouped quantiles that never hold one group in one task.
+"""Exact grouped quantiles that never hold an unbounded group in one task.
 
-The built-in exact percentile keeps every distinct value of a group in one aggregation buffer, and
-a median window sorts a whole group in one task. Here a group is cut into narrow value buckets:
+Rows collapse to (group, value) counts, combined map-side, so copies of a value vanish before the
+shuffle and a hot group spreads over all its values. That table is written once, and the widest
+group decides how it is ranked:
 
-1. rows collapse to (group, bucket, value) counts, combined map-side, so copies of a value vanish
-   before the shuffle and a hot group spreads over all its values;
-2. bucket totals give each bucket's first rank; there are at most a few thousand buckets a group;
-3. only buckets holding a wanted rank are ranked by value, one task per (group, bucket).
+* every group has at most ``IN_MEMORY`` distinct values: one weighted percentile aggregation, whose
+  state per group is at most that many entries;
+* otherwise a group is cut into narrow value buckets: bucket totals give each bucket's first rank
+  (at most a few thousand buckets a group), and only the buckets holding a wanted rank are ranked by
+  value, one task per (group, bucket).
 
 Quantiles are linearly interpolated between order statistics at ``(n - 1) * q``.
 """
@@ -20,8 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.core import null_safe_join
+from quotemill.functions.staging import staged
 
 BUCKETS_PER_OCTAVE = 64
+IN_MEMORY = 200_000
 
 
 def value_bucket(v: Column) -> Column:
@@ -31,14 +35,21 @@ def value_bucket(v: Column) -> Column:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: Column | str) -> DataFrame:
-    """(keys, v, n): how often each non-null value occurs in each group."""
+    """(keys, v, n) as a written table: how often each non-null value occurs in each group."""
     v = F.col(value) if isinstance(value, str) else value
-    return (
-        df.select(*keys, v.cast("double").alias("v"))
+    counts = (
+        df.select(*keys, v.alias("v"))
         .where(F.col("v").isNotNull())
         .groupBy(*keys, "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return staged(counts, "counts")
+
+
+def widest_group(counts: DataFrame, keys: Sequence[str]) -> int:
+    """Action: the largest number of rows (distinct values) any group has."""
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("d"))
+    return sizes.agg(F.max("d")).first()[0] or 0
 
 
 def quantiles_of_counts(
@@ -46,13 +57,29 @@ def quantiles_of_counts(
     keys: Sequence[str],
     qs: dict[str, float],
     transform=None,
+    width: int | None = None,
 ) -> DataFrame:
-    """Quantiles of (keys, v, n). ``transform`` maps an order statistic before interpolation and
-    must be increasing (for example ``F.log``). Returns keys, ``n_values`` and one column per
-    entry of ``qs``."""
+    """Quantiles of a (keys, v, n) table. ``transform`` maps values and must be increasing (for
+    example ``F.log``); ``width`` is a known bound on distinct values per group, asked for when not
+    given. Returns keys, ``n_values`` and one column per entry of ``qs``."""
+    if width is None:
+        width = widest_group(counts, keys)
+    return (_in_memory if width <= IN_MEMORY else by_rank)(counts, keys, qs, transform)
+
+
+def _in_memory(counts: DataFrame, keys: Sequence[str], qs: dict[str, float], transform=None) -> DataFrame:
+    v = F.col("v").cast("double")
+    v = transform(v) if transform else v
+    wanted = F.array(*[F.lit(float(q)) for q in qs.values()])
+    got = counts.groupBy(*keys).agg(F.sum("n").alias("n_values"), F.percentile(v, wanted, F.col("n")).alias("__p"))
+    return got.select(*keys, "n_values", *[F.col("__p")[i].alias(name) for i, name in enumerate(qs)])
+
+
+def by_rank(counts: DataFrame, keys: Sequence[str], qs: dict[str, float], transform=None) -> DataFrame:
+    """Quantiles by rank selection over value buckets; for groups of any width."""
     keys = list(keys)
     f = transform or (lambda c: c)
-    cv = counts.withColumn("__b", value_bucket(F.col("v")))
+    cv = counts.withColumn("v", F.col("v").cast("double")).withColumn("__b", value_bucket(F.col("v")))
 
     by_key = Window.partitionBy(*(keys or [F.lit(0)]))
     buckets = cv.groupBy(*keys, "__b").agg(F.sum("n").alias("__nb"))

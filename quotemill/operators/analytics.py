@@ -19,9 +19,17 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
     return grouped_quantiles(df, keys, value, {name: 0.5})
 
 
+def mean_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exact mean and count from a (keys, v, n) table."""
+    return counts.groupBy(*keys).agg(
+        (F.sum(F.col("v") * F.col("n")).cast("double") / F.sum("n")).alias("mean_fare"), F.sum("n").alias("n_quotes")
+    )
+
+
 def mean_and_median(df: DataFrame, keys: Sequence[str], price: str = "total_fare") -> DataFrame:
-    mean = df.groupBy(*keys).agg(exact_avg(price).alias("mean_fare"), F.count(price).alias("n_quotes"))
-    return null_safe_join(mean, grouped_median(df, keys, price, "median_fare").drop("n_values"), keys)
+    counts = value_counts(df, keys, price)
+    mid = quantiles_of_counts(counts, keys, {"median_fare": 0.5}).drop("n_values")
+    return null_safe_join(mean_of_counts(counts, keys), mid, keys)
 
 
 # --- lead time ------------------------------------------------------------------------------
@@ -36,14 +44,17 @@ def lead_time_curve(
     q = clean.where(~F.col("is_outlier")).withColumn("window_code", window_code(lead, windows))
     q = q.where(F.col("window_code").isNotNull())
     group = [*keys, "window_code"]
-    per_day = mean_and_median(q, [*group, lead], price)
+    counts = value_counts(q, [*group, lead], price)  # every figure below comes from this table
+    by_day = [*group, lead]
+    median = quantiles_of_counts(counts, by_day, {"median_fare": 0.5}).drop("n_values")
+    per_day = null_safe_join(mean_of_counts(counts, by_day), median, by_day)
     folded = per_day.groupBy(*group).agg(
         (F.sum(F.col("mean_fare") * F.col("n_quotes")) / F.sum("n_quotes")).alias("mean_fare"),
         (F.sum(F.col("median_fare") * F.col("n_quotes")) / F.sum("n_quotes")).alias("median_fare"),
         F.sum("n_quotes").alias("n_quotes"),
     )
-    counts = value_counts(q, group, price)
-    true = quantiles_of_counts(counts, group, {"p25_fare": 0.25, "true_median": 0.5, "p75_fare": 0.75}).drop("n_values")
+    whole = counts.groupBy(*group, "v").agg(F.sum("n").alias("n"))
+    true = quantiles_of_counts(whole, group, {"p25_fare": 0.25, "true_median": 0.5, "p75_fare": 0.75}).drop("n_values")
     out = null_safe_join(folded, true, group)
     # a group holds one row per window, so this window is bounded by the window list
     cheapest = F.min("mean_fare").over(Window.partitionBy(*(keys or [F.lit(0)])))

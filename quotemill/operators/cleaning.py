@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quotemill.config import ADVANCE_WINDOWS
 from quotemill.functions import quantiles as Q
 from quotemill.functions.core import case_chain, null_safe_join, require
+from quotemill.functions.staging import staged
 from quotemill.functions.hashing import FLIGHT_KEY_NAMESPACE, uuid5
 
 REQUIRED_DIMENSIONS = ("route_id", "carrier_iata", "travel_date", "advance_days")
@@ -155,15 +156,15 @@ def outlier_bounds(
 ) -> DataFrame:
     """Per cell: ``cell_n``, ``med``, ``mad``, ``q1``, ``q3`` of ln(price)."""
     counts = Q.value_counts(quotes, keys, price)
-    mid = Q.quantiles_of_counts(counts, keys, {"q1": 0.25, "med": 0.5, "q3": 0.75}, F.log)
-    deviations = (
-        null_safe_join(counts, mid.select(*keys, "med"), keys)
-        .withColumn("v", F.abs(F.log("v") - F.col("med")))
-        .groupBy(*keys, "v")
-        .agg(F.sum("n").alias("n"))
+    width = Q.widest_group(counts, keys)
+    mid = Q.quantiles_of_counts(counts, keys, {"q1": 0.25, "med": 0.5, "q3": 0.75}, F.log, width)
+    mid = staged(mid.withColumnRenamed("n_values", "cell_n"), "bounds")
+    # a cell has no more distinct deviations than distinct prices
+    deviations = null_safe_join(counts, mid.select(*keys, "med"), keys).withColumn(
+        "v", F.abs(F.log(F.col("v").cast("double")) - F.col("med"))
     )
-    spread = Q.quantiles_of_counts(deviations, keys, {"mad": 0.5}).drop("n_values")
-    return null_safe_join(mid.withColumnRenamed("n_values", "cell_n"), spread, keys)
+    spread = Q.quantiles_of_counts(deviations.select(*keys, "v", "n"), keys, {"mad": 0.5}, None, width).drop("n_values")
+    return null_safe_join(mid, spread, keys)
 
 
 def detect_outliers(
