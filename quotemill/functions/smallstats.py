@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -90,3 +91,14 @@ def robust_cov(x: np.ndarray, e: np.ndarray, xtx_inv: np.ndarray, kind: str, max
             g = u[lag:].T @ u[:-lag]
             s = s + (1.0 - lag / (maxlags + 1.0)) * (g + g.T)
     return xtx_inv @ s @ xtx_inv
+
+
+def plain_objects(out: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """Columns in order; text and empty columns as plain objects with None, for Arrow transfer."""
+    out = out.reindex(columns=columns)
+    for c in columns:
+        typed = pd.api.types.is_numeric_dtype(out[c]) or pd.api.types.is_datetime64_any_dtype(out[c])
+        if not typed or out[c].isna().all():  # an all-missing column carries no usable type
+            values = out[c].astype(object)
+            out[c] = pd.Series([None if pd.isna(v) else v for v in values], index=out.index, dtype=object)
+    return out

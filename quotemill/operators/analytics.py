@@ -48,10 +48,12 @@ def lead_time_curve(
     by_day = [*group, lead]
     median = quantiles_of_counts(counts, by_day, {"median_fare": 0.5}).drop("n_values")
     per_day = null_safe_join(mean_of_counts(counts, by_day), median, by_day)
-    folded = per_day.groupBy(*group).agg(
-        (F.sum(F.col("mean_fare") * F.col("n_quotes")) / F.sum("n_quotes")).alias("mean_fare"),
-        (F.sum(F.col("median_fare") * F.col("n_quotes")) / F.sum("n_quotes")).alias("median_fare"),
-        F.sum("n_quotes").alias("n_quotes"),
+    folded = null_safe_join(
+        mean_of_counts(counts, group),
+        per_day.groupBy(*group).agg(
+            (F.sum(F.col("median_fare") * F.col("n_quotes")) / F.sum("n_quotes")).alias("median_fare")
+        ),
+        group,
     )
     whole = counts.groupBy(*group, "v").agg(F.sum("n").alias("n"))
     true = quantiles_of_counts(whole, group, {"p25_fare": 0.25, "true_median": 0.5, "p75_fare": 0.75}).drop("n_values")

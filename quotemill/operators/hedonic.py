@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.core import require
-from quotemill.functions.smallstats import full_rank, t_two_sided_p
+from quotemill.functions.smallstats import full_rank, plain_objects, t_two_sided_p
 
 MAX_TERMS = 2000
 _SCHEMA = (
@@ -160,7 +160,7 @@ def hedonic_time_dummy(
         out = _solve(pdf, categorical, ref, min_r_squared)
         for k in keys:
             out[k] = pdf[k].iloc[0]
-        return out.reindex(columns=columns)
+        return plain_objects(out, columns)
 
     grouped = gram.groupBy(*keys) if keys else gram.groupBy(F.lit(0))
     return grouped.applyInPandas(solve, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotemill.functions.core import case_chain, null_safe_join, require
-from quotemill.functions.smallstats import full_rank
+from quotemill.functions.smallstats import full_rank, plain_objects
 from quotemill.functions.staging import staged
 from quotemill.operators.cleaning import product_id
 from quotemill.operators.elementary import consecutive_pairs, mean_price_panel
@@ -157,7 +157,7 @@ def _solve_tpd(pdf: pd.DataFrame, cells: Sequence[str]) -> pd.DataFrame:
         out["index_value"] = np.nan
     for c in cells:
         out[c] = pdf[c].iloc[0]
-    return out
+    return plain_objects(out, list(out.columns))
 
 
 def time_product_dummy(

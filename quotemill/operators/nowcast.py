@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quotemill.config import BridgeOptions
 from quotemill.functions.core import null_safe_join
-from quotemill.functions.smallstats import chi2_2_tail, full_rank, robust_cov, t_quantile, t_two_sided_p
+from quotemill.functions.smallstats import chi2_2_tail, full_rank, plain_objects, robust_cov, t_quantile, t_two_sided_p
 
 
 def dlog(col: str, over) -> Column:
@@ -119,7 +119,7 @@ def grouped_regression(
         out = fit_rows(pdf, names, min_obs, cov, maxlags, level)
         for c in keys:
             out[c] = pdf[c].iloc[0]
-        return out.reindex(columns=columns)
+        return plain_objects(out, columns)
 
     return rows.groupBy(*keys).applyInPandas(solve, schema)
 
