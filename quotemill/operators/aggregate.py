@@ -15,7 +15,7 @@ def combine_windows(values: DataFrame, weights: DataFrame, keys: Sequence[str],
     weight present over ``total_weight``."""
     v = values.join(weights, "advance_window")
     return v.groupBy(*keys).agg(
-        F.exp(F.sum(F.col("weight") * F.log("index_value")) / F.sum("weight")).alias("index_value"),
+        F.exp(F.try_divide(F.sum(F.col("weight") * F.log("index_value")), F.sum("weight"))).alias("index_value"),
         (F.lit(100.0) * F.sum("weight") / F.lit(total_weight)).alias("coverage_pct"),
     )
 

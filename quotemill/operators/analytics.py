@@ -87,7 +87,7 @@ def relative_to_lead(clean: DataFrame, keys: Sequence[str], base_lead: int = 45,
     on = list(keys)
     if not on:
         m, base, on = m.withColumn("__k", F.lit(1)), base.withColumn("__k", F.lit(1)), ["__k"]
-    out = null_safe_join(m, base, on).withColumn("relative", F.col("median_fare") / F.col("__base"))
+    out = null_safe_join(m, base, on).withColumn("relative", F.try_divide("median_fare", "__base"))
     return out.drop("__base", "__k")
 
 
@@ -117,7 +117,7 @@ def momentum(cells: DataFrame, key: str = "route_code") -> DataFrame:
         .where((F.col("period") == F.col("__last")) & F.col("__prev").isNotNull())
         .select(
             key,
-            ((F.col("value") - F.col("__prev")) / F.col("__prev") * 100).alias("momentum_pct"),
+            (F.try_divide(F.col("value") - F.col("__prev"), F.col("__prev")) * 100).alias("momentum_pct"),
             F.col("value").alias("latest_value"),
             F.col("period").alias("latest_period"),
         )
@@ -137,7 +137,7 @@ def heatmap(latest: DataFrame, key: str = "route_code") -> DataFrame:
     """Deviation of each (route, period) from the route's own mean, with the largest absolute
     deviation of the whole map (at least 1) for scaling."""
     mean = latest.groupBy(key).agg(F.avg("value").alias("__mean"))
-    cells = latest.join(mean, key).withColumn("deviation_pct", (F.col("value") - F.col("__mean")) / F.col("__mean") * 100)
+    cells = latest.join(mean, key).withColumn("deviation_pct", F.try_divide(F.col("value") - F.col("__mean"), F.col("__mean")) * 100)
     return cells.drop("__mean")
 
 
@@ -151,7 +151,7 @@ def contributors(latest: DataFrame, weights: DataFrame, period) -> DataFrame:
     rows = latest.where(F.col("period") == period).join(weights.select("route_code", "weight"), "route_code", "left")
     total = rows.agg(F.sum("weight").alias("__t")).withColumn("__k", F.lit(1))
     j = rows.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k").drop("__k")  # one-row total
-    return j.withColumn("contribution", F.col("weight") / F.col("__t") * F.log("value")).drop("__t")
+    return j.withColumn("contribution", F.try_divide("weight", "__t") * F.log("value")).drop("__t")
 
 
 def cleaned_quotes_view(clean: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def score(index: DataFrame, reference: DataFrame, min_periods: int = 5, rebase:
     order = Window.partitionBy("scope").orderBy("period")
     d = align(index, reference)
     if rebase:
-        d = d.withColumn("__ea", F.col("a") / F.first("a").over(order)).withColumn("__er", F.col("r") / F.first("r").over(order))
+        d = d.withColumn("__ea", F.try_divide(F.col("a"), F.first("a").over(order))).withColumn("__er", F.try_divide(F.col("r"), F.first("r").over(order)))
     else:
         d = d.withColumn("__ea", F.col("a")).withColumn("__er", F.col("r"))
     d = d.withColumn("__da", F.signum(F.col("a") - F.lag("a").over(order))).withColumn(
@@ -38,8 +38,9 @@ def score(index: DataFrame, reference: DataFrame, min_periods: int = 5, rebase:
         F.count(F.lit(1)).alias("n_periods"),
         F.min("period").alias("period_from"),
         F.max("period").alias("period_to"),
-        F.when((F.min("a") < F.max("a")) & (F.min("r") < F.max("r")), F.corr("a", "r")).alias("__corr"),
-        (F.avg(F.abs((F.col("__ea") - F.col("__er")) / F.col("__er"))) * 100).alias("__mape"),
+        # null for a constant side; the built-in correlation divides by zero there
+        F.try_divide(F.covar_pop("a", "r"), F.stddev_pop("a") * F.stddev_pop("r")).alias("__corr"),
+        (F.avg(F.abs(F.try_divide(F.col("__ea") - F.col("__er"), F.col("__er")))) * 100).alias("__mape"),
         (F.count_if(moved & (F.col("__da") == F.col("__dr"))) / F.nullif(F.count_if(moved), F.lit(0)) * 100).alias("__dir"),
     )
     scopes = index.select("scope").unionByName(reference.select("scope")).distinct()

@@ -55,7 +55,9 @@ def elementary_index(
     """Index per group over matched pairs; pairs with a non-positive price give a null index."""
     require(pairs, [*keys, p_t, p_0], "elementary_index")
     a, b = F.col(p_t).cast("double"), F.col(p_0).cast("double")
-    bad = F.count_if(F.coalesce((a <= 0) | (b <= 0), F.lit(True)))
+    good = (a > 0) & (b > 0)
+    bad = F.count_if(~F.coalesce(good, F.lit(False)))
+    a, b = F.when(good, a), F.when(good, b)
     return pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.when(bad == 0, formula(name)(a, b)).alias("index_value"),
@@ -66,10 +68,10 @@ def formula_comparison(
     pairs: DataFrame, keys: Sequence[str], names: Sequence[str] = ("jevons", "dutot", "carli"), baseline: str = "jevons"
 ) -> DataFrame:
     """Several formulas side by side from one aggregation, with the change against the baseline."""
-    a, b = F.col("p_t").cast("double"), F.col("p_0").cast("double")
+    a, b = F.col("p_t").cast("double"), F.nullif(F.col("p_0").cast("double"), F.lit(0.0))
     aggs = [F.count(F.lit(1)).alias("n_pairs"), *[formula(n)(a, b).alias(n) for n in names]]
     out = pairs.groupBy(*keys).agg(*aggs)
-    extra = [((F.col(n) / F.col(baseline) - 1) * 100).alias(f"{n}_vs_{baseline}_pct") for n in names if n != baseline]
+    extra = [((F.try_divide(n, baseline) - 1) * 100).alias(f"{n}_vs_{baseline}_pct") for n in names if n != baseline]
     return out.select("*", *extra)
 
 
@@ -117,7 +119,7 @@ def tornqvist_bilateral(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Törnqvist over matched products: columns p0, p1, s0, s1. Weights are the mean share,
     renormalised over the matched set; matched shares summing to zero give null."""
     w = (F.col("s0") + F.col("s1")) / 2
-    r = F.log(F.col("p1") / F.col("p0"))
+    r = F.log(F.try_divide("p1", "p0"))
     return pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_products"),
         F.exp(F.sum(w * r) / F.nullif(F.sum(w), F.lit(0.0))).alias("index_value"),
@@ -129,7 +131,7 @@ def unit_value_panel(
 ) -> DataFrame:
     """Unit value ``price`` and expenditure ``share`` (not normalised) per key."""
     return sales.groupBy(*keys).agg(
-        (F.sum(amount) / F.sum(quantity)).alias("price"), F.sum(amount).alias("share")
+        F.try_divide(F.sum(amount), F.sum(quantity)).alias("price"), F.sum(amount).alias("share")
     )
 
 

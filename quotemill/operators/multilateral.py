@@ -58,7 +58,7 @@ def bilateral_links(panel: DataFrame, cells: Sequence[str]) -> DataFrame:
     b = panel.select(*product, F.col("period").alias("t"), F.col("price").alias("p1"), F.col("share").alias("s1"))
     pairs = null_safe_join(a, b, product).where(F.col("l") < F.col("t"))
     w = (F.col("s0") + F.col("s1")) / 2
-    r = F.log(F.col("p1") / F.col("p0"))
+    r = F.log(F.try_divide("p1", "p0"))
     return pairs.groupBy(*cells, "l", "t").agg(
         F.count(F.lit(1)).alias("n_products"),
         (F.sum(w * r) / F.nullif(F.sum(w), F.lit(0.0))).alias("ln_index"),
@@ -176,9 +176,10 @@ def time_product_dummy(
     )
     cells = list(cells)
     solved = normal.groupBy(*cells).applyInPandas(lambda pdf: _solve_tpd(pdf, cells), schema)
-    good = solved.where(~F.isnan("index_value")).select(*cells, "period", "index_value")
+    solvable = F.col("index_value").isNotNull() & ~F.isnan("index_value")
+    good = solved.where(solvable).select(*cells, "period", "index_value")
     deficient = (
-        solved.where(F.isnan("index_value")).select(*cells).distinct().withColumn("skip_reason", F.lit("rank deficient"))
+        solved.where(~solvable).select(*cells).distinct().withColumn("skip_reason", F.lit("rank deficient"))
     )
     skips = checked.where(F.col("skip_reason").isNotNull()).select(*cells, "skip_reason").unionByName(deficient)
     return good, skips
@@ -186,12 +187,12 @@ def time_product_dummy(
 
 def tpd_two_periods(panel: DataFrame, cells: Sequence[str], following: Column) -> DataFrame:
     """Closed form between each period and the one before: products weigh w0 w1 / (w0 + w1)."""
-    h = F.col("s0") * F.col("s1") / (F.col("s0") + F.col("s1"))
+    h = F.try_divide(F.col("s0") * F.col("s1"), F.col("s0") + F.col("s1"))
     pairs = consecutive_pairs(
         panel, [*cells, "product_id"], "period", following, {"price": ("p1", "p0"), "share": ("s1", "s0")}
     )
     return pairs.groupBy(*cells, "period").agg(
-        F.exp(F.sum(h * F.log(F.col("p1") / F.col("p0"))) / F.sum(h)).alias("index_value")
+        F.exp(F.try_divide(F.sum(h * F.log(F.try_divide("p1", "p0"))), F.sum(h))).alias("index_value")
     )
 
 

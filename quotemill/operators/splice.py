@@ -46,7 +46,7 @@ def link_estimates(windows: DataFrame, published: DataFrame) -> DataFrame:
         F.min("level").over(whole).alias("min_level"),
     )
     j = w.join(published.select("series_code", "period", F.col("value").cast("double").alias("pub")), ["series_code", "period"], "left")
-    return j.withColumn("estimate", F.when(F.col("k") > 0, F.col("pub") * F.col("newest_level") / F.col("level")))
+    return j.withColumn("estimate", F.when(F.col("k") > 0, F.try_divide(F.col("pub") * F.col("newest_level"), F.col("level"))))
 
 
 def chosen(method: str, k: Column, length: Column) -> Column:
@@ -99,7 +99,7 @@ def publish(
     history = published.groupBy("series_code").agg(F.count(F.lit(1)).alias("__hist"))
     s = per_series.join(history, "series_code", "left").join(coverage, "series_code", "left")
     linked = (F.col("length") > 1) & (F.col("__gaps") == 0)
-    s = s.withColumn("value", F.when(linked, F.col("__spliced")).otherwise(F.col("__new") / F.col("__old")))
+    s = s.withColumn("value", F.when(linked, F.col("__spliced")).otherwise(F.try_divide("__new", "__old")))
     reason = F.when(F.col("__min") <= 0, "window levels must be strictly positive").when(
         F.col("n_quotes").isNull(), "no coverage entry for the series"
     )

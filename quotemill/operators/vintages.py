@@ -200,7 +200,7 @@ def share_within(df: DataFrame, keys: Sequence[str], weight: str, name: str = "s
     from quotemill.functions.core import null_safe_join
 
     total = df.groupBy(*keys).agg(F.sum(weight).alias("__total"))
-    return null_safe_join(df, total, keys).withColumn(name, F.col(weight) / F.col("__total")).drop("__total")
+    return null_safe_join(df, total, keys).withColumn(name, F.try_divide(weight, "__total")).drop("__total")
 
 
 def month_changes(series: DataFrame, keys: Sequence[str] = ("series_code",), previous_row: bool = False) -> DataFrame:
@@ -217,7 +217,7 @@ def month_changes(series: DataFrame, keys: Sequence[str] = ("series_code",), pre
     else:
         out = series.join(shifted(1, "__prev"), [*keys, "period"], "left")
     out = out.join(shifted(12, "__year"), [*keys, "period"], "left")
-    pct = lambda base: (F.col("value") - F.col(base)) / F.col(base) * 100
+    pct = lambda base: F.try_divide(F.col("value") - F.col(base), F.col(base)) * 100
     return out.select(
         *keys,
         "period",

@@ -85,6 +85,6 @@ def compare_to_rail(airfare: DataFrame, rail: DataFrame) -> DataFrame:
         "period",
         F.col("fare").alias("airfare"),
         "rail_fare",
-        (F.col("fare") / F.col("rail_fare")).alias("ratio"),
+        F.try_divide("fare", "rail_fare").alias("ratio"),
         (F.col("fare") - F.col("rail_fare")).alias("spread"),
     )
