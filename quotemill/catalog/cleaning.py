@@ -10,7 +10,6 @@ from quotemill.catalog import views as V
 from quotemill.catalog.registry import query
 from quotemill.catalog.views import with_views
 from quotemill.config import ADVANCE_WINDOWS, CleaningOptions, GateOptions
-from quotemill.functions.core import null_safe_join
 from quotemill.functions.staging import staged
 from quotemill.operators import analytics, cleaning, gates, missing
 from quotemill.plans.cleaning_run import clean_quotes

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quotemill.catalog import views as V
 from quotemill.catalog.registry import query
 from quotemill.catalog.views import with_views
-from quotemill.config import BridgeOptions
+from quotemill.config import ADVANCE_WINDOWS, BOOKING_WEIGHTS, BridgeOptions
 from quotemill.functions.staging import staged
 from quotemill.operators import backtest, decomposition, nowcast, vintages
 
@@ -167,23 +167,30 @@ def _hier(t: str) -> str:
     return _L3.format(t=_L2.format(t=_L1.format(t=t)))
 
 
-def movement_cells(q, price: str):
+ENDS = (("prior", dt.date(1998, 1, 1)), ("current", dt.date(1999, 1, 1)))
+
+
+def movement_cells(q):
+    """Cells priced at both ends, on total and on net prices, from one aggregation."""
+    at = lambda y: F.col("query_year") == F.lit(y)
     c = q.groupBy("route_code", "advance_window", "carrier_iata").agg(
-        *[F.count_if(F.col("query_year") == F.lit(y).cast("date")).alias(f"n_quotes_{n}") for n, y in (("prior", "1998-01-01"), ("current", "1999-01-01"))],
-        *[F.sum(F.when(F.col("query_year") == F.lit(y).cast("date"), F.col(price))).alias(f"__{n}") for n, y in (("prior", "1998-01-01"), ("current", "1999-01-01"))],
-    ).where((F.col("n_quotes_prior") > 0) & (F.col("n_quotes_current") > 0))
-    for n in ("prior", "current"):
-        c = c.withColumn(f"index_value_{n}", F.col(f"__{n}").cast("double") / 100 / F.col(f"n_quotes_{n}") / 1000)
-    return c.drop("__prior", "__current")
+        *[F.count_if(at(y)).alias(f"n_quotes_{n}") for n, y in ENDS],
+        *[F.sum(F.when(at(y), F.col(p))).alias(f"{p}_{n}") for n, y in ENDS for p in ("total_c", "net_c")],
+    )
+    return c.where((F.col("n_quotes_prior") > 0) & (F.col("n_quotes_current") > 0))
 
 
-def movement(spark, d):
-    from quotemill.catalog.views import ADVANCE_WINDOWS, BOOKING_WEIGHTS
+def priced_cells(c, price: str):
+    keys = ["route_code", "advance_window", "carrier_iata", "n_quotes_prior", "n_quotes_current"]
+    value = lambda n: (F.col(f"{price}_{n}").cast("double") / 100 / F.col(f"n_quotes_{n}") / 1000).alias(f"index_value_{n}")
+    return c.select(*keys, value("prior"), value("current"))
+
 
+def movement(spark, d):
     q = V.clean(spark, d, "route_code", "advance_window", "carrier_iata", "query_year", "total_c", "discount")
-    q = q.where(F.col("query_year").isin(dt.date(1998, 1, 1), dt.date(1999, 1, 1))).withColumn("net_c", F.floor(F.col("total_c") * (1 - F.col("discount"))))
-    total = staged(movement_cells(q, "total_c"), "total")
-    base = staged(movement_cells(q, "net_c"), "base")
+    q = q.where(F.col("query_year").isin(*[y for _, y in ENDS])).withColumn("net_c", F.floor(F.col("total_c") * (1 - F.col("discount"))))
+    cells = staged(movement_cells(q), "cells")
+    total, base = priced_cells(cells, "total_c"), priced_cells(cells, "net_c")
     lo = {w[0]: w[1] for w in ADVANCE_WINDOWS}
     booking = spark.createDataFrame(
         [(c, w, w + lo[c] / 1000.0) for c, w in BOOKING_WEIGHTS.items()], "advance_window string, weight_prior double, weight_current double"

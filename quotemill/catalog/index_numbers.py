@@ -191,7 +191,8 @@ def sparse_panel(spark, d):
     ),
 )
 def panel_problems(spark, d):
-    return multilateral.panel_problems(sparse_panel(spark, d), ["route_code", "advance_window", "carrier_iata"], 1900)
+    out = multilateral.panel_problems(sparse_panel(spark, d), ["route_code", "advance_window", "carrier_iata"], 1900)
+    return out.drop("weightless")
 
 
 # --- elementary cells and roll-ups -----------------------------------------------------------

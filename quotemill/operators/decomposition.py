@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.core import require
-from quotemill.operators.vintages import share_within
 
 ELEMENTARY = (
     "route_code",
@@ -31,16 +30,20 @@ def bennet_two_factor(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _fold(df: DataFrame, keys: Sequence[str], w0: str, w1: str, mix: str, carried: Sequence[str]) -> DataFrame:
-    """One level up: shares of (w0, w1) within ``keys`` weigh (x0, x1) and the carried effects."""
-    a = share_within(df, keys, w0, "s0")
-    a = share_within(a, keys, w1, "s1")
-    s_bar = (F.col("s0") + F.col("s1")) / 2
-    x_bar = (F.col("x0") + F.col("x1")) / 2
-    return a.groupBy(*keys).agg(
-        F.sum(F.col("s0") * F.col("x0")).alias("__x0"),
-        F.sum(F.col("s1") * F.col("x1")).alias("__x1"),
-        F.sum(x_bar * (F.col("s1") - F.col("s0"))).alias(mix),
-        *[F.sum(s_bar * F.col(c)).alias(c) for c in carried],
+    """One level up: shares of (w0, w1) within ``keys`` weigh (x0, x1) and the carried effects.
+
+    A share is a weight over its group's total, so every share-weighted sum is a plain weighted sum
+    over that total: one aggregation, combined map-side, with no join back for the totals.
+    """
+    a, b, x0, x1 = (F.col(c) for c in (w0, w1, "x0", "x1"))
+    mean0 = lambda c: F.try_divide(F.sum(a * c), F.sum(a))
+    mean1 = lambda c: F.try_divide(F.sum(b * c), F.sum(b))
+    x_bar = (x0 + x1) / 2
+    return df.groupBy(*keys).agg(
+        mean0(x0).alias("__x0"),
+        mean1(x1).alias("__x1"),
+        (mean1(x_bar) - mean0(x_bar)).alias(mix),
+        *[((mean0(F.col(c)) + mean1(F.col(c))) / 2).alias(c) for c in carried],
     ).withColumnsRenamed({"__x0": "x0", "__x1": "x1"})
 
 

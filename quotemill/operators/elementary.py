@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.functions.core import exact_avg, null_safe_join, require
+from quotemill.functions.core import exact_avg, require
 
 Formula = Callable[[Column, Column], Column]
 

@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.functions.core import require
+from quotemill.functions.core import null_safe_join, require
 from quotemill.functions.smallstats import full_rank, plain_objects, t_two_sided_p
+from quotemill.functions.staging import staged
 
 MAX_TERMS = 2000
 _SCHEMA = (
@@ -96,8 +97,6 @@ def _solve(pdf: pd.DataFrame, categorical: Sequence[str], reference: str | None,
         levels = [x for x in names if x.startswith(f"{q}__")]
         dropped.update(levels[:1])  # first category held out
     terms = ["const", *[x for x in names if x not in dropped]]
-    if len(terms) > MAX_TERMS:
-        return _skip(f"more than {MAX_TERMS} terms", n)
     get = lambda a, b: m.get((a, b), m.get((b, a), 0.0))
     k = len(terms)
     a = np.array([[get(p, q) for q in terms] for p in terms])
@@ -148,7 +147,15 @@ def hedonic_time_dummy(
     under ``min_r_squared`` keeps its rows but carries a ``skip_reason``.
     """
     keys = list(keys)
-    gram = cross_products(df, keys, quality, period, price)
+    gram = staged(cross_products(df, keys, quality, period, price), "gram")
+    # a group with more terms than a dense solve should take is refused before it reaches one task
+    wide = (
+        gram.where(F.col("i") == F.col("j")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__terms")).where(F.col("__terms") > MAX_TERMS)
+    )
+    on = keys or ["__all"]
+    if not keys:
+        gram, wide = gram.withColumn("__all", F.lit(1)), wide.withColumn("__all", F.lit(1))
+    small = null_safe_join(gram, wide.drop("__terms"), on, "left_anti")
     types = dict(df.dtypes)
     categorical = [q for q in quality if types[q] in ("string", "boolean", "date")]
     ref = None if reference_period is None else str(reference_period)
@@ -162,5 +169,6 @@ def hedonic_time_dummy(
             out[k] = pdf[k].iloc[0]
         return plain_objects(out, columns)
 
-    grouped = gram.groupBy(*keys) if keys else gram.groupBy(F.lit(0))
-    return grouped.applyInPandas(solve, schema)
+    solved = small.groupBy(*on).applyInPandas(solve, schema)
+    refused = wide.select(*keys, F.lit("skip").alias("kind"), F.lit(f"more than {MAX_TERMS} terms").alias("skip_reason"))
+    return solved.unionByName(refused, allowMissingColumns=True)

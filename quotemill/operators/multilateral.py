@@ -25,7 +25,8 @@ PANEL = ("period", "product_id", "price", "share")
 
 
 def panel_problems(panel: DataFrame, cells: Sequence[str], max_span: int | None = None) -> DataFrame:
-    """Per cell: row and period counts, and ``skip_reason`` where the panel is unusable."""
+    """Per cell: row and period counts, whether it has no weights at all, and ``skip_reason`` where
+    the panel is unusable."""
     require(panel, [*cells, *PANEL], "panel_problems")
     dated = dict(panel.dtypes)["period"] in ("date", "timestamp")
     last, first = F.max("period"), F.min("period")
@@ -36,6 +37,7 @@ def panel_problems(panel: DataFrame, cells: Sequence[str], max_span: int | None
         F.count_if(F.coalesce(F.col("share") < 0, F.lit(True))).alias("__bad_share"),
         F.size(F.collect_set("period")).cast("long").alias("n_periods"),  # bounded by the calendar
         span.cast("long").alias("__span"),
+        (F.max("share") == 0).alias("weightless"),  # all-zero shares mean equal weights
     )
     tests = [
         (F.col("__bad_price") > 0, "prices must be strictly positive"),
@@ -110,34 +112,24 @@ def tpd_normal_matrix(panel: DataFrame, cells: Sequence[str]) -> DataFrame:
     """Weighted normal equations of the two-way dummy regression with products absorbed.
 
     A[t, s] = [t = s] w_t - sum_i w_it w_is / w_i and b[t] = sum_i w_it (y_it - ybar_i): one row
-    per (cell, t, s), ``a`` and (on the diagonal) ``b``. Everything large is aggregated here; what
-    is left per cell is periods x periods.
+    per (cell, t, s). ``panel`` carries ``w`` and ``y``. A product's totals and its period pairs
+    share one partitioning; what is left per cell after the sum is periods x periods.
     """
     product = [*cells, "product_id"]
-    # all-zero shares in a cell mean equal weights
-    zero = panel.groupBy(*cells).agg((F.max("share") == 0).alias("__zero"))
-    p = null_safe_join(panel, zero, cells)
-    p = p.select(
-        *product,
-        "period",
-        F.when(F.col("__zero"), F.lit(1.0)).otherwise(F.col("share").cast("double")).alias("w"),
-        F.log(F.col("price").cast("double")).alias("y"),
-    )
-    tot = p.groupBy(*product).agg(F.sum("w").alias("wi"), (F.sum(F.col("w") * F.col("y"))).alias("wy"))
-    p = null_safe_join(p, tot.where(F.col("wi") > 0), product)
-    left = p.select(*product, F.col("period").alias("t"), F.col("w").alias("wt"), "wi")
+    own = Window.partitionBy(*product)  # at most one row per period
+    p = panel.withColumn("wi", F.sum("w").over(own)).withColumn("mean", F.try_divide(F.sum(F.col("w") * F.col("y")).over(own), F.col("wi")))
+    p = p.where(F.col("wi") > 0)
+    left = p.select(*product, F.col("period").alias("t"), F.col("w").alias("wt"), "wi", (F.col("w") * (F.col("y") - F.col("mean"))).alias("bt"))
     right = p.select(*product, F.col("period").alias("s"), F.col("w").alias("ws"))
-    cross = (
+    diagonal = F.col("t") == F.col("s")
+    return (
         null_safe_join(left, right, product)
         .groupBy(*cells, "t", "s")
-        .agg((-F.sum(F.col("wt") * F.col("ws") / F.col("wi"))).alias("a"))
-        .withColumn("b", F.lit(0.0))
-    )
-    own = p.groupBy(*cells, F.col("period").alias("t")).agg(
-        F.sum("w").alias("a"), F.sum(F.col("w") * (F.col("y") - F.col("wy") / F.col("wi"))).alias("b")
+        .agg(
+            F.sum(F.when(diagonal, F.col("wt")).otherwise(F.lit(0.0)) - F.col("wt") * F.col("ws") / F.col("wi")).alias("a"),
+            F.sum(F.when(diagonal, F.col("bt")).otherwise(F.lit(0.0))).alias("b"),
+        )
     )
-    own = own.withColumn("s", F.col("t")).select(*cells, "t", "s", "a", "b")
-    return cross.unionByName(own).groupBy(*cells, "t", "s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def _solve_tpd(pdf: pd.DataFrame, cells: Sequence[str]) -> pd.DataFrame:
@@ -165,8 +157,15 @@ def time_product_dummy(
 ) -> tuple[DataFrame, DataFrame]:
     """(levels, skips) of the share-weighted time-product-dummy index."""
     checked = panel_problems(panel, cells, max_span)
-    usable = checked.where(F.col("skip_reason").isNull()).select(*cells)
-    normal = tpd_normal_matrix(null_safe_join(panel, usable, cells, "left_semi"), cells)
+    usable = checked.where(F.col("skip_reason").isNull()).select(*cells, "weightless")
+    weighted = null_safe_join(panel, usable, cells).select(
+        *cells,
+        "product_id",
+        "period",
+        F.when(F.col("weightless"), F.lit(1.0)).otherwise(F.col("share").cast("double")).alias("w"),
+        F.log(F.col("price").cast("double")).alias("y"),
+    )
+    normal = tpd_normal_matrix(weighted, cells)
     schema = T.StructType(
         [
             T.StructField("period", normal.schema["t"].dataType),

@@ -79,18 +79,22 @@ def clean_quotes(
     stage: bool = True,
 ) -> CleanResult:
     """Run every cleaning stage. ``carrier_types``: (carrier_iata, carrier_type); ``airport_fee``:
-    (origin_iata, airport_udf). The screened quotes feed four branches and are written once
-    (``stage``)."""
+    (origin_iata, airport_udf). The flagged quotes and the missing cells feed several branches and
+    are written once each (``stage``)."""
     kept, quarantined = cleaning.quarantine_malformed(quotes)
-    kept = cleaning.assign_flight_key(kept, opts.dep_tolerance_minutes, opts.dedup_group)
-    kept = cleaning.decompose_fares(kept, airport_fee, opts.tax_rate)
+    # the stages do not depend on each other; outliers go first because they read prices and cell
+    # keys only, so counting values does not drag the other stages' joins along
     kept = cleaning.detect_outliers(
         kept, opts.outlier_group, "total_fare", opts.active_rule, opts.mad_threshold, opts.iqr_k, opts.min_cell_size
     )
-    kept = cleaning.with_calendar(cleaning.with_lookup(kept, carrier_types, "carrier_iata"))
     if stage:
-        kept = staged(kept, "screened")
+        kept = staged(kept, "flagged")
+    kept = cleaning.assign_flight_key(kept, opts.dep_tolerance_minutes, opts.dedup_group)
+    kept = cleaning.decompose_fares(kept, airport_fee, opts.tax_rate)
+    kept = cleaning.with_calendar(cleaning.with_lookup(kept, carrier_types, "carrier_iata"))
     gaps = missing.classify_missing(missing.missing_cells(expected, kept), runs)
+    if stage:
+        gaps = staged(gaps, "gaps")
     sold_out = cleaning.with_lookup(gaps.where(F.col("missing_reason") == "sold_out"), carrier_types, "carrier_iata")
     filled, unresolved = missing.impute_sold_out(
         sold_out, kept.where(~F.col("is_outlier")), opts.impute_group, opts.min_impute_size

@@ -30,56 +30,66 @@ def key_paths(value, prefix: str = "") -> set[str]:
     return found
 
 
-def payload_key_paths(payloads: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
-    """(keys, key_path): every distinct path of each body; a body that is not JSON gives a null path.
+def payload_shapes(payloads: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
+    """(keys, paths): the sorted distinct key paths of each body, null where it is not JSON.
 
     Nesting is unbounded, which no built-in expression unfolds, so bodies pass through Python in
-    Arrow batches, one body at a time.
+    Arrow batches, one body at a time; a payload stays one row.
     """
     df = payloads.select(*keys, body)
-    schema = ", ".join([*[f"{k} {df.schema[k].dataType.simpleString()}" for k in keys], "key_path string"])
+    schema = ", ".join([*[f"{k} {df.schema[k].dataType.simpleString()}" for k in keys], "paths array<string>"])
+
+    def shape(text: str | None) -> list[str] | None:
+        try:
+            return sorted(key_paths(json.loads(text)))
+        except (TypeError, ValueError):
+            return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, paths = [], []
-            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
-                try:
-                    found: list[str | None] = sorted(key_paths(json.loads(text)))
-                except (TypeError, ValueError):
-                    found = [None]
-                take += [i] * len(found)
-                paths += found
-            idx = pa.array(take, pa.int64())
-            columns = [batch.column(j).take(idx) for j in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(paths, pa.string())], [*keys, "key_path"])
+            paths = pa.array([shape(t) for t in batch.column(len(keys)).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], paths], [*keys, "paths"])
 
     return df.mapInArrow(run, schema)
 
 
-def shape_difference(found: DataFrame, expected: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, key_path, change): paths ``added`` to or ``removed`` from the expected set per key."""
-    f = found.where(F.col("key_path").isNotNull()).select(*keys, "key_path").distinct()
-    e = expected.select(*keys, "key_path").distinct()
+def shape_difference(payloads: DataFrame, expected: DataFrame, keys: Sequence[str] = ("source_code",)) -> DataFrame:
+    """(keys, key_path, change): paths ``added`` to or ``removed`` from the expected set per key.
+
+    Payloads repeat a few shapes, so shapes are made distinct before they are unfolded.
+    """
+    shapes = payload_shapes(payloads, list(keys)).distinct()
+    found = shapes.select(*keys, F.explode("paths").alias("key_path")).distinct()
+    known = expected.select(*keys, "key_path").distinct()
     on = [*keys, "key_path"]
-    return f.join(e, on, "left_anti").withColumn("change", F.lit("added")).unionByName(
-        e.join(f, on, "left_anti").withColumn("change", F.lit("removed"))
+    return found.join(known, on, "left_anti").withColumn("change", F.lit("added")).unionByName(
+        known.join(found, on, "left_anti").withColumn("change", F.lit("removed"))
     )
 
 
-def drifted_payloads(payloads: DataFrame, expected: DataFrame, key: str = "payload_id", source: str = "source_code") -> DataFrame:
-    """Payload ids whose shape differs from their source's expected paths, with both differences.
+def drifted_payloads(
+    payloads: DataFrame, expected: DataFrame, key: str = "payload_id", source: str = "source_code"
+) -> DataFrame:
+    """Payloads whose shape differs from their source's expected paths, with both differences.
 
-    Per payload the paths found are counted against the expected ones: an unexpected path is an
-    addition, fewer matches than the source expects means a removal.
+    The expected paths of a source are configuration, a few dozen texts, carried as one array per
+    source; payloads are compared row by row and not shuffled.
     """
-    found = payload_key_paths(payloads, [key, source]).distinct()
-    known = expected.select(source, "key_path").distinct().withColumn("__known", F.lit(1))
-    size = known.groupBy(source).agg(F.count(F.lit(1)).alias("__size"))
-    j = found.join(known, [source, "key_path"], "left").groupBy(key, source).agg(
-        F.count("__known").alias("__hit"),
-        F.count_if(F.col("key_path").isNotNull() & F.col("__known").isNull()).alias("added_paths"),
-        F.bool_or(F.col("key_path").isNull()).alias("not_json"),
+    known = expected.groupBy(source).agg(F.collect_set("key_path").alias("__known"))
+    j = payload_shapes(payloads, [key, source]).join(known, source, "left")
+    want = F.coalesce("__known", F.array().cast("array<string>"))
+    got = F.coalesce("paths", F.array().cast("array<string>"))
+    out = j.select(
+        key,
+        source,
+        F.size(F.array_except(got, want)).cast("long").alias("added_paths"),
+        F.size(F.array_except(want, got)).cast("long").alias("removed_paths"),
+        F.col("paths").isNull().alias("not_json"),
     )
-    out = j.join(size, source, "left").withColumn("removed_paths", F.coalesce(F.col("__size") - F.col("__hit"), F.lit(0).cast("long")))
-    bad = (F.col("added_paths") > 0) | (F.col("removed_paths") > 0) | F.col("not_json")
-    return out.where(bad).select(key, source, "added_paths", "removed_paths", "not_json")
+    return out.where((F.col("added_paths") > 0) | (F.col("removed_paths") > 0) | F.col("not_json"))
+
+
+def quarantine_split(payloads: DataFrame, drifted: DataFrame, key: str = "payload_id") -> tuple[DataFrame, DataFrame]:
+    """(payloads to parse, payloads set aside for inspection)."""
+    bad = drifted.select(key)
+    return payloads.join(bad, key, "left_anti"), payloads.join(bad, key, "left_semi")

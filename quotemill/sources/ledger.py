@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 LEDGER_KEY = ("content_hash", "collected_at")
 
@@ -27,7 +28,7 @@ def append_quotes(incoming: DataFrame, path: str) -> None:
     batch = incoming.withColumn("collected_day", day)
     try:
         existing = spark.read.parquet(path)
-    except Exception:  # first load: nothing there yet
+    except AnalysisException:  # first load: nothing there yet
         existing = None
     if existing is not None:
         days = batch.select("collected_day").distinct()
@@ -64,4 +65,4 @@ def write_run(frames: Mapping[str, DataFrame], out: str, run_id: str, meta: Mapp
 def read_run_table(spark: SparkSession, out: str, table: str) -> DataFrame:
     """Rows of all committed runs of one table."""
     done = spark.read.parquet(f"{out}/_committed").select("index_run_id").distinct()
-    return spark.read.parquet(f"{out}/{table}").join(F.broadcast(done), "index_run_id", "left_semi")  # one row per run
+    return spark.read.parquet(f"{out}/{table}").join(done, "index_run_id", "left_semi")
