@@ -19,7 +19,7 @@ HEADLINE = (
     "a06_geks_tornqvist",
     "a07_time_product_dummy",
     "a09_hedonic_time_dummy",
-    "a15_route_index",
+    "a12_route_index",
     "a16_series_hierarchy",
     "a18_coverage",
     "a19_quality_gates",

@@ -284,7 +284,7 @@ def weighted_rollup(spark, d):
     return r6(by_route_window(spark, d), "index_value", "coverage_pct")
 
 
-@query("a15_route_index", with_views(f"SELECT route_code, {SHOW} FROM routes", "fx_clean", "fx_window", **{**CELL_STEPS, "by_window": BY_WINDOW, "routes": ROUTES}))
+@query("a12_route_index", with_views(f"SELECT route_code, {SHOW} FROM routes", "fx_clean", "fx_window", **{**CELL_STEPS, "by_window": BY_WINDOW, "routes": ROUTES}))
 def route_index(spark, d):
     return r6(aggregate.route_index(by_route_window(spark, d), V.booking_weights(spark)), "index_value", "coverage_pct")
 
