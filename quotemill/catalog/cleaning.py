@@ -135,9 +135,20 @@ def departure_clusters(spark, d):
     return c.groupBy(*keys, "cluster").agg(F.min("dep_minute").alias("first_minute"))
 
 
-@query("w10_flight_key")
+# a quote belongs to the last cluster that starts at or before its departure
+_WALKED = with_views("", "fx_quote", instants=CLUSTERS).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f",\nwalk AS ({WALK})\n"
+FLIGHT_KEY = """SELECT quote_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+  substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS flight_key
+FROM (SELECT quote_id, sha1(unhex('2b6c9a3d6e0a4a9e8a0e7e6c8f0a3b5e') || encode(q.carrier_iata || '|' || coalesce(q.flight_number, 'None') || '|'
+    || CAST(date_trunc('month', travel_date) AS DATE) || '|' || max(cluster))) AS h
+  FROM fx_quote q JOIN walk w ON q.carrier_iata = w.carrier_iata AND q.flight_number IS NOT DISTINCT FROM w.flight_number
+    AND CAST(date_trunc('month', q.travel_date) AS DATE) = w.travel_month AND w.start <= q.dep_minute
+  GROUP BY quote_id, q.carrier_iata, q.flight_number, travel_date)"""
+
+
+@query("w10_flight_key", _WALKED + FLIGHT_KEY)
 def flight_keys(spark, d):
-    """Flight key per quote; its count per cluster is compared in the tests."""
+    """Flight key per quote."""
     q, keys = clustered(spark, d)
     return cleaning.assign_flight_key(q, 15, keys, "dep_minute").select("quote_id", "flight_key")
 
