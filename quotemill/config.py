@@ -31,6 +31,7 @@ DISTANCE_BANDS = (
     ("long", None, 1200.0, 70000.0),
 )
 
+# Run outcomes that count as having looked.
 RAN_STATUSES = ("SUCCEEDED", "PARTIAL")
 
 

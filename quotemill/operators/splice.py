@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.core import month_start, require
 
+# Relative tolerance below which a recomputed value is no revision, and the reasons
+# written to the revision log.
 REVISION_TOLERANCE = 1e-9
+RECOMPUTED = "recomputed under the same (snapshot, config) key"
+FIRST_OF_PERIOD = "First publication of the period."
+FIRST_OF_SERIES = "First publication of the reference period, at the configured reference value."
 
 # k rule: given the window length L, which link periods k enter (None: all of them, geometric mean)
 _SPLICES: dict[str, Callable[[Column], Column] | None] = {
@@ -118,7 +123,7 @@ def publish(
         "period",
         "old_value",
         F.col("value").alias("new_value"),
-        F.lit("recomputed under the same (snapshot, config) key").alias("reason"),
+        F.lit(RECOMPUTED).alias("reason"),
     )
     return values, revisions, s.where(F.col("skip_reason").isNotNull()).select("series_code", "skip_reason")
 
@@ -143,7 +148,6 @@ def publication_rows(
     reference_value: float = 100.0,
     method: str = "movement",
     on_gap: str = "ratio",
-    reference_label: str = "reference period",
 ) -> dict[str, DataFrame]:
     """Rows of one run over stored tables: ``index_value``, ``revision_log`` and ``skipped``.
 
@@ -175,13 +179,13 @@ def publication_rows(
         .unionByName(
             first.select(
                 "series_code", "period", null, F.col("value").alias("new_value"),
-                F.lit("First publication of the period.").alias("reason"),
+                F.lit(FIRST_OF_PERIOD).alias("reason"),
             )
         )
         .unionByName(
             boot.select(
                 "series_code", "period", null, F.col("value").alias("new_value"),
-                F.lit(f"First publication of the {reference_label}, at the configured reference value.").alias("reason"),
+                F.lit(FIRST_OF_SERIES).alias("reason"),
             )
         )
     )

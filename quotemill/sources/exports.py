@@ -77,6 +77,7 @@ def sdmx_messages(latest: DataFrame, routes: Sequence[str], agency: str, title:
     """One SDMX-JSON data message per series as text. The structure part is constant."""
     import json
 
+    # Dimension and attribute ids and names of the message structure.
     dims = [
         ("FREQ", "Frequency", [("M", "Monthly")]),
         ("ROUTE", "Route", [("ALL", "All basket routes"), *[(r, r) for r in routes]]),
