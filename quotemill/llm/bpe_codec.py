@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.wordbpe import Remembered, tokenizer
+from quotemill.llm.wordbpe import remembered
 
 #: Texts of one Arrow batch are solved together, in groups of about so many characters.
 GROUP_CHARS = 4_000_000
@@ -43,14 +43,13 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     schema = f"{'`' + id_col + '`'} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids string, decoded string"
 
     def run(batches):
-        bpe = tokenizer(tokenizer_path)
-        memory = Remembered(bpe, _strings(bpe))
+        memory = remembered(tokenizer_path, "strings", _strings)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in groups(texts):
                 n, ids, decoded = [], [], []
-                for cut in memory.split(texts[a:b]):
-                    got = [g for g in map(memory.__getitem__, cut) if g[2]]
+                for got in memory.look_up(texts[a:b]):
+                    got = [g for g in got if g[2]]
                     n.append(sum(g[2] for g in got))
                     ids.append(" ".join([g[0] for g in got]))
                     decoded.append(" ".join([g[1] for g in got]))
@@ -68,15 +67,14 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     schema = f"{'`' + id_col + '`'} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
-        bpe = tokenizer(tokenizer_path)
-        memory = Remembered(bpe, _strings(bpe))
+        memory = remembered(tokenizer_path, "strings", _strings)
         digest = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8")).hexdigest()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in groups(texts):
                 n, ids, decoded = [], [], []
-                for cut in memory.split(texts[a:b]):
-                    got = [g for g in map(memory.__getitem__, cut) if g[2]]
+                for got in memory.look_up(texts[a:b]):
+                    got = [g for g in got if g[2]]
                     n.append(sum([g[2] for g in got]))
                     ids.append(digest([g[0] for g in got]))
                     decoded.append(digest([g[1] for g in got]))

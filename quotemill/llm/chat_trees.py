@@ -74,8 +74,10 @@ def root_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     # a leaf's path is itself and, for each row so far, the node 2^k further up, from the longest jump to the shortest
     for table in reversed(levels[:-1]):
         step = table.where(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("node").alias("n"), "up", "dist")
-        higher = rows.join(step, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "branch", (F.col("depth") - F.col("dist")).alias("depth"), F.col("up").alias("node"))
-        rows = rows.unionByName(higher)
+        met = rows.join(step, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left")
+        pair = F.array(F.struct("depth", "node"), F.struct((F.col("depth") - F.col("dist")).alias("depth"), F.col("up").alias("node")))
+        both = F.filter(pair, lambda x: x["node"].isNotNull())
+        rows = met.select("tree", "leaf", "branch", F.inline(both))
     return rows
 
 

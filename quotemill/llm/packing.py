@@ -13,6 +13,7 @@ other tasks. Ids of sequences carry the partition's number, so a task run again
 
 from __future__ import annotations
 
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.bpe_codec import groups
-from quotemill.llm.wordbpe import Remembered, tokenizer
+from quotemill.llm.wordbpe import remembered
 
 #: Tokens after which a task packs what it holds.
 BLOCK_TOKENS = 4_000_000
@@ -161,8 +162,7 @@ def pack_documents(
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        bpe = tokenizer(tokenizer_path)
-        memory = Remembered(bpe, lambda ids: np.array(ids, dtype="<u4").tobytes())
+        memory = remembered(tokenizer_path, "bytes", lambda bpe: lambda ids: struct.pack(f"<{len(ids)}I", *ids), by_library=True)
         base = TaskContext.get().partitionId() << 36
         held: list[tuple] = []
         tokens = sequences = 0
@@ -192,8 +192,8 @@ def pack_documents(
             id_type = batch.schema.field(0).type
             texts, ids, prompts = batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in groups(texts):
-                for k, cut in enumerate(memory.split(texts[a:b]), a):
-                    data = b"".join(map(memory.__getitem__, cut)) + tail
+                for k, got in enumerate(memory.look_up(texts[a:b]), a):
+                    data = b"".join(got) + tail
                     held.append((ids[k], data, prompts[k]))
                     tokens += len(data) // 4
                     if tokens >= BLOCK_TOKENS:

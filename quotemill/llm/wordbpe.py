@@ -21,6 +21,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import compress
 
 import regex
 from tokenizers import Tokenizer
@@ -31,7 +32,7 @@ END = "</w>"
 
 #: Distinct words, and distinct strings between white space, remembered per worker; beyond that the memory starts afresh (a
 #: matter of speed and memory, not of results).
-REMEMBERED = 700_000
+REMEMBERED = 1_200_000
 
 #: Characters outside the ranges whose letters, numbers and cases no longer change between versions of Unicode.
 RARE = re.compile("[^\x00-\u0237\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u3000-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
@@ -68,18 +69,28 @@ class WordBpe:
             z = self.vocab[a + b]
             self.rank[x, y] = r
             self.left[z], self.right[z], self.made[z] = x, y, r
-        # vocabulary by symbols: inside a word and, with the end mark, at its end
-        self.inner = {s: i for s, i in self.vocab.items() if not s.endswith(END) and (len(s) == 1 or i in self.made)}
-        self.final = {s[: -len(END)]: i for s, i in self.vocab.items() if s.endswith(END) and (len(s) == len(END) + 1 or i in self.made)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        # vocabulary by symbols; the last symbol of a word carries the end mark
+        self.by_symbols = {self.spelled(x): i for x, i in self.vocab.items() if i in self.made or len(self.spelled(x)) == 1}
+        self.prefixes = {x[:k] for x in self.by_symbols for k in range(1, len(x) + 1)}
+        self.read: list[tuple[str, ...]] = [()]
+        self.state_of: dict[tuple[str, ...], int] = {(): 0}
+        self.step: list[dict[str, int]] = [{}]
+        self.ends: list[list[tuple[int, int]]] = [[]]
         self.symbols = byte_symbols()
         self.pieces = regex.compile(PIECES)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.byte_of = {c: b for b, c in enumerate(self.symbols)}
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.known: dict[str, tuple[int, ...]] = {}
         self.follows: dict[tuple[int, int], bool] = {}
 
+    @staticmethod
+    def spelled(entry: str) -> tuple[str, ...]:
+        body = entry.removesuffix(END)
+        return (*body[:-1], body[-1] + END) if body != entry else tuple(entry)
+
     # -- words ---------------------------------------------------------------------------------------------------
 
     def normal(self, text: str) -> str:
@@ -138,76 +149,137 @@ class WordBpe:
 
     def learn(self, words) -> None:
         """Encode distinct words not met before, all of them in one walk over their trie."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.follows.clear()
-        fresh = sorted("".join(map(self.symbols.__getitem__, w.encode("utf-8"))) for w in words)
-        if not fresh:
-            return
+        table = self.symbols
+        self.known.update((w, (i,)) for w, i in self.special.items())
+        fresh = sorted(("".join(map(table.__getitem__, w.encode("utf-8", "surrogateescape"))), w) for w in words if w not in self.special)
         # The sorted words are the trie in depth-first order: going to the next word means going back to the node of the
-        # common prefix, whose state is still on the stack, and down from there.
+        # common prefix, whose state is still on the stacks, and down from there.
         last: list[int] = []  # last token of the encoding of each prefix on the path
         size: list[int] = []  # symbols of that token
+        where: list[int] = [0]  # which vocabulary entries may still be growing at the end of each prefix
         before = ""
-        inner, final, longest, may = self.inner, self.final, self.longest, self.may_follow
-        for word in fresh:
+        step, ends, follows, may = self.step, self.ends, self.follows, self.may_follow
+        for word, spoken in fresh:
+            stop = len(word) - 1
             common = 0
-            limit = min(len(before), len(word) - 1, len(last))
+            limit = min(len(before), stop, len(last))
             while common < limit and before[common] == word[common]:
                 common += 1
-            del last[common:], size[common:]
-            for end in range(common + 1, len(word)):
-                for start in range(max(0, end - longest), end):
-                    t = inner.get(word[start:end])
-                    if t is not None and (start == 0 or may(last[start - 1], t)):
-                        last.append(t)
-                        size.append(end - start)
+            del last[common:], size[common:], where[common + 1 :]
+            state = where[common]
+            for end in range(common, stop):
+                state = step[state].get(word[end], -1)
+                if state < 0:
+                    state = self._grow(where[end], word[end])
+                for n, t in ends[state]:
+                    if n > end:
+                        break
+                    s = last[end - n]
+                    ok = follows.get((s, t))
+                    if ok or ok is None and may(s, t):
                         break
-            end = len(word)
-            for start in range(max(0, end - longest), end):
-                t = final.get(word[start:end])
-                if t is not None and (start == 0 or may(last[start - 1], t)):
+                last.append(t)
+                size.append(n)
+                where.append(state)
+            final = word[stop] + END
+            state = step[state].get(final, -1)
+            if state < 0:
+                state = self._grow(where[stop], final)
+            for n, t in ends[state]:
+                if n > stop or may(last[stop - n], t):
                     break
             ids = [t]
+            start = stop + 1 - n
             while start:
                 ids.append(last[start - 1])
                 start -= size[start - 1]
-            self.known[word] = tuple(reversed(ids))
+            self.known[spoken] = tuple(reversed(ids))
             before = word
 
+    def _grow(self, state: int, symbol: str) -> int:
+        """The state after one more symbol: the longest end of what was read that begins some vocabulary entry. Made when first met."""
+        read = (*self.read[state], symbol)
+        while read and read not in self.prefixes:
+            read = read[1:]
+        got = self.state_of.get(read)
+        if got is None:
+            got = self.state_of[read] = len(self.read)
+            self.read.append(read)
+            self.step.append({})
+            tails = (read[k:] for k in range(len(read)))
+            self.ends.append([(len(x), self.by_symbols[x]) for x in tails if x in self.by_symbols])
+        self.step[state][symbol] = got
+        return got
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.follows.clear()
+
     # -- texts ---------------------------------------------------------------------------------------------------
 
     def chunks(self, text: str) -> list[str]:
         """Strings between white space. No word, special string or normalisation step reaches across white space."""
         return text.split() if not ODD_SPACE.search(text) else [c for c in SPACE.split(text) if c]
 
-    def solve(self, chunks) -> dict[str, tuple[int, ...]]:
+    def solve_by_library(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """The same ids from the tokenizers library itself."""
+        return [tuple(e.ids) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def solve(self, chunks: list[str]) -> list[tuple[int, ...]]:
         """Ids of each given distinct string between white space."""
-        cut = {c: self.words(c) for c in chunks}
-        table = self.symbols
-        spelled = lambda w: "".join(map(table.__getitem__, w.encode("utf-8")))
-        distinct = {w: spelled(w) for ws in cut.values() for w in ws if w not in self.special}
-        self.learn([w for w, key in distinct.items() if key not in self.known])
-        ids = {w: self.known[key] for w, key in distinct.items()} | {w: (i,) for w, i in self.special.items()}
-        return {c: tuple(i for w in ws for i in ids[w]) for c, ws in cut.items()}
+        plain = not RARE.search("".join(chunks))  # then a string of letters is one word, and NFC leaves it as it is
+        cut: list[tuple[str, ...] | list[str]] = []
+        for c in chunks:
+            if plain and c.isalpha() and "\u03a3" not in c:
+                cut.append((c.lower(),))
+            elif plain and c[:-1].isalpha() and c[-1] in ".,;:!?" and "\u03a3" not in c:
+                cut.append((c[:-1].lower(), c[-1]))
+            else:
+                cut.append(self.words(c))
+        known = self.known
+        self.learn({w for ws in cut for w in ws if w not in known})
+        return [known[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in known[w]) for ws in cut]
 
 
-class Remembered(dict):
+class Remembered:
     """What ``make(ids)`` gives for each string between white space, solved a batch of texts at a time."""
 
-    def __init__(self, bpe: WordBpe, make):
+    def __init__(self, bpe: WordBpe, make, by_library: bool = False):
         self.bpe, self.make = bpe, make
+        self.solve = bpe.solve_by_library if by_library else bpe.solve
+        self.made: dict[str, object] = {}
 
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """The strings of each text; afterwards all of them can be looked up."""
+    def look_up(self, texts: list[str]) -> list[list]:
+        """The values of the strings of each text, in order."""
         cut = [self.bpe.chunks(t) for t in texts]
-        fresh = {c for cs in cut for c in cs if c not in self}
-        if len(self) + len(fresh) > REMEMBERED:
-            self.clear()
-            fresh = {c for cs in cut for c in cs}
+        get = self.made.get
+        got = [list(map(get, cs)) for cs in cut]
+        fresh: set[str] = set()
+        for cs, g in zip(cut, got, strict=True):
+            if None in g:
+                fresh.update(compress(cs, [v is None for v in g]))
+        if not fresh:
+            return got
+        if len(self.made) + len(fresh) > REMEMBERED:
+            # go on with what this batch uses: frequent strings stay, rare ones are solved again when met
+            self.made = {c: v for cs, g in zip(cut, got, strict=True) for c, v in zip(cs, g, strict=True) if v is not None}
+            self.bpe.forget()
+        new = list(fresh)
         make = self.make
-        self.update((c, make(ids)) for c, ids in self.bpe.solve(fresh).items())
-        return cut
+        self.made.update((c, make(ids)) for c, ids in zip(new, self.solve(new), strict=True))
+        get = self.made.get
+        return [list(map(get, cs)) if None in g else g for cs, g in zip(cut, got, strict=True)]
+
+
+_remembered: dict[tuple[str, str], Remembered] = {}
+
+
+def remembered(path: str, kind: str, make_for, by_library: bool = False) -> Remembered:
+    """The memory of this worker for one file and kind of value; a worker keeps it from task to task. ``make_for(bpe)`` gives ``make``."""
+    if (path, kind) not in _remembered:
+        bpe = tokenizer(path)
+        _remembered[path, kind] = Remembered(bpe, make_for(bpe), by_library)
+    return _remembered[path, kind]
 
 
 @lru_cache(maxsize=2)
