@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quotemill.functions.shipping import ship
-from quotemill.llm import bpe_codec, chat_trees, packing
+from quotemill.llm import bpe_codec, chat_trees, packing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,10 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document left after all repeats of 100 bytes are removed."""
+    out = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return out.select(F.col("row_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
