@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quotemill.functions.shipping import ship
-from quotemill.llm import bpe_codec, chat_trees, packing, suffix_dedup
+from quotemill.llm import bpe_codec, chat_trees, minhash_dedup, packing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,10 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of every document left after all repeats of 100 bytes are removed."""
     out = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     return out.select(F.col("row_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
+@query
+def op6_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the class of its near duplicates."""
+    out = minhash_dedup.classes(table(spark, folder, "documents"))
+    return out.select(F.col("row_id").alias("doc_id"), "class_id", (F.col("row_id") == F.col("class_id")).alias("kept"))
