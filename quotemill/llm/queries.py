@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quotemill.functions.shipping import ship
-from quotemill.llm import bpe_codec, chat_trees, minhash_dedup, packing, suffix_dedup
+from quotemill.llm import bpe_codec, chat_trees, minhash_dedup, packing, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,13 @@ def op6_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the class of its near duplicates."""
     out = minhash_dedup.classes(table(spark, folder, "documents"))
     return out.select(F.col("row_id").alias("doc_id"), "class_id", (F.col("row_id") == F.col("class_id")).alias("kept"))
+
+
+@query
+def op5_quadratic_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document; labels of four fifths of the ids are learned from."""
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.score(docs, model, "doc_id").select(
+        "doc_id", (~quality.training(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted")
+    )
