@@ -34,7 +34,7 @@ from quotemill.llm.rolling import FIRST, SECOND, mix
 LENGTH, GRAM = 100, 40
 SPAN = LENGTH - GRAM + 1  # grams in a window; distances fit into a 64-bit mask
 #: Occurrences of an anchor string from which it is dealt out by window.
-FREQUENT = 3_000
+FREQUENT = 50_000
 #: Bytes hashed at a time (a longer document is hashed alone).
 CHUNK = 2_000_000
 
@@ -176,13 +176,13 @@ class _Suffixes:
                     got[part[bad]] = wrong[bad].argmax(axis=1)
         return got
 
-    def less(self, a, la, b, lb):
-        """Is suffix a (of length la) smaller than suffix b? A proper prefix is smaller; equal ones are not."""
+    def compare(self, a, la, b, lb):
+        """Negative, zero or positive: how suffix a (of length la) compares with suffix b. A proper prefix is smaller."""
         most = np.minimum(la, lb)
         same = FIRST.common(self.prefix, a, b, most)
-        past = same >= most
         last = len(self.data) - 1
-        return np.where(past, la < lb, self.data[np.minimum(a + same, last)] < self.data[np.minimum(b + same, last)])
+        byte = self.data[np.minimum(a + same, last)].astype(np.int64) - self.data[np.minimum(b + same, last)]
+        return np.where(same >= most, la - lb, byte)
 
     def sort(self, at, length, group):
         """Merge sort within groups (equal consecutive numbers), bottom up; every level merges all pairs of runs at once. Stable."""
@@ -207,10 +207,8 @@ class _Suffixes:
                     break
                 middle = (low[open_] + high[open_]) >> 1
                 it, its = at[order[middle]], length[order[middle]]
-                smaller = self.less(it, its, me[open_], my_length[open_])
-                # of equal suffixes the left run's come first
-                equal_first = right[open_] & ~smaller & ~self.less(me[open_], my_length[open_], it, its)
-                before = smaller | equal_first
+                sign = self.compare(it, its, me[open_], my_length[open_])
+                before = (sign < 0) | (right[open_] & (sign == 0))  # of equal suffixes the left run's come first
                 low[open_] = np.where(before, middle + 1, low[open_])
                 high[open_] = np.where(before, high[open_], middle)
             ahead = low - other[rows]
@@ -227,6 +225,18 @@ class _Suffixes:
 def repeated_windows(strings: list[bytes], lead: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For super-windows sorted by group and, within it, by document and position: a mask per row of the distances from the anchor
     at which its window equals that of an earlier row of the group."""
+    # equal super-windows are repeated whole: only the first of each is sorted
+    seen: dict[tuple[int, int, bytes], int] = {}
+    first = np.array([seen.setdefault(k, n) for n, k in enumerate(zip(group.tolist(), lead.tolist(), strings, strict=True))], dtype=np.int64)
+    alone = np.flatnonzero(first == np.arange(len(strings)))
+    if len(alone) < len(strings):
+        mask = np.empty(len(strings), dtype=np.int64)
+        mask[alone] = repeated_windows([strings[k] for k in alone], lead[alone], group[alone])
+        again = np.flatnonzero(first != np.arange(len(strings)))
+        windows = np.array([len(strings[k]) for k in again], dtype=np.int64) - LENGTH + 1
+        # all distances of its windows: lead - windows + 1 .. lead
+        mask[again] = ((np.int64(1) << windows) - 1) << (lead[again] - windows + 1)
+        return mask
     n = len(strings)
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
