@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quotemill.functions.shipping import ship
-from quotemill.llm import bpe_codec, chat_trees, minhash_dedup, packing, quality, suffix_dedup
+from quotemill.llm import bpe_codec, chat_trees, minhash_dedup, packing, page_text, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,18 @@ def op5_quadratic_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, model, "doc_id").select(
         "doc_id", (~quality.training(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted")
     )
+
+
+@query
+def op10_crf_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extract(table(spark, folder, "pages"), "page_id", "url")
+
+
+# The tables' pages hold their article in one <article> element and use few character references.
+ORACLES["op10_crf_extract"] = r"""
+WITH body AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
+flat AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS a FROM body),
+named AS (SELECT page_id, url, replace(replace(replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS a FROM flat),
+done AS (SELECT page_id, url, trim(regexp_replace(a, '\s+', ' ', 'g')) AS text FROM named)
+SELECT page_id, url, text, length(text) AS n_chars FROM done"""
