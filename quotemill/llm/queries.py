@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quotemill.functions.shipping import ship
-from quotemill.llm import bpe_codec, chat_trees, minhash_dedup, packing, page_text, quality, suffix_dedup
+from quotemill.llm import bpe_codec, chat_trees, minhash_dedup, packing, page_text, quality, suffix_dedup, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,10 @@ flat AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?b>', '', 'g')
 named AS (SELECT page_id, url, replace(replace(replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS a FROM flat),
 done AS (SELECT page_id, url, trim(regexp_replace(a, '\s+', ' ', 'g')) AS text FROM named)
 SELECT page_id, url, text, length(text) AS n_chars FROM done"""
+
+
+@query
+def op2_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs, count_col="n_entities")
