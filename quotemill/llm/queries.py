@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quotemill.functions.shipping import ship
-from quotemill.llm import bpe_codec, chat_trees, minhash_dedup, packing, page_text, quality, suffix_dedup, surrogates
+from quotemill.llm import bpe_codec, chat_trees, cover_topk, minhash_dedup, packing, page_text, quality, suffix_dedup, surrogates, vector_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,35 @@ def op2_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its personal data replaced by surrogates."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return surrogates.with_surrogates(docs, count_col="n_entities")
+
+
+@query
+def op1_pruned_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate links, components and the vector each component keeps."""
+    return vector_links.link_vectors(table(spark, folder, "embeddings"))
+
+
+# Exact: all pairs. The graph search meets it where its recall is 1.
+ORACLES["op1_pruned_graph"] = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM e),
+u AS (SELECT vec_id, v, s FROM n WHERE s > 0 AND isfinite(s)),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.s * b.s) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS c FROM e UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.c AS component_id, m.c = e.vec_id AS kept
+FROM e JOIN m ON m.id = e.vec_id LEFT JOIN k ON k.a = e.vec_id"""
+
+
+@query
+def op8_cover_tree_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best partners by integer inner product of every hundredth vector."""
+    return cover_topk.top_k(table(spark, folder, "embeddings"))
+
+
+ORACLES["op8_cover_tree_topk"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score FROM e q JOIN e x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
