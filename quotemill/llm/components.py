@@ -39,14 +39,27 @@ def components(links: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 24
 
 
+def _tested(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``__filter_may``: false only where ``key`` is surely not in ``wanted``."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))")
+    words = wanted.select(word.alias("__filter_word"), mask.alias("__filter_mask")).groupBy("__filter_word").agg(F.bit_or("__filter_mask").alias("__filter_map"))
+    tested = rows.withColumns({"__filter_at": word, "__filter_bit": mask}).join(F.broadcast(words), F.col("__filter_at") == F.col("__filter_word"), "left")
+    return tested.withColumn("__filter_may", F.coalesce(F.col("__filter_map").bitwiseAND(F.col("__filter_bit")) != 0, F.lit(False)))
+
+
 def narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not in ``wanted``; none that is in it is lost. A join on the key has to follow.
 
     The hashes of the wanted keys set bits of a map of fixed size, which is broadcast, so rows with wide columns are dropped where they are
     read. With more keys than bits the filter lets everything pass and the join alone decides.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))")
-    words = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_map"))
-    tested = rows.withColumns({"_at": word, "_bit": mask}).join(F.broadcast(words), F.col("_at") == F.col("_word"))
-    return tested.where(F.col("_map").bitwiseAND(F.col("_bit")) != 0).select(*[f"`{c}`" for c in rows.columns])
+    return _tested(rows, wanted, key).where("__filter_may").select(*[f"`{c}`" for c in rows.columns])
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``dropped`` (a null key never is). Only rows that may be dropped are moved to be looked at."""
+    tested = _tested(rows, dropped, key)
+    columns = [f"`{c}`" for c in rows.columns]
+    maybe = tested.where("__filter_may").select(*columns).join(dropped.select(key), key, "left_anti")
+    return tested.where("not __filter_may").select(*columns).unionByName(maybe.select(*columns))

@@ -171,3 +171,13 @@ WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DO
 s AS (SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score FROM e q JOIN e x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole corpus pipeline."""
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -303,7 +303,7 @@ def _sort_and_mark(batches):
         yield work(pa.Table.from_batches(held))
 
 
-def _finish(keep_bytes: bool):
+def _finish(keep_bytes: bool, carried: list[str]):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -334,23 +334,26 @@ def _finish(keep_bytes: bool):
                     rest = data
                 kept.append(rest.decode("utf-8", "ignore") if keep_bytes else hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string())],
-                names=["row_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string()), *batch.columns[4:]],
+                names=["row_id", "n_bytes", "n_removed", "n_spans", "kept", *carried],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row per document: row_id, n_bytes, n_removed, n_spans and ``kept``: the SHA-256 of the bytes left or, with ``texts``, those bytes
     as text (halves of characters at a cut are dropped).
 
     Ids are unique whole numbers and give the order of documents; rows with a null id are not read, as they have no place in the order. A null text counts as
-    empty. Texts shorter than LENGTH bytes are kept as they are. Other columns are not read.
+    empty. Texts shorter than LENGTH bytes are kept as they are. Columns named in ``carry`` follow as they are; others are not read.
     """
     spark = docs.sparkSession
+    carry = carry or []
+    inner = [f"_carried_{k}" for k in range(len(carry))]
+    extra = [F.col(c).alias(i) for c, i in zip(carry, inner, strict=True)]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), *extra)
     # the one exchange of the texts; everything that needs them reads it again
     held = source.repartition(partitions, "row_id")
     digest = source.select("row_id", F.sha2("body", 256).alias("digest"))
@@ -372,5 +375,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = hot.join(earliest, ["h1", "h2"]).where((F.col("row_id") != F.col("first.row_id")) | (F.col("at") != F.col("first.at")))
     marks = marks.unionByName(again.select("row_id", "at", F.lit(1).cast("long").alias("mask")))
     gathered = marks.groupBy("row_id").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
-    done = known.join(gathered, "row_id", "left").select("row_id", "body", "copy", "marks")
-    return done.mapInArrow(_finish(texts), "row_id long, n_bytes long, n_removed long, n_spans long, kept string")
+    done = known.join(gathered, "row_id", "left").select("row_id", "body", "copy", "marks", *inner)
+    schema = "row_id long, n_bytes long, n_removed long, n_spans long, kept string"
+    kinds = "".join(f", {i} {docs.schema[c].dataType.simpleString()}" for c, i in zip(carry, inner, strict=True))
+    out = done.mapInArrow(_finish(texts, inner), schema + kinds)
+    return out.withColumnsRenamed(dict(zip(inner, carry, strict=True))) if carry else out
