@@ -55,16 +55,18 @@ def root_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     )
     jump = staged(base, "jump")
     levels = [jump]
-    while jump.where(F.col("up").isNotNull()).limit(1).count():
+    going = jump.where(F.col("up").isNotNull()).count()
+    while going:
         above = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("total").alias("s2"))
-        longer = jump.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left").select(
+        open_, ended = jump.where(F.col("up").isNotNull()), jump.where(F.col("up").isNull())
+        longer = open_.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left").select(
             "tree", "node", F.col("up2").alias("up"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total")
         )
-        if len(levels) > 40:  # longer than any table: only rings are left
-            jump = jump.where(F.col("up").isNull())
-            break
-        jump = staged(longer, "jump")
+        jump = staged(longer.unionByName(ended), "jump")
         levels.append(jump)
+        before, going = going, jump.where(F.col("up").isNotNull()).count()
+        if going == before:  # a doubling that ends no path: only rings are left
+            break
     parents = messages.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = jump.where(F.col("up").isNull()).join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "dist", "total")
     leaves = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")))
