@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quotemill.functions.shipping import ship
 from quotemill.llm import bpe_codec, chat_trees, cover_topk, minhash_dedup, packing, page_text, quality, suffix_dedup, surrogates, vector_links
+from quotemill.llm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +23,7 @@ def query(fn):
 
     @wraps(fn)
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return fn(spark, folder)
 
     QUERIES[fn.__name__] = build

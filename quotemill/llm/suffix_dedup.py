@@ -36,7 +36,7 @@ SPAN = LENGTH - GRAM + 1  # grams in a window; distances fit into a 64-bit mask
 #: Occurrences of an anchor string from which it is dealt out by window.
 FREQUENT = 50_000
 #: Bytes hashed at a time (a longer document is hashed alone).
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def anchors(data: np.ndarray, starts: np.ndarray):
