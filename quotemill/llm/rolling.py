@@ -38,7 +38,7 @@ class Rolling:
 
     def _tables(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = max(n, len(self.up) + (1 << 18))
             with np.errstate(over="ignore"):
                 for name, x in (("up", self.base), ("down", self.inverse)):
                     steps = np.full(n, x, dtype=_U)

@@ -167,7 +167,7 @@ class _Suffixes:
         span = int(got.max(initial=0))
         if span:
             steps = np.arange(span)
-            for part in np.array_split(np.arange(len(a)), max(1, len(a) * span // 4_000_000)):
+            for part in np.array_split(np.arange(len(a)), max(1, len(a) * span // 400_000)):
                 inside = steps < got[part, None]
                 # a hash that agrees on a longer string than the bytes do is a collision
                 wrong = inside & (self.data[np.minimum(a[part, None] + steps, len(self.data) - 1)] != self.data[np.minimum(b[part, None] + steps, len(self.data) - 1)])
@@ -291,7 +291,7 @@ def _sort_and_mark(batches):
             continue
         held.append(batch)
         size += batch.num_rows
-        if size >= 60_000:
+        if size >= 8_000:
             t = pa.Table.from_batches(held)
             key = np.asarray(t["h1"])
             cut = int(np.searchsorted(key, key[-1], side="left"))
