@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quotemill.llm.wordbpe import remembered
 
 #: Texts of one Arrow batch are solved together, in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 
 
 def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:

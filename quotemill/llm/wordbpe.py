@@ -32,7 +32,7 @@ END = "</w>"
 
 #: Distinct words, and distinct strings between white space, remembered per worker; beyond that the memory starts afresh (a
 #: matter of speed and memory, not of results).
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 
 #: Characters outside the ranges whose letters, numbers and cases no longer change between versions of Unicode.
 RARE = re.compile("[^\x00-\u0237\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u3000-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
