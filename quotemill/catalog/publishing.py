@@ -102,12 +102,12 @@ def latest_run_per_revision(spark, d):
 
 @query(
     "l05_revisions_newest_first",
-    with_views("SELECT series_code, period, new_value, revised_at FROM fx_revision ORDER BY revised_at DESC, series_code, period LIMIT 200", "fx_revision"),
+    with_views("SELECT series_code, period, new_value, revised_at FROM fx_revision ORDER BY revised_at DESC, series_code, period", "fx_revision"),
 )
 def revisions_newest_first(spark, d):
-    """First page of the revision list."""
+    """The whole revision list, newest first."""
     r = V.revisions(spark, d).select("series_code", "period", "new_value", "revised_at")
-    return r.orderBy(F.col("revised_at").desc(), "series_code", "period").limit(200)
+    return r.orderBy(F.col("revised_at").desc(), "series_code", "period")
 
 
 @query("p14_visible_runs", with_views("SELECT index_run_id FROM fx_index_run WHERE released_at IS NOT NULL", "fx_index_run"))
