@@ -49,7 +49,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             for a, b in groups(texts):
                 n, ids, decoded = [], [], []
                 for got in memory.look_up(texts[a:b]):
-                    got = [g for g in got if g[2]]
                     n.append(sum(g[2] for g in got))
                     ids.append(" ".join([g[0] for g in got]))
                     decoded.append(" ".join([g[1] for g in got]))
@@ -74,7 +73,6 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             for a, b in groups(texts):
                 n, ids, decoded = [], [], []
                 for got in memory.look_up(texts[a:b]):
-                    got = [g for g in got if g[2]]
                     n.append(sum([g[2] for g in got]))
                     ids.append(digest([g[0] for g in got]))
                     decoded.append(digest([g[1] for g in got]))

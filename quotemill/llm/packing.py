@@ -162,7 +162,7 @@ def pack_documents(
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        memory = remembered(tokenizer_path, "bytes", lambda bpe: lambda ids: struct.pack(f"<{len(ids)}I", *ids), by_library=True)
+        memory = remembered(tokenizer_path, "bytes", lambda bpe: lambda ids: struct.pack(f"<{len(ids)}I", *ids))
         base = TaskContext.get().partitionId() << 36
         held: list[tuple] = []
         tokens = sequences = 0

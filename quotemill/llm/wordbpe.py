@@ -1,7 +1,7 @@
 """Word-level BPE with an end-of-word mark, encoded by a walk over a trie of distinct words.
 
 The tokenizer file (a path parameter) gives vocabulary and merges. A text is normalised and cut into words as the file's
-normaliser and pre-tokeniser say; each distinct word is then encoded once per worker:
+normaliser and pre-tokeniser say; each distinct word is then encoded once per worker, as long as its memory holds:
 
 * The distinct words of an Arrow batch go into a trie whose edges are symbols (one byte of a word in its printable form).
 * A depth-first walk carries, for every prefix on the path, the last token of that prefix's own encoding. BPE encodings are
@@ -20,8 +20,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
 
 import regex
 from tokenizers import Tokenizer
@@ -30,15 +30,21 @@ from tokenizers import Tokenizer
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 
-#: Distinct words, and distinct strings between white space, remembered per worker; beyond that the memory starts afresh (a
-#: matter of speed and memory, not of results).
-REMEMBERED = 500_000
+#: Distinct words remembered per worker; beyond that the memory goes on with the words in use (a matter of speed and memory,
+#: not of results).
+REMEMBERED = 800_000
+
+#: Pairs of tokens of which it is remembered whether one may follow the other; beyond that the memory starts afresh.
+PAIRS = 1_000_000
 
 #: Characters outside the ranges whose letters, numbers and cases no longer change between versions of Unicode.
 RARE = re.compile("[^\x00-\u0237\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u3000-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
 SPACE = regex.compile(r"\s+", flags=regex.V1)
 
+#: What the file's patterns take for white space.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 #: Control characters that Python takes for white space and the file's patterns do not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -50,8 +56,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def ranges(kind: str) -> str:
+    """The two-byte characters of a Unicode kind as the inside of a pattern's brackets."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    runs = (m.group() for m in regex.finditer(rf"\p{{{kind}}}+", plane))
+    return "".join(f"\\u{ord(r[0]):04x}-\\u{ord(r[-1]):04x}" for r in runs)
+
+
+@lru_cache(maxsize=1)
+def common_pieces() -> re.Pattern:
+    """``PIECES`` for texts without rare characters, as a pattern of the faster standard module."""
+    letters, numbers = ranges("L"), ranges("N")
+    return re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{WHITE}{letters}{numbers}]+")
+
+
 class WordBpe:
-    """Vocabulary, merges and the memory of words already encoded."""
+    """Vocabulary, merges and the states of the walk over tries of words."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -77,13 +97,13 @@ class WordBpe:
         self.step: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, int]]] = [[]]
         self.symbols = byte_symbols()
-        self.pieces = regex.compile(PIECES)
+        self.pieces = common_pieces().findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.byte_of = {c: b for b, c in enumerate(self.symbols)}
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.odd: dict[str, list[str]] = {}
         self.follows: dict[tuple[int, int], bool] = {}
 
     @staticmethod
@@ -104,10 +124,22 @@ class WordBpe:
     def cut(self, text: str) -> list[str]:
         """Words of a text without special strings."""
         if not RARE.search(text):
-            return self.pieces.findall(self.normal(text))
-        # scripts in which Unicode versions differ on what is a letter: the library's own normaliser and pre-tokeniser
-        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(map(self.byte_of.__getitem__, p)).decode("utf-8", "surrogateescape") for p, _ in pieces]
+            return self.pieces(self.normal(text))
+        # no word and no normalisation step reaches across white space: only strings with a rare character go the slow way
+        out: list[str] = []
+        for c in text.split() if not ODD_SPACE.search(text) else SPACE.split(text):
+            out += self._cut_odd(c) if RARE.search(c) else self.pieces(self.normal(c))
+        return out
+
+    def _cut_odd(self, chunk: str) -> list[str]:
+        """Scripts in which Unicode versions differ on what is a letter: the library's own normaliser and pre-tokeniser."""
+        got = self.odd.get(chunk)
+        if got is None:
+            if len(self.odd) >= REMEMBERED // 8:
+                self.odd.clear()
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+            got = self.odd[chunk] = [bytes(map(self.byte_of.__getitem__, p)).decode("utf-8", "surrogateescape") for p, _ in pieces]
+        return got
 
     def words(self, text: str) -> list[str]:
         """Words of a text in order; special strings come out as themselves."""
@@ -147,10 +179,12 @@ class WordBpe:
                 return False
             x, x_until = self.right[x], self.made[x]
 
-    def learn(self, words) -> None:
-        """Encode distinct words not met before, all of them in one walk over their trie."""
+    def encode(self, words) -> Iterator[tuple[str, list[int]]]:
+        """Each of the given distinct words with its ids, all from one walk over their trie."""
+        if len(self.follows) > PAIRS:
+            self.follows.clear()
         table = self.symbols
-        self.known.update((w, (i,)) for w, i in self.special.items())
+        yield from ((w, [self.special[w]]) for w in words if w in self.special)
         fresh = sorted(("".join(map(table.__getitem__, w.encode("utf-8", "surrogateescape"))), w) for w in words if w not in self.special)
         # The sorted words are the trie in depth-first order: going to the next word means going back to the node of the
         # common prefix, whose state is still on the stacks, and down from there.
@@ -193,7 +227,8 @@ class WordBpe:
             while start:
                 ids.append(last[start - 1])
                 start -= size[start - 1]
-            self.known[spoken] = tuple(reversed(ids))
+            ids.reverse()
+            yield spoken, ids
             before = word
 
     def _grow(self, state: int, symbol: str) -> int:
@@ -211,74 +246,36 @@ class WordBpe:
         self.step[state][symbol] = got
         return got
 
-    def forget(self) -> None:
-        self.known.clear()
-        self.follows.clear()
-
-    # -- texts ---------------------------------------------------------------------------------------------------
-
-    def chunks(self, text: str) -> list[str]:
-        """Strings between white space. No word, special string or normalisation step reaches across white space."""
-        return text.split() if not ODD_SPACE.search(text) else [c for c in SPACE.split(text) if c]
-
-    def solve_by_library(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """The same ids from the tokenizers library itself."""
-        return [tuple(e.ids) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def solve(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each given distinct string between white space."""
-        plain = not RARE.search("".join(chunks))  # then a string of letters is one word, and NFC leaves it as it is
-        cut: list[tuple[str, ...] | list[str]] = []
-        for c in chunks:
-            if plain and c.isalpha() and "\u03a3" not in c:
-                cut.append((c.lower(),))
-            elif plain and c[:-1].isalpha() and c[-1] in ".,;:!?" and "\u03a3" not in c:
-                cut.append((c[:-1].lower(), c[-1]))
-            else:
-                cut.append(self.words(c))
-        known = self.known
-        self.learn({w for ws in cut for w in ws if w not in known})
-        return [known[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in known[w]) for ws in cut]
-
 
 class Remembered:
-    """What ``make(ids)`` gives for each string between white space, solved a batch of texts at a time."""
+    """What ``make(ids)`` gives for each word, solved a batch of texts at a time."""
 
-    def __init__(self, bpe: WordBpe, make, by_library: bool = False):
+    def __init__(self, bpe: WordBpe, make):
         self.bpe, self.make = bpe, make
-        self.solve = bpe.solve_by_library if by_library else bpe.solve
         self.made: dict[str, object] = {}
 
-    def look_up(self, texts: list[str]) -> list[list]:
-        """The values of the strings of each text, in order."""
-        cut = [self.bpe.chunks(t) for t in texts]
-        get = self.made.get
-        got = [list(map(get, cs)) for cs in cut]
-        fresh: set[str] = set()
-        for cs, g in zip(cut, got, strict=True):
-            if None in g:
-                fresh.update(compress(cs, [v is None for v in g]))
-        if not fresh:
-            return got
-        if len(self.made) + len(fresh) > REMEMBERED:
-            # go on with what this batch uses: frequent strings stay, rare ones are solved again when met
-            self.made = {c: v for cs, g in zip(cut, got, strict=True) for c, v in zip(cs, g, strict=True) if v is not None}
-            self.bpe.forget()
-        new = list(fresh)
-        make = self.make
-        self.made.update((c, make(ids)) for c, ids in zip(new, self.solve(new), strict=True))
-        get = self.made.get
-        return [list(map(get, cs)) if None in g else g for cs, g in zip(cut, got, strict=True)]
+    def look_up(self, texts: list[str]) -> Iterator[list]:
+        """The values of the words of each text, in order."""
+        cut = [self.bpe.words(t) for t in texts]
+        used = set().union(*cut)
+        made, make = self.made, self.make
+        fresh = [w for w in used if w not in made]
+        if len(made) + len(fresh) > REMEMBERED:
+            # go on with what this batch uses: frequent words stay, rare ones are solved again when met
+            made = self.made = {w: made[w] for w in used if w in made}
+        made.update((w, make(ids)) for w, ids in self.bpe.encode(fresh))
+        get = made.__getitem__
+        return (list(map(get, ws)) for ws in cut)
 
 
 _remembered: dict[tuple[str, str], Remembered] = {}
 
 
-def remembered(path: str, kind: str, make_for, by_library: bool = False) -> Remembered:
+def remembered(path: str, kind: str, make_for) -> Remembered:
     """The memory of this worker for one file and kind of value; a worker keeps it from task to task. ``make_for(bpe)`` gives ``make``."""
     if (path, kind) not in _remembered:
         bpe = tokenizer(path)
-        _remembered[path, kind] = Remembered(bpe, make_for(bpe), by_library)
+        _remembered[path, kind] = Remembered(bpe, make_for(bpe))
     return _remembered[path, kind]
 
 
