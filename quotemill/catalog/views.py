@@ -439,9 +439,12 @@ def index_values(spark: SparkSession, d: str) -> DataFrame:
         .withColumn("series_code", F.explode(code))
     )
     # a vintage year list per row: known year up to the last run, kept where such a run exists
-    years = F.sequence(F.greatest(F.col("known"), F.year("period") + 1), F.greatest(F.col("known"), F.lit(2010)))
-    s = s.withColumn("__y", F.explode(years)).withColumn("index_run_id", F.concat(F.lit("run-"), F.col("__y").cast("string")))
     runs = index_runs(spark, d).select("index_run_id", "vintage_date")
+    last = runs.agg(F.max(F.year("vintage_date")).alias("__last"))  # one row
+    first = F.greatest(F.col("known"), F.year("period") + 1)
+    s = s.crossJoin(F.broadcast(last)).where(first <= F.col("__last"))
+    years = F.sequence(first, F.col("__last"))
+    s = s.withColumn("__y", F.explode(years)).withColumn("index_run_id", F.concat(F.lit("run-"), F.col("__y").cast("string")))
     j = s.join(runs, "index_run_id").where(F.col("period") < F.col("vintage_date"))
     return j.groupBy("index_run_id", "series_code", "period").agg(
         (F.sum("c").cast("double") / F.sum("n") / 10000).alias("value"),

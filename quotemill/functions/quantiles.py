@@ -1,14 +1,10 @@
 """Exact grouped quantiles that never hold an unbounded group in one task.
 
 Rows collapse to (group, value) counts, combined map-side, so copies of a value vanish before the
-shuffle and a hot group spreads over all its values. That table is written once, and the widest
-group decides how it is ranked:
-
-* every group has at most ``IN_MEMORY`` distinct values: one weighted percentile aggregation, whose
-  state per group is at most that many entries;
-* otherwise a group is cut into narrow value buckets: bucket totals give each bucket's first rank
-  (at most a few thousand buckets a group), and only the buckets holding a wanted rank are ranked by
-  value, one task per (group, bucket).
+shuffle and a hot group spreads over all its values. That table is written once. A group is cut into
+value buckets about 1 % wide, whatever the magnitude of the values: bucket totals give each bucket's
+first rank (at most a few thousand buckets a group in use), and only the buckets holding a wanted rank
+are ranked by value, one task per (group, bucket).
 
 Quantiles are linearly interpolated between order statistics at ``(n - 1) * q``.
 """
@@ -25,13 +21,14 @@ from quotemill.functions.core import null_safe_join
 from quotemill.functions.staging import staged
 
 BUCKETS_PER_OCTAVE = 64
-IN_MEMORY = 200_000
+#: More than the bucket of the smallest positive double is below zero.
+BELOW = 1100 * BUCKETS_PER_OCTAVE
 
 
 def value_bucket(v: Column) -> Column:
-    """Monotone bucket number, about 1 % wide, symmetric around zero."""
-    mag = F.floor(F.log2(F.abs(v) + F.lit(1.0)) * BUCKETS_PER_OCTAVE)
-    return F.when(v < 0, -mag - 1).otherwise(mag).cast("int")
+    """Monotone bucket number, about 1 % wide at every magnitude; zero has a bucket of its own."""
+    mag = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_OCTAVE) + BELOW
+    return F.when(v < 0, -mag).when(v > 0, mag).otherwise(0).cast("int")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: Column | str) -> DataFrame:
@@ -46,37 +43,9 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column | str) -> Dat
     return staged(counts, "counts")
 
 
-def widest_group(counts: DataFrame, keys: Sequence[str]) -> int:
-    """Action: the largest number of rows (distinct values) any group has."""
-    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("d"))
-    return sizes.agg(F.max("d")).first()[0] or 0
-
-
-def quantiles_of_counts(
-    counts: DataFrame,
-    keys: Sequence[str],
-    qs: dict[str, float],
-    transform=None,
-    width: int | None = None,
-) -> DataFrame:
-    """Quantiles of a (keys, v, n) table. ``transform`` maps values and must be increasing (for
-    example ``F.log``); ``width`` is a known bound on distinct values per group, asked for when not
-    given. Returns keys, ``n_values`` and one column per entry of ``qs``."""
-    if width is None:
-        width = widest_group(counts, keys)
-    return (_in_memory if width <= IN_MEMORY else by_rank)(counts, keys, qs, transform)
-
-
-def _in_memory(counts: DataFrame, keys: Sequence[str], qs: dict[str, float], transform=None) -> DataFrame:
-    v = F.col("v").cast("double")
-    v = transform(v) if transform else v
-    wanted = F.array(*[F.lit(float(q)) for q in qs.values()])
-    got = counts.groupBy(*keys).agg(F.sum("n").alias("n_values"), F.percentile(v, wanted, F.col("n")).alias("__p"))
-    return got.select(*keys, "n_values", *[F.col("__p")[i].alias(name) for i, name in enumerate(qs)])
-
-
-def by_rank(counts: DataFrame, keys: Sequence[str], qs: dict[str, float], transform=None) -> DataFrame:
-    """Quantiles by rank selection over value buckets; for groups of any width."""
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], qs: dict[str, float], transform=None) -> DataFrame:
+    """Quantiles of a (keys, v, n) table. ``transform`` maps values and must be increasing (for example
+    ``F.log``). Returns keys, ``n_values`` and one column per entry of ``qs``."""
     keys = list(keys)
     f = transform or (lambda c: c)
     cv = counts.withColumn("v", F.col("v").cast("double")).withColumn("__b", value_bucket(F.col("v")))

@@ -100,7 +100,7 @@ def passenger_shares(routes: DataFrame, pairs: DataFrame, total_pax: int) -> tup
         raise ValueError("total_pax must be positive")
     j = routes.join(pairs, ["origin_city", "dest_city"], "left")
     missing = j.where(F.col("passengers").isNull()).select("route_code")
-    gap = missing.select(F.lit(1).alias("__all")).distinct()
+    gaps = j.agg(F.count_if(F.col("passengers").isNull()).alias("__gaps"))  # one row
     share = F.bround((F.col("passengers").cast("decimal(18,0)") / F.lit(total_pax).cast("decimal(18,0)")).cast("decimal(38,20)"), 8)
-    complete = j.withColumn("__all", F.lit(1)).join(gap, "__all", "left_anti")
+    complete = j.crossJoin(F.broadcast(gaps)).where("__gaps = 0")
     return complete.select("route_code", share.cast("decimal(9,8)").alias("pax_share")), missing

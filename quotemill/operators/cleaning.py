@@ -27,6 +27,8 @@ def flag_malformed(
     """Add ``quarantine_reason``: null for a good row. A missing dimension outranks a bad price."""
     require(quotes, [*required, price], "flag_malformed")
     value = F.expr(f"try_cast({price} as double)")
+    if dict(quotes.dtypes)[price] == "string":  # the cast also reads type suffixes such as 12d
+        value = F.when(F.col(price).rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), value)
     bad_price = value.isNull() | F.isnan(value) | (value <= 0) | (value == float("inf"))
     missing = F.lit(False)
     for c in required:
@@ -156,14 +158,12 @@ def outlier_bounds(
 ) -> DataFrame:
     """Per cell: ``cell_n``, ``med``, ``mad``, ``q1``, ``q3`` of ln(price)."""
     counts = Q.value_counts(quotes, keys, price)
-    width = Q.widest_group(counts, keys)
-    mid = Q.quantiles_of_counts(counts, keys, {"q1": 0.25, "med": 0.5, "q3": 0.75}, F.log, width)
+    mid = Q.quantiles_of_counts(counts, keys, {"q1": 0.25, "med": 0.5, "q3": 0.75}, F.log)
     mid = staged(mid.withColumnRenamed("n_values", "cell_n"), "bounds")
-    # a cell has no more distinct deviations than distinct prices
     deviations = null_safe_join(counts, mid.select(*keys, "med"), keys).withColumn(
         "v", F.abs(F.log(F.col("v").cast("double")) - F.col("med"))
     )
-    spread = Q.quantiles_of_counts(deviations.select(*keys, "v", "n"), keys, {"mad": 0.5}, None, width).drop("n_values")
+    spread = Q.quantiles_of_counts(deviations.select(*keys, "v", "n"), keys, {"mad": 0.5}).drop("n_values")
     return null_safe_join(mid, spread, keys)
 
 

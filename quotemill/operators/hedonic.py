@@ -2,7 +2,9 @@
 
 Rows collapse to distinct (period, quality) combinations with a count and sums of ln(price); their
 non-zero regressor pairs are then summed into the cross-product matrix, keyed by term names. Only
-that matrix (terms x terms, never rows) reaches the Python solver.
+that matrix (never rows) reaches the Python solver. Levels of one categorical never meet in a row, so
+their block is diagonal: the widest categorical is eliminated through it, and what is solved densely
+has only the other terms. A group may have any number of levels.
 """
 
 from __future__ import annotations
@@ -14,11 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.functions.core import null_safe_join, require
-from quotemill.functions.smallstats import full_rank, plain_objects, t_two_sided_p
+from quotemill.functions.core import require
+from quotemill.functions.smallstats import plain_objects, t_two_sided_p
 from quotemill.functions.staging import staged
 
-MAX_TERMS = 2000
 _SCHEMA = (
     "term string, kind string, period string, coefficient double, std_err double, p_value double, "
     "index_value double, r_squared double, n_obs long, skip_reason string"
@@ -34,11 +35,15 @@ def cross_products(
     numeric = {q for q in quality if types[q].split("(")[0] in ("int", "bigint", "smallint", "tinyint", "double", "float", "decimal")}
     y = F.log(F.col(price).cast("double"))
     bad = F.coalesce(F.col(price).cast("double") <= 0, F.lit(True))
+    absent = F.lit(False)
+    for q in sorted(numeric):
+        absent = absent | F.col(q).isNull() | F.isnan(F.col(q).cast("double"))
     compact = df.groupBy(*keys, period, *quality).agg(
         F.count(F.lit(1)).alias("__n"),
         F.sum(y).alias("__sy"),
         F.sum(y * y).alias("__syy"),
         F.count_if(bad).alias("__bad"),
+        F.count_if(absent).alias("__absent"),
     )
     one = F.lit(1.0)
     terms = [
@@ -65,9 +70,8 @@ def cross_products(
             F.struct(terms[a]["t"].alias("i"), F.lit("__y").alias("j"), (terms[a]["x"] * F.col("__sy")).alias("v"))
         )
     pairs.append(F.struct(F.lit("__y").alias("i"), F.lit("__y").alias("j"), F.col("__syy").alias("v")))
-    pairs.append(
-        F.struct(F.lit("__bad").alias("i"), F.lit("__bad").alias("j"), F.col("__bad").cast("double").alias("v"))
-    )
+    for flag in ("__bad", "__absent"):
+        pairs.append(F.struct(F.lit(flag).alias("i"), F.lit(flag).alias("j"), F.col(flag).cast("double").alias("v")))
     return (
         compact.select(*keys, F.explode(F.array(*pairs)).alias("p"))
         .select(*keys, "p.i", "p.j", "p.v")
@@ -85,6 +89,8 @@ def _solve(pdf: pd.DataFrame, categorical: Sequence[str], reference: str | None,
     if m.get(("__bad", "__bad"), 0.0) > 0:
         return _skip("prices must be strictly positive")
     n = int(round(m[("const", "const")]))
+    if m.get(("__absent", "__absent"), 0.0) > 0:
+        return _skip("a numeric quality column has missing values", n)
     names = sorted({x for x in {*pdf["i"], *pdf["j"]} if not x.startswith("__")} - {"const"})
     periods = [x for x in names if x.startswith("period_")]
     if len(periods) < 2:
@@ -92,24 +98,46 @@ def _solve(pdf: pd.DataFrame, categorical: Sequence[str], reference: str | None,
     ref = f"period_{reference}" if reference is not None else periods[0]
     if ref not in periods:
         return _skip("reference period absent", n)
-    dropped = {ref}
+    levels = {q: [x for x in names if x.startswith(f"{q}__")][1:] for q in categorical}  # first category held out
+    widest = max(levels.values(), key=len, default=[])
+    dropped = {ref, *widest}
     for q in categorical:
-        levels = [x for x in names if x.startswith(f"{q}__")]
-        dropped.update(levels[:1])  # first category held out
-    terms = ["const", *[x for x in names if x not in dropped]]
-    get = lambda a, b: m.get((a, b), m.get((b, a), 0.0))
-    k = len(terms)
-    a = np.array([[get(p, q) for q in terms] for p in terms])
-    b = np.array([get(p, "__y") for p in terms])
-    if n <= k or not full_rank(a):
+        dropped.update([x for x in names if x.startswith(f"{q}__")][:1])
+    inner = ["const", *[x for x in names if x not in dropped]]
+    terms = [*inner, *widest]
+    k, n_inner = len(terms), len(inner)
+    at = {t: p for p, t in enumerate(terms)}
+    a, cross = np.zeros((n_inner, n_inner)), np.zeros((n_inner, len(widest)))
+    own, b = np.zeros(len(widest)), np.zeros(k)
+    for (i, j), v in m.items():
+        p, q = at.get(i), at.get(j)
+        if j == "__y" and p is not None:
+            b[p] = v
+        elif p is None or q is None:
+            continue
+        elif max(p, q) < n_inner:
+            a[p, q] = a[q, p] = v
+        elif min(p, q) < n_inner:
+            cross[min(p, q), max(p, q) - n_inner] = v
+        else:
+            own[p - n_inner] = v
+    if n <= k or np.any(own <= 0) or np.any(np.diag(a) <= 0):
         return _skip("rank deficient", n)
-    inv = np.linalg.inv(a)
-    beta = inv @ b
+    share = cross / own
+    rest = a - share @ cross.T  # the inner terms' cross products within levels
+    scale = np.sqrt(np.diag(a))
+    spectrum = np.linalg.eigvalsh(rest / np.outer(scale, scale)) if np.all(np.isfinite(rest)) else np.zeros(1)
+    if not spectrum[0] > 1e-10 * max(spectrum[-1], 1.0):
+        return _skip("rank deficient", n)
+    inv = np.linalg.inv(rest)
+    head = inv @ (b[:n_inner] - share @ b[n_inner:])
+    beta = np.concatenate([head, (b[n_inner:] - cross.T @ head) / own])
+    spread = np.concatenate([np.diag(inv), 1.0 / own + np.einsum("kl,kl->l", share, inv @ share)])
     yy = m[("__y", "__y")]
     ssr = max(yy - float(beta @ b), 0.0)
     sst = yy - b[0] ** 2 / n
     r2 = 1.0 - ssr / sst if sst > 0 else float("nan")
-    se = np.sqrt(np.maximum(np.diag(inv) * ssr / (n - k), 0.0))
+    se = np.sqrt(np.maximum(spread * ssr / (n - k), 0.0))
     rows = []
     for name, coef, err in zip(terms, beta, se):
         t = coef / err if err > 0 else float("inf")
@@ -143,19 +171,15 @@ def hedonic_time_dummy(
     """ln(price) on time dummies and quality, per group of ``keys``.
 
     Numeric quality columns are continuous, others one-hot with the first category held out. Rows:
-    one per term (kind period / reference / regressor) with R2 and n, or a ``skip`` row. A fit
+    one per term (kind period / reference / regressor) with R2 and n, or a ``skip`` row (also where a
+    numeric quality is null or NaN). A fit
     under ``min_r_squared`` keeps its rows but carries a ``skip_reason``.
     """
     keys = list(keys)
     gram = staged(cross_products(df, keys, quality, period, price), "gram")
-    # a group with more terms than a dense solve should take is refused before it reaches one task
-    wide = (
-        gram.where(F.col("i") == F.col("j")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__terms")).where(F.col("__terms") > MAX_TERMS)
-    )
     on = keys or ["__all"]
     if not keys:
-        gram, wide = gram.withColumn("__all", F.lit(1)), wide.withColumn("__all", F.lit(1))
-    small = null_safe_join(gram, wide.drop("__terms"), on, "left_anti")
+        gram = gram.withColumn("__all", F.lit(1))
     types = dict(df.dtypes)
     categorical = [q for q in quality if types[q] in ("string", "boolean", "date")]
     ref = None if reference_period is None else str(reference_period)
@@ -169,6 +193,4 @@ def hedonic_time_dummy(
             out[k] = pdf[k].iloc[0]
         return plain_objects(out, columns)
 
-    solved = small.groupBy(*on).applyInPandas(solve, schema)
-    refused = wide.select(*keys, F.lit("skip").alias("kind"), F.lit(f"more than {MAX_TERMS} terms").alias("skip_reason"))
-    return solved.unionByName(refused, allowMissingColumns=True)
+    return gram.groupBy(*on).applyInPandas(solve, schema)

@@ -29,10 +29,15 @@ def latest_runs(
 
 
 def expected_from_history(quotes: DataFrame, runs: DataFrame, flight_columns: Sequence[str]) -> DataFrame:
-    """Every flight seen from a source, expected on each day that source's run succeeded."""
+    """Every flight seen from a source, expected on each day that source's run succeeded.
+
+    The days of a source are one array, bounded by the calendar: a handful of rows meets the flights, so
+    the planner broadcasts them and no task receives all flights of a source.
+    """
     flights = quotes.select(*flight_columns).distinct()
-    days = runs.where(F.col("status").isin(*RAN_STATUSES)).select("source_id", "query_date").distinct()
-    return flights.join(days, "source_id").withColumn(
+    days = runs.where(F.col("status").isin(*RAN_STATUSES)).groupBy("source_id").agg(F.collect_set("query_date").alias("__days"))
+    per_day = flights.join(days, "source_id").withColumn("query_date", F.explode("__days")).drop("__days")
+    return per_day.withColumn(
         "travel_date", F.date_add("query_date", F.col("advance_days").cast("int"))
     )
 

@@ -213,8 +213,7 @@ def elementary_cells(
     # the panel is an aggregate that five branches read
     panel = staged(mean_price_panel(work, [*cells, "period", "product_id"], price), "panel")
     levels, skips = geks_tornqvist(panel, cells, max_span)
-    by_cell = Window.partitionBy(*cells)
-    marked = panel.withColumn("__first", F.min("period").over(by_cell))
+    marked = null_safe_join(panel, panel.groupBy(*cells).agg(F.min("period").alias("__first")), cells)
     marks = marked.where((F.col("period") == F.col("__first")) | (F.col("period") == as_of))
     per_product = marks.groupBy(*cells, "product_id").agg(
         F.bool_or(F.col("period") == F.col("__first")).alias("__at_first"),

@@ -1,7 +1,7 @@
 """Schema drift of JSON payloads: key paths found against key paths expected.
 
-A key path joins object keys with dots; list elements collapse to ``[]``, so a field missing from
-the third element is the same change as one missing from the first.
+Paths are written with dots, and ``[]`` stands for any element of a list: which element it was makes
+no difference.
 """
 
 from __future__ import annotations
@@ -14,20 +14,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def key_paths(value, prefix: str = "") -> set[str]:
-    """Key paths of one parsed JSON value."""
-    found: set[str] = set()
-    stack = [(value, prefix)]
-    while stack:
-        node, at = stack.pop()
-        if isinstance(node, dict):
-            for k, v in node.items():
-                path = f"{at}.{k}" if at else str(k)
-                found.add(path)
-                stack.append((v, path))
-        elif isinstance(node, list):
-            stack.extend((item, f"{at}[]") for item in node)
-    return found
+class Shape(frozenset):
+    """Key paths of a JSON object, seen from that object."""
+
+
+def _below(value) -> set[str]:
+    """What a value adds to the path that leads to it."""
+    if isinstance(value, Shape):
+        return {f".{p}" for p in value}
+    return {f"[]{tail}" for item in value for tail in _below(item)} if isinstance(value, list) else set()
+
+
+def _shape(members: list[tuple[str, object]]) -> Shape:
+    """The parser closes inner objects first and hands over their shapes as values."""
+    return Shape(p for key, value in dict(members).items() for p in (key, *(key + tail for tail in _below(value))))
+
+
+def key_paths(text: str) -> set[str]:
+    """Key paths of a JSON text. Values are never kept: every object turns into its shape as soon as it is read."""
+    top = json.loads(text, object_pairs_hook=_shape)
+    return set(top) if isinstance(top, Shape) else _below(top)
 
 
 def payload_shapes(payloads: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
@@ -41,7 +47,7 @@ def payload_shapes(payloads: DataFrame, keys: Sequence[str], body: str = "body")
 
     def shape(text: str | None) -> list[str] | None:
         try:
-            return sorted(key_paths(json.loads(text)))
+            return sorted(key_paths(text))
         except (TypeError, ValueError):
             return None
 

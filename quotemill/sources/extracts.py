@@ -69,7 +69,7 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def canonical_city(col: Column) -> Column:
-    squeezed = F.upper(F.regexp_replace(F.trim(col), r"\s+", " "))
+    squeezed = F.upper(F.trim(F.regexp_replace(col, r"\s+", " ")))
     alias = F.create_map(*[F.lit(x) for kv in CITY_ALIASES.items() for x in kv])
     return F.coalesce(F.try_element_at(alias, squeezed), squeezed)
 

@@ -7,7 +7,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 LEDGER_KEY = ("content_hash", "collected_at")
 
@@ -20,17 +19,22 @@ def new_quotes(incoming: DataFrame, existing: DataFrame | None) -> DataFrame:
     return fresh.join(existing.select(*LEDGER_KEY), list(LEDGER_KEY), "left_anti")
 
 
+def _holds_files(spark: SparkSession, path: str) -> bool:
+    """Is there anything under ``path``? Only then is it read, so that an unreadable ledger is an error and not a first load."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(at) and len(store.listStatus(at)) > 0
+
+
 def append_quotes(incoming: DataFrame, path: str) -> None:
     """Append to the ledger, partitioned by collection day. Rows already there are skipped; only
     the days present in the batch are read back."""
     spark = incoming.sparkSession
     day = F.to_date("collected_at")
     batch = incoming.withColumn("collected_day", day)
-    try:
+    existing = None
+    if _holds_files(spark, path):
         existing = spark.read.parquet(path)
-    except AnalysisException:  # first load: nothing there yet
-        existing = None
-    if existing is not None:
         days = batch.select("collected_day").distinct()
         existing = existing.join(days, "collected_day", "left_semi")
     new_quotes(batch, existing).write.mode("append").partitionBy("collected_day").parquet(path)

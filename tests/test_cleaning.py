@@ -29,7 +29,7 @@ def test_quarantine_reasons(spark):
 
 
 @pytest.mark.parametrize("seed", [0, 1])
-def test_quantiles_both_ways_match_brute_force(spark, seed):
+def test_quantiles_match_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
     # one hot group, negative and repeated values, a null key, single-row groups
     rows = [("hot" if rng.uniform() < 0.6 else rng.choice(["a", "b", None]), float(np.round(rng.normal(0, 50), 1))) for _ in range(400)] + [("lone", 3.0), ("pair", -1.0), ("pair", 2.0)]
@@ -37,14 +37,28 @@ def test_quantiles_both_ways_match_brute_force(spark, seed):
     df = spark.createDataFrame(rows, "k string, x double")
     counts = quantiles.value_counts(df, ["k"], "x")
     qs = {"a": 0.25, "m": 0.5, "z": 0.9}
-    for how in (quantiles._in_memory, quantiles.by_rank):
-        got = {r["k"]: r for r in how(counts, ["k"], qs).collect()}
-        for k in {r[0] for r in rows}:
-            xs = [v for kk, v in rows if kk == k]
-            assert got[k]["n_values"] == len(xs)
-            for name, q in qs.items():
-                assert got[k][name] == pytest.approx(float(np.quantile(xs, q)), abs=1e-9), (k, name, how)
-    assert quantiles.widest_group(counts, ["k"]) == max(len({v for kk, v in rows if kk == k}) for k in {r[0] for r in rows})
+    got = {r["k"]: r for r in quantiles.quantiles_of_counts(counts, ["k"], qs).collect()}
+    for k in {r[0] for r in rows}:
+        xs = [v for kk, v in rows if kk == k]
+        assert got[k]["n_values"] == len(xs)
+        for name, q in qs.items():
+            assert got[k][name] == pytest.approx(float(np.quantile(xs, q)), abs=1e-9), (k, name)
+
+
+def test_quantiles_of_a_million_small_values(spark):
+    n = 1_000_000
+    df = spark.range(n).selectExpr("(id * 7919 % 1000000) / 1e8 as x")
+    got = quantiles.grouped_quantiles(df, [], "x", {"a": 0.25, "m": 0.5}).first()
+    assert got["n_values"] == n and [got["a"], got["m"]] == pytest.approx([0.25 * (n - 1) / 1e8, 0.5 * (n - 1) / 1e8], abs=1e-15)
+    widest = df.where("x > 0").groupBy(quantiles.value_bucket(F.col("x")).alias("b")).count().agg(F.max("count")).first()[0]
+    assert widest < 0.02 * n
+
+
+def test_prices_with_type_suffixes_are_refused(spark):
+    rows = [(p,) for p in ("12d", "1f", "12", " 1.5e2 ", "-3", ".5")]
+    df = spark.createDataFrame(rows, "total_fare string")
+    kept, _ = cleaning.quarantine_malformed(df, [])
+    assert {r[0] for r in kept.collect()} == {"12", " 1.5e2 ", ".5"}
 
 
 def brute_flags(prices):
@@ -57,9 +71,7 @@ def brute_flags(prices):
     return [big and abs(a) > 3.5 for a in z], [big and (a < q1 - 1.5 * (q3 - q1) or a > q3 + 1.5 * (q3 - q1)) for a in x]
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_outliers(spark, monkeypatch, limit):
-    monkeypatch.setattr(quantiles, "IN_MEMORY", limit)
+def test_outliers(spark):
     rng = np.random.default_rng(3)
     cells = {"a": list(rng.lognormal(5, 0.1, 40)) + [900.0, 9.0], "small": [1.0, 2.0, 900.0, 3.0], "flat": [7.0] * 9 + [70.0]}
     rows = [(f"{c}{i}", c, float(p)) for c, ps in cells.items() for i, p in enumerate(ps)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotemill.config import BridgeOptions, SurgeOptions
 from quotemill.functions import smallstats as st
-from quotemill.operators import backtest, decomposition, nowcast, provenance, watchdog
+from quotemill.operators import backtest, decomposition, hedonic, nowcast, provenance, watchdog
 from quotemill.streaming import jobs
 
 
@@ -195,3 +195,26 @@ def test_ledger_stream_drops_copies(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     out = jobs.run_available(jobs.ledger_stream(jobs.read_stream(spark, str(tmp_path / "in"), df.schema)), "led")
     assert out.count() == 2
+
+
+def test_hedonic_with_many_levels_agrees_with_least_squares(spark):
+    rng = np.random.default_rng(8)
+    levels, n = 5000, 15_000
+    level = np.concatenate([np.arange(levels), rng.integers(0, levels, n - levels)])
+    period, size = rng.integers(0, 3, n), rng.normal(0, 1, n)
+    effect = rng.normal(0, 0.3, levels)
+    y = 3 + 0.1 * (period == 1) + 0.2 * (period == 2) + 0.4 * size + effect[level] + rng.normal(0, 0.05, n)
+    df = spark.createDataFrame([(f"p{p}", f"c{c:05d}", float(s), float(np.exp(v))) for p, c, s, v in zip(period, level, size, y)], "period string, model string, size double, total_fare double")
+    got = {r["term"]: r for r in hedonic.hedonic_time_dummy(df, [], ["model", "size"]).collect()}
+    # within levels: demeaned regression gives the same coefficients
+    x = np.column_stack([period == 1, period == 2, size]).astype(float)
+    inside = lambda m: m - np.array([np.bincount(level, c) / np.bincount(level) for c in m.T]).T[level]
+    want = np.linalg.lstsq(inside(x), inside(y[:, None])[:, 0], rcond=None)[0]
+    assert [got["period_p1"]["coefficient"], got["period_p2"]["coefficient"], got["size"]["coefficient"]] == pytest.approx(list(want), abs=1e-8)
+    assert sum(t.startswith("model__") for t in got) == levels - 1
+
+
+def test_hedonic_refuses_missing_numeric_quality(spark):
+    rows = [(f"p{k % 2}", float(k), 10.0 + k) for k in range(9)] + [("p1", None, 12.0)]
+    got = hedonic.hedonic_time_dummy(spark.createDataFrame(rows, "period string, size double, total_fare double"), [], ["size"]).collect()
+    assert [r["kind"] for r in got] == ["skip"] and "missing" in got[0]["skip_reason"]

@@ -155,8 +155,8 @@ def test_mappers_register_and_empty_results(spark):
 
 
 def test_key_paths():
-    assert drift.key_paths({"a": [{"b": 1}, {"c": {"d": 2}}], "e": 1}) == {"a", "a[].b", "a[].c", "a[].c.d", "e"}
-    assert drift.key_paths([[{"x": 1}]]) == {"[][].x"}
+    assert drift.key_paths('{"a": [{"b": 1}, {"c": {"d": 2}}], "e": 1}') == {"a", "a[].b", "a[].c", "a[].c.d", "e"}
+    assert drift.key_paths('[[{"x": 1}]]') == {"[][].x"}
 
 
 def test_ledger_is_append_only_and_unique(spark, tmp_path):
