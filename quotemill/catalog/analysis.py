@@ -8,7 +8,7 @@ from quotemill.catalog import views as V
 from quotemill.catalog.registry import query
 from quotemill.catalog.views import with_views
 from quotemill.functions.staging import staged
-from quotemill.operators import analytics, cleaning
+from quotemill.operators import analytics, backtest, cleaning
 
 def snap(c: str):
     """Four decimals with the cut off the half-way points, where engines round differently."""
@@ -253,7 +253,7 @@ def product_identity(spark, d):
     return q.groupBy(cleaning.product_id().alias("product_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Knots of the illustrative lead-time curve compared with realised medians.
+# Illustrative values: knots of a lead-time curve compared with realised medians.
 KNOTS = ((0, 2.0), (3, 1.6), (7, 1.35), (14, 1.15), (21, 1.05), (45, 1.0), (90, 0.95))
 _SEG = " ".join(
     f"WHEN advance_days <= {b[0]} THEN exp(ln({a[1]}::DOUBLE) * (1 - (advance_days - {a[0]}) / {b[0] - a[0]}.0) + ln({b[1]}::DOUBLE) * ((advance_days - {a[0]}) / {b[0] - a[0]}.0))"
@@ -273,5 +273,6 @@ def curve_interpolation(spark, d):
 
 @query("u05_common_routes", with_views("SELECT route_code FROM fx_quote WHERE source_code = 'F' INTERSECT SELECT route_code FROM fx_pax", "fx_pax"))
 def common_routes(spark, d):
-    a = V.quotes(spark, d, "route_code", "source_code").where(F.col("source_code") == "F").select("route_code")
-    return a.intersect(V.pax_weights(spark, d).select("route_code"))
+    a = V.quotes(spark, d, "route_code", "source_code").where(F.col("source_code") == "F").select(F.col("route_code").alias("scope"))
+    b = V.pax_weights(spark, d).select(F.col("route_code").alias("scope"))
+    return backtest.common_scopes(a, b).withColumnRenamed("scope", "route_code")

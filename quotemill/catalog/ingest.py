@@ -192,7 +192,7 @@ BODY_FIELDS = ("quote_id", "source_code", "route_code", "query_date", "carrier_i
 PARSED = """SELECT carrier_iata, fare_brand, count(*) AS n, sum(t) / 100.0 AS total_fare, sum(b) / 100.0 AS base_fare, count(CASE WHEN refundable THEN 1 END) AS refundable_n,
   min(dep) AS first_dep, max(dep) AS last_dep, sum(stops) AS stops, count(DISTINCT flight) AS flights
 FROM (SELECT carrier_iata, unnest(['SAVER', 'FLEXI']) AS fare_brand, unnest([total_c, total_c + 5000]) AS t, unnest([total_c - 10000, total_c - 5000]) AS b, refundable,
-  CAST(travel_date AS TIMESTAMP) + to_minutes(dep_minute) AS dep, stops, 'X' || partkey AS flight FROM fx_quote) GROUP BY ALL"""
+  CAST(travel_date AS TIMESTAMP) + to_minutes(dep_minute) AS dep, stops, 'X' || partkey AS flight FROM fx_quote WHERE partkey % 29 <> 0) GROUP BY ALL"""
 
 
 def summary(quotes):
@@ -243,9 +243,18 @@ def _shape(name: str, mapper: str, body: str):
     return run
 
 
-_shape("s07_nested_json", "nested_json", NESTED_BODY)
-_shape("s08_embedded_json", "embedded_json", EMBEDDED_BODY)
-_shape("s09_html_cards", "html_cards", CARDS_BODY)
+def _faulty(body: str, field: str) -> str:
+    """The second fare of some bodies lacks its price; such a payload is refused whole."""
+    return f"case when partkey % 29 = 0 then regexp_replace({body}, '(?s){field}(?!.*{field})', '\"gone') else {body} end"
+
+
+# some cards carry a further class and other attributes first, and wrap an element around another
+_CARDS_VARIED = f"""case when partkey % 3 = 0 then replace(replace({CARDS_BODY}, '<div class="fareCard"', "<div id='a' class='wide fareCard'"),
+  '<span class="fareCard__brand">', '<div><b>fare</b></div><span title="x" class="fareCard__brand big">') else {CARDS_BODY} end"""
+
+_shape("s07_nested_json", "nested_json", _faulty(NESTED_BODY, '"totalFare'))
+_shape("s08_embedded_json", "embedded_json", _faulty(EMBEDDED_BODY, '"total'))
+_shape("s09_html_cards", "html_cards", _faulty(_CARDS_VARIED, '"fareCard__totalFare'))
 
 # some bodies gain a key, some lose one, some are cut off
 DRIFT_BODY = f"""case when partkey % 13 = 0 then substring({NESTED_BODY}, 1, 60) when partkey % 7 = 0 then replace({NESTED_BODY}, '"brand":', '"promo":1,"brand":')
@@ -279,6 +288,22 @@ def drifted_payloads(spark, d):
     return drift.drifted_payloads(p, expected_paths(spark, d))
 
 
+@query(
+    "s10_quarantine_then_parse",
+    with_views(
+        f"""SELECT source_code, count(*) FILTER (k <> 'same') AS set_aside, count(*) FILTER (k = 'same') AS parsed, 2 * count(*) FILTER (k = 'same') AS quotes
+FROM (SELECT source_code, {_KIND} AS k FROM fx_quote) GROUP BY 1""",
+        "fx_quote",
+    ),
+)
+def quarantine_then_parse(spark, d):
+    """Drifted payloads are set aside, the others parsed."""
+    p = bodies(spark, d, DRIFT_BODY).drop("partkey")
+    good, aside = drift.quarantine_split(p, drift.drifted_payloads(p, expected_paths(spark, d)))
+    quotes = payloads.map_nested(good).groupBy("source_code").agg(F.count_distinct("payload_id").alias("parsed"), F.count(F.lit(1)).alias("quotes"))
+    return aside.groupBy("source_code").agg(F.count(F.lit(1)).alias("set_aside")).join(quotes, "source_code")
+
+
 @query(
     "s10_shape_difference",
     with_views(
@@ -412,17 +437,17 @@ def content_hash(spark, d):
 
 CANON_URL = r"""lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]+)', 1)) ||
   CASE WHEN regexp_extract(url, '://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '://[^/?#]+([^?#]*)', 1) END ||
-  CASE WHEN regexp_extract(url, '\?([^#]*)', 1) = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')), '&') END"""
+  '?' || array_to_string(list_sort(list_append(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> ''), 'z=~%2A+%7C%25zz')), '&')"""
 
 
 @query("p17_url_hash", f"SELECT page_id, {CANON_URL} AS url, sha256({CANON_URL}) AS url_hash FROM pages")
 def url_hash(spark, d):
     """Every page URL in a rougher spelling: upper-case scheme and host, explicit default port,
-    a fragment. All spellings of a page share one hash."""
+    a fragment, a parameter with escapes. All spellings of a page share one hash."""
     p = V.table(spark, d, "pages").selectExpr(
         "page_id",
         """concat(upper(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)), case when url like 'https%' then ':443' else ':80' end,
-           regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^#]*)', 1), '#frag') as url""",
+           regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^#]*)', 1), case when url like '%?%' then '&' else '?' end, 'z=%7e*%20|%zz#frag') as url""",
     )
     u = F.col("url")
     return p.select("page_id", hashing.normalise_url(u).alias("url"), hashing.url_hash(u).alias("url_hash"))

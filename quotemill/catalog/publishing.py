@@ -388,13 +388,15 @@ def lineage(spark, d):
     with_views(
         """SELECT l.series_code, l.period, l.value, round((l.value - m.value) / m.value * 100, 6) AS mom_pct, round((l.value - y.value) / y.value * 100, 6) AS yoy_pct,
   CASE WHEN m.value IS NULL THEN 'fewer than two periods' END AS mom_reason, CASE WHEN y.value IS NULL THEN 'no value twelve months earlier' END AS yoy_reason
-FROM fx_latest l LEFT JOIN fx_latest m ON m.series_code = l.series_code AND m.period = l.period - INTERVAL 1 MONTH
+FROM (SELECT *, lag(period) OVER (PARTITION BY series_code ORDER BY period) AS before FROM fx_latest WHERE month(period) <> 5) l
+LEFT JOIN fx_latest m ON m.series_code = l.series_code AND m.period = l.before
 LEFT JOIN fx_latest y ON y.series_code = l.series_code AND y.period = l.period - INTERVAL 12 MONTH""",
         "fx_latest",
     ),
 )
 def month_changes(spark, d):
-    s = staged(latest(spark, d).select("series_code", "period", "value"), "latest")
+    """Every May is missing: June is compared with April."""
+    s = staged(latest(spark, d).select("series_code", "period", "value").where(F.month("period") != 5), "latest")
     out = vintages.month_changes(s)
     return out.withColumns({c: F.round(c, 6) for c in ("mom_pct", "yoy_pct")})
 

@@ -62,34 +62,47 @@ def uuid5(namespace: str, name: Column) -> Column:
     )
 
 
+#: Optional scheme, authority, path and query of a URL; what follows ``#`` is left out.
+_URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+
+
+def _form_decode(text: Column) -> Column:
+    """``+`` and escapes decoded; a per cent sign that starts no escape stays as it is."""
+    return F.try_url_decode(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _form_encode(text: Column) -> Column:
+    """Form encoding that leaves letters, digits and ``_.-~`` alone; a blank becomes ``+``."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
 def normalise_url(url: Column) -> Column:
-    """Canonical URL: lower-case scheme and host, no default port, no fragment, non-empty path,
-    query parameters sorted by decoded (key, value) and encoded again."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    authority = F.try_parse_url(url, F.lit("AUTHORITY"))
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    port = F.regexp_extract(authority, r":(\d+)$", 1)
+    """Canonical URL: lower-case scheme and host, no default port, no user, no fragment, non-empty path,
+    query parameters sorted by decoded (key, value) and encoded again. Any text has a normal form; null stays null."""
+    text = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+    scheme, authority, path, query = (F.regexp_extract(text, _URL, i) for i in (1, 2, 3, 4))
+    scheme = F.lower(scheme)
+    place = F.regexp_extract(authority, r"([^@]*)$", 1)
+    host = F.lower(F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(place, "^([^:]*)", 1)))
+    port = F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:]*):0*(\d+)$", 1)
     default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     netloc = F.when((port == "") | default_port, host).otherwise(F.concat(host, F.lit(":"), port))
-    path = F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
-    query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
     parts = F.filter(F.split(query, "&"), lambda p: p != "")
     decoded = F.transform(
         parts,
         lambda p: F.struct(
-            F.coalesce(F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1)), F.lit("")).alias("k"),
-            F.coalesce(F.try_url_decode(F.regexp_extract(p, "^[^=]*=(.*)$", 1)), F.lit("")).alias("v"),
+            _form_decode(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("k"),
+            _form_decode(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v"),
         ),
     )
     encoded = F.array_join(
-        F.transform(
-            F.array_sort(decoded),
-            lambda kv: F.concat(F.url_encode(kv["k"]), F.lit("="), F.url_encode(kv["v"])),
-        ),
-        "&",
+        F.transform(F.array_sort(decoded), lambda kv: F.concat(_form_encode(kv["k"]), F.lit("="), _form_encode(kv["v"]))), "&"
     )
     return F.concat(
-        scheme, F.lit("://"), netloc, path, F.when(encoded == "", "").otherwise(F.concat(F.lit("?"), encoded))
+        F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"))),
+        F.when(netloc == "", "").otherwise(F.concat(F.lit("//"), netloc)),
+        F.when(path == "", "/").otherwise(path),
+        F.when(encoded == "", "").otherwise(F.concat(F.lit("?"), encoded)),
     )
 
 

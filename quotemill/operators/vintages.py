@@ -94,13 +94,14 @@ def revision_counts(revisions: DataFrame) -> DataFrame:
 
 def revision_runs(revisions: DataFrame, values: DataFrame, runs: DataFrame) -> DataFrame:
     """Which run produced each revision: matched on (series, period, value), newest run kept."""
-    produced = values.select("series_code", "period", F.col("value").alias("new_value"), "index_run_id").join(
+    exact = lambda c: F.col(c).cast("decimal(14,6)")
+    produced = values.select("series_code", "period", exact("value").alias("__value"), "index_run_id").join(
         runs.select("index_run_id", "computed_at", "vintage_date"), "index_run_id"
     )
     one = newest(
-        produced, ["series_code", "period", "new_value"], ["computed_at", "index_run_id"], ["index_run_id", "vintage_date", "computed_at"]
+        produced, ["series_code", "period", "__value"], ["computed_at", "index_run_id"], ["index_run_id", "vintage_date", "computed_at"]
     ).drop("__versions")
-    return revisions.join(one, ["series_code", "period", "new_value"], "left")
+    return revisions.withColumn("__value", exact("new_value")).join(one, ["series_code", "period", "__value"], "left").drop("__value")
 
 
 def imputed_points(lineage: DataFrame, clean: DataFrame) -> DataFrame:
@@ -202,9 +203,9 @@ def share_within(df: DataFrame, keys: Sequence[str], weight: str, name: str = "s
     return null_safe_join(df, total, keys).withColumn(name, F.try_divide(weight, "__total")).drop("__total")
 
 
-def month_changes(series: DataFrame, keys: Sequence[str] = ("series_code",), previous_row: bool = False) -> DataFrame:
-    """Month-over-month and year-over-year change. MoM uses the exact previous month, or simply the
-    previous row with ``previous_row``; YoY needs the month twelve earlier, else a reason."""
+def month_changes(series: DataFrame, keys: Sequence[str] = ("series_code",), previous_row: bool = True) -> DataFrame:
+    """Month-over-month and year-over-year change. MoM uses the previous row of the series, or the exact
+    previous month without ``previous_row``; YoY needs the month twelve earlier, else a reason."""
     keys = list(keys)
 
     def shifted(months: int, name: str) -> DataFrame:
@@ -223,6 +224,6 @@ def month_changes(series: DataFrame, keys: Sequence[str] = ("series_code",), pre
         "value",
         pct("__prev").alias("mom_pct"),
         pct("__year").alias("yoy_pct"),
-        F.when(F.col("__prev").isNull(), "fewer than two periods").alias("mom_reason"),
+        F.when(F.col("__prev").isNull(), "fewer than two periods" if previous_row else "no value one month earlier").alias("mom_reason"),
         F.when(F.col("__year").isNull(), "no value twelve months earlier").alias("yoy_reason"),
     )

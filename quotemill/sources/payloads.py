@@ -7,6 +7,7 @@ every mapper keeps the context columns and emits ``QUOTE_COLUMNS``.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +41,14 @@ struct<flights: array<struct<
 """
 # Where the second page shape keeps its data, and the markup of the third.
 EMBEDDED_PATTERN = r"(?s)window\.__FARE_DATA__\s*=\s*(\{.*?\})\s*;"
-CARD_PATTERN = r'(?s)<div\s+class="fareCard".*?</div>'
-EMPTY_RESULT_PATTERN = r'<div[^>]*class="[^"]*\bnoFlights\b'
+CARD_CLASS = "fareCard"
+EMPTY_CLASS = "noFlights"
+
+
+# The cabins a fare may name; any other refuses its payload.
+CABINS = ("ECONOMY", "PREMIUM_ECONOMY", "BUSINESS", "FIRST")
+#: Fields that only some shapes carry; every other one is required in each quote.
+OPTIONAL = {"nested_json": ("convenience_fee",), "embedded_json": ("convenience_fee",), "html_cards": ("udf", "baggage_included")}
 
 
 def money(c: Column) -> Column:
@@ -52,34 +59,51 @@ def local_time(c: Column) -> Column:
     return c.try_cast("timestamp_ntz")
 
 
-def _context(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != "body"]
+def _whole_payloads(payloads: DataFrame, quotes: Column, shape: str) -> DataFrame:
+    """Quotes of the payloads in which every quote has every required field and a known cabin.
+
+    One faulty quote refuses its whole payload, which then shows up in ``unparsed_payloads``: a source that changed must not
+    go on with half of its fares. ``quotes`` is an array of structs per payload, null where the body has another shape.
+    """
+    ctx = [c for c in payloads.columns if c != "body"]
+    needed = [c for c in QUOTE_COLUMNS if c not in OPTIONAL[shape]]
+    complete = F.forall("__quotes", lambda q: reduce(lambda a, c: a & q[c].isNotNull(), needed, q["fare_class"].isin(*CABINS)))
+    read = payloads.select(*ctx, quotes.alias("__quotes"))
+    kept = read.select(*ctx, F.when(complete, F.col("__quotes")).alias("__quotes"))
+    # the outer form keeps the planner from testing the array, parsed once more, before it is unfolded
+    return kept.select(*ctx, F.inline_outer("__quotes")).where(F.col("carrier_iata").isNotNull())
+
+
+def _quote(**fields: Column) -> Column:
+    absent = {"convenience_fee": "decimal(12,2)", "udf": "decimal(12,2)", "baggage_included": "boolean"}
+    return F.struct(*[(fields[c] if c in fields else F.lit(None).cast(absent[c])).alias(c) for c in QUOTE_COLUMNS])
 
 
 def map_nested(payloads: DataFrame) -> DataFrame:
     """Itineraries x fare options of a nested JSON search response."""
-    ctx = _context(payloads)
-    it = payloads.select(*ctx, F.explode(F.from_json("body", NESTED_SCHEMA)["itineraries"]).alias("i"))
-    o = it.select(*ctx, "i", F.explode("i.fareOptions").alias("o"))
-    return o.select(
-        *ctx,
-        F.col("i.carrier").alias("carrier_iata"),
-        F.col("i.flightNumber").alias("flight_number"),
-        local_time(F.col("i.departure.dateTime")).alias("dep_datetime_local"),
-        local_time(F.col("i.arrival.dateTime")).alias("arr_datetime_local"),
-        F.col("i.stops").alias("stops"),
-        F.col("o.cabin").alias("fare_class"),
-        F.col("o.brand").alias("fare_brand"),
-        money(F.col("o.baseFare")).alias("base_fare"),
-        money(F.col("o.taxes")).alias("taxes"),
-        money(F.col("o.udf")).alias("udf"),
-        F.lit(None).cast("decimal(12,2)").alias("convenience_fee"),
-        money(F.col("o.totalFare")).alias("total_fare"),
-        F.col("o.currency").alias("currency"),
-        F.col("o.seatsRemaining").alias("seats_shown"),
-        F.col("o.refundable").alias("refundable"),
-        F.col("o.baggageIncluded").alias("baggage_included"),
-    )
+
+    def quote(i: Column, o: Column) -> Column:
+        return _quote(
+            carrier_iata=i["carrier"],
+            flight_number=i["flightNumber"],
+            dep_datetime_local=local_time(i["departure"]["dateTime"]),
+            arr_datetime_local=local_time(i["arrival"]["dateTime"]),
+            stops=i["stops"],
+            fare_class=o["cabin"],
+            fare_brand=o["brand"],
+            base_fare=money(o["baseFare"]),
+            taxes=money(o["taxes"]),
+            udf=money(o["udf"]),
+            total_fare=money(o["totalFare"]),
+            currency=o["currency"],
+            seats_shown=o["seatsRemaining"],
+            refundable=o["refundable"],
+            baggage_included=o["baggageIncluded"],
+        )
+
+    found = F.from_json("body", NESTED_SCHEMA)["itineraries"]
+    quotes = F.flatten(F.transform(found, lambda i: F.transform(i["fareOptions"], lambda o: quote(i, o))))
+    return _whole_payloads(payloads, quotes, "nested_json")
 
 
 def embedded_json(body: str = "body") -> Column:
@@ -90,62 +114,98 @@ def embedded_json(body: str = "body") -> Column:
 
 def map_embedded(payloads: DataFrame) -> DataFrame:
     """JSON body or HTML page with the same JSON embedded in a script."""
-    ctx = _context(payloads)
-    f = payloads.select(*ctx, F.explode(F.from_json(embedded_json(), EMBEDDED_SCHEMA)["flights"]).alias("f"))
-    o = f.select(*ctx, "f", F.explode("f.fares").alias("o"))
-    return o.select(
-        *ctx,
-        F.col("f.airline_code").alias("carrier_iata"),
-        F.col("f.flight_no").alias("flight_number"),
-        local_time(F.col("f.dep.local_time")).alias("dep_datetime_local"),
-        local_time(F.col("f.arr.local_time")).alias("arr_datetime_local"),
-        F.col("f.num_stops").alias("stops"),
-        F.col("o.class_of_service").alias("fare_class"),
-        F.col("o.fare_type").alias("fare_brand"),
-        money(F.col("o.fare_breakup.base")).alias("base_fare"),
-        money(F.col("o.fare_breakup.tax")).alias("taxes"),
-        money(F.col("o.fare_breakup.udf")).alias("udf"),
-        F.lit(None).cast("decimal(12,2)").alias("convenience_fee"),
-        money(F.col("o.total")).alias("total_fare"),
-        F.col("o.currency_code").alias("currency"),
-        F.col("o.seats_left").alias("seats_shown"),
-        F.col("o.is_refundable").alias("refundable"),
-        F.col("o.free_baggage").alias("baggage_included"),
-    )
+
+    def quote(f: Column, o: Column) -> Column:
+        return _quote(
+            carrier_iata=f["airline_code"],
+            flight_number=f["flight_no"],
+            dep_datetime_local=local_time(f["dep"]["local_time"]),
+            arr_datetime_local=local_time(f["arr"]["local_time"]),
+            stops=f["num_stops"],
+            fare_class=o["class_of_service"],
+            fare_brand=o["fare_type"],
+            base_fare=money(o["fare_breakup"]["base"]),
+            taxes=money(o["fare_breakup"]["tax"]),
+            udf=money(o["fare_breakup"]["udf"]),
+            total_fare=money(o["total"]),
+            currency=o["currency_code"],
+            seats_shown=o["seats_left"],
+            refundable=o["is_refundable"],
+            baggage_included=o["free_baggage"],
+        )
+
+    found = F.from_json(embedded_json(), EMBEDDED_SCHEMA)["flights"]
+    quotes = F.flatten(F.transform(found, lambda f: F.transform(f["fares"], lambda o: quote(f, o))))
+    return _whole_payloads(payloads, quotes, "embedded_json")
+
+
+def _with_class(tag: str, name: str) -> str:
+    """Pattern of an opening tag that has ``name`` among its classes, in any place among its attributes."""
+    return rf"""<{tag}\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["'][^>]*>"""
+
+
+def _plain(text: Column) -> Column:
+    """Character references of markup characters, quotes and blanks decoded; trimmed."""
+    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(mark), F.lit(char))
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def _attribute(card: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(card, rf'{name}="([^"]*)"', 1), F.lit(""))
+    """Attribute of the tag that opens the card, null where it has none."""
+    return _plain(F.get(F.regexp_extract_all(card["tag"], F.lit(rf"""\s{name}\s*=\s*["']([^"']*)["']"""), F.lit(1)), F.lit(0)))
 
 
-def _text(card: Column, css: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(card, rf'(?s)class="{css}"[^>]*>([^<]*)<', 1)), F.lit(""))
+def _text(card: Column, name: str) -> Column:
+    """Text of the card's first element of class ``fareCard__<name>``, null where there is none."""
+    return F.get(card["texts"], (F.array_position(card["names"], name) - 1).cast("int"))
 
 
 def map_cards(payloads: DataFrame) -> DataFrame:
-    """HTML fare cards: five data attributes and eight class-tagged texts per card."""
-    ctx = _context(payloads)
-    cards = payloads.select(*ctx, F.explode(F.regexp_extract_all("body", F.lit(CARD_PATTERN), F.lit(0))).alias("card"))
-    c = F.col("card")
-    return cards.select(
-        *ctx,
-        _attribute(c, "data-carrier").alias("carrier_iata"),
-        _attribute(c, "data-flight-number").alias("flight_number"),
-        local_time(_attribute(c, "data-dep-time")).alias("dep_datetime_local"),
-        local_time(_attribute(c, "data-arr-time")).alias("arr_datetime_local"),
-        _attribute(c, "data-stops").try_cast("int").alias("stops"),
-        _text(c, "fareCard__cabin").alias("fare_class"),
-        _text(c, "fareCard__brand").alias("fare_brand"),
-        money(_text(c, "fareCard__baseFare")).alias("base_fare"),
-        money(_text(c, "fareCard__taxes")).alias("taxes"),
-        F.lit(None).cast("decimal(12,2)").alias("udf"),
-        money(_text(c, "fareCard__convenienceFee")).alias("convenience_fee"),
-        money(_text(c, "fareCard__totalFare")).alias("total_fare"),
-        F.lit("INR").alias("currency"),
-        _text(c, "fareCard__seats").try_cast("int").alias("seats_shown"),
-        (F.lower(_text(c, "fareCard__refundable")) == "true").alias("refundable"),
-        F.lit(None).cast("boolean").alias("baggage_included"),
+    """HTML fare cards: five data attributes and eight class-tagged texts per card.
+
+    A card reaches from its opening tag to the next card's, so elements inside may nest.
+    """
+
+    def quote(c: Column) -> Column:
+        return _quote(
+            carrier_iata=_attribute(c, "data-carrier"),
+            flight_number=_attribute(c, "data-flight-number"),
+            dep_datetime_local=local_time(_attribute(c, "data-dep-time")),
+            arr_datetime_local=local_time(_attribute(c, "data-arr-time")),
+            stops=_attribute(c, "data-stops").try_cast("int"),
+            fare_class=_text(c, "cabin"),
+            fare_brand=_text(c, "brand"),
+            base_fare=money(_text(c, "baseFare")),
+            taxes=money(_text(c, "taxes")),
+            convenience_fee=money(_text(c, "convenienceFee")),
+            total_fare=money(_text(c, "totalFare")),
+            currency=F.lit("INR"),
+            seats_shown=_text(c, "seats").try_cast("int"),
+            refundable=F.lower(_text(c, "refundable")) == "true",
+        )
+
+    opening = _with_class("div", CARD_CLASS)
+    cards = F.regexp_extract_all("body", F.lit(rf"(?s){opening}.*?(?={opening}|\z)"), F.lit(0))
+    tagged = _with_class("[A-Za-z][A-Za-z0-9]*", CARD_CLASS + r"__(\w+)")
+    part = rf"(?s){tagged}([^<]+)<"
+    # every card is read once: names and texts of its tagged elements
+    read = F.transform(
+        cards,
+        lambda c: F.struct(
+            F.regexp_extract(c, "^<[^>]*>", 0).alias("tag"),
+            F.regexp_extract_all(c, F.lit(part), F.lit(1)).alias("names"),
+            F.transform(F.regexp_extract_all(c, F.lit(part), F.lit(2)), _plain).alias("texts"),
+        ),
     )
+    return _whole_payloads(payloads, F.transform(read, quote), "html_cards")
+
+
+def empty_result(body: str = "body") -> Column:
+    """Does the body say that nothing is on offer? A page with the empty-result box and no card, or an empty list."""
+    b = F.col(body)
+    box = b.rlike(_with_class("div", EMPTY_CLASS)) & ~b.rlike(_with_class("div", CARD_CLASS))
+    return box | b.rlike(r'"(?:itineraries|flights)"\s*:\s*\[\s*\]')
 
 
 _MAPPERS: dict[str, Mapper] = {"nested_json": map_nested, "embedded_json": map_embedded, "html_cards": map_cards}
@@ -171,7 +231,7 @@ def unparsed_payloads(payloads: DataFrame, quotes: DataFrame) -> DataFrame:
     """Payloads that gave no quote: a valid empty result, or drift to be quarantined."""
     silent = payloads.join(quotes.select("payload_id").distinct(), "payload_id", "left_anti")
     return silent.withColumn(
-        "outcome", F.when(F.col("body").rlike(EMPTY_RESULT_PATTERN), "empty_result").otherwise("shape_mismatch")
+        "outcome", F.when(empty_result(), "empty_result").otherwise("shape_mismatch")
     )
 
 
@@ -180,7 +240,7 @@ def collection_outcomes(payloads: DataFrame, quotes: DataFrame) -> DataFrame:
     n = quotes.groupBy("payload_id").agg(F.count(F.lit(1)).alias("quotes_collected"))
     out = payloads.join(n, "payload_id", "left")
     got = F.coalesce("quotes_collected", F.lit(0).cast("long"))
-    empty = F.col("body").rlike(EMPTY_RESULT_PATTERN)
+    empty = empty_result()
     status = F.when((got > 0) | empty, "SUCCEEDED").when(challenge_name().isNotNull(), "BLOCKED").otherwise("FAILED")
     return out.select(
         F.col("payload_id").alias("collection_run_id"), "source_code", "route_code", "query_date", status.alias("status"),

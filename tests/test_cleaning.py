@@ -201,6 +201,14 @@ def test_urls_and_hashes(spark):
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     got = [r[0] for r in df.select(hashing.normalise_url(F.col("u"))).collect()]
     assert got == ["http://ex.com/?a=1&b=2", "https://ex.com:8443/P?q=A&q=a+b", "http://ex.com/?a=1&b=2", "https://ex.com/x"]
+    odd = {
+        "http://h_1.com/a b?d=10%zz&p=x|y z": "http://h_1.com/a b?d=10%25zz&p=x%7Cy+z",
+        "https://u:p@Ex.com:0443/?t=~*&e": "https://ex.com/?e=&t=~%2A",
+        "http://[::1]:80?k=%E2%82%AC": "http://::1/?k=%E2%82%AC",
+        "ftp://ex.com:80": "ftp://ex.com:80/",
+    }
+    got = spark.createDataFrame([(u,) for u in odd], "u string").select("u", hashing.normalise_url(F.col("u")).alias("n")).collect()
+    assert {r["u"]: r["n"] for r in got} == odd
     rows = spark.createDataFrame([(str(i),) for i in range(50)], "x string")
     one = hashing.rows_hash(rows, F.col("x")).first()["content_hash"]
     assert one == hashing.rows_hash(rows.orderBy(F.rand(1)), F.col("x")).first()["content_hash"]

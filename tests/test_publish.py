@@ -154,6 +154,29 @@ def test_mappers_register_and_empty_results(spark):
         payloads.mapper("nope")
 
 
+CARD = """<DIV data-carrier='6E' data-flight-number="1" class="big fareCard" data-stops="0" data-dep-time="2026-01-01T06:00:00" data-arr-time="2026-01-01T08:00:00"><div>inner</div>
+<span class="fareCard__brand">A&amp;B</span><span class="fareCard__cabin">ECONOMY</span><i class="x fareCard__baseFare"> 90 </i><span class="fareCard__taxes">5</span>
+<span class="fareCard__convenienceFee">5</span><span class="fareCard__totalFare">{total}</span><span class="fareCard__seats">2</span><span class="fareCard__refundable">True</span></DIV>"""
+
+
+def test_a_faulty_quote_refuses_its_payload(spark):
+    ctx = "payload_id string, source_code string, route_code string, query_date date, body string"
+    cards = lambda *totals: "<html>" + "".join(CARD.format(total=t) for t in totals).replace("DIV", "div") + "</html>"
+    fare = '{"brand":"S","cabin":"%s","baseFare":1,"taxes":1,"udf":1,%s"currency":"INR","seatsRemaining":1,"refundable":false,"baggageIncluded":true}'
+    nested = lambda *fares: (
+        '{"itineraries":[{"flightNumber":"1","carrier":"6E","departure":{"dateTime":"2026-01-01T06:00:00"},"arrival":{"dateTime":"2026-01-01T08:00:00"},"stops":0,"fareOptions":[%s]}]}' % ",".join(fares)
+    )
+    good, bare, odd = fare % ("ECONOMY", '"totalFare":3.10,'), fare % ("ECONOMY", ""), fare % ("DECK", '"totalFare":3.10,')
+    df = spark.createDataFrame(
+        [("1", "c", "r", M[0], cards("100", "101.50")), ("2", "c", "r", M[0], cards("100", "n/a")), ("3", "n", "r", M[0], nested(good, good)), ("4", "n", "r", M[0], nested(good, bare)),
+         ("5", "n", "r", M[0], nested(odd)), ("6", "n", "r", M[0], '{"itineraries": []}'), ("7", "n", "r", M[0], None)], ctx)
+    quotes = payloads.parse_payloads(df, {"c": "html_cards", "n": "nested_json"})
+    got = sorted((r["payload_id"], str(r["total_fare"]), r["fare_brand"]) for r in quotes.collect())
+    assert got == [("1", "100.00", "A&B"), ("1", "101.50", "A&B"), ("3", "3.10", "S"), ("3", "3.10", "S")]
+    outcomes = {r["payload_id"]: r["outcome"] for r in payloads.unparsed_payloads(df, quotes).collect()}
+    assert outcomes == {"2": "shape_mismatch", "4": "shape_mismatch", "5": "shape_mismatch", "6": "empty_result", "7": "shape_mismatch"}
+
+
 def test_key_paths():
     assert drift.key_paths('{"a": [{"b": 1}, {"c": {"d": 2}}], "e": 1}') == {"a", "a[].b", "a[].c", "a[].c.d", "e"}
     assert drift.key_paths('[[{"x": 1}]]') == {"[][].x"}
