@@ -1,16 +1,13 @@
-"""Near-duplicate vectors: a robust-pruned flat graph, searched by range from medoids.
+"""Near-duplicate vectors: shards around fitted centres, each scored whole for all who may have a partner in it.
 
 1. Vectors that cannot be compared are set aside, equal ones collapsed to one representative with a weight.
-2. Centres of clusters are fitted on a bounded sample. Every vector is *stored* in the shard of its nearest centre and *built into* the graphs
-   of its BUILD nearest shards, so shards overlap. A shard that a hot cluster makes too large is dealt into slices by id; whoever asks
-   the shard asks all its slices.
-3. In each shard every vector's candidates are pruned robustly (a candidate goes if one already kept is ALPHA times closer to it), and reverse
-   edges are added. The adjacency lists of a vector from its shards are united.
-4. Every vector asks the VISITS shards nearest to it: a greedy search runs from the shard's medoid over the united lists, all questions of
-   the shard in step; once it has settled, the search goes on over every neighbour within range until the range is exhausted.
-5. Hits are verified by the cosine in double precision and counted against stored vectors only, each of which has one home, so no link counts
-   twice and none is sent as a pair: a task sends counts and a spanning forest of its links.
-6. Components of the forests.
+2. Centres of clusters are fitted on a bounded sample. Every vector is *stored* in the shard of its nearest centre. A shard that a hot cluster
+   makes too large is dealt into slices by id; whoever asks the shard asks all its slices.
+3. Every vector asks the VISITS shards nearest to it and is scored, in double precision, against every vector stored there. No walk over a
+   graph of neighbours stands between: it cannot enter a tight group that has no edge to the rest, and scoring a slice is one product of matrices.
+4. Hits are counted against stored vectors only, each of which has one home, so no link counts twice and none is sent as a pair: a task sends
+   counts and a spanning forest of its links.
+5. Components of the forests.
 
 ``audit`` measures the recall of links by brute force from a sample of vectors against all of them.
 """
@@ -28,10 +25,7 @@ from quotemill.functions.staging import staged
 from quotemill.llm.components import components
 
 THRESHOLD = 0.9
-DEGREE, ALPHA, BEAM = 24, 1.2, 64
-#: Rows opened at a time for each question.
-OPENED = 16
-SHARD, BUILD, VISITS = 2_000, 2, 6
+SHARD, VISITS = 2_000, 6
 #: The sample that centres are fitted on, and centres at most (their broadcast is bounded by that).
 SAMPLE, CENTRES = 20_000, 2_048
 
@@ -63,82 +57,6 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.n
     return c
 
 
-def build(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists of one shard: pruned nearest candidates and the reverse edges."""
-    n = len(x)
-    width = min(n - 1, 2 * DEGREE)
-    if width <= 0:
-        return [np.zeros(0, dtype=int)] * n
-    near = np.empty((n, width), dtype=int)
-    for a in range(0, n, 1000):
-        s = x[a : a + 1000] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
-        part = np.argpartition(-s, width - 1, axis=1)[:, :width]
-        near[a : a + 1000] = np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, axis=1), axis=1, kind="stable"), axis=1)
-    out: list[np.ndarray] = []
-    for a in range(0, n, 500):
-        out += prune(x, near[a : a + 500], a)
-    reverse: list[list[int]] = [[] for _ in range(n)]
-    for i, js in enumerate(out):
-        for j in js:
-            reverse[j].append(i)
-    return [np.unique(np.concatenate([o, np.array(r[: 2 * DEGREE], dtype=int)])) for o, r in zip(out, reverse, strict=True)]
-
-
-def prune(x: np.ndarray, near: np.ndarray, first: int) -> list[np.ndarray]:
-    """Robust pruning of the candidates (nearest first) of the rows from ``first`` on, all in step."""
-    rows = np.arange(first, first + len(near))
-    alive = np.ones(near.shape, dtype=bool)
-    kept = np.zeros_like(alive)
-    other = x[near]
-    own = 1 - np.einsum("nkd,nd->nk", other, x[rows])
-    for k in range(near.shape[1]):
-        take = alive[:, k] & (kept.sum(axis=1) < DEGREE)
-        kept[:, k] = take
-        between = 1 - np.einsum("nkd,nd->nk", other, other[:, k])
-        alive &= ~(take[:, None] & (ALPHA * between <= own))
-    return [near[i][kept[i]] for i in range(len(near))]
-
-
-def range_search(x: np.ndarray, lists: list[np.ndarray], questions: np.ndarray, start: int, threshold: float = THRESHOLD, beam: int = BEAM) -> np.ndarray:
-    """Which rows of ``x`` each question finds within the range, as a boolean matrix. Greedy with a beam from ``start``, then every neighbour in range."""
-    n, q = len(x), len(questions)
-    degree = max(1, max(map(len, lists), default=1))
-    table = np.full((n, degree), -1)
-    for i, js in enumerate(lists):
-        table[i, : len(js)] = js
-    seen = np.zeros((q, n), dtype=bool)
-    done = np.zeros((q, n), dtype=bool)
-    score = np.full((q, n), -9.0)
-    seen[:, start] = True
-    score[:, start] = questions @ x[start]
-    rows = np.arange(q)
-    while len(rows):
-        # the best rows seen form the beam; the best of them not yet opened are opened
-        live = score[rows]
-        edge = np.partition(live, max(0, n - beam), axis=1)[:, max(0, n - beam)] if n > beam else np.full(len(rows), -8.0)
-        edge = np.minimum(edge, threshold)
-        shut = np.where(done[rows] | (live < edge[:, None]), -9.0, live)
-        wide = min(OPENED, n)
-        best = np.argpartition(-shut, wide - 1, axis=1)[:, :wide]
-        good = np.take_along_axis(shut, best, axis=1) > -8
-        some = good.any(axis=1)
-        rows, best, good = rows[some], best[some], good[some]
-        if not len(rows):
-            break
-        r, k = np.nonzero(good)
-        who, what = rows[r], best[r, k]
-        done[who, what] = True
-        nxt = table[what]
-        r, k = np.nonzero((nxt >= 0) & ~seen[who[:, None], nxt])
-        pair = np.unique(who[r] * n + nxt[r, k])
-        who, what = pair // n, pair % n
-        seen[who, what] = True
-        for part in np.array_split(np.arange(len(who)), max(1, len(who) // 100_000)):
-            score[who[part], what[part]] = np.einsum("ij,ij->i", questions[who[part]], x[what[part]])
-    return score >= threshold
-
-
 class _Forest:
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -167,12 +85,12 @@ def _route(middles: np.ndarray, slices: dict[int, int]):
             for k in range(len(ids)):
                 for rank, s in enumerate(near[k].tolist()):
                     m = slices.get(s, 1)
-                    # stored and built into one slice; asks all of them
+                    # stored in one slice; asks all of them
                     for part in range(m):
                         here = int(ids[k]) * 2654435761 % 4294967296 % m == part
                         out["shard"].append(s)
                         out["slice"].append(part)
-                        out["role"].append((2 if rank == 0 else 1 if rank < BUILD else 0) if here else 0)
+                        out["role"].append(2 if here and rank == 0 else 0)
                         out["vec_id"].append(int(ids[k]))
                         out["n"].append(int(w[k]))
                         out["v"].append(x[k])
@@ -184,35 +102,22 @@ def _route(middles: np.ndarray, slices: dict[int, int]):
     return run
 
 
-def _graph(table: pa.Table) -> pa.Table:
-    ids = np.asarray(table["vec_id"])
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    x = np.array(table["v"].to_pylist())[order]
-    lists = build(x)
-    return pa.table({"vec_id": pa.array(ids), "near": pa.array([ids[js] for js in lists], pa.list_(pa.int64()))})
-
-
 def _search(table: pa.Table) -> pa.Table:
+    """Every question against every stored row of one slice."""
     ids, role, n = (np.asarray(table[c]) for c in ("vec_id", "role", "n"))
     order = np.argsort(ids, kind="stable")
     ids, role, n = ids[order], role[order], n[order]
     x = np.array(table["v"].to_pylist())[order]
-    near = table["near"].to_pylist()
-    nodes = np.flatnonzero(role > 0)
+    nodes = np.flatnonzero(role == 2)
     found_id: list[int] = []
     found_n: list[int] = []
     links: list[tuple[int, int]] = []
     if len(nodes):
-        place = {int(i): k for k, i in enumerate(ids[nodes])}
-        lists = [np.array([place[j] for j in (near[order[k]] or ()) if j in place], dtype=int) for k in nodes]
-        points, stored = x[nodes], role[nodes] == 2
-        medoid = int((points @ points.mean(axis=0)).argmax())
-        weight = np.where(stored, n[nodes], 0)
+        points, weight = x[nodes], n[nodes]
         forest = _Forest()
-        step = max(1, 8_000_000 // len(nodes))
+        step = max(1, 4_000_000 // len(nodes))
         for a in range(0, len(ids), step):
-            hit = range_search(points, lists, x[a : a + step], medoid) & stored
+            hit = x[a : a + step] @ points.T >= THRESHOLD
             who, what = np.nonzero(hit)
             asked, met = ids[a : a + step][who], ids[nodes][what]
             other = asked != met
@@ -249,14 +154,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     middles = centres(sample, k)
     flat = one.select(F.col("rep").alias("vec_id"), "v", "n")
     fields = "shard int, slice int, role int, vec_id long, n long, v array<double>"
-    # how many vectors each shard builds decides into how many slices it is dealt; one small row per shard
+    # how many vectors each shard stores decides into how many slices it is dealt; one small row per shard
     held = flat.mapInArrow(_route(middles, {}), fields).where("role > 0").groupBy("shard").agg(F.count(F.lit(1)).alias("m")).collect()
     slices = {r["shard"]: math.ceil(r["m"] / (4 * SHARD)) for r in held}
     routed = staged(flat.mapInArrow(_route(middles, slices), fields), "routed")
-    lists = routed.where("role > 0").groupBy("shard", "slice").applyInArrow(_graph, "vec_id long, near array<long>")
-    united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    asked = routed.join(united, "vec_id", "left")
-    found = staged(asked.groupBy("shard", "slice").applyInArrow(_search, "vec_id long, n long, other long"), "found")
+    found = staged(routed.groupBy("shard", "slice").applyInArrow(_search, "vec_id long, n long, other long"), "found")
     counts = found.where("other is null").groupBy("vec_id").agg(F.sum("n").alias("met"))
     parts = components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     reps = one.join(counts, one["rep"] == counts["vec_id"], "left").join(parts, F.col("rep") == F.col("id"), "left")

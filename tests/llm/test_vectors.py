@@ -63,3 +63,12 @@ def test_topk_as_brute_force(spark, monkeypatch):
     assert {k: sorted(v) for k, v in got.items()} == want
     assert cover_topk.top_k(table(spark, [])).count() == 0
     assert cover_topk.top_k(table(spark, [(0, [1.0])])).count() == 0
+
+
+def test_tight_groups_are_no_islands(spark):
+    """One shard of groups of 150 near copies: no group has one of its 48 nearest rows outside itself."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(10, 64))
+    rows = [(150 * k + j, (v + rng.normal(size=64) * 0.02).tolist()) for k, v in enumerate(base) for j in range(150)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links.link_vectors(table(spark, rows)).collect()}
+    assert got == {i: (149, i - i % 150) for i, _ in rows}
