@@ -3,11 +3,12 @@
 1. Vectors that cannot be compared are set aside, equal ones collapsed to one representative with a weight.
 2. Centres of clusters are fitted on a bounded sample. Every vector is *stored* in the shard of its nearest centre. A shard that a hot cluster
    makes too large is dealt into slices by id; whoever asks the shard asks all its slices.
-3. Every vector asks the VISITS shards nearest to it and is scored, in double precision, against every vector stored there. No walk over a
+3. Every vector asks all shards but those that two exact bounds (angles to the centre, planes half-way between centres) show to hold no partner
+   of it; of two shards only one asks the other. It is scored, in double precision, against every vector stored there. No walk over a
    graph of neighbours stands between: it cannot enter a tight group that has no edge to the rest, and scoring a slice is one product of matrices.
-4. Hits are counted against stored vectors only, each of which has one home, so no link counts twice and none is sent as a pair: a task sends
-   counts and a spanning forest of its links.
-5. Components of the forests.
+   Clustered vectors ask few shards. Directions without clusters leave nothing to rule out, and all pairs are scored.
+4. A pair is met in one place and counts for both its ends, and none is sent as a pair: a task sends counts and links that join the same parts.
+5. Components of the links.
 
 ``audit`` measures the recall of links by brute force from a sample of vectors against all of them.
 """
@@ -25,7 +26,9 @@ from quotemill.functions.staging import staged
 from quotemill.llm.components import components
 
 THRESHOLD = 0.9
-SHARD, VISITS = 2_000, 6
+SHARD = 2_000
+#: Added to the bounds for rounding, and rows of a batch that is sent.
+SLACK, ROWS = 1e-6, 8_000
 #: The sample that centres are fitted on, and centres at most (their broadcast is bounded by that).
 SAMPLE, CENTRES = 20_000, 2_048
 
@@ -57,79 +60,124 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.n
     return c
 
 
-class _Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
+def _columns(table, kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(table[k], t) if k != "v" else table[k] for k, t in kinds.items()], names=list(kinds))
 
-    def top(self, a: int) -> int:
-        while (b := self.up.get(a, a)) != a:
-            self.up[a] = a = self.up.get(b, b)
-        return a
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1)))
 
 
-def _route(middles: np.ndarray, slices: dict[int, int]):
+def _matrix(column, rows: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten()).reshape(rows, -1)
+
+
+def _house(middles: np.ndarray):
+    """Each vector's home, the shard of its nearest centre, and its angle to that centre."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(batch.column(1).to_pylist())
+                near = x @ middles.T
+                home = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(x)), home], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(home, pa.int32()), pa.array(angle), _lists(x)], names=["vec_id", "n", "home", "angle", "v"])
+
+    return run
+
+
+def _asked(x: np.ndarray, home: np.ndarray, middles: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which shards each vector has to ask, as a boolean matrix: all but those that surely hold no partner of it, or ask it themselves.
+
+    Two bounds leave a shard out, both exact. The angles to its centre differ by the angle between two vectors at most, and its vectors'
+    angles lie between ``low`` and ``high``. And its vectors are nearer to its centre than to the vector's own, so they lie beyond the plane
+    half-way between, whose distance from the vector must not exceed the chord of the range.
+    """
+    near = x @ middles.T
+    angle = np.arccos(np.clip(near, -1, 1))
+    reach = math.acos(THRESHOLD) + SLACK
+    may = (angle - reach <= high) & (angle + reach >= low)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (middles[home] @ middles.T)))
+    may &= near[np.arange(len(x)), home][:, None] - near <= (math.sqrt(2 - 2 * THRESHOLD) + SLACK) * apart + SLACK
+    # of two shards, one asks the other: each asks about half of the rest
+    shards = np.arange(len(middles))
+    turn = (home[:, None] > shards) == ((home[:, None] + shards) % 2 == 0)
+    may &= turn
+    may[np.arange(len(x)), home] = True
+    return may
+
+
+def _mixed(ids: np.ndarray, times: int) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(times) >> np.uint64(20)).astype(np.int64)
+
+
+KINDS = {"shard": pa.int32(), "slice": pa.int32(), "role": pa.int32(), "vec_id": pa.int64(), "n": pa.int64(), "v": pa.list_(pa.float64())}
+
+
+def _route(middles: np.ndarray, low: np.ndarray, high: np.ndarray, slices: np.ndarray):
+    """A row for each slice where a vector is stored (role 1) or asks (role 0). Of two slices of a shard, the later asks the earlier."""
+
     def run(batches):
         for batch in batches:
-            ids, w = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-            x = unit(batch.column(1).to_pylist()) if batch.num_rows else np.zeros((0, middles.shape[1]))
-            visits = min(VISITS, len(middles))
-            near = np.argsort(-(x @ middles.T), axis=1, kind="stable")[:, :visits]
-            out: dict[str, list] = {k: [] for k in ("shard", "slice", "role", "vec_id", "n", "v")}
-            for k in range(len(ids)):
-                for rank, s in enumerate(near[k].tolist()):
-                    m = slices.get(s, 1)
-                    # stored in one slice; asks all of them
-                    for part in range(m):
-                        here = int(ids[k]) * 2654435761 % 4294967296 % m == part
-                        out["shard"].append(s)
-                        out["slice"].append(part)
-                        out["role"].append(2 if here and rank == 0 else 0)
-                        out["vec_id"].append(int(ids[k]))
-                        out["n"].append(int(w[k]))
-                        out["v"].append(x[k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["shard"], pa.int32()), pa.array(out["slice"], pa.int32()), pa.array(out["role"], pa.int32()), pa.array(out["vec_id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["v"], pa.list_(pa.float64()))],
-                names=["shard", "slice", "role", "vec_id", "n", "v"],
-            )
+            ids, w, home = (np.asarray(batch.column(k)) for k in range(3))
+            if not len(ids):
+                continue
+            x = _matrix(batch.column(4), len(ids))
+            own = _mixed(ids, 2654435761) % slices[home]
+            who, shard = np.nonzero(_asked(x, home, middles, low, high))
+            times = np.where(shard == home[who], own[who] + 1, slices[shard])
+            who, shard = np.repeat(who, times), np.repeat(shard, times)
+            part = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+            role = np.zeros(len(who), dtype=int)
+            who, shard, part, role = (np.concatenate(z) for z in ((who, np.arange(len(ids))), (shard, home), (part, own), (role, np.ones(len(ids), dtype=int))))
+            for a in range(0, len(who), ROWS):
+                k = who[a : a + ROWS]
+                yield _columns({"shard": shard[a : a + ROWS], "slice": part[a : a + ROWS], "role": role[a : a + ROWS], "vec_id": ids[k], "n": w[k], "v": _lists(x[k])}, KINDS)
 
     return run
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """Every question against every stored row of one slice."""
+    """Every question against every stored row of one slice. A pair is met once and counts for both; two rows stored here are met from the larger id."""
     ids, role, n = (np.asarray(table[c]) for c in ("vec_id", "role", "n"))
-    order = np.argsort(ids, kind="stable")
-    ids, role, n = ids[order], role[order], n[order]
-    x = np.array(table["v"].to_pylist())[order]
-    nodes = np.flatnonzero(role == 2)
-    found_id: list[int] = []
-    found_n: list[int] = []
+    x = _matrix(table["v"], len(ids))
+    nodes, asks = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+    nodes, asks = nodes[np.argsort(ids[nodes], kind="stable")], asks[np.argsort(ids[asks], kind="stable")]
+    points, met, weight = x[nodes], ids[nodes], n[nodes]
+    back = np.zeros(len(nodes), dtype=np.int64)
+    label = np.arange(len(nodes))
+    counts: list[tuple[np.ndarray, np.ndarray]] = []
     links: list[tuple[int, int]] = []
-    if len(nodes):
-        points, weight = x[nodes], n[nodes]
-        forest = _Forest()
-        step = max(1, 4_000_000 // len(nodes))
-        for a in range(0, len(ids), step):
-            hit = x[a : a + step] @ points.T >= THRESHOLD
-            who, what = np.nonzero(hit)
-            asked, met = ids[a : a + step][who], ids[nodes][what]
-            other = asked != met
-            total = np.bincount(who[other], weights=weight[what[other]], minlength=len(hit)).astype(int)
-            some = np.flatnonzero(total)
-            found_id += ids[a : a + step][some].tolist()
-            found_n += total[some].tolist()
-            links += [(i, j) for i, j in zip(asked[other].tolist(), met[other].tolist(), strict=True) if forest.join(i, j)]
+    step = max(1, 4_000_000 // max(1, len(nodes)))
+    for a in range(0, len(asks) if len(nodes) else 0, step):
+        k = asks[a : a + step]
+        hit = x[k] @ points.T >= THRESHOLD
+        here = np.isin(ids[k], met)
+        hit[here] &= met < ids[k][here][:, None]
+        who, what = np.nonzero(hit)
+        if not len(who):
+            continue
+        total = np.bincount(who, weights=weight[what], minlength=len(k)).astype(np.int64)
+        back += np.bincount(what, weights=n[k][who], minlength=len(nodes)).astype(np.int64)
+        some = np.flatnonzero(total)
+        counts.append((ids[k][some], total[some]))
+        # one link to each part of the stored rows that a question meets, which makes them one part
+        ends = np.searchsorted(who, [some, some + 1])
+        for i, first, last in zip(some, *ends, strict=True):
+            js = what[first:last]
+            parts, at = np.unique(label[js], return_index=True)
+            links += [(int(ids[k[i]]), int(met[j])) for j in js[at]]
+            if len(parts) > 1:
+                label[np.isin(label, parts)] = parts[0]
+    some = np.flatnonzero(back)
+    counts.append((met[some], back[some]))
+    found_id, found_n = (np.concatenate(z) for z in zip(*counts, strict=True))
     return pa.table(
         {
-            "vec_id": pa.array(found_id + [a for a, _ in links], pa.int64()),
-            "n": pa.array(found_n + [0] * len(links), pa.int64()),
+            "vec_id": pa.array(found_id.tolist() + [a for a, _ in links], pa.int64()),
+            "n": pa.array(found_n.tolist() + [0] * len(links), pa.int64()),
             "other": pa.array([None] * len(found_id) + [b for _, b in links], pa.int64()),
         }
     )
@@ -153,11 +201,12 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     k = max(1, min(CENTRES, len(sample), math.ceil(count / SHARD)))
     middles = centres(sample, k)
     flat = one.select(F.col("rep").alias("vec_id"), "v", "n")
-    fields = "shard int, slice int, role int, vec_id long, n long, v array<double>"
-    # how many vectors each shard stores decides into how many slices it is dealt; one small row per shard
-    held = flat.mapInArrow(_route(middles, {}), fields).where("role > 0").groupBy("shard").agg(F.count(F.lit(1)).alias("m")).collect()
-    slices = {r["shard"]: math.ceil(r["m"] / (4 * SHARD)) for r in held}
-    routed = staged(flat.mapInArrow(_route(middles, slices), fields), "routed")
+    housed = staged(flat.mapInArrow(_house(middles), "vec_id long, n long, home int, angle double, v array<double>"), "housed")
+    # what each shard stores gives its bounds and the number of its slices; one small row per shard
+    low, high, slices = np.full(k, 9.0), np.full(k, -9.0), np.ones(k, dtype=int)
+    for r in housed.groupBy("home").agg(F.count(F.lit(1)).alias("m"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():
+        low[r["home"]], high[r["home"]], slices[r["home"]] = r["low"], r["high"], math.ceil(r["m"] / (4 * SHARD))
+    routed = housed.mapInArrow(_route(middles, low, high, slices), "shard int, slice int, role int, vec_id long, n long, v array<double>")
     found = staged(routed.groupBy("shard", "slice").applyInArrow(_search, "vec_id long, n long, other long"), "found")
     counts = found.where("other is null").groupBy("vec_id").agg(F.sum("n").alias("met"))
     parts = components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))

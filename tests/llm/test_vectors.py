@@ -72,3 +72,16 @@ def test_tight_groups_are_no_islands(spark):
     rows = [(150 * k + j, (v + rng.normal(size=64) * 0.02).tolist()) for k, v in enumerate(base) for j in range(150)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links.link_vectors(table(spark, rows)).collect()}
     assert got == {i: (149, i - i % 150) for i, _ in rows}
+
+
+def test_links_across_many_shards_are_whole(spark, monkeypatch):
+    """Over a hundred shards of directions without clusters: partners' homes may be any two of them."""
+    monkeypatch.setattr(vector_links, "SHARD", 10)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(700, 64))
+    rows = [(k, v.tolist()) for k, v in enumerate(base)] + [(1000 + k, (v + rng.normal(size=64) * 0.4).tolist()) for k, v in enumerate(base[:500])]
+    rows += [(2000 + k, (base[0] + rng.normal(size=64) * 0.01).tolist()) for k in range(100)]
+    got = {r.vec_id: r.n_links for r in vector_links.link_vectors(table(spark, rows)).collect()}
+    x = np.array([np.float32(v) for _, v in rows], dtype=float)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    assert got == dict(zip([i for i, _ in rows], ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist(), strict=True))
