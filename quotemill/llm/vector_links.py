@@ -3,6 +3,7 @@
 1. Vectors that cannot be compared are set aside, equal ones collapsed to one representative with a weight.
 2. Centres of clusters are fitted on a bounded sample. Every vector is *stored* in the shard of its nearest centre. A shard that a hot cluster
    makes too large is dealt into slices by id; whoever asks the shard asks all its slices.
+   Those who ask are dealt into blocks by id, and a slice's rows are sent to each block, so neither side of a task grows with the data.
 3. Every vector asks all shards but those that two exact bounds (angles to the centre, planes half-way between centres) show to hold no partner
    of it; of two shards only one asks the other. It is scored, in double precision, against every vector stored there. No walk over a
    graph of neighbours stands between: it cannot enter a tight group that has no edge to the rest, and scoring a slice is one product of matrices.
@@ -109,15 +110,30 @@ def _asked(x: np.ndarray, home: np.ndarray, middles: np.ndarray, low: np.ndarray
     return may
 
 
+def _demand(middles: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """How many vectors ask each shard, a row per batch and shard."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                home = np.asarray(batch.column(2))
+                total = _asked(_matrix(batch.column(4), len(home)), home, middles, low, high).sum(axis=0)
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["shard", "m"])
+
+    return run
+
+
 def _mixed(ids: np.ndarray, times: int) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(times) >> np.uint64(20)).astype(np.int64)
 
 
-KINDS = {"shard": pa.int32(), "slice": pa.int32(), "role": pa.int32(), "vec_id": pa.int64(), "n": pa.int64(), "v": pa.list_(pa.float64())}
+KINDS = {"shard": pa.int32(), "slice": pa.int32(), "block": pa.int32(), "role": pa.int32(), "vec_id": pa.int64(), "n": pa.int64(), "v": pa.list_(pa.float64())}
 
 
-def _route(middles: np.ndarray, low: np.ndarray, high: np.ndarray, slices: np.ndarray):
-    """A row for each slice where a vector is stored (role 1) or asks (role 0). Of two slices of a shard, the later asks the earlier."""
+def _route(middles: np.ndarray, low: np.ndarray, high: np.ndarray, slices: np.ndarray, blocks: np.ndarray):
+    """A row for each slice that a vector asks (role 0), and one for each block of those who ask the slice where it is stored (role 1).
+    Of two slices of a shard, the later asks the earlier."""
 
     def run(batches):
         for batch in batches:
@@ -130,17 +146,20 @@ def _route(middles: np.ndarray, low: np.ndarray, high: np.ndarray, slices: np.nd
             times = np.where(shard == home[who], own[who] + 1, slices[shard])
             who, shard = np.repeat(who, times), np.repeat(shard, times)
             part = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+            block = _mixed(ids, 2246822519)[who] % blocks[shard]
             role = np.zeros(len(who), dtype=int)
-            who, shard, part, role = (np.concatenate(z) for z in ((who, np.arange(len(ids))), (shard, home), (part, own), (role, np.ones(len(ids), dtype=int))))
+            to = np.repeat(np.arange(len(ids)), blocks[home])
+            each = np.arange(len(to)) - np.repeat(np.cumsum(blocks[home]) - blocks[home], blocks[home])
+            who, shard, part, block, role = (np.concatenate(z) for z in ((who, to), (shard, home[to]), (part, own[to]), (block, each), (role, np.ones(len(to), dtype=int))))
             for a in range(0, len(who), ROWS):
                 k = who[a : a + ROWS]
-                yield _columns({"shard": shard[a : a + ROWS], "slice": part[a : a + ROWS], "role": role[a : a + ROWS], "vec_id": ids[k], "n": w[k], "v": _lists(x[k])}, KINDS)
+                yield _columns({"shard": shard[a : a + ROWS], "slice": part[a : a + ROWS], "block": block[a : a + ROWS], "role": role[a : a + ROWS], "vec_id": ids[k], "n": w[k], "v": _lists(x[k])}, KINDS)
 
     return run
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """Every question against every stored row of one slice. A pair is met once and counts for both; two rows stored here are met from the larger id."""
+    """Every question of one block against every stored row of one slice. A pair is met once and counts for both; two rows stored here are met from the larger id."""
     ids, role, n = (np.asarray(table[c]) for c in ("vec_id", "role", "n"))
     x = _matrix(table["v"], len(ids))
     nodes, asks = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
@@ -206,8 +225,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     low, high, slices = np.full(k, 9.0), np.full(k, -9.0), np.ones(k, dtype=int)
     for r in housed.groupBy("home").agg(F.count(F.lit(1)).alias("m"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():
         low[r["home"]], high[r["home"]], slices[r["home"]] = r["low"], r["high"], math.ceil(r["m"] / (4 * SHARD))
-    routed = housed.mapInArrow(_route(middles, low, high, slices), "shard int, slice int, role int, vec_id long, n long, v array<double>")
-    found = staged(routed.groupBy("shard", "slice").applyInArrow(_search, "vec_id long, n long, other long"), "found")
+    blocks = np.ones(k, dtype=int)
+    for r in housed.mapInArrow(_demand(middles, low, high), "shard int, m long").groupBy("shard").agg(F.sum("m").alias("m")).collect():
+        blocks[r["shard"]] = math.ceil(r["m"] / (4 * SHARD))
+    routed = housed.mapInArrow(_route(middles, low, high, slices, blocks), "shard int, slice int, block int, role int, vec_id long, n long, v array<double>")
+    found = staged(routed.groupBy("shard", "slice", "block").applyInArrow(_search, "vec_id long, n long, other long"), "found")
     counts = found.where("other is null").groupBy("vec_id").agg(F.sum("n").alias("met"))
     parts = components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     reps = one.join(counts, one["rep"] == counts["vec_id"], "left").join(parts, F.col("rep") == F.col("id"), "left")

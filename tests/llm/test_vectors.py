@@ -85,3 +85,21 @@ def test_links_across_many_shards_are_whole(spark, monkeypatch):
     x = np.array([np.float32(v) for _, v in rows], dtype=float)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     assert got == dict(zip([i for i, _ in rows], ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist(), strict=True))
+
+
+def test_no_task_holds_all_who_ask(spark, monkeypatch):
+    """One hot cluster: a task gets a bounded number of rows that ask and of rows stored."""
+    monkeypatch.setattr(vector_links, "SHARD", 25)
+    rng = np.random.default_rng(4)
+    rows = [(k, (np.ones(16) + rng.normal(size=16) * 0.1).tolist()) for k in range(600)] + [(1000 + k, rng.normal(size=16).tolist()) for k in range(300)]
+    inner = vector_links._search
+
+    def bounded(table):
+        assert table.num_rows <= 2 * 2 * 4 * 25, table.num_rows
+        return inner(table)
+
+    monkeypatch.setattr(vector_links, "_search", bounded)
+    got = {r.vec_id: r.n_links for r in vector_links.link_vectors(table(spark, rows)).collect()}
+    x = np.array([np.float32(v) for _, v in rows], dtype=float)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    assert got == dict(zip([i for i, _ in rows], ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist(), strict=True))
