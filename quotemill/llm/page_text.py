@@ -21,15 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements whose content is never text of the page, inline elements, and elements without an end tag.
-HIDDEN = "script|style|noscript|template|textarea|title|svg|iframe|select|object|math|canvas|audio|video"
+# Elements whose content is never text of the page (of the first kind it reaches to the end tag whatever stands between, of the second to
+# the end of the parent at most), inline elements, and elements without an end tag.
+RAW = "script|style|noscript|template|textarea|title|iframe"
+HIDDEN = frozenset("svg select object math canvas audio video".split())
+#: Drawings and formulas end before an opening tag of these, unless one of the second kind is open in them.
+FOREIGN = frozenset("svg math".split())
+LEAVES = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu nobr ol p pre ruby table ul".split())
+HOLDS = frozenset("foreignobject desc annotation-xml mtext mi mo mn ms".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first kind ends an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -43,6 +49,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     out: list[tuple[str, tuple[str, ...], float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    inner: list[str] = []  # elements open from a hidden one on
     linked = in_link = 0
 
     def end_block():
@@ -57,17 +64,38 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     at = 0
     for m in TOKEN.finditer(page):
         text = page[at : m.start()]
-        if text:
+        if text and not inner:
             parts.append(text)
             if in_link:
                 linked += len(text)
         at = m.end()
         tag = m[3] or m[6]
         if tag is None:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not inner:
                 parts.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
+        closed = attributes.endswith("/")
+        if inner:
+            if closing:
+                if tag in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                    continue
+                if tag not in INLINE and all(tag != t for t, _ in stack):
+                    continue
+                inner.clear()  # the end of what the hidden element stands in
+            elif inner[0] in FOREIGN and tag in LEAVES and HOLDS.isdisjoint(inner):
+                inner.clear()
+            else:
+                if tag not in VOID and not (closed and not FOREIGN.isdisjoint([*inner, tag])):
+                    inner.append(tag)
+                continue
+        elif tag in HIDDEN and not closing:
+            if not (closed and tag in FOREIGN):
+                inner.append(tag)
+            continue
+        elif tag in HIDDEN:
+            continue
         if tag == "a":
             in_link = 0 if closing else 1
         if tag in INLINE:
@@ -85,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                     del stack[k:]
                     break
             in_link = 0
-        elif not attributes.endswith("/"):
+        elif not closed:
             if stack and stack[-1][0] == "p":
                 stack.pop()
             if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
@@ -94,7 +122,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             for names in NAMES.findall(attributes):
                 marks += [w.lower() for w in PART.findall("".join(names))]
             stack.append((tag, tuple(marks)))
-    if page[at:]:
+    if page[at:] and not inner:
         parts.append(page[at:])
     end_block()
     return out

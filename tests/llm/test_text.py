@@ -108,3 +108,15 @@ def test_extract_odd_pages(spark, field):
     got = {r.page_id: (r.text, r.n_chars) for r in page_text.extract(df, "page_id", "url", field=field).collect()}
     want = "Title here One & two three four. A bold claim © made here, at some length."
     assert got[3] == (want, len(want)) and got[1] == got[2] == ("", 0) and len(got) == 6
+
+
+@pytest.mark.parametrize(
+    "between",
+    [
+        "<video-player></video-player>", "<object-card></object-card>", "<title-bar></title-bar>", "<select-box/>", "<svg/>", "<svg width='1' />", "<math/>", "<div><svg><g></div>", "<div><video src='x'></div>",
+        "<div><object><div>no</div><param name='a'></div>", "<div><span><canvas></span></div>", "<div><select><option>no<option>no</div>", "<svg><path d='M0 0'/><g>no", "<audio><source src='x'>no</audio>", "<object>no<object>no</object>no</object>",
+    ],
+)
+def test_hidden_elements_end_where_they_end(between):
+    assert [t for t, _, _ in page_text.blocks(f"<p>One.</p>{between}<p>Two.</p>")] == ["One.", "Two."]
+    assert [t for t, _, _ in page_text.blocks("<p>One <svg><title>no</title><g>no</g></svg>and <script>x</script>two.</p>")] == ["One and two."]
