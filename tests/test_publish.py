@@ -236,3 +236,13 @@ def test_floors(spark):
     cells = spark.createDataFrame([("a", 9, 90.0), ("b", 2, 90.0), ("c", 9, 10.0)], "route_code string, n_quotes long, coverage_pct double")
     good, thin = plan.thin_cells(cells, IndexOptions())
     assert [r[0] for r in good.collect()] == ["a"] and thin.count() == 2
+
+
+def test_month_changes_over_a_gap(spark):
+    """A series without May: June is compared with April; a series with May keeps it."""
+    months = [dt.date(2000 + k // 12, k % 12 + 1, 1) for k in range(24)]
+    rows = [("whole", m, 100.0 + k) for k, m in enumerate(months)] + [("gap", m, 100.0 + k) for k, m in enumerate(months) if m.month != 5]
+    out = {(r.series_code, r.period): r for r in vintages.month_changes(spark.createDataFrame(rows, "series_code string, period date, value double")).collect()}
+    assert len(out) == 24 + 22
+    assert out["whole", dt.date(2001, 5, 1)].yoy_pct == pytest.approx(12 / 104 * 100) and out["whole", dt.date(2001, 5, 1)].mom_pct == pytest.approx(1 / 115 * 100)
+    assert out["gap", dt.date(2001, 6, 1)].mom_pct == pytest.approx(2 / 115 * 100) and out["gap", dt.date(2000, 1, 1)].mom_reason == "fewer than two periods"
