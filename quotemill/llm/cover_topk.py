@@ -1,8 +1,9 @@
-"""Exact top-k by inner product: questions and data both in cover trees, walked together.
+"""Exact top-k by inner product: blocks scored in full, rows to rank picked by cover trees.
 
 Vectors are whole numbers (floor of a multiple of each component), so scores are exact integers. Questions come in blocks and data in blocks of
 bounded size, dealt out by id; every block of questions meets every block of data (a stated set of questions against all rows). Within a meeting both
-blocks are cover trees: level by level, nodes are rows of the block with the radius that covers their descendants. For a node pair the inner product
+blocks are cover trees, the questions' used on one level only, the next to last. The data's are gone through level by level, and on each all nodes are
+scored, whether dropped above or not, so pruning saves ranking and no scores: nodes are rows of the block with the radius that covers their descendants. For a node pair the inner product
 of any two rows below is at most <q, x> + |q| r_x + |x| r_q + r_q r_x; the pair is dropped when that is below the worst k-th score of the question node's rows.
 Centres are rows themselves, so their scores sharpen the k-th scores on the way down. Each meeting sends the k best per question; the best k of
 those are the answer, ties to the smaller id.
