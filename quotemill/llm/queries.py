@@ -11,7 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quotemill.llm import bpe_codec, chat_trees, cover_topk, minhash_dedup, packing, page_text, quality, suffix_dedup, surrogates, vector_links
+from quotemill.llm import (
+    bpe_codec,
+    chat_trees,
+    cover_topk,
+    minhash_dedup,
+    packing,
+    page_text,
+    periodic_runs,
+    quality,
+    suffix_dedup,
+    surrogates,
+    vector_links,
+)
 from quotemill.llm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +185,34 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the words of every tenth document, by its id's checksum, periodic from some word on. A row without an id stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    block = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    tail = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), block), F.lit(1), n), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), tail).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, and the text left of it."""
+    found = periodic_runs.periodic_runs(_with_periodic_tails(table(spark, folder, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The whole corpus pipeline."""
