@@ -20,8 +20,10 @@ from quotemill.llm import (
     page_text,
     periodic_runs,
     quality,
+    secret_scan,
     suffix_dedup,
     surrogates,
+    token_alignment,
     vector_links,
 )
 from quotemill.llm.session import prepare
@@ -185,6 +187,33 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+@query
+def op11_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: matches of the named patterns, and spans of even characters."""
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.NAMED],
+        F.sha2(written(of(*secret_scan.NAMED)), 256).alias("base_sha256"),
+        written(F.col("secrets")).alias("spans"),
+    )
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of two tokenizers on every document cut into groups, with corpus-wide counts of the ids that end together."""
+    return token_alignment.align_and_count(
+        table(spark, folder, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        pattern=public_tokenizers.PATTERN,
+        digests=True,
+    ).withColumnRenamed("groups", "groups_sha256")
+
+
 def _with_periodic_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the words of every tenth document, by its id's checksum, periodic from some word on. A row without an id stays as it is."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
