@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from quotemill import schemas
@@ -9,6 +10,7 @@ from quotemill.catalog import views as V
 from quotemill.catalog.registry import query
 from quotemill.catalog.views import with_views
 from quotemill.functions import hashing
+from quotemill.functions.staging import scratch_path
 from quotemill.sources import drift, extracts, ledger, payloads
 
 
@@ -414,6 +416,67 @@ def ledger_append(spark, d):
     return ledger.new_quotes(sent, held).groupBy(F.year("query_date").alias("y")).agg(F.count(F.lit(1)).alias("new_quotes"))
 
 
+@query(
+    "s15_ledger_writers",
+    with_views(
+        "SELECT query_month AS month, count(*) AS quotes, count(*) AS keys, 2 AS batches FROM (SELECT DISTINCT quote_id, query_month FROM fx_quote) GROUP BY 1",
+        "fx_quote",
+    ),
+)
+def ledger_writers(spark, d):
+    """A batch is appended, and sent once more under its name. Then two writers at once append what is in no or one batch so far; both send every row twice, and
+    months overlap. Each key is in the ledger once."""
+    q = V.quotes(spark, d, "quote_id", "query_month").select(
+        "query_month", F.col("query_month").cast("timestamp").alias("collected_at"), hashing.sha256_text(F.col("quote_id")).alias("content_hash")
+    )
+    odd = F.month("query_month") % 2 == 1
+    path = scratch_path(spark, "ledger")
+    again = [ledger.append_quotes(q.where(odd), path, "first") for _ in range(2)]
+    twice = q.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    at_once = [InheritableThread(target=ledger.append_quotes, args=(twice, path, name)) for name in ("second", "third")]
+    for t in at_once:
+        t.start()
+    for t in at_once:
+        t.join()
+    out = ledger.read_ledger(spark, path).groupBy(F.col("query_month").alias("month")).agg(
+        F.count(F.lit(1)).alias("quotes"), F.count_distinct("content_hash").alias("keys")
+    )
+    return out.withColumn("batches", F.lit(1 + again.count(True)))
+
+
+@query(
+    "s17_run_round_trip",
+    with_views(
+        """SELECT 'index_value' AS table_name, series_code AS name, index_run_id AS run, count(*) AS n, sum(n_quotes) AS total FROM fx_index_value GROUP BY ALL
+UNION ALL SELECT 'revision_log', series_code, reason, count(*), count(old_value) FROM fx_revision GROUP BY ALL
+UNION ALL SELECT 'skipped_cells', route_code, status, count(*), count(DISTINCT query_date) FROM fx_attempt WHERE status <> 'SUCCEEDED' GROUP BY ALL""",
+        "fx_index_value", "fx_revision", "fx_attempt",
+    ),
+)
+def run_round_trip(spark, d):
+    """A run's tables are written, written again with other rows, and fail twice between two tables, once under a name of their own. Values, log and skips
+    read back are those of the second time."""
+    values = V.index_values(spark, d).withColumnRenamed("index_run_id", "run")
+    frames = {"index_value": values, "revision_log": V.revisions(spark, d), "skipped_cells": V.attempts(spark, d).where(F.col("status") != "SUCCEEDED")}
+    out = scratch_path(spark, "runs")
+    ledger.write_run({name: df.limit(7) for name, df in frames.items()}, out, "run", {"turn": 1})
+    ledger.write_run(frames, out, "run", {"turn": 2})
+    lost = {"index_value": values.limit(3), "revision_log": frames["revision_log"].withColumn("reason", F.raise_error(F.lit("lost job")).cast("string"))}
+    for name in ("run", "other"):
+        try:
+            ledger.write_run(lost, out, name, {"turn": 3})
+        except Exception as exc:
+            if "lost job" not in str(exc):
+                raise
+    read = lambda name: ledger.read_run_table(spark, out, name).where(F.col("index_run_id") == "run")
+    count = F.count(F.lit(1)).alias("n")
+    return (
+        read("index_value").groupBy(F.lit("index_value").alias("table_name"), F.col("series_code").alias("name"), "run").agg(count, F.sum("n_quotes").alias("total"))
+        .unionByName(read("revision_log").groupBy(F.lit("revision_log").alias("table_name"), F.col("series_code").alias("name"), F.col("reason").alias("run")).agg(count, F.count("old_value").alias("total")))
+        .unionByName(read("skipped_cells").groupBy(F.lit("skipped_cells").alias("table_name"), F.col("route_code").alias("name"), F.col("status").alias("run")).agg(count, F.count_distinct("query_date").alias("total")))
+    )
+
+
 # --- hashes and URLs -------------------------------------------------------------------------
 
 _M = lambda c: f"coalesce('\"' || ({c} // 100) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0') || '\"', 'null')"

@@ -1,71 +1,79 @@
-"""Schema drift of JSON payloads: key paths found against key paths expected.
+"""Drift of JSON payloads: the key paths of a body against those its source is known for.
 
-Paths are written with dots, and ``[]`` stands for any element of a list: which element it was makes
-no difference.
+A path joins keys by dots; ``[]`` after a path stands for the elements of a list, all alike. Bodies of a source repeat few shapes, so a
+body is first reduced to its shape, the type text of its parsed form, and only distinct shapes are unfolded into paths. A list that mixes objects
+with other values has no common type; such a body is its own shape. All of it is column expressions, at any depth of nesting.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.functions.core import null_safe_join
+from quotemill.functions.staging import staged
 
-class Shape(frozenset):
-    """Key paths of a JSON object, seen from that object."""
+#: A type text that leaves the inside of some list open.
+_OPEN = r"(?:^|<|: )VARIANT(?:$|[,>])"
 
+#: What matters in a type text (names, plain or between back quotes, before a colon; objects and lists; their ends) and in a JSON text (strings,
+#: those before a colon being keys; brackets). What one of the two does not use cannot occur in it outside its quotes.
+_TOKENS = r'"(?:[^"\\]++|\\.)*+"\s*+:?|`(?:[^`]++|``)*+`:|[A-Za-z0-9_]+:|OBJECT<|ARRAY<|[{}\[\]>]'
 
-def _below(value) -> set[str]:
-    """What a value adds to the path that leads to it."""
-    if isinstance(value, Shape):
-        return {f".{p}" for p in value}
-    return {f"[]{tail}" for item in value for tail in _below(item)} if isinstance(value, list) else set()
 
+def _name(token: Column) -> Column:
+    """The key that a token ending in a colon stands for."""
+    bare = F.rtrim(F.substring(token, F.lit(1), F.length(token) - 1))
+    inner = F.substring(bare, F.lit(2), F.length(bare) - 2)
+    unescaped = F.get(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>"), F.lit(0))
+    return (
+        F.when(bare.startswith('"'), F.when(bare.contains("\\"), unescaped).otherwise(inner))
+        .when(bare.startswith("`"), F.replace(inner, F.lit("``"), F.lit("`")))
+        .otherwise(bare)
+    )
 
-def _shape(members: list[tuple[str, object]]) -> Shape:
-    """The parser closes inner objects first and hands over their shapes as values."""
-    return Shape(p for key, value in dict(members).items() for p in (key, *(key + tail for tail in _below(value))))
 
+def _read(token: Column) -> Column:
+    """What a token does, and the name of a key."""
+    kind = F.when(token.isin("{", "OBJECT<"), "object").when(token.isin("[", "ARRAY<"), "list").when(token.isin("}", "]", ">"), "end").when(token.endswith(":"), "key")
+    return F.struct(kind.alias("kind"), F.when(token.endswith(":"), _name(token)).alias("name"))
 
-def key_paths(text: str) -> set[str]:
-    """Key paths of a JSON text. Values are never kept: every object turns into its shape as soon as it is read."""
-    top = json.loads(text, object_pairs_hook=_shape)
-    return set(top) if isinstance(top, Shape) else _below(top)
 
+def key_paths(shape: Column) -> Column:
+    """The sorted distinct key paths of a shape, read from left to right with a stack of the paths that lead to the open objects and lists."""
+    texts, none = "array<string>", F.lit(None).cast("string")
+    tokens = F.filter(F.transform(F.regexp_extract_all(shape, F.lit(_TOKENS), F.lit(0)), _read), lambda t: t["kind"].isNotNull())
+    start = F.struct(F.array().cast(texts).alias("stack"), F.array().cast(texts).alias("paths"), none.alias("led"))
 
-def payload_shapes(payloads: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
-    """(keys, paths): the sorted distinct key paths of each body, null where it is not JSON.
+    def step(s: Column, token: Column) -> Column:
+        kind = token["kind"]
+        above = F.try_element_at(s["stack"], F.lit(-1))
+        # by its key, or as an element of the list above
+        led = F.coalesce(s["led"], above, F.lit(""))
+        path = F.concat(F.when(above != "", F.concat(above, F.lit("."))).otherwise(""), token["name"])
+        opened = F.array_append(s["stack"], F.when(kind == "list", F.concat(led, F.lit("[]"))).otherwise(led))
+        return F.struct(
+            F.when(kind == "key", s["stack"]).when(kind == "end", F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1)).otherwise(opened).alias("stack"),
+            F.when(kind == "key", F.array_union(s["paths"], F.array(path))).otherwise(s["paths"]).alias("paths"),
+            F.when(kind == "key", path).alias("led"),
+        )
 
-    Nesting is unbounded, which no built-in expression unfolds, so bodies pass through Python in
-    Arrow batches, one body at a time; a payload stays one row.
-    """
-    df = payloads.select(*keys, body)
-    schema = ", ".join([*[f"{k} {df.schema[k].dataType.simpleString()}" for k in keys], "paths array<string>"])
+    return F.array_sort(F.reduce(tokens, start, step, lambda s: s["paths"]))
 
-    def shape(text: str | None) -> list[str] | None:
-        try:
-            return sorted(key_paths(text))
-        except (TypeError, ValueError):
-            return None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths = pa.array([shape(t) for t in batch.column(len(keys)).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], paths], [*keys, "paths"])
-
-    return df.mapInArrow(run, schema)
+def payload_shapes(payloads: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
+    """(keys, shape) of each payload: the type text of its JSON body, or the body itself where types leave something open; null where it is not
+    JSON. A body that names a key of one object twice counts as not JSON."""
+    told = payloads.select(*keys, F.col(body).alias("__body"), F.schema_of_variant(F.try_parse_json(body)).alias("__told"))
+    return told.select(*keys, F.when(F.col("__told").rlike(_OPEN), F.col("__body")).otherwise(F.col("__told")).alias("shape"))
 
 
 def shape_difference(payloads: DataFrame, expected: DataFrame, keys: Sequence[str] = ("source_code",)) -> DataFrame:
-    """(keys, key_path, change): paths ``added`` to or ``removed`` from the expected set per key.
-
-    Payloads repeat a few shapes, so shapes are made distinct before they are unfolded.
-    """
-    shapes = payload_shapes(payloads, list(keys)).distinct()
-    found = shapes.select(*keys, F.explode("paths").alias("key_path")).distinct()
+    """(keys, key_path, change): paths ``added`` to or ``removed`` from the expected set per key."""
+    shapes = payload_shapes(payloads, keys).where(F.col("shape").isNotNull()).distinct()
+    found = shapes.select(*keys, F.explode(key_paths(F.col("shape"))).alias("key_path")).distinct()
     known = expected.select(*keys, "key_path").distinct()
     on = [*keys, "key_path"]
     return found.join(known, on, "left_anti").withColumn("change", F.lit("added")).unionByName(
@@ -76,23 +84,25 @@ def shape_difference(payloads: DataFrame, expected: DataFrame, keys: Sequence[st
 def drifted_payloads(
     payloads: DataFrame, expected: DataFrame, key: str = "payload_id", source: str = "source_code"
 ) -> DataFrame:
-    """Payloads whose shape differs from their source's expected paths, with both differences.
+    """Payloads whose shape differs from their source's expected paths, with the number of paths on either side of the difference.
 
-    The expected paths of a source are configuration, a few dozen texts, carried as one array per
-    source; payloads are compared row by row and not shuffled.
+    Bodies are parsed once, into a written table of shapes, which repeat and take little room; each distinct (source, shape) is judged once.
     """
+    shapes = staged(payload_shapes(payloads, [key, source]), "shapes")
+    # the expected paths of a source are configuration, a few dozen texts
     known = expected.groupBy(source).agg(F.collect_set("key_path").alias("__known"))
-    j = payload_shapes(payloads, [key, source]).join(known, source, "left")
-    want = F.coalesce("__known", F.array().cast("array<string>"))
-    got = F.coalesce("paths", F.array().cast("array<string>"))
-    out = j.select(
-        key,
-        source,
-        F.size(F.array_except(got, want)).cast("long").alias("added_paths"),
-        F.size(F.array_except(want, got)).cast("long").alias("removed_paths"),
-        F.col("paths").isNull().alias("not_json"),
+    empty = F.array().cast("array<string>")
+    judged = shapes.select(source, "shape").distinct().join(known, source, "left").select(
+        source, "shape", F.coalesce(key_paths(F.col("shape")), empty).alias("__got"), F.coalesce("__known", empty).alias("__want")
     )
-    return out.where((F.col("added_paths") > 0) | (F.col("removed_paths") > 0) | F.col("not_json"))
+    verdicts = judged.select(
+        source,
+        "shape",
+        F.size(F.array_except("__got", "__want")).cast("long").alias("added_paths"),
+        F.size(F.array_except("__want", "__got")).cast("long").alias("removed_paths"),
+        F.col("shape").isNull().alias("not_json"),
+    ).where((F.col("added_paths") > 0) | (F.col("removed_paths") > 0) | F.col("not_json"))
+    return null_safe_join(shapes, verdicts, [source, "shape"]).select(key, source, "added_paths", "removed_paths", "not_json")
 
 
 def quarantine_split(payloads: DataFrame, drifted: DataFrame, key: str = "payload_id") -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,18 @@
-"""Append-only quote ledger and the tables a collection or index run leaves behind."""
+"""Append-only quote ledger and the tables a collection or index run leaves behind.
+
+Both keep a log of commits (``commits``): rows count from the moment their attempt has an entry, all at once or not at all.
+"""
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.sources import commits
+
 LEDGER_KEY = ("content_hash", "collected_at")
 
 
@@ -19,25 +24,41 @@ def new_quotes(incoming: DataFrame, existing: DataFrame | None) -> DataFrame:
     return fresh.join(existing.select(*LEDGER_KEY), list(LEDGER_KEY), "left_anti")
 
 
-def _holds_files(spark: SparkSession, path: str) -> bool:
-    """Is there anything under ``path``? Only then is it read, so that an unreadable ledger is an error and not a first load."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return store.exists(at) and len(store.listStatus(at)) > 0
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The quotes of all committed batches."""
+    return commits.read_attempts(spark, path).join(commits.entries(spark, path).select("attempt"), "attempt", "left_semi").drop("attempt")
+
 
+def append_quotes(incoming: DataFrame, path: str, batch_id: str | None = None) -> bool:
+    """Append a batch to the ledger, partitioned by collection day. Keys already there are skipped; only the days present in the batch
+    are read back. False if the batch was there before: a batch is appended once, however often it is sent.
 
-def append_quotes(incoming: DataFrame, path: str) -> None:
-    """Append to the ledger, partitioned by collection day. Rows already there are skipped; only
-    the days present in the batch are read back."""
+    Two writers may append at once. The one that commits second looks at what the first has added: if a day is in both, its own attempt may hold
+    keys that are in the ledger by now, so it is thrown away and made again; otherwise it stands.
+    """
     spark = incoming.sparkSession
-    day = F.to_date("collected_at")
-    batch = incoming.withColumn("collected_day", day)
-    existing = None
-    if _holds_files(spark, path):
-        existing = spark.read.parquet(path)
-        days = batch.select("collected_day").distinct()
-        existing = existing.join(days, "collected_day", "left_semi")
-    new_quotes(batch, existing).write.mode("append").partitionBy("collected_day").parquet(path)
+    batch_id = batch_id or uuid.uuid4().hex
+    batch = incoming.withColumn("collected_day", F.to_date("collected_at"))
+    days = batch.select("collected_day").distinct()
+    while True:
+        seen = commits.last_version(spark, path)
+        done = commits.entries(spark, path)
+        if seen and not done.where(F.col("key") == batch_id).isEmpty():
+            return False
+        existing = read_ledger(spark, path).join(days, "collected_day", "left_semi") if seen else None
+        attempt = commits.new_attempt()
+        folder = f"{path}/attempt={attempt}"
+        new_quotes(batch, existing).hint("rebalance", "collected_day").write.partitionBy("collected_day").parquet(folder)
+        # one text a day of the batch: the calendar bounds them
+        touched = sorted(str(r.collected_day) for r in days.toLocalIterator())
+
+        def clash(newer: DataFrame, touched=touched) -> bool:
+            theirs = newer.select("key", F.explode(F.split("touched", ";")).alias("day"))
+            return not theirs.where(F.col("day").isin(touched) | (F.col("key") == batch_id)).isEmpty()
+
+        if commits.commit(spark, path, batch_id, attempt, seen, touched, clash=clash):
+            return True
+        commits.discard_attempt(spark, [folder])
 
 
 def scan_window(quotes: DataFrame, start: Column, as_of: Column, columns: list[str] | None = None) -> DataFrame:
@@ -55,18 +76,31 @@ def scan_runs(runs: DataFrame, start, end) -> DataFrame:
 
 
 def write_run(frames: Mapping[str, DataFrame], out: str, run_id: str, meta: Mapping[str, object]) -> None:
-    """Write every table of a run under ``out/<table>/index_run_id=<run_id>`` and commit by writing
-    the manifest last. Readers trust only runs with a manifest, so a lost job leaves nothing visible."""
-    spark = None
-    for name, df in frames.items():
-        spark = spark or df.sparkSession
-        df.write.mode("overwrite").parquet(f"{out}/{name}/index_run_id={run_id}")
-    manifest = json.dumps({"index_run_id": run_id, "tables": sorted(frames), **meta}, default=str)
-    row = spark.createDataFrame([(run_id, manifest)], "index_run_id string, manifest string")
-    row.coalesce(1).write.mode("overwrite").parquet(f"{out}/_committed/index_run_id={run_id}")
+    """Write every table of a run under ``out/<table>/index_run_id=<run_id>@<attempt>`` and commit all of them by one entry.
+
+    A run written again replaces its tables at that moment; until then, and if a table fails, readers go on seeing the earlier ones whole. Of two
+    writers of one run the later entry counts.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    attempt = commits.new_attempt()
+    seen = commits.last_version(spark, out)
+    folders = {name: f"{out}/{name}/index_run_id={run_id}@{attempt}" for name in frames}
+    try:
+        for name, df in frames.items():
+            df.write.parquet(folders[name])
+    except Exception:
+        commits.discard_attempt(spark, list(folders.values()))
+        raise
+    commits.commit(spark, out, run_id, attempt, seen, detail={"tables": sorted(frames), **meta})
+
+
+def committed_runs(spark: SparkSession, out: str) -> DataFrame:
+    """(index_run_id, attempt, detail) of every committed run; ``detail`` is its manifest, as JSON."""
+    return commits.latest(spark, out).withColumnRenamed("key", "index_run_id")
 
 
 def read_run_table(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """Rows of all committed runs of one table."""
-    done = spark.read.parquet(f"{out}/_committed").select("index_run_id").distinct()
-    return spark.read.parquet(f"{out}/{table}").join(done, "index_run_id", "left_semi")
+    """Rows of all committed runs of one table, each from the attempt committed last."""
+    done = committed_runs(spark, out).select(F.concat_ws("@", "index_run_id", "attempt").alias("__folder"), F.col("index_run_id").alias("__run"))
+    rows = commits.read_attempts(spark, f"{out}/{table}").withColumnRenamed("index_run_id", "__folder")
+    return rows.join(done, "__folder").drop("__folder").withColumnRenamed("__run", "index_run_id")

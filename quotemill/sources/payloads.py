@@ -43,6 +43,8 @@ struct<flights: array<struct<
 EMBEDDED_PATTERN = r"(?s)window\.__FARE_DATA__\s*=\s*(\{.*?\})\s*;"
 CARD_CLASS = "fareCard"
 EMPTY_CLASS = "noFlights"
+#: Mark between cards: a control character that HTML does not allow.
+_CUT = "\x01"
 
 
 # The cabins a fare may name; any other refuses its payload.
@@ -146,14 +148,15 @@ def _with_class(tag: str, name: str) -> str:
 
 def _plain(text: Column) -> Column:
     """Character references of markup characters, quotes and blanks decoded; trimmed."""
+    read = text
     for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(mark), F.lit(char))
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+        read = F.replace(read, F.lit(mark), F.lit(char))
+    return F.btrim(F.when(text.contains("&"), read).otherwise(text), F.lit(" \t\n\x0b\f\r"))
 
 
 def _attribute(card: Column, name: str) -> Column:
     """Attribute of the tag that opens the card, null where it has none."""
-    return _plain(F.get(F.regexp_extract_all(card["tag"], F.lit(rf"""\s{name}\s*=\s*["']([^"']*)["']"""), F.lit(1)), F.lit(0)))
+    return F.get(card["values"], (F.array_position(card["attributes"], name) - 1).cast("int"))
 
 
 def _text(card: Column, name: str) -> Column:
@@ -185,17 +188,27 @@ def map_cards(payloads: DataFrame) -> DataFrame:
             refundable=F.lower(_text(c, "refundable")) == "true",
         )
 
-    opening = _with_class("div", CARD_CLASS)
-    cards = F.regexp_extract_all("body", F.lit(rf"(?s){opening}.*?(?={opening}|\z)"), F.lit(0))
-    tagged = _with_class("[A-Za-z][A-Za-z0-9]*", CARD_CLASS + r"__(\w+)")
-    part = rf"(?s){tagged}([^<]+)<"
-    # every card is read once: names and texts of its tagged elements
+    # one pass sets a mark before each card's opening tag, and the body is split there; what stands before the first is no card
+    marked = F.regexp_replace(F.replace("body", F.lit(_CUT), F.lit("")), f"({_with_class('div', CARD_CLASS)})", f"{_CUT}$1")
+    cards = F.slice(F.split(marked, _CUT), F.lit(2), F.lit(2**30))
+    tagged = "^" + _with_class("[A-Za-z][A-Za-z0-9]*", CARD_CLASS + r"__(\w+)")[1:]
+
+    def tagged_texts(card: Column) -> Column:
+        """Names and texts of the tagged elements; a tag and the text behind it are one piece between two opening brackets."""
+        pieces = F.filter(F.split(card, "<"), lambda p: p.contains(CARD_CLASS + "__"))
+        read = lambda p: F.struct(F.regexp_extract(p, tagged, 1).alias("name"), p.substr(F.instr(p, ">") + 1, F.length(p)).alias("text"))
+        return F.filter(F.transform(pieces, read), lambda t: (t["name"] != "") & (t["text"] != ""))
+
+    # every card is read once: first its parts, then names and decoded texts, then the fields
+    parts = F.transform(cards, lambda c: F.struct(F.substring_index(c, ">", 1).alias("tag"), tagged_texts(c).alias("tagged")))
+    attribute = r"""\s(data-[a-z-]+)\s*=\s*["']([^"']*)["']"""
     read = F.transform(
-        cards,
+        parts,
         lambda c: F.struct(
-            F.regexp_extract(c, "^<[^>]*>", 0).alias("tag"),
-            F.regexp_extract_all(c, F.lit(part), F.lit(1)).alias("names"),
-            F.transform(F.regexp_extract_all(c, F.lit(part), F.lit(2)), _plain).alias("texts"),
+            F.regexp_extract_all(c["tag"], F.lit(attribute), F.lit(1)).alias("attributes"),
+            F.transform(F.regexp_extract_all(c["tag"], F.lit(attribute), F.lit(2)), _plain).alias("values"),
+            c["tagged"]["name"].alias("names"),
+            F.transform(c["tagged"]["text"], _plain).alias("texts"),
         ),
     )
     return _whole_payloads(payloads, F.transform(read, quote), "html_cards")

@@ -177,9 +177,37 @@ def test_a_faulty_quote_refuses_its_payload(spark):
     assert outcomes == {"2": "shape_mismatch", "4": "shape_mismatch", "5": "shape_mismatch", "6": "empty_result", "7": "shape_mismatch"}
 
 
-def test_key_paths():
-    assert drift.key_paths('{"a": [{"b": 1}, {"c": {"d": 2}}], "e": 1}') == {"a", "a[].b", "a[].c", "a[].c.d", "e"}
-    assert drift.key_paths('[[{"x": 1}]]') == {"[][].x"}
+def flat(value, prefix=""):
+    """Key paths of a parsed JSON value by recursion."""
+    if isinstance(value, dict):
+        return {p for k, v in value.items() for q in [f"{prefix}.{k}" if prefix else k] for p in {q} | flat(v, q)}
+    return {p for v in value for p in flat(v, prefix + "[]")} if isinstance(value, list) else set()
+
+
+def test_key_paths(spark):
+    texts = [
+        '{"a": [{"b": 1}, {"c": {"d": 2}}], "e": 1}', '[[{"x": 1}]]', '{"m": [1, {"x": {"y": [[], {"z}": "]"}]}}], "n" :{"o":[{"p":1}]}}', "{}", "[]", "3", "nope", None, '{"a": 1',
+        '{"f g": {"h.i": [], "`q`": {}, "z: STRING, y": 1}, "OBJECT<": [{"VARIANT": 1}]}', '{"u\\u0041\\"": {"v": 1}, "w": ["a:", "{", {"x": "\\\\"}]}',
+        '{"deep": ' + '[{"k": ' * 60 + "1" + "}]" * 60 + "}", '{"é": {"<": 1, ">": {"k": 2}}}',
+    ]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, body string")
+    got = {r.k: r.paths for r in drift.payload_shapes(df, ["k"]).select("k", drift.key_paths(F.col("shape")).alias("paths")).collect()}
+    for k, text in enumerate(texts):
+        try:
+            want = sorted(flat(json.loads(text)))
+        except (TypeError, ValueError):
+            want = None
+        assert got[k] == want, text
+
+
+def test_drift_is_judged_by_shape(spark):
+    rows = [("1", "s", '{"a": 1, "b": [{"c": 2}]}'), ("2", "s", '{"a": "x", "b": [{"c": 2}, {"d": 2}]}'), ("3", "s", '{"a": 1}'), ("4", "s", "cut"), ("5", "t", '{"z": 1}'), ("6", "s", '{"b": [1, {"c": 1}], "a": 0}'), ("7", "s", None)]
+    df = spark.createDataFrame(rows, "payload_id string, source_code string, body string")
+    known = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "b[].c")], "source_code string, key_path string")
+    out = drift.drifted_payloads(df, known)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.payload_id: (r.added_paths, r.removed_paths, r.not_json) for r in out.collect()}
+    assert got == {"2": (1, 0, False), "3": (0, 2, False), "4": (0, 3, True), "5": (1, 0, False), "7": (0, 3, True)}
 
 
 def test_ledger_is_append_only_and_unique(spark, tmp_path):
