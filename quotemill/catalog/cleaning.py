@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from quotemill.catalog import views as V
 from quotemill.catalog.registry import query
 from quotemill.catalog.views import with_views
 from quotemill.config import ADVANCE_WINDOWS, CleaningOptions, GateOptions
-from quotemill.functions.staging import staged
+from quotemill.functions.staging import scratch_path, staged
 from quotemill.operators import analytics, cleaning, gates, missing
 from quotemill.plans.cleaning_run import clean_quotes
 
@@ -511,6 +512,49 @@ def clean_rules(spark, d):
     return gates.rule_report(c, {k: gates.CLEAN_RULES[k] for k in ("imputed_has_method", "outlier_has_rule")})
 
 
+# one table per set of rules; faults come from the values themselves
+_RULED = {
+    "clean_quote": (
+        gates.CLEAN_RULES,
+        """SELECT CASE WHEN linenumber <> 5 THEN quote_id END AS quote_id, partkey % 7 = 0 AS is_imputed, CASE WHEN partkey % 3 = 0 THEN 'rule' END AS imputation_method, refundable AS is_outlier,
+  CASE WHEN stops > 0 THEN 'rule' END AS outlier_rule, CAST(linenumber * 4 - 1 AS INT) AS dep_hour_bucket, CAST(linenumber - 2 AS INT) AS stops FROM fx_quote""",
+    ),
+    "route": (
+        gates.ROUTE_RULES,
+        "SELECT route_code, origin_iata, dest_iata, CAST(sum(total_c) AS DOUBLE) / 1000000000 / count(DISTINCT query_date) - 0.001 AS pax_share FROM fx_quote GROUP BY ALL",
+    ),
+    "index_value": (
+        gates.VALUE_RULES,
+        "SELECT route_code, query_month, sum(total_c) - 10000000 AS value, count(*) - 3 AS n_quotes, CASE WHEN count(*) > 2 THEN CAST(count(*) AS DOUBLE) END AS coverage_pct FROM fx_quote GROUP BY ALL",
+    ),
+    "collection_run": (
+        gates.RUN_RULES,
+        """SELECT min(collected_at) AS started_at, CASE WHEN count(*) % 5 > 0 THEN max(ship_date) END AS finished_at, CASE count(*) % 4 WHEN 0 THEN 'HALTED' WHEN 1 THEN 'BLOCKED' WHEN 2 THEN 'SUCCEEDED' END AS status,
+  count(*) - 2 AS quotes_collected, max(linenumber) - 2 AS blocked_count FROM fx_quote GROUP BY route_code, query_date""",
+    ),
+    "nowcast": (gates.NOWCAST_RULES, "SELECT query_month, min(total_c) + 100000 AS ci_low, CASE WHEN count(*) % 9 > 0 THEN max(total_c) END AS ci_high FROM fx_quote GROUP BY route_code, query_month"),
+}
+_RULED_SQL = " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{n}' AS rule, count(*) AS row_count, count(CASE WHEN NOT ({e}) THEN 1 END) AS violations FROM {table}_rows"
+    for table, (rules, _) in _RULED.items() for n, e in rules.items()
+)
+
+
+@query("p10_written_rules", with_views(_RULED_SQL, "fx_quote", **{f"{table}_rows": body for table, (_, body) in _RULED.items()}))
+def written_rules(spark, d):
+    """Clean quotes, routes, values, runs and nowcasts are each written once; the counts of their rules come from that write."""
+    V.quotes(
+        spark, d, "quote_id", "linenumber", "partkey", "refundable", "stops", "route_code", "origin_iata", "dest_iata", "total_c", "query_date", "query_month", "collected_at", "ship_date"
+    ).createOrReplaceTempView("fx_quote")
+    reports = []
+    for name, (rules, body) in _RULED.items():
+        path = scratch_path(spark, name)
+        report = gates.write_checked(spark.sql(body), rules, lambda rows, path=path: rows.write.parquet(path))
+        reports.append(report.select(F.lit(name).alias("table_name"), "rule", "row_count", "violations"))
+    spark.catalog.dropTempView("fx_quote")
+    return reduce(lambda a, b: a.unionByName(b), reports)
+
+
 @query(
     "p09_unplaceable_rows",
     with_views("SELECT count(CASE WHEN is_imputed THEN 1 END) AS dropped_rows FROM fx_clean", "fx_clean"),

@@ -80,12 +80,11 @@ WHERE query_month IN (m0, m1) GROUP BY ALL HAVING p_0 IS NOT NULL AND p_t IS NOT
 
 
 def boundary(spark, d):
-    """First and last month of the latest twelve-month window; the newest month is one value read
-    from the orders table (an action on a single column's footer statistics)."""
-    last = V.table(spark, d, "orders").agg(F.max("o_orderdate")).first()[0].date().replace(day=1)
-    start = last.replace(year=last.year - 1, month=last.month + 1) if last.month < 12 else last.replace(month=1)
-    q = V.quotes(spark, d, "route_code", "carrier_iata", "flight_number", "query_month", "total_fare")
-    return elementary.boundary_pairs(q, ["route_code", "carrier_iata", "flight_number"], "query_month", F.lit(start), F.lit(last))
+    """First and last month of the latest twelve-month window; both months are one row beside the quotes."""
+    last = F.trunc(F.max("o_orderdate"), "month")
+    ends = V.table(spark, d, "orders").agg(last.alias("__last"), F.add_months(last, -11).alias("__first"))  # one row
+    q = V.quotes(spark, d, "route_code", "carrier_iata", "flight_number", "query_month", "total_fare").crossJoin(F.broadcast(ends))
+    return elementary.boundary_pairs(q, ["route_code", "carrier_iata", "flight_number"], "query_month", F.col("__first"), F.col("__last"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
@@ -39,6 +41,78 @@ def source_rows(spark, d):
     return extracts.typed(text, schemas.SOURCE)
 
 
+def _commented_csv(rows, header, faulty):
+    """Write rows as a CSV a publisher might send: two provenance lines, a header, texts with commas and quotes in quotes; lines chosen by ``faulty``
+    have a field too many. A dimension table: one file."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "extract")
+    # a field that is null is nothing between commas, any other stands in quotes
+    field = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
+    line = F.concat(F.concat_ws(",", *[field(c) for c in header]), F.when(faulty, F.lit(",extra")).otherwise(""))
+    top = spark.createDataFrame([(0, "# source: tables"), (1, "# licence: none"), (2, ",".join(header))], "n int, value string")
+    text = top.unionByName(rows.select(F.lit(3).alias("n"), line.alias("value"))).repartition(1).sortWithinPartitions("n", "value")
+    text.select("value").write.text(path)
+    return path
+
+
+_DIMENSIONS = {
+    "airport": ("iata", "city", "lat", "lon"),
+    "carrier": ("iata", "carrier_type", "name"),
+    "route": ("route_code", "origin_iata", "dest_iata", "active_from", "active_to"),
+}
+
+
+def dimension_extracts(spark, d):
+    """(rows, violations) of the airport, carrier and route files."""
+    airports_ = V.airports(spark, d).withColumn("faulty", F.lit(False))
+    carriers_ = V.carriers(spark, d).withColumns({"iata": F.col("carrier_iata"), "name": F.concat(F.col("carrier_iata"), F.lit(', "air" # 1'))})
+    routes_ = V.routes(spark, d)
+    given = {
+        "airport": airports_,
+        "carrier": carriers_.withColumn("faulty", F.col("carrier_type").isNull()),
+        "route": routes_.withColumn("faulty", F.col("origin_iata") == F.col("dest_iata")),
+    }
+    return {name: extracts.read_checked_csv(spark, _commented_csv(df, _DIMENSIONS[name], F.col("faulty")), _DIMENSIONS[name]) for name, df in given.items()}
+
+
+@query(
+    "s01_dimension_rows",
+    with_views(
+        """SELECT 'airport' AS kind, iata AS code, city AS name, CAST(lat AS DOUBLE) AS first, CAST(lon AS DOUBLE) AS second, NULL::DATE AS since, NULL::DATE AS until FROM fx_airport
+UNION ALL SELECT 'carrier', carrier_iata, carrier_iata || ', "air" # 1 ' || carrier_type, NULL, NULL, NULL, NULL FROM fx_carrier WHERE carrier_type IS NOT NULL
+UNION ALL SELECT 'route', route_code, origin_iata || dest_iata, NULL, NULL, active_from, active_to FROM fx_route WHERE origin_iata <> dest_iata""",
+        "fx_airport", "fx_carrier", "fx_route",
+    ),
+)
+def dimension_rows(spark, d):
+    """Airports, carriers and routes through commented CSV files into typed rows."""
+    files = dimension_extracts(spark, d)
+    none = lambda kind: F.lit(None).cast(kind)
+    a = extracts.typed(files["airport"][0], schemas.AIRPORT).select(
+        F.lit("airport").alias("kind"), F.col("iata").alias("code"), F.col("city").alias("name"), F.col("lat").cast("double").alias("first"), F.col("lon").cast("double").alias("second"),
+        none("date").alias("since"), none("date").alias("until"),
+    )
+    c = extracts.typed(files["carrier"][0], schemas.CARRIER).select(
+        F.lit("carrier"), "iata", F.concat_ws(" ", "name", "carrier_type"), none("double"), none("double"), none("date"), none("date")
+    )
+    r = extracts.typed(files["route"][0], schemas.ROUTE).select(
+        F.lit("route"), "route_code", F.concat("origin_iata", "dest_iata"), none("double"), none("double"), "active_from", "active_to"
+    )
+    return a.union(c).union(r)
+
+
+@query(
+    "s01_refused_lines",
+    with_views(
+        """SELECT 'carrier' AS kind, '"' || carrier_iata || '",,"' || carrier_iata || ', ""air"" # 1",extra' AS line FROM fx_carrier WHERE carrier_type IS NULL
+UNION ALL SELECT 'route', '"' || route_code || '","' || origin_iata || '","' || dest_iata || '","' || active_from || '",' || coalesce('"' || active_to || '"', '') || ',extra' FROM fx_route WHERE origin_iata = dest_iata""",
+        "fx_carrier", "fx_route",
+    ),
+)
+def refused_lines(spark, d):
+    files = dimension_extracts(spark, d)
+    return reduce(lambda a, b: a.unionByName(b), [bad.select(F.lit(kind).alias("kind"), "line") for kind, (_, bad) in files.items()])
+
+
 # --- traffic ---------------------------------------------------------------------------------
 
 _CITY = {0: "Delhi", 1: " bombay", 2: "Goa (Dabolim,  South Goa)", 3: "New  Delhi", 4: "madras "}
@@ -180,7 +254,7 @@ def passenger_shares(spark, d):
     """Shares of all routes; the total is one number read from the table."""
     from quotemill.operators.aggregate import passenger_shares as shares
 
-    total = V.table(spark, d, "lineitem").count()
+    total = V.table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("total_pax"))
     pairs = V.quotes(spark, d, "origin_iata", "dest_iata").groupBy("origin_iata", "dest_iata").agg(F.count(F.lit(1)).alias("passengers"))
     pairs = pairs.withColumnsRenamed({"origin_iata": "origin_city", "dest_iata": "dest_city"})
     routes = V.routes(spark, d).select("route_code", F.col("origin_iata").alias("origin_city"), F.col("dest_iata").alias("dest_city"))
@@ -516,6 +590,16 @@ def url_hash(spark, d):
     return p.select("page_id", hashing.normalise_url(u).alias("url"), hashing.url_hash(u).alias("url_hash"))
 
 
+@query(
+    "p16_content_keys",
+    with_views("SELECT quote_id, 'sha256/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h AS key FROM (SELECT quote_id, sha256(quote_id || ':' || total_c) AS h FROM fx_quote)", "fx_quote"),
+)
+def content_keys(spark, d):
+    """Where the body of each quote is stored."""
+    digest = hashing.sha256_text(F.concat_ws(":", "quote_id", "total_c"))
+    return V.quotes(spark, d, "quote_id", "total_c").select("quote_id", hashing.content_key(digest).alias("key"))
+
+
 @query(
     "a32_snapshot_hash",
     with_views(

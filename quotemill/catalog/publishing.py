@@ -223,9 +223,18 @@ def sdmx_messages(spark, d):
 
 # --- splicing --------------------------------------------------------------------------------
 
+# a series that was never published stands beside the stored ones: the values of PX.ALL.M under a name of its own
+def _new_series_sql(body: str) -> str:
+    return f"SELECT * FROM ({body}) UNION ALL SELECT * REPLACE ('PX.NEW.M' AS series_code) FROM ({body}) WHERE series_code = 'PX.ALL.M'"
+
+
+def with_new_series(values):
+    return values.unionByName(values.where(F.col("series_code") == "PX.ALL.M").withColumn("series_code", F.lit("PX.NEW.M")))
+
+
 # window: the newest run's thirteen months to December 2000; published: the run before
-WINDOWS = "SELECT series_code, period, value AS level FROM fx_index_value WHERE index_run_id = 'run-2002' AND period BETWEEN DATE '1999-12-01' AND DATE '2000-12-01'"
-PUBLISHED = "SELECT series_code, period, value FROM fx_index_value WHERE index_run_id = 'run-2001' AND series_code <> 'PX.ROUTE.ASI-EUR.M'"
+WINDOWS = _new_series_sql("SELECT series_code, period, value AS level FROM fx_index_value WHERE index_run_id = 'run-2002' AND period BETWEEN DATE '1999-12-01' AND DATE '2000-12-01'")
+PUBLISHED = "SELECT series_code, period, value FROM fx_index_value WHERE index_run_id = 'run-2001'"
 LINKS = """SELECT w.series_code, w.period, row_number() OVER (PARTITION BY w.series_code ORDER BY w.period DESC) - 1 AS k, count(*) OVER (PARTITION BY w.series_code) AS length,
   p.value * first_value(level) OVER (PARTITION BY w.series_code ORDER BY w.period DESC) / level AS estimate, p.value AS pub, level
 FROM windows w LEFT JOIN published p USING (series_code, period)"""
@@ -236,8 +245,8 @@ def splice_inputs(spark, d):
     v = staged(V.index_values(spark, d), "values")
     span = F.col("period").between(F.lit("1999-12-01").cast("date"), F.lit("2000-12-01").cast("date"))
     w = v.where((F.col("index_run_id") == "run-2002") & span).select("series_code", "period", F.col("value").alias("level"))
-    p = v.where((F.col("index_run_id") == "run-2001") & (F.col("series_code") != "PX.ROUTE.ASI-EUR.M")).select("series_code", "period", "value")
-    return w, p
+    p = v.where(F.col("index_run_id") == "run-2001").select("series_code", "period", "value")
+    return with_new_series(w), p
 
 
 @query("w12_link_estimates", with_views("SELECT series_code, k, round(estimate, 6) AS estimate FROM links WHERE k > 0 AND estimate IS NOT NULL", "fx_index_value", **SPLICE_STEPS))
@@ -275,7 +284,7 @@ def rebase_due(spark, d):
     return splice.rebase_due(s, 6).select("series_code", "period", "periods_since_rebase", "rebase_due")
 
 
-COVER = "SELECT series_code, n_quotes, coverage_pct FROM fx_index_value WHERE index_run_id = 'run-2002' AND period = DATE '2000-12-01'"
+COVER = _new_series_sql("SELECT series_code, n_quotes, coverage_pct FROM fx_index_value WHERE index_run_id = 'run-2002' AND period = DATE '2000-12-01'")
 PUB = """SELECT w.series_code, max(w.period) AS period, CASE WHEN count(CASE WHEN k > 0 AND pub IS NULL THEN 1 END) = 0 THEN max(CASE WHEN k = 1 THEN estimate END)
     ELSE max(CASE WHEN k = 0 THEN level END) / max(CASE WHEN k = length - 1 THEN level END) END AS value, max(CASE WHEN k = 0 THEN pub END) AS old_value
 FROM links w GROUP BY 1"""
@@ -283,7 +292,7 @@ FROM links w GROUP BY 1"""
 
 def publish(spark, d):
     v = V.index_values(spark, d).where((F.col("index_run_id") == "run-2002") & (F.col("period") == F.lit("2000-12-01").cast("date")))
-    return splice.publish(*splice_inputs(spark, d), v.select("series_code", "n_quotes", "coverage_pct"))
+    return splice.publish(*splice_inputs(spark, d), with_new_series(v.select("series_code", "n_quotes", "coverage_pct")))
 
 
 @query(
@@ -308,10 +317,10 @@ def publish_revisions(spark, d):
     return r.select("series_code", "period", F.round("old_value", 6).alias("old_value"), F.round("new_value", 6).alias("new_value"))
 
 
-# a run over stored tables: routes starting with A have history, the others start at 100
-RUN_CUR = "SELECT series_code, value AS index_value, n_quotes, coverage_pct FROM fx_index_value WHERE index_run_id = 'run-2002' AND period = DATE '2000-12-01'"
-RUN_PRI = "SELECT series_code, value AS index_value FROM fx_index_value WHERE index_run_id = 'run-2002' AND period = DATE '2000-11-01'"
-RUN_PUB = "SELECT series_code, period, value FROM fx_index_value WHERE index_run_id = 'run-2001' AND period < DATE '2000-12-01' AND series_code LIKE 'PX.ROUTE.A%'"
+# a run over stored tables: every stored series has history, the new one starts at 100
+RUN_CUR = _new_series_sql("SELECT series_code, value AS index_value, n_quotes, coverage_pct FROM fx_index_value WHERE index_run_id = 'run-2002' AND period = DATE '2000-12-01'")
+RUN_PRI = _new_series_sql("SELECT series_code, value AS index_value FROM fx_index_value WHERE index_run_id = 'run-2002' AND period = DATE '2000-11-01'")
+RUN_PUB = "SELECT series_code, period, value FROM fx_index_value WHERE index_run_id = 'run-2001' AND period < DATE '2000-12-01'"
 RUN_ROWS = """SELECT series_code, index_value / coalesce(p.index_value_p, index_value) * coalesce(h.value, 100.0) AS value, n_quotes, coverage_pct, h.value IS NULL AS fresh
 FROM cur LEFT JOIN (SELECT series_code, index_value AS index_value_p FROM pri) p USING (series_code)
 LEFT JOIN (SELECT series_code, value FROM known WHERE period = DATE '2000-11-01') h USING (series_code)"""
@@ -320,12 +329,9 @@ RUN_STEPS = dict(cur=RUN_CUR, pri=RUN_PRI, known=RUN_PUB, run_rows=RUN_ROWS)
 
 def publication(spark, d):
     v = staged(V.index_values(spark, d), "values")
-    at = lambda run, day: v.where((F.col("index_run_id") == run) & (F.col("period") == F.lit(day).cast("date"))).select(
-        "series_code", F.col("value").alias("index_value"), "n_quotes", "coverage_pct"
-    )
-    published = v.where(
-        (F.col("index_run_id") == "run-2001") & (F.col("period") < F.lit("2000-12-01").cast("date")) & F.col("series_code").startswith("PX.ROUTE.A")
-    ).select("series_code", "period", "value")
+    of = lambda run, day: v.where((F.col("index_run_id") == run) & (F.col("period") == F.lit(day).cast("date")))
+    at = lambda run, day: with_new_series(of(run, day).select("series_code", F.col("value").alias("index_value"), "n_quotes", "coverage_pct"))
+    published = v.where((F.col("index_run_id") == "run-2001") & (F.col("period") < F.lit("2000-12-01").cast("date"))).select("series_code", "period", "value")
     return splice.publication_rows(at("run-2002", "2000-12-01"), at("run-2002", "2000-11-01"), published, F.lit("2000-12-15").cast("date"))
 
 
@@ -388,15 +394,15 @@ def lineage(spark, d):
     with_views(
         """SELECT l.series_code, l.period, l.value, round((l.value - m.value) / m.value * 100, 6) AS mom_pct, round((l.value - y.value) / y.value * 100, 6) AS yoy_pct,
   CASE WHEN m.value IS NULL THEN 'fewer than two periods' END AS mom_reason, CASE WHEN y.value IS NULL THEN 'no value twelve months earlier' END AS yoy_reason
-FROM (SELECT *, lag(period) OVER (PARTITION BY series_code ORDER BY period) AS before FROM fx_latest WHERE month(period) <> 5) l
+FROM (SELECT *, lag(period) OVER (PARTITION BY series_code ORDER BY period) AS before FROM fx_latest) l
 LEFT JOIN fx_latest m ON m.series_code = l.series_code AND m.period = l.before
 LEFT JOIN fx_latest y ON y.series_code = l.series_code AND y.period = l.period - INTERVAL 12 MONTH""",
         "fx_latest",
     ),
 )
 def month_changes(spark, d):
-    """Every May is missing: June is compared with April."""
-    s = staged(latest(spark, d).select("series_code", "period", "value").where(F.month("period") != 5), "latest")
+    """Every published month of every series."""
+    s = staged(latest(spark, d).select("series_code", "period", "value"), "latest")
     out = vintages.month_changes(s)
     return out.withColumns({c: F.round(c, 6) for c in ("mom_pct", "yoy_pct")})
 

@@ -90,17 +90,20 @@ def series_hierarchy(
     )
 
 
-def passenger_shares(routes: DataFrame, pairs: DataFrame, total_pax: int) -> tuple[DataFrame, DataFrame]:
+def passenger_shares(routes: DataFrame, pairs: DataFrame, total_pax: int | DataFrame) -> tuple[DataFrame, DataFrame]:
     """(route shares, routes missing from the extract). Half-even at eight places.
 
-    Shares are emitted only when no basket route is missing: an incomplete weight vector is never
+    ``total_pax`` is a number, or one row with a column of that name; a total that is not positive gives no shares. Shares are emitted only when no basket route is missing: an incomplete weight vector is never
     produced.
     """
-    if total_pax <= 0:
-        raise ValueError("total_pax must be positive")
+    if isinstance(total_pax, int):
+        if total_pax <= 0:
+            raise ValueError("total_pax must be positive")
+        total_pax = routes.sparkSession.range(1).select(F.lit(total_pax).alias("total_pax"))
     j = routes.join(pairs, ["origin_city", "dest_city"], "left")
     missing = j.where(F.col("passengers").isNull()).select("route_code")
     gaps = j.agg(F.count_if(F.col("passengers").isNull()).alias("__gaps"))  # one row
-    share = F.bround((F.col("passengers").cast("decimal(18,0)") / F.lit(total_pax).cast("decimal(18,0)")).cast("decimal(38,20)"), 8)
-    complete = j.crossJoin(F.broadcast(gaps)).where("__gaps = 0")
+    share = F.bround((F.col("passengers").cast("decimal(18,0)") / F.col("__total")).cast("decimal(38,20)"), 8)
+    total = total_pax.select(F.col("total_pax").cast("decimal(18,0)").alias("__total")).where("__total > 0")  # one row
+    complete = j.crossJoin(F.broadcast(gaps)).where("__gaps = 0").crossJoin(F.broadcast(total))
     return complete.select("route_code", share.cast("decimal(9,8)").alias("pax_share")), missing

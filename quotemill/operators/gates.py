@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quotemill.config import GateOptions
@@ -159,21 +159,26 @@ ROUTE_RULES: Mapping[str, str] = {
 }
 VALUE_RULES: Mapping[str, str] = {
     "value_positive": "value > 0",
+    "quotes_non_negative": "n_quotes >= 0",
     "coverage_is_percentage": "coverage_pct between 0 and 100",
 }
 RUN_RULES: Mapping[str, str] = {
     "finish_after_start": "finished_at >= started_at",
+    "quotes_non_negative": "quotes_collected >= 0",
+    "blocked_non_negative": "blocked_count >= 0",
     "status_known": "status in ('PENDING','RUNNING','SUCCEEDED','PARTIAL','BLOCKED','FAILED')",
 }
 NOWCAST_RULES: Mapping[str, str] = {"interval_ordered": "ci_low <= ci_high"}
 
 
+def _counts(rules: Mapping[str, str]) -> list[Column]:
+    """The number of rows and, rule by rule, of rows that break it."""
+    return [F.count(F.lit(1)).alias("__rows"), *[F.count_if(~F.expr(e)).alias(f"__{i}") for i, e in enumerate(rules.values())]]
+
+
 def rule_report(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     """Rows breaking each rule; as with a CHECK constraint, an unknown (null) outcome passes."""
-    agg = df.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.count_if(~F.expr(e)).alias(f"__{i}") for i, e in enumerate(rules.values())],
-    )
+    agg = df.agg(*_counts(rules))
     items = [
         F.struct(F.lit(name).alias("rule"), F.col("__rows").alias("row_count"), F.col(f"__{i}").alias("violations"))
         for i, name in enumerate(rules)
@@ -181,6 +186,16 @@ def rule_report(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     return agg.select(F.inline(F.array(*items)))
 
 
+def write_checked(df: DataFrame, rules: Mapping[str, str], write: Callable[[DataFrame], None]) -> DataFrame:
+    """Write a table and report its rules from the same pass: the counts are observed while ``write`` runs its one action over the rows it is
+    given. The report has the columns of ``rule_report``; a table without rows reports zeros."""
+    seen = Observation()
+    write(df.observe(seen, *_counts(rules)))
+    found = seen.get
+    rows = [(name, found["__rows"], found[f"__{i}"]) for i, name in enumerate(rules)]
+    return df.sparkSession.createDataFrame(rows, "rule string, row_count long, violations long")
+
+
 def rule_violations(df: DataFrame, rules: Mapping[str, str], keys) -> DataFrame:
     """Row level: the keys of every offending row with the rules it breaks."""
     broken = F.filter(

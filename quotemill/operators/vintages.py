@@ -73,8 +73,9 @@ def value_as_of(values: DataFrame, runs: DataFrame, requests, role: str = "publi
 
 def latest_matching_revision(revisions: DataFrame, points: DataFrame) -> DataFrame:
     """Newest revision that produced each point's value; null columns where none did."""
-    made = revisions.withColumn("value", F.col("new_value"))
-    j = points.select("series_code", "period", "value").join(made, ["series_code", "period", "value"], "left")
+    exact = lambda c: F.col(c).cast("decimal(14,6)").alias("__value")
+    made = revisions.select("series_code", "period", exact("new_value"), "reason", "revised_at")
+    j = points.select("series_code", "period", exact("value")).join(made, ["series_code", "period", "__value"], "left")
     return j.groupBy("series_code", "period").agg(
         F.max_by("reason", "revised_at").alias("reason"), F.max("revised_at").alias("revised_at")
     )

@@ -41,6 +41,23 @@ def read_commented_csv(spark: SparkSession, path: str, columns: Sequence[str]) -
     return raw.select(*columns)
 
 
+def read_checked_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, violations) of a CSV with a header and ``#`` provenance lines: every column as text in the named order, and the lines that do not have as
+    many fields as the header. A load with any such line is refused like one with any other violation (``refuse_if_any``)."""
+    reader = lambda: spark.read.option("header", True).option("comment", "#").option("escape", '"')
+    names = reader().csv(path).columns
+    missing = [c for c in columns if c not in names]
+    if missing:
+        raise ExtractRefused(f"extract {path}: no column {', '.join(missing)}")
+    schema = ", ".join([*[f"`{n}` string" for n in names], "__line string"])
+    # without pruning every line is split whole, so that its number of fields is known; files whose headers differ are an error
+    raw = reader().schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__line").option("columnPruning", False).option("enforceSchema", False).csv(path)
+    fits = F.col("__line").isNull()
+    # Spark reads the faulty line only beside a column of the file: nothing of the first one is added to it
+    line = F.concat("__line", F.substring(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")), 1, 0))
+    return raw.where(fits).select(*columns), raw.where(~fits).select(line.alias("line"), F.lit("number of fields differs from the header").alias("violation"))
+
+
 def assert_not_empty(df: DataFrame, what: str) -> None:
     """Action: refuse an extract without rows."""
     if df.isEmpty():

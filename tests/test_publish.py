@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.config import CleaningOptions, IndexOptions
-from quotemill.operators import splice, vintages
+from quotemill.operators import gates, splice, vintages
 from quotemill.plans import index_run as plan
 from quotemill.sources import drift, exports, extracts, ledger, payloads
 
@@ -134,6 +134,27 @@ def test_csv_extracts(spark, tmp_path):
         extracts.read_commented_csv(spark, str(f), ["nope"])
 
 
+def test_checked_csv_refuses_lines_that_do_not_fit(spark, tmp_path):
+    f = tmp_path / "a.csv"
+    f.write_text('# from somewhere\niata,city,lat\n"DEL","New ""Delhi"", city",28.5\n# a note\nBOM,Mumbai\nGOI,Goa,15.4,7\nMAA,,13\n')
+    good, bad = extracts.read_checked_csv(spark, str(f), ["city", "iata"])
+    assert sorted((r.iata, r.city) for r in good.collect()) == [("DEL", 'New "Delhi", city'), ("MAA", None)]
+    assert sorted(r.line for r in bad.collect()) == ["BOM,Mumbai", "GOI,Goa,15.4,7"]
+    with pytest.raises(extracts.ExtractRefused):
+        extracts.refuse_if_any(bad, "airports")
+    with pytest.raises(extracts.ExtractRefused, match="no column icao"):
+        extracts.read_checked_csv(spark, str(f), ["icao"])
+
+
+def test_rules_are_counted_while_writing(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0, 3.0), (2, 5.0, 4.0), (3, None, 4.0)], "id int, ci_low double, ci_high double")
+    path = str(tmp_path / "n")
+    report = gates.write_checked(df, gates.NOWCAST_RULES, lambda rows: rows.write.parquet(path)).collect()
+    assert [tuple(r) for r in report] == [("interval_ordered", 3, 1)] and spark.read.parquet(path).count() == 3
+    empty = gates.write_checked(df.where("id > 9"), gates.NOWCAST_RULES, lambda rows: rows.write.parquet(path + "0")).collect()
+    assert [tuple(r) for r in empty] == [("interval_ordered", 0, 0)]
+
+
 def test_index_extract_keeps_repeated_periods(spark):
     raw = spark.createDataFrame([("2026-01", "101.1234565", "2012", "2026-02-12"), ("2026-01", "102", "2012", "2026-03-12"), ("2026-02", "-1", "2012", "2026-03-12"), ("2026-03", "1", "2012", "soon")],
                                 "period string, value string, base_year string, release_date string")
