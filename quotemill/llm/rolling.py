@@ -81,4 +81,3 @@ class Rolling:
 
 
 FIRST = Rolling(0x5DEECE66D)
-SECOND = Rolling(0x2545F4914F6CDD1D & 0x7FFFFFFFFFFF)

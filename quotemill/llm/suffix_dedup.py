@@ -7,15 +7,14 @@ array is never built over the whole corpus; only suffixes that can take part in
    Equal windows name anchors at equal places, so windows are split among anchors, about one anchor per 30 bytes.
 2. Anchors whose string occurs once in the corpus are dropped (map-side combined counts, then a join Spark can split where
    a key is hot).
-3. Each remaining anchor sends its super-window, the bytes of all windows that named it, to its hash. There the suffixes that
-   start at the anchors are merge-sorted; two suffixes are compared by their longest common extension, found by binary search
+3. Each remaining anchor has a super-window, the bytes of all windows that named it. Of equal ones among the documents of a batch only the first goes on;
+   the others are repeated whole (compared byte by byte), so a passage that many documents share is sent about once a batch. What goes on meets at the
+   anchor's hash. There the suffixes that start at the anchors are merge-sorted; two suffixes are compared by their longest common extension, found by binary search
    over prefix polynomial hashes (log of the length per comparison) and verified byte by byte for neighbours, so that a
    collision is noticed and sorted out exactly. The same is done to the left. Two windows at distance d from their anchors are
    equal iff the right extensions agree on LENGTH - d bytes and the left ones on d: runs in the two orders.
    The earliest of each set of equal windows stays, the others are marked in a bit mask per anchor.
-4. Anchors whose string is very frequent are dealt out by window instead, so that no task holds a hot string: the earliest
-   start per window by a map-side combined minimum, joined back; windows are told apart by two independent 64-bit hashes.
-5. Masks meet their document, become runs and are cut out.
+4. Masks meet their document, become runs and are cut out.
 
 Exact copies of a whole document are handled before: all but the first are removed whole (or kept whole below LENGTH bytes).
 """
@@ -26,15 +25,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.llm.rolling import FIRST, SECOND, mix
+from quotemill.functions.staging import discard, staged
+from quotemill.llm.components import narrowed, without
+from quotemill.llm.rolling import FIRST, mix
 
 LENGTH, GRAM = 100, 40
 SPAN = LENGTH - GRAM + 1  # grams in a window; distances fit into a 64-bit mask
-#: Occurrences of an anchor string from which it is dealt out by window.
-FREQUENT = 50_000
 #: Bytes hashed at a time (a longer document is hashed alone).
 CHUNK = 1_000_000
 
@@ -89,69 +88,85 @@ def _buffers(texts: list[bytes]):
         k = stop
 
 
+#: What a row is told by: its id, and its place among the rows of that id. The order of documents is the order of these.
+_ROW = "struct<row_id:long,nth:int>"
+_FOUND = "array<struct<at:int,mask:long>>"
+
+
 def _anchor_rows(batches):
     """(anchor string's hash, document, position) of every anchor."""
     for batch in batches:
-        ids, texts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+        rows, texts = batch.column(0), batch.column(1).to_pylist()
         for k, data, starts in _buffers(texts):
             where, value, _, _ = anchors(data, starts)
             doc = np.searchsorted(starts, where, side="right") - 1
             # several empty texts share a start: the last one before a position is the one that holds it
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(ids[k + doc]), pa.array((where - starts[doc]).astype(np.int32))], names=["anchor", "row_id", "at"]
+                [pa.array(value.view(np.int64)), rows.take(pa.array(k + doc)), pa.array((where - starts[doc]).astype(np.int32))], names=["anchor", "row", "at"]
             )
 
 
+def _whole(windows: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Masks with the distances of all windows: lead - windows + 1 .. lead."""
+    return ((np.int64(1) << windows) - 1) << (lead - windows + 1)
+
+
+def _found(at: np.ndarray, mask: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Lists of (at, mask); list n holds what lies between ends n and n + 1."""
+    pairs = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(mask)], names=["at", "mask"])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
+
+
+_SUPER = f"h long, row {_ROW}, at int, lead int, bytes binary, found {_FOUND}"
+
+
 def _super_windows(batches):
-    """The bytes of all windows of each repeated anchor; a frequent anchor gives one row per window instead, with two hashes."""
+    """The bytes of all windows of each repeated anchor, unless an earlier one of the batch equals them: then the document's list names the anchor with all
+    its windows. One row per anchor that goes on, one per document with such a list."""
     for batch in batches:
-        ids, texts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
-        wanted = batch.column(2).to_pylist()
+        # in order of documents, so that the first of equals is the earliest
+        table = pa.Table.from_batches([batch])
+        rows = table.column(0).combine_chunks()
+        order = np.lexsort((np.asarray(rows.field("nth")), np.asarray(rows.field("row_id"))))
+        table = table.take(pa.array(order))
+        rows, texts, wanted = table.column(0).combine_chunks(), table.column(1).to_pylist(), table.column(2).to_pylist()
+        seen: set[tuple[int, bytes]] = set()
         for k, data, starts in _buffers(texts):
             where, value, first, count = anchors(data, starts)
-            doc = np.searchsorted(starts, where, side="right") - 1
-            # positions wanted, as positions in the buffer; the sign tells a frequent anchor (stored as -1 - position)
-            asked = [np.asarray(w, dtype=np.int64) for w in wanted[k : k + len(starts)]]
-            frequent = np.concatenate([a < 0 for a in asked]) if asked else np.zeros(0, dtype=bool)
-            places = np.concatenate([np.where(a < 0, -1 - a, a) + s for a, s in zip(asked, starts, strict=True)]) if asked else np.zeros(0, dtype=np.int64)
-            order = np.argsort(places)
-            places, frequent = places[order], frequent[order]
+            places = np.sort(np.concatenate([np.asarray(w, dtype=np.int64) + s for w, s in zip(wanted[k : k + len(starts)], starts, strict=True)]))
             spot = np.searchsorted(where, places)
-            where, value, first, count, doc = where[spot], value[spot], first[spot], count[spot], doc[spot]
-            few = np.flatnonzero(~frequent)
+            where, value, first, count = where[spot], value[spot], first[spot], count[spot]
+            doc = np.searchsorted(starts, where, side="right") - 1
+            lead, at = where - first, (where - starts[doc]).astype(np.int32)
             raw = data.tobytes()
+            strings = [raw[a : a + c + LENGTH - 1] for a, c in zip(first.tolist(), count.tolist(), strict=True)]
+            fresh = np.ones(len(strings), dtype=bool)
+            for n, key in enumerate(zip(lead.tolist(), strings, strict=True)):
+                if key in seen:
+                    fresh[n] = False
+                else:
+                    seen.add(key)
+            go = np.flatnonzero(fresh)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(value[few].view(np.int64)),
-                    pa.array(np.zeros(len(few), dtype=np.int64)),
-                    pa.array(ids[k + doc[few]]),
-                    pa.array((where[few] - starts[doc[few]]).astype(np.int32)),
-                    pa.array((where[few] - first[few]).astype(np.int32)),
-                    pa.array([raw[a : a + c + LENGTH - 1] for a, c in zip(first[few].tolist(), count[few].tolist(), strict=True)], pa.binary()),
+                    pa.array(value[go].view(np.int64)), rows.take(pa.array(k + doc[go])), pa.array(at[go]), pa.array(lead[go].astype(np.int32)),
+                    pa.array([strings[n] for n in go.tolist()], pa.binary()), pa.nulls(len(go), pa.list_(pa.struct([("at", pa.int32()), ("mask", pa.int64())]))),
                 ],
-                names=["h1", "h2", "row_id", "at", "lead", "bytes"],
-            )
-            many = np.flatnonzero(frequent)
-            if len(many):
-                one, two = FIRST.prefix(data), SECOND.prefix(data)
-                for part in np.array_split(many, max(1, len(many) // 2000)):
-                    c = count[part]
-                    window = np.repeat(first[part] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-                    owner = np.repeat(doc[part], c)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(mix(FIRST.ranges(one, window, window + LENGTH)).view(np.int64)),
-                            pa.array(mix(SECOND.ranges(two, window, window + LENGTH)).view(np.int64)),
-                            pa.array(ids[k + owner]),
-                            pa.array((window - starts[owner]).astype(np.int32)),
-                            pa.array(np.full(len(window), -1, dtype=np.int32)),
-                            pa.nulls(len(window), pa.binary()),
-                        ],
-                        names=["h1", "h2", "row_id", "at", "lead", "bytes"],
-                    )
-
-
-_SUPER = "h1 long, h2 long, row_id long, at int, lead int, bytes binary"
+                names=["h", "row", "at", "lead", "bytes", "found"],
+            )
+            stay = np.flatnonzero(~fresh)
+            if len(stay):
+                holders, begin = np.unique(doc[stay], return_index=True)
+                found = _found(at[stay], _whole(count[stay], lead[stay]), np.append(begin, len(stay)))
+                n = len(holders)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        # dealt out like any other value
+                        pa.array(mix((k + holders).astype(np.uint64) ^ value[stay[begin]]).view(np.int64)), rows.take(pa.array(k + holders)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
+                        pa.nulls(n, pa.binary()), found,
+                    ],
+                    names=["h", "row", "at", "lead", "bytes", "found"],
+                )
 
 
 class _Suffixes:
@@ -233,9 +248,7 @@ def repeated_windows(strings: list[bytes], lead: np.ndarray, group: np.ndarray)
         mask = np.empty(len(strings), dtype=np.int64)
         mask[alone] = repeated_windows([strings[k] for k in alone], lead[alone], group[alone])
         again = np.flatnonzero(first != np.arange(len(strings)))
-        windows = np.array([len(strings[k]) for k in again], dtype=np.int64) - LENGTH + 1
-        # all distances of its windows: lead - windows + 1 .. lead
-        mask[again] = ((np.int64(1) << windows) - 1) << (lead[again] - windows + 1)
+        mask[again] = _whole(np.array([len(strings[k]) for k in again], dtype=np.int64) - LENGTH + 1, lead[again])
         return mask
     n = len(strings)
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
@@ -275,25 +288,31 @@ def repeated_windows(strings: list[bytes], lead: np.ndarray, group: np.ndarray)
 
 
 def _sort_and_mark(batches):
-    """Masks of repeated windows, a bounded number of whole groups at a time; rows come sorted by group, document, position."""
+    """(row, found): masks of repeated windows, a bounded number of whole groups at a time; rows come sorted by group, document, position. Lists that are there
+    already are handed on."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def work(t: pa.Table):
-        group = np.unique(np.asarray(t["h1"]), return_inverse=True)[1]
-        # equal numbers must be consecutive: rows are sorted by h1, and so are its ranks
+        group = np.unique(np.asarray(t["h"]), return_inverse=True)[1]
+        # equal numbers must be consecutive: rows are sorted by h, and so are its ranks
         mask = repeated_windows(t["bytes"].to_pylist(), np.asarray(t["lead"]).astype(np.int64), group)
         hit = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(t["row_id"])[hit]), pa.array(np.asarray(t["at"])[hit]), pa.array(mask[hit])], names=["row_id", "at", "mask"])
+        rows = t["row"].combine_chunks().take(pa.array(hit))
+        return pa.RecordBatch.from_arrays([rows, _found(np.asarray(t["at"])[hit], mask[hit], np.arange(len(hit) + 1))], names=["row", "found"])
 
     for batch in batches:
+        known = batch.column(5).is_valid()
+        if known.true_count:
+            yield batch.filter(known).select(["row", "found"])
+            batch = batch.filter(batch.column(5).is_null())
         if not batch.num_rows:
             continue
         held.append(batch)
         size += batch.num_rows
         if size >= 8_000:
             t = pa.Table.from_batches(held)
-            key = np.asarray(t["h1"])
+            key = np.asarray(t["h"])
             cut = int(np.searchsorted(key, key[-1], side="left"))
             if cut:  # the last group may go on in the next batch
                 yield work(t.slice(0, cut))
@@ -306,7 +325,7 @@ def _sort_and_mark(batches):
 def _finish(keep_bytes: bool, carried: list[str]):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).field("row_id"), batch.column(1).to_pylist()
             copies = batch.column(2).to_pylist()
             marks = batch.column(3).to_pylist()
             n_bytes, n_removed, n_spans, kept = [], [], [], []
@@ -341,12 +360,26 @@ def _finish(keep_bytes: bool, carried: list[str]):
     return run
 
 
+def numbered(source: DataFrame) -> DataFrame:
+    """``source`` with ``row`` in place of ``row_id``: the id, and the place of the row among the rows of that id by the digest of its text."""
+    again = staged(source.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_id"), "again")
+    others = [c for c in source.columns if c != "row_id"]
+    row = lambda nth: F.struct("row_id", nth.cast("int").alias("nth")).alias("row")
+    if again.isEmpty():
+        discard(again)
+        return source.select(row(F.lit(0)), *others)
+    place = F.row_number().over(Window.partitionBy("row_id").orderBy(F.sha2("body", 256))) - 1
+    several = narrowed(source, again, "row_id").join(again, "row_id", "left_semi")
+    return without(source, again, "row_id").select(row(F.lit(0)), *others).unionByName(several.select(row(place), *others))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row per document: row_id, n_bytes, n_removed, n_spans and ``kept``: the SHA-256 of the bytes left or, with ``texts``, those bytes
     as text (halves of characters at a cut are dropped).
 
-    Ids are unique whole numbers and give the order of documents; rows with a null id are not read, as they have no place in the order. A null text counts as
-    empty. Texts shorter than LENGTH bytes are kept as they are. Columns named in ``carry`` follow as they are; others are not read.
+    Ids are whole numbers and give the order of documents; rows that share an id are documents of their own, in the order of their texts' digests (so of
+    rows equal in id and text one stays, and the others are its copies). Rows with a null id are not read, as they have no place in the order. A null text
+    counts as empty. Texts shorter than LENGTH bytes are kept as they are. Columns named in ``carry`` follow as they are; others are not read.
     """
     spark = docs.sparkSession
     carry = carry or []
@@ -354,28 +387,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = [F.col(c).alias(i) for c, i in zip(carry, inner, strict=True)]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), *extra)
+    source = numbered(source)
     # the one exchange of the texts; everything that needs them reads it again
-    held = source.repartition(partitions, "row_id")
-    digest = source.select("row_id", F.sha2("body", 256).alias("digest"))
-    first = digest.groupBy("digest").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = digest.join(first, "digest").where("row_id <> first").select("row_id", F.lit(True).alias("copy"))
-    known = held.join(copies, "row_id", "left")
-    distinct = known.where("copy is null").select("row_id", "body")
-
-    rows = distinct.mapInArrow(_anchor_rows, "anchor long, row_id long, at int")
-    counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    place = F.when(F.col("n") > FREQUENT, -1 - F.col("at")).otherwise(F.col("at"))
-    repeated = rows.join(counts, "anchor").select("row_id", place.alias("at")).groupBy("row_id").agg(F.collect_list("at").alias("at"))
-    wide = distinct.join(repeated, "row_id").select("row_id", "body", "at").mapInArrow(_super_windows, _SUPER)
-    sorted_ = wide.where("lead >= 0").repartition("h1").sortWithinPartitions("h1", "row_id", "at").select("h1", "row_id", "at", "lead", "bytes")
-    marks = sorted_.mapInArrow(_sort_and_mark, "row_id long, at int, mask long")
-
-    hot = wide.where("lead < 0").select("h1", "h2", "row_id", "at")
-    earliest = hot.groupBy("h1", "h2").agg(F.min(F.struct("row_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = hot.join(earliest, ["h1", "h2"]).where((F.col("row_id") != F.col("first.row_id")) | (F.col("at") != F.col("first.at")))
-    marks = marks.unionByName(again.select("row_id", "at", F.lit(1).cast("long").alias("mask")))
-    gathered = marks.groupBy("row_id").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
-    done = known.join(gathered, "row_id", "left").select("row_id", "body", "copy", "marks", *inner)
+    held = source.repartition(partitions, "row")
+    digest = source.select("row", F.sha2("body", 256).alias("digest"))
+    first = digest.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = digest.join(first, "digest").where("row <> first").select("row", F.lit(True).alias("copy"))
+    known = held.join(copies, "row", "left")
+    distinct = known.where("copy is null").select("row", "body")
+
+    rows = distinct.mapInArrow(_anchor_rows, f"anchor long, row {_ROW}, at int")
+    # written, so that the join below has two exchanges and a frequent anchor's rows can be split among tasks
+    counts = staged(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    repeated = rows.join(counts, "anchor").groupBy("row").agg(F.collect_list("at").alias("at"))
+    wide = distinct.join(repeated, "row").select("row", "body", "at").mapInArrow(_super_windows, _SUPER)
+    sorted_ = wide.repartition("h").sortWithinPartitions("h", "row", "at")
+    marks = sorted_.mapInArrow(_sort_and_mark, f"row {_ROW}, found {_FOUND}")
+    gathered = marks.groupBy("row").agg(F.flatten(F.collect_list("found")).alias("marks"))
+    done = known.join(gathered, "row", "left").select("row", "body", "copy", "marks", *inner)
     schema = "row_id long, n_bytes long, n_removed long, n_spans long, kept string"
     kinds = "".join(f", {i} {docs.schema[c].dataType.simpleString()}" for c, i in zip(carry, inner, strict=True))
     out = done.mapInArrow(_finish(texts, inner), schema + kinds)

@@ -9,7 +9,7 @@ from quotemill.llm import minhash_dedup, suffix_dedup
 
 def brute_cut(rows, length=100):
     seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
+    for i, t in sorted(rows, key=lambda r: (r[0], sha(r[1] or ""))):
         b = (t or "").encode()
         cover = bytearray(len(b))
         for s in range(len(b) - length + 1):
@@ -18,21 +18,49 @@ def brute_cut(rows, length=100):
                 cover[s : s + length] = b"\x01" * length
             seen.add(w)
         rest = bytes(x for x, c in zip(b, cover) if not c)
-        out[i] = (len(b), sum(cover), sum(1 for k in range(len(b)) if cover[k] and not (k and cover[k - 1])), sha(rest))
-    return out
+        out.setdefault(i, []).append((len(b), sum(cover), sum(1 for k in range(len(b)) if cover[k] and not (k and cover[k - 1])), sha(rest)))
+    return {i: sorted(x) for i, x in out.items()}
 
 
-@pytest.mark.parametrize("frequent", [50_000, 2])
-def test_cut_as_brute_force(documents, prose, monkeypatch, frequent):
-    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+def cut(df):
+    got = {}
+    for r in suffix_dedup.remove_repeats(df).collect():
+        got.setdefault(r.row_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept))
+    return {i: sorted(x) for i, x in got.items()}
+
+
+@pytest.fixture(params=[10_000, 3])
+def batches(spark, request):
+    """Arrow batches of many and of few documents."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.set(name, before)
+
+
+def test_cut_as_brute_force(documents, prose, batches):
     a, b, line = prose(1), prose(2), prose(3, 18)
     rows = [
         (1, a), (2, a), (3, "x" + a[50:400] + b), (4, None), (5, ""), (6, "short"), (7, "short"), (8, "z" * 1000), (9, b[:99]), (10, b[:100]), (11, "é" * 300),
         (12, a[100:199] + "q" + a[100:200]), (13, "ab" * 400), (14, prose(9, 9000)), (15, prose(9, 9000)[7:]), (16, "y" + "é" * 200),
         *[(20 + k, prose(100 + k, 30) + line + prose(200 + k, 30)) for k in range(12)],
     ]
-    got = {r.row_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.remove_repeats(documents(rows)).collect()}
-    assert got == brute_cut(rows)
+    assert cut(documents(rows)) == brute_cut(rows)
+
+
+def test_repeated_ids_keep_one_text(documents, prose):
+    a, b = prose(1), prose(2)
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, a + b), (3, b), (3, b[:300]), (4, None), (4, ""), (5, prose(5)), (5, prose(6)), (None, a)]
+    got = cut(documents(rows))
+    assert got == brute_cut([r for r in rows if r[0] is not None])
+    assert sorted(x[1] for x in got[1]) == [0, len(a.encode()), len(a.encode())]
+
+
+def test_a_passage_in_every_document(documents, prose, batches):
+    line = prose(3, 60) + ". "
+    rows = [(k, prose(100 + k, 30 + k % 7) + line * (1 + k % 3) + prose(300 + k, 30) + (line if k % 4 == 0 else "")) for k in range(60)]
+    assert cut(documents(rows)) == brute_cut(rows)
 
 
 def test_cut_keeps_columns_and_empty_table(documents, prose):
