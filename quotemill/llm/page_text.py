@@ -43,11 +43,32 @@ NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+#: An element that holds this share of a page's text, or half of it with a main heading or main part inside, is a wrapper.
+WRAPS_TEXT, WRAPS_HEADED = 0.9, 0.5
+
+
+def _marked(found: list[tuple[str, tuple[int, ...], float]], elements: list[tuple[str, tuple[str, ...]]], headed: set[int]) -> list[tuple[str, tuple[str, ...], float]]:
+    """Blocks with the marks of their ancestors: tags, and the words of their names. Words of what wraps the page's main part (its body, or an element
+    that holds most of the text) are set apart by ``~``: they speak of the page, not of this part of it."""
+    held = [0] * len(elements)
+    for text, chain, _ in found:
+        for e in chain:
+            held[e] += len(text)
+    total = sum(len(text) for text, _, _ in found)
+    marks = []
+    for e, (tag, words) in enumerate(elements):
+        wraps = tag in ("html", "body") or held[e] >= WRAPS_TEXT * total or (e in headed and held[e] >= WRAPS_HEADED * total)
+        marks.append(("<" + tag, *(("~" + w for w in words) if wraps else words)))
+    return [(text, tuple(m for e in chain for m in marks[e]), linked) for text, chain, linked in found]
+
+
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     """Leaf blocks of a page in order: text (references decoded, white space as one blank, trimmed), marks of its ancestors, share of
     characters inside links. Missing end tags, stray end tags and broken markup are tolerated."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[str, tuple[int, ...], float]] = []
+    elements: list[tuple[str, tuple[str, ...]]] = []
+    headed: set[int] = set()
+    stack: list[tuple[str, int]] = []
     parts: list[str] = []
     inner: list[str] = []  # elements open from a hidden one on
     linked = in_link = 0
@@ -58,7 +79,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         parts.clear()
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
-            out.append((text, tuple(m for _, marks in stack for m in marks), min(1.0, linked / max(1, len(raw)))))
+            out.append((text, tuple(e for _, e in stack), min(1.0, linked / max(1, len(raw)))))
         linked = 0
 
     at = 0
@@ -118,14 +139,15 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 stack.pop()
             if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
                 stack.pop()
-            marks = ["<" + tag]
-            for names in NAMES.findall(attributes):
-                marks += [w.lower() for w in PART.findall("".join(names))]
-            stack.append((tag, tuple(marks)))
+            if tag in ("h1", "main"):
+                headed.update(e for _, e in stack)
+            words = [w.lower() for names in NAMES.findall(attributes) for w in PART.findall("".join(names))]
+            stack.append((tag, len(elements)))
+            elements.append((tag, tuple(words)))
     if page[at:] and not inner:
         parts.append(page[at:])
     end_block()
-    return out
+    return _marked(out, elements, headed)
 
 
 def features(found: list[tuple[str, tuple[str, ...], float]]) -> list[list[str]]:
@@ -135,7 +157,7 @@ def features(found: list[tuple[str, tuple[str, ...], float]]) -> list[list[str]]
     for k, (text, marks, linked) in enumerate(found):
         words = text.count(" ") + 1
         own = next((m for m in reversed(marks) if m[0] == "<"), "<none")
-        got = {"in:" + m for m in marks}
+        got = {"wrap:" + m[1:] if m[0] == "~" else "in:" + m for m in marks}
         got |= {"own:" + own, f"words:{min(6, words.bit_length())}", f"links:{int(linked * 4)}"}
         got.add("stop" if text[-1] in ".!?…\"'”»。" else "open")
         got |= {f"sign:{c}" for c in "©|»·" if c in text}
@@ -147,7 +169,7 @@ def features(found: list[tuple[str, tuple[str, ...], float]]) -> list[list[str]]
 
 @dataclass(frozen=True)
 class Field:
-    """Weights per feature and label, and per pair of following labels."""
+    """Weights per feature and label, and per pair of following labels. Names of wrappers have none of their own."""
 
     emit: dict[str, float]
     follow: tuple[tuple[float, float], tuple[float, float]]
@@ -158,7 +180,9 @@ class Field:
         if not found:
             return []
         emit = self.emit
-        score = [sum(emit.get(f, 0.0) for f in fs) + self.bias for fs in features(found)]
+        # a wrapper's name may say that the page has main text, never that this is none of it
+        weight = lambda f: max(0.0, emit.get("in:" + f[5:], 0.0)) if f.startswith("wrap:") else emit.get(f, 0.0)
+        score = [sum(map(weight, fs)) + self.bias for fs in features(found)]
         (a, b), (c, d) = self.follow
         zero, one = 0.0, score[0]
         back = []
@@ -177,7 +201,7 @@ class Field:
 def train(pages: list[tuple[list, list[int]]], rounds: int = 800, rate: float = 0.5, ridge: float = 1e-4) -> Field:
     """Maximum likelihood on labelled pages: lists of blocks with lists of labels. All chains advance together, padded."""
     names: dict[str, int] = {}
-    rows = [[[names.setdefault(f, len(names)) for f in fs] for fs in features(found)] for found, _ in pages]
+    rows = [[[names.setdefault(f, len(names)) for f in fs if not f.startswith("wrap:")] for fs in features(found)] for found, _ in pages]
     s, t = len(rows), max(len(r) for r in rows)
     flat = np.array([f for r in rows for fs in r for f in fs])
     block = np.array([i * t + j for i, r in enumerate(rows) for j, fs in enumerate(r) for _ in fs])

@@ -120,3 +120,23 @@ def test_extract_odd_pages(spark, field):
 def test_hidden_elements_end_where_they_end(between):
     assert [t for t, _, _ in page_text.blocks(f"<p>One.</p>{between}<p>Two.</p>")] == ["One.", "Two."]
     assert [t for t, _, _ in page_text.blocks("<p>One <svg><title>no</title><g>no</g></svg>and <script>x</script>two.</p>")] == ["One and two."]
+
+
+ARTICLE = "<h1>A title of sorts</h1><p>First paragraph with several words in it, and a point.</p><p>Second paragraph goes on for a while, with more words than the first one had.</p>"
+PLAIN = "A title of sorts First paragraph with several words in it, and a point. Second paragraph goes on for a while, with more words than the first one had."
+
+
+@pytest.mark.parametrize("names", ["home with-sidebar", "header-fixed footer-dark", "cookie-banner-open", "ad comments menu", ""])
+@pytest.mark.parametrize("wrap", ["%s", "<article>%s</article>", "<main>%s</main>", "<div class='page-wrap has-sidebar menu-left'>%s</div>", "<div class='layout has-sidebar'>%s<aside><p>Other things to read here.</p></aside></div>"])
+def test_names_of_wrappers_lose_no_article(names, wrap):
+    """Class words of the body and of what wraps the article speak of the page; none of these layouts is trained on."""
+    nav = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li><li><a href='/c'>About</a></li></ul></nav>"
+    page = f"<html><body class='{names}'>{nav}{wrap % ARTICLE}<footer>&copy; 2024 Somebody</footer></body></html>"
+    assert page_text.main_text(page, page_text.default_field()) == PLAIN
+
+
+def test_comments_longer_than_the_article_are_left_out():
+    """A part that holds most of the text is no wrapper if the heading stands outside it."""
+    talk = "".join(f"<li class='comment'><p>Reader {k} thinks that all of this has been said before, and at greater length.</p></li>" for k in range(12))
+    page = f"<html><body class='single'><main>{ARTICLE}</main><section id='comments' class='comments-area'><ol class='comment-list'>{talk}</ol></section></body></html>"
+    assert page_text.main_text(page, page_text.default_field()) == PLAIN
