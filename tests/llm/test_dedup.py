@@ -109,6 +109,15 @@ def test_classes_as_brute_force(documents, prose):
     assert minhash_dedup.classes(documents([])).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(documents, prose):
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(1, a), (1, a), (2, b), (3, c), (3, c), (4, edited(a, [50])), (5, prose(5, 90)), (5, prose(6, 90)), (6, edited(b, [9])), (6, c), (7, edited(prose(6, 90), [80])), (8, None), (8, ""), (9, a), (9, b), (None, a)]
+    got = sorted((r.row_id, r.class_id) for r in minhash_dedup.classes(documents(rows)).collect())
+    # 9 holds the texts of 1 and 2, and 6 one like that of 2 and the one of 3
+    one = {i: 1 for i in (1, 2, 3, 4, 6, 9)} | {5: 5, 7: 5, 8: 8}
+    assert got == sorted((i, one[i]) for i, _ in rows if i is not None)
+
+
 def test_tiles_find_links_between_parts(prose):
     import numpy as np
 

@@ -103,3 +103,38 @@ def test_no_task_holds_all_who_ask(spark, monkeypatch):
     x = np.array([np.float32(v) for _, v in rows], dtype=float)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     assert got == dict(zip([i for i, _ in rows], ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist(), strict=True))
+
+
+def test_the_walk_scores_few_pairs_of_clustered_rows():
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 32))
+    make = lambda n: np.floor(1024 * (middle[rng.integers(0, 40, n)] + rng.normal(size=(n, 32)) * 0.05))
+    x, q = make(4000), make(300)
+    ids, asked = np.arange(4000), 10_000 + np.arange(300)
+    found_q, found_x, scores, taken = cover_topk.meet(q, asked, x, ids, 10)
+    assert taken < 0.2 * len(q) * len(x)
+    want = {(int(asked[i]), int(j), int(s[j])) for i, s in enumerate(q @ x.T) for j in np.lexsort((ids, -s))[:10]}
+    assert set(zip(found_q, found_x, scores)) == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_meetings_as_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n, m, d, k = (int(rng.integers(1, top)) for top in (200, 30, 10, 12))
+    x, q = (np.floor(rng.normal(size=(rows, d)) * rng.choice([2, 900])) for rows in (n, m))
+    if seed % 3 == 0:
+        x[: n // 2], q[: m // 2] = x[0], q[0]
+    ids = rng.permutation(2 * n)[:n]
+    asked = np.concatenate([ids[: m // 2], 1000 + np.arange(m)])[:m]
+    want = []
+    for i, s in zip(asked, q @ x.T):
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
+        want += [(int(i), int(ids[j]), int(s[j])) for j in order]
+    assert sorted(zip(*cover_topk.meet(q, asked, x, ids, k)[:3])) == sorted(want)
+
+
+def test_top_k_of_repeated_ids_and_mixed_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (2, [2.0, 0.0]), (3, [9.0]), (100, [1.0, 1.0]), (4, [9.0, 9.0, 9.0])]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in cover_topk.top_k(table(spark, rows)).collect()]
+    one = 1024 * 1024
+    assert sorted(got) == [(0, 1, 2, one), (0, 2, 1, one // 2), (0, 3, 100, one // 2), (100, 1, 1, 2 * one), (100, 2, 2, 2 * one), (100, 3, 0, one // 2)]
