@@ -131,17 +131,75 @@ def single_regressor(spark, d):
     return rounded(out, "intercept", "slope", "r_squared")
 
 
+# least squares in SQL: the cross products beside the unit matrix, swept row by row, leave the coefficients and the inverse
+def ols_steps(width: int, source: str = "xrows") -> dict[str, str]:
+    """Steps from ``source`` (series_code, period, x of ``width`` numbers, y) to ``terms`` (i, estimate, std_error, t, dof) and ``fits``."""
+    one = width + 1
+    # share of Student's t within +-t for whole degrees of freedom, as finite sums of powers of a cosine
+    angle = "atan(abs(t) / sqrt(dof))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, dof // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * cos({angle}) ** (2 * j)))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * list_sum(list_transform(range(0, (dof - 1) // 2), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * cos({angle}) ** (2 * j + 1))))"
+    return {
+        "gram": f"""SELECT series_code, i, list_concat(l, list_transform(range(1, {one}), lambda c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0.0 END)) AS r FROM (
+  SELECT series_code, i, list(v ORDER BY j) AS l FROM (
+    SELECT series_code, i, j, sum(x[i] * CASE WHEN j <= {width} THEN x[j] ELSE y END) AS v FROM {source}, range(1, {one}) a(i), range(1, {one + 1}) b(j) GROUP BY series_code, i, j) GROUP BY series_code, i)""",
+        "start": "SELECT series_code, list(r ORDER BY i) AS m FROM gram GROUP BY 1",
+        "swept": f"""SELECT series_code, 1 AS k, m FROM start UNION ALL
+SELECT series_code, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda z: z / r[k]) ELSE list_transform(r, lambda z, j: z - r[k] * m[k][j] / m[k][k]) END) FROM swept WHERE k <= {width}""",
+        "solved": f"SELECT series_code, list_transform(m, lambda r: r[{one}]) AS beta, list_transform(m, lambda r, i: r[{one} + i]) AS spread FROM swept WHERE k = {one}",
+        "residuals": f"SELECT series_code, period, y, x, e, e - lag(e) OVER (PARTITION BY series_code ORDER BY period) AS step FROM (SELECT s.*, y - list_dot_product(x, beta) AS e FROM {source} s JOIN solved USING (series_code))",
+        "fits": f"""SELECT *, 1 - ssr / sst AS r_squared, 1 - ssr / sst * (n_obs - 1) / dof AS adj_r_squared, sqrt(ssr / dof) AS residual_std_error, steps / ssr AS durbin_watson,
+  exp(-n_obs / 12.0 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4)) AS jarque_bera_pvalue FROM (
+  SELECT series_code, count(*) AS n_obs, count(*) - {width} AS dof, sum(e * e) AS ssr, sum(step * step) AS steps, var_pop(y) * count(*) AS sst, avg(e * e) AS m2, avg(e ** 3) AS m3, avg(e ** 4) AS m4 FROM residuals GROUP BY 1)""",
+        "terms": f"""SELECT *, 1 - CASE WHEN dof % 2 = 0 THEN {even} ELSE {odd} END AS p_value FROM (
+  SELECT series_code, i, estimate, std_error, estimate / std_error AS t, dof FROM (
+    SELECT series_code, i, beta[i] AS estimate, sqrt(spread[i] * ssr / dof) AS std_error, dof FROM solved JOIN fits USING (series_code), range(1, {one}) a(i)))""",
+    }
+
+
+PASS_LAGS = """SELECT *, [1.0, """ + ", ".join(f"lag(dx, {k}) OVER w" for k in range(7)) + """] AS x FROM (
+  SELECT series_code, period, ln(index_value) - lag(ln(index_value)) OVER w AS dx, ln(target_value) - lag(ln(target_value)) OVER w AS y FROM series WINDOW w AS (PARTITION BY series_code ORDER BY period))
+WINDOW w AS (PARTITION BY series_code ORDER BY period)"""
+PASS_STEPS = dict(
+    series=SERIES,
+    lagged=PASS_LAGS,
+    complete="SELECT series_code, period, x, y FROM lagged WHERE y IS NOT NULL AND len(list_filter(x, lambda z: z IS NULL)) = 0",
+    xrows="SELECT * FROM complete WHERE series_code IN (SELECT series_code FROM complete GROUP BY 1 HAVING count(*) >= 24)",
+    **ols_steps(8),
+)
+_R6 = lambda *names: ", ".join(f"round({c}, 6) AS {c}" for c in names)
+
+
+def with_recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def passthrough(spark, d):
     m = monthly(spark, d).withColumnsRenamed({"index_value": "input_price", "target_value": "fare_value"})
     return nowcast.fit_passthrough(m, 6, 24)
 
 
-@query("a31_passthrough")
+@query(
+    "a31_passthrough",
+    with_recursive(with_views(
+        f"""SELECT series_code, CASE WHEN i = 1 THEN 'const' ELSE 'd_input_price_lag' || (i - 2) END AS term, {_R6("estimate", "std_error", "p_value")}, round(t, 6) AS t_stat, n_obs,
+  {_R6("r_squared", "adj_r_squared", "residual_std_error", "durbin_watson", "jarque_bera_pvalue")}, NULL AS skip_reason FROM terms JOIN fits USING (series_code)
+UNION ALL SELECT series_code, NULL, NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL, NULL, 'only ' || count(*) || ' usable rows; 24 required' FROM complete GROUP BY 1 HAVING count(*) < 24""",
+        "fx_quote", **PASS_STEPS,
+    )),
+)
 def passthrough_fit(spark, d):
     return rounded(passthrough(spark, d), "estimate", "std_error", "t_stat", "p_value", "r_squared", "adj_r_squared", "residual_std_error", "durbin_watson", "jarque_bera_pvalue")
 
 
-@query("a31_cumulative_passthrough")
+@query(
+    "a31_cumulative_passthrough",
+    with_recursive(with_views(
+        f"""SELECT series_code, CAST(i - 2 AS INTEGER) AS lag, round(estimate, 6) AS coefficient, round(std_error, 6) AS std_error,
+  round(sum(estimate) OVER (PARTITION BY series_code ORDER BY i), 6) AS cumulative_coefficient FROM terms WHERE i > 1""",
+        "fx_quote", **PASS_STEPS,
+    )),
+)
 def cumulative_passthrough(spark, d):
     out = nowcast.cumulative_passthrough(staged(passthrough(spark, d), "fit"))
     return rounded(out, "coefficient", "std_error", "cumulative_coefficient")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quotemill.catalog import views as V
 from quotemill.catalog.registry import query
 from quotemill.catalog.views import with_views
-from quotemill.functions.staging import staged
+from quotemill.functions.staging import scratch_path, staged
 from quotemill.operators import analytics, splice, vintages
 from quotemill.sources import exports
 
@@ -184,23 +184,32 @@ def imputed_points(spark, d):
     return vintages.imputed_points(edges, c)
 
 
-@query(
-    "s18_export_rows",
-    with_views(
+EXPORTED = with_views(
         f"""SELECT series_code AS series, strftime(period, '%Y-%m-%d') AS period, printf('%.6f', floor(value * 1000) / 1000) AS value, CAST(n_quotes AS VARCHAR) AS n_quotes,
   printf('%.2f', coverage_pct) AS coverage_pct, CASE WHEN i.period2 IS NULL THEN 'false' ELSE 'true' END AS is_imputed,
   CASE WHEN coalesce(revision_count, 0) > 0 THEN 'REVISED' ELSE 'PUBLISHED' END AS status, index_run_id, 'PUBLISHED' AS data_status
 FROM fx_latest l LEFT JOIN counts USING (series_code, period)
 LEFT JOIN (SELECT DISTINCT 'run-' || (year(query_date) + 1) AS run2, query_month AS period2 FROM fx_quote WHERE {_IMPUTED}) i ON run2 = index_run_id AND period2 = l.period""",
         "fx_latest", "fx_revision", counts="SELECT series_code, period, count(*) AS revision_count FROM fx_revision WHERE old_value IS NOT NULL GROUP BY ALL",
-    ),
-)
+    )
+
+
+@query("s18_export_rows", EXPORTED)
 def export_rows(spark, d):
     edges, c = lineage_view(spark, d)
     later = V.revisions(spark, d).where(F.col("old_value").isNotNull())
     return exports.export_rows(stored(latest(spark, d, revisions=later)), vintages.imputed_points(edges, c))
 
 
+@query("s18_csv_file", EXPORTED)
+def csv_file(spark, d):
+    """The export written as CSV files and read back; an empty field is an empty text."""
+    path = scratch_path(spark, "export")
+    exports.write_csv(export_rows(spark, d), path)
+    read = spark.read.schema(", ".join(f"{c} string" for c in exports.CSV_COLUMNS)).option("header", True).csv(path)
+    return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in exports.CSV_COLUMNS])
+
+
 @query(
     "s19_sdmx_observations",
     with_views(

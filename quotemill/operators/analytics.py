@@ -183,9 +183,8 @@ def daily_route_coverage(runs: DataFrame, routes: DataFrame, ran=("SUCCEEDED",))
     basket = routes.select("route_code").distinct()
     good = runs.where(F.col("status").isin(*ran)).join(basket, "route_code", "left_semi")
     covered = good.groupBy("query_date").agg(F.count_distinct("route_code").alias("routes_covered"))
-    size = basket.agg(F.count(F.lit(1)).alias("routes_expected")).withColumn("__k", F.lit(1))
-    days = runs.select("query_date").distinct().join(covered, "query_date", "left").withColumn("__k", F.lit(1))
-    out = days.join(F.broadcast(size), "__k").drop("__k")  # one-row total
+    size = basket.agg(F.count(F.lit(1)).alias("routes_expected"))  # one row
+    out = runs.select("query_date").distinct().join(covered, "query_date", "left").crossJoin(F.broadcast(size))
     n = F.coalesce("routes_covered", F.lit(0).cast("long"))
     return out.select(
         "query_date", n.alias("routes_covered"), "routes_expected", F.round(F.lit(100.0) * n / F.col("routes_expected"), 1).alias("coverage_pct")
@@ -196,11 +195,10 @@ def routes_missing(runs: DataFrame, routes: DataFrame, ran=("SUCCEEDED",)) -> Da
     """Basket routes without a successful run, per day that had any run."""
     good = runs.where(F.col("status").isin(*ran)).select("query_date", "route_code").distinct()
     days = runs.select("query_date").distinct()
-    basket = routes.select("route_code").distinct().withColumn("__k", F.lit(1))
-    codes = basket.groupBy("__k").agg(F.collect_set("route_code").alias("__codes"))  # basket: a dimension table
-    planned = days.withColumn("__k", F.lit(1)).join(F.broadcast(codes), "__k").select(
-        "query_date", F.explode("__codes").alias("route_code")
-    )
+    span = days.agg(F.min("query_date").alias("__from"), F.max("query_date").alias("__to"))  # one row
+    # each route's own calendar, then the days on which anything ran
+    calendar = routes.select("route_code").distinct().crossJoin(F.broadcast(span)).select("route_code", F.explode(F.sequence("__from", "__to")).alias("query_date"))
+    planned = calendar.join(days, "query_date", "left_semi").select("query_date", "route_code")
     return planned.join(good, ["query_date", "route_code"], "left_anti")
 
 
