@@ -98,13 +98,59 @@ def bridge(spark, d):
     return nowcast.fit_bridge(staged(monthly(spark, d), "monthly"), dt.date(2001, 7, 1), dt.date(2002, 1, 1), BridgeOptions())
 
 
-@query("a30_bridge_coefficients")
+_BRIDGE_TERMS = ("const", "d_index_value_lag0", "d_index_value_lag1", "d_index_value_lag2", "d_target_value_lag1")
+_BRIDGE_X = "[1.0, " + ", ".join(_BRIDGE_TERMS[1:]) + "]"
+BRIDGE_STEPS = dict(
+    series=SERIES,
+    lags=LAGS,
+    lagged=f"SELECT series_code AS key, period, {_BRIDGE_X} AS x, y FROM lags",
+    complete="SELECT * FROM lagged WHERE y IS NOT NULL AND len(list_filter(x, lambda z: z IS NULL)) = 0",
+    xrows="SELECT * FROM complete WHERE key IN (SELECT key FROM complete GROUP BY 1 HAVING count(*) >= 24)",
+    **V.ols_steps(),
+    # long-run covariance of x e with Bartlett weights up to three lags; an order t of rows per series
+    ordered="SELECT key, row_number() OVER (PARTITION BY key ORDER BY period) AS t, list_transform(x, lambda z: z * e) AS u FROM residuals",
+    long_run="""SELECT key, a, b, sum(v) AS v FROM (
+  SELECT p.key, l, a, b, sum(p.u[a] * q.u[b] + p.u[b] * q.u[a]) * CASE WHEN l = 0 THEN 0.5 ELSE 1 - l / 4.0 END AS v
+  FROM (SELECT *, unnest([0, 1, 2, 3]) AS l FROM ordered) p JOIN ordered q ON q.key = p.key AND q.t = p.t - p.l, range(1, 6) x(a), range(1, 6) y(b) GROUP BY p.key, l, a, b) GROUP BY key, a, b""",
+    robust="""SELECT key, i, any_value(beta[i]) AS estimate, sqrt(greatest(sum(inverse[i][a] * inverse[i][b] * v), 0)) AS std_error
+FROM (SELECT *, unnest(range(1, 6)) AS i FROM solved) JOIN long_run USING (key) GROUP BY key, i""",
+    # the two-sided 95 % point of Student's t by halving an interval
+    degrees="SELECT DISTINCT dof FROM fits",
+    halved=f"""SELECT dof, 0 AS n, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi FROM degrees UNION ALL SELECT dof, n + 1, CASE WHEN inside < 0.95 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN inside < 0.95 THEN hi ELSE (lo + hi) / 2 END
+FROM (SELECT *, {V.within_t("((lo + hi) / 2)", "dof")} AS inside FROM halved WHERE n < 60)""",
+    points="SELECT dof, (lo + hi) / 2 AS point FROM halved WHERE n = 60",
+    target="SELECT key, x FROM lagged WHERE period = DATE '2001-07-01' AND len(list_filter(x, lambda z: z IS NULL)) = 0",
+    ahead="SELECT key, list_dot_product(x, beta) AS mean, list_transform(inverse, lambda r: list_dot_product(r, x)) AS z FROM target JOIN solved USING (key)",
+    spread="SELECT key, any_value(mean) AS mean, sum(z[a] * z[b] * v) AS variance FROM ahead JOIN long_run USING (key) GROUP BY key",
+    base="SELECT series_code AS key, arg_max(target_value, period) AS level FROM series WHERE target_value IS NOT NULL AND period < DATE '2001-07-01' GROUP BY 1",
+)
+
+
+@query(
+    "a30_bridge_coefficients",
+    V.with_recursive(with_views(
+        f"""SELECT key AS series_code, {list(_BRIDGE_TERMS)}[i] AS term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(estimate / std_error, 6) AS t_stat,
+  round(1 - {V.within_t("(estimate / std_error)", "dof")}, 6) AS p_value FROM robust JOIN fits USING (key)""",
+        "fx_quote", **BRIDGE_STEPS,
+    )),
+)
 def bridge_coefficients(spark, d):
     coef, _ = bridge(spark, d)
     return rounded(coef, "estimate", "std_error", "t_stat", "p_value")
 
 
-@query("a30_bridge_nowcast")
+@query(
+    "a30_bridge_nowcast",
+    V.with_recursive(with_views(
+        """SELECT key AS series_code, DATE '2001-07-01' AS target_period, n_obs, round(r_squared, 4) AS r_squared, round(adj_r_squared, 4) AS adj_r_squared, round(residual_std_error, 4) AS residual_std_error,
+  round(durbin_watson, 4) AS durbin_watson, round(jarque_bera_pvalue, 4) AS jarque_bera_pvalue, round(level * exp(mean), 4) AS point_estimate,
+  round(level * exp(mean - point * sqrt(variance + ssr / dof)), 4) AS ci_low, round(level * exp(mean + point * sqrt(variance + ssr / dof)), 4) AS ci_high,
+  CASE WHEN mean IS NULL THEN 'the target period has no complete lag structure' WHEN level IS NULL THEN 'no target value before the target period' END AS skip_reason
+FROM fits JOIN points USING (dof) LEFT JOIN spread USING (key) LEFT JOIN base USING (key)
+UNION ALL SELECT key, DATE '2001-07-01', count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'only ' || count(*) || ' usable rows; 24 required' FROM complete GROUP BY key HAVING count(*) < 24""",
+        "fx_quote", **BRIDGE_STEPS,
+    )),
+)
 def bridge_nowcast(spark, d):
     _, now = bridge(spark, d)
     return rounded(now, "r_squared", "adj_r_squared", "residual_std_error", "durbin_watson", "jarque_bera_pvalue", "point_estimate", "ci_low", "ci_high", places=4)
@@ -131,49 +177,19 @@ def single_regressor(spark, d):
     return rounded(out, "intercept", "slope", "r_squared")
 
 
-# least squares in SQL: the cross products beside the unit matrix, swept row by row, leave the coefficients and the inverse
-def ols_steps(width: int, source: str = "xrows") -> dict[str, str]:
-    """Steps from ``source`` (series_code, period, x of ``width`` numbers, y) to ``terms`` (i, estimate, std_error, t, dof) and ``fits``."""
-    one = width + 1
-    # share of Student's t within +-t for whole degrees of freedom, as finite sums of powers of a cosine
-    angle = "atan(abs(t) / sqrt(dof))"
-    even = f"sin({angle}) * list_sum(list_transform(range(0, dof // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * cos({angle}) ** (2 * j)))"
-    odd = f"2 / pi() * ({angle} + sin({angle}) * list_sum(list_transform(range(0, (dof - 1) // 2), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * cos({angle}) ** (2 * j + 1))))"
-    return {
-        "gram": f"""SELECT series_code, i, list_concat(l, list_transform(range(1, {one}), lambda c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0.0 END)) AS r FROM (
-  SELECT series_code, i, list(v ORDER BY j) AS l FROM (
-    SELECT series_code, i, j, sum(x[i] * CASE WHEN j <= {width} THEN x[j] ELSE y END) AS v FROM {source}, range(1, {one}) a(i), range(1, {one + 1}) b(j) GROUP BY series_code, i, j) GROUP BY series_code, i)""",
-        "start": "SELECT series_code, list(r ORDER BY i) AS m FROM gram GROUP BY 1",
-        "swept": f"""SELECT series_code, 1 AS k, m FROM start UNION ALL
-SELECT series_code, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda z: z / r[k]) ELSE list_transform(r, lambda z, j: z - r[k] * m[k][j] / m[k][k]) END) FROM swept WHERE k <= {width}""",
-        "solved": f"SELECT series_code, list_transform(m, lambda r: r[{one}]) AS beta, list_transform(m, lambda r, i: r[{one} + i]) AS spread FROM swept WHERE k = {one}",
-        "residuals": f"SELECT series_code, period, y, x, e, e - lag(e) OVER (PARTITION BY series_code ORDER BY period) AS step FROM (SELECT s.*, y - list_dot_product(x, beta) AS e FROM {source} s JOIN solved USING (series_code))",
-        "fits": f"""SELECT *, 1 - ssr / sst AS r_squared, 1 - ssr / sst * (n_obs - 1) / dof AS adj_r_squared, sqrt(ssr / dof) AS residual_std_error, steps / ssr AS durbin_watson,
-  exp(-n_obs / 12.0 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4)) AS jarque_bera_pvalue FROM (
-  SELECT series_code, count(*) AS n_obs, count(*) - {width} AS dof, sum(e * e) AS ssr, sum(step * step) AS steps, var_pop(y) * count(*) AS sst, avg(e * e) AS m2, avg(e ** 3) AS m3, avg(e ** 4) AS m4 FROM residuals GROUP BY 1)""",
-        "terms": f"""SELECT *, 1 - CASE WHEN dof % 2 = 0 THEN {even} ELSE {odd} END AS p_value FROM (
-  SELECT series_code, i, estimate, std_error, estimate / std_error AS t, dof FROM (
-    SELECT series_code, i, beta[i] AS estimate, sqrt(spread[i] * ssr / dof) AS std_error, dof FROM solved JOIN fits USING (series_code), range(1, {one}) a(i)))""",
-    }
-
-
 PASS_LAGS = """SELECT *, [1.0, """ + ", ".join(f"lag(dx, {k}) OVER w" for k in range(7)) + """] AS x FROM (
   SELECT series_code, period, ln(index_value) - lag(ln(index_value)) OVER w AS dx, ln(target_value) - lag(ln(target_value)) OVER w AS y FROM series WINDOW w AS (PARTITION BY series_code ORDER BY period))
 WINDOW w AS (PARTITION BY series_code ORDER BY period)"""
 PASS_STEPS = dict(
     series=SERIES,
     lagged=PASS_LAGS,
-    complete="SELECT series_code, period, x, y FROM lagged WHERE y IS NOT NULL AND len(list_filter(x, lambda z: z IS NULL)) = 0",
-    xrows="SELECT * FROM complete WHERE series_code IN (SELECT series_code FROM complete GROUP BY 1 HAVING count(*) >= 24)",
-    **ols_steps(8),
+    complete="SELECT series_code AS key, period, x, y FROM lagged WHERE y IS NOT NULL AND len(list_filter(x, lambda z: z IS NULL)) = 0",
+    xrows="SELECT * FROM complete WHERE key IN (SELECT key FROM complete GROUP BY 1 HAVING count(*) >= 24)",
+    **V.ols_steps(),
 )
 _R6 = lambda *names: ", ".join(f"round({c}, 6) AS {c}" for c in names)
 
 
-def with_recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 def passthrough(spark, d):
     m = monthly(spark, d).withColumnsRenamed({"index_value": "input_price", "target_value": "fare_value"})
     return nowcast.fit_passthrough(m, 6, 24)
@@ -181,10 +197,11 @@ def passthrough(spark, d):
 
 @query(
     "a31_passthrough",
-    with_recursive(with_views(
-        f"""SELECT series_code, CASE WHEN i = 1 THEN 'const' ELSE 'd_input_price_lag' || (i - 2) END AS term, {_R6("estimate", "std_error", "p_value")}, round(t, 6) AS t_stat, n_obs,
-  {_R6("r_squared", "adj_r_squared", "residual_std_error", "durbin_watson", "jarque_bera_pvalue")}, NULL AS skip_reason FROM terms JOIN fits USING (series_code)
-UNION ALL SELECT series_code, NULL, NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL, NULL, 'only ' || count(*) || ' usable rows; 24 required' FROM complete GROUP BY 1 HAVING count(*) < 24""",
+    V.with_recursive(with_views(
+        f"""SELECT key AS series_code, CASE WHEN i = 1 THEN 'const' ELSE 'd_input_price_lag' || (i - 2) END AS term, {_R6("estimate", "std_error")}, round(estimate / std_error, 6) AS t_stat,
+  round(1 - {V.within_t("(estimate / std_error)", "f.dof")}, 6) AS p_value, n_obs,
+  {_R6("r_squared", "adj_r_squared", "residual_std_error", "durbin_watson", "jarque_bera_pvalue")}, NULL AS skip_reason FROM terms JOIN fits f USING (key)
+UNION ALL SELECT key, NULL, NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL, NULL, 'only ' || count(*) || ' usable rows; 24 required' FROM complete GROUP BY 1 HAVING count(*) < 24""",
         "fx_quote", **PASS_STEPS,
     )),
 )
@@ -194,9 +211,9 @@ def passthrough_fit(spark, d):
 
 @query(
     "a31_cumulative_passthrough",
-    with_recursive(with_views(
-        f"""SELECT series_code, CAST(i - 2 AS INTEGER) AS lag, round(estimate, 6) AS coefficient, round(std_error, 6) AS std_error,
-  round(sum(estimate) OVER (PARTITION BY series_code ORDER BY i), 6) AS cumulative_coefficient FROM terms WHERE i > 1""",
+    V.with_recursive(with_views(
+        f"""SELECT key AS series_code, CAST(i - 2 AS INTEGER) AS lag, round(estimate, 6) AS coefficient, round(std_error, 6) AS std_error,
+  round(sum(estimate) OVER (PARTITION BY key ORDER BY i), 6) AS cumulative_coefficient FROM terms WHERE i > 1""",
         "fx_quote", **PASS_STEPS,
     )),
 )

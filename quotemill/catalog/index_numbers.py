@@ -149,7 +149,28 @@ def geks(spark, d):
     return r6(levels, "index_value")
 
 
-@query("a07_time_product_dummy")
+# weighted least squares with the products taken out, the first period as reference: normal equations of the other periods, swept
+TPD_STEPS = dict(
+    own="""SELECT cell, product_id, share AS w, ln(price) AS y, sum(share) OVER o AS wi, sum(share * ln(price)) OVER o / sum(share) OVER o AS mean, period,
+  dense_rank() OVER (PARTITION BY cell ORDER BY period) - 1 AS t FROM fx_panel WINDOW o AS (PARTITION BY cell, product_id)""",
+    grid="SELECT a.cell, a.t, b.t AS s FROM (SELECT DISTINCT cell, t FROM own WHERE t > 0) a JOIN (SELECT DISTINCT cell, t FROM own WHERE t > 0) b USING (cell)",
+    normal="SELECT cell, l.t, r.t AS s, sum(CASE WHEN l.t = r.t THEN l.w ELSE 0 END - l.w * r.w / l.wi) AS v FROM own l JOIN own r USING (cell, product_id) GROUP BY ALL",
+    sides="SELECT cell, t, sum(w * (y - mean)) AS b FROM own GROUP BY ALL",
+    lines="SELECT cell, t, list_append(list(coalesce(v, 0) ORDER BY s), any_value(b)) AS l FROM grid LEFT JOIN normal USING (cell, t, s) JOIN sides USING (cell, t) GROUP BY cell, t",
+    gram="SELECT cell AS key, list(l ORDER BY t) AS m FROM lines GROUP BY 1",
+    swept=V.sweep("gram"),
+    solved="SELECT key, unnest(m) AS r, unnest(range(1, len(m) + 1)) AS t FROM swept WHERE k = len(m) + 1",
+)
+
+
+@query(
+    "a07_time_product_dummy",
+    V.with_recursive(with_views(
+        """SELECT o.cell, o.period, round(CASE WHEN o.t = 0 THEN 1.0 ELSE exp(r[len(r)]) END, 6) AS index_value
+FROM (SELECT DISTINCT cell, period, t FROM own) o LEFT JOIN solved s ON s.key = o.cell AND s.t = o.t""",
+        "fx_panel", **TPD_STEPS,
+    )),
+)
 def tpd(spark, d):
     levels, _ = multilateral.time_product_dummy(staged(V.panel(spark, d), "panel"), ["cell"])
     return r6(levels, "index_value")
@@ -362,7 +383,26 @@ def weight_lookup(spark, d):
 # --- hedonic ---------------------------------------------------------------------------------
 
 
-@query("a09_hedonic_time_dummy")
+HEDONIC_STEPS = dict(
+    levels="""SELECT source_code AS key, list_sort(list(DISTINCT query_year)) AS years, list_sort(list(DISTINCT carrier_iata)) AS brands FROM fx_quote GROUP BY 1""",
+    xrows="""SELECT key, quote_id AS period, ln(total_c / 100.0) AS y, list_concat(list_concat([1.0::DOUBLE], list_transform(years[2:], lambda p: CASE WHEN p = query_year THEN 1.0::DOUBLE ELSE 0.0 END)),
+  list_concat([advance_days::DOUBLE, stops::DOUBLE], list_transform(brands[2:], lambda b: CASE WHEN b = carrier_iata THEN 1.0::DOUBLE ELSE 0.0 END))) AS x FROM fx_quote JOIN levels ON key = source_code""",
+    **V.ols_steps(),
+    named="""SELECT key, list_concat(list_concat(['const'], list_transform(years[2:], lambda p: 'period_' || p)), list_concat(['advance_days', 'stops'], list_transform(brands[2:], lambda b: 'carrier_iata__' || b))) AS names,
+  'period_' || years[1] AS reference FROM levels""",
+)
+
+
+@query(
+    "a09_hedonic_time_dummy",
+    V.with_recursive(with_views(
+        f"""SELECT key AS source_code, names[i] AS term, CASE WHEN names[i] LIKE 'period\\_%' ESCAPE '\\' THEN 'period' ELSE 'regressor' END AS kind, round(estimate, 6) AS coefficient, round(std_error, 6) AS std_err,
+  round(1 - {V.within_t("(estimate / std_error)", "t.dof")}, 6) AS p_value, CASE WHEN names[i] LIKE 'period\\_%' ESCAPE '\\' THEN round(exp(estimate), 6) END AS index_value, n_obs, NULL AS skip_reason
+FROM terms t JOIN named USING (key) JOIN fits USING (key)
+UNION ALL SELECT key, reference, 'reference', 0.0, NULL, NULL, 1.0, n_obs, NULL FROM named JOIN fits USING (key)""",
+        "fx_quote", **HEDONIC_STEPS,
+    )),
+)
 def hedonic_time_dummy(spark, d):
     """Per source: yearly quality-adjusted index over lead, stops and carrier."""
     q = V.quotes(spark, d, "source_code", "query_year", "total_fare", "advance_days", "stops", "carrier_iata")

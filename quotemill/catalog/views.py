@@ -36,6 +36,47 @@ def with_views(final: str, *names: str, **extra: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final
 
 
+# --- least squares in SQL ---------------------------------------------------------------------
+
+
+def sweep(start: str) -> str:
+    """Body of a recursive step: matrices (key, m) with right-hand columns, swept row by row until unit columns are left."""
+    return f"""SELECT key, 1 AS k, m FROM {start} UNION ALL
+SELECT key, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda z: z / r[k]) ELSE list_transform(r, lambda z, j: z - r[k] * m[k][j] / m[k][k]) END) FROM swept WHERE k <= len(m)"""
+
+
+def within_t(t: str, dof: str) -> str:
+    """Share of Student's t within +-t for whole degrees of freedom: a finite sum of powers of a cosine."""
+    angle = f"atan(abs({t}) / sqrt({dof}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, {dof} // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * cos({angle}) ** (2 * j)))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * list_sum(list_transform(range(0, ({dof} - 1) // 2), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * cos({angle}) ** (2 * j + 1))))"
+    return f"CASE WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+def ols_steps(source: str = "xrows") -> dict[str, str]:
+    """Steps from ``source`` (key, period, x, y; x is a list of one length per key) to ``solved`` (beta, inverse), ``residuals``, ``fits`` and ``terms``: the cross
+    products beside the unit matrix are swept."""
+    return {
+        "cross_products": f"""SELECT key, i, j, sum(x[i] * CASE WHEN j <= len(x) THEN x[j] ELSE y END) AS v
+FROM (SELECT *, unnest(range(1, len(x) + 2)) AS j FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM {source})) GROUP BY key, i, j""",
+        "lines": "SELECT key, i, list(v ORDER BY j) AS l FROM cross_products GROUP BY key, i",
+        "gram": "SELECT key, list(list_concat(l, list_transform(range(1, len(l)), lambda c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0.0 END)) ORDER BY i) AS m FROM lines GROUP BY key",
+        "swept": sweep("gram"),
+        "solved": "SELECT key, list_transform(m, lambda r: r[len(m) + 1]) AS beta, list_transform(m, lambda r: r[len(m) + 2:]) AS inverse FROM swept WHERE k = len(m) + 1",
+        "residuals": f"""SELECT key, period, y, x, e, e - lag(e) OVER (PARTITION BY key ORDER BY period) AS step
+FROM (SELECT s.*, y - list_dot_product(x, beta) AS e FROM {source} s JOIN solved USING (key))""",
+        "fits": """SELECT *, 1 - ssr / sst AS r_squared, 1 - ssr / sst * (n_obs - 1) / dof AS adj_r_squared, sqrt(ssr / dof) AS residual_std_error, steps / ssr AS durbin_watson,
+  exp(-n_obs / 12.0 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4)) AS jarque_bera_pvalue FROM (
+  SELECT key, count(*) AS n_obs, count(*) - max(len(x)) AS dof, sum(e * e) AS ssr, sum(step * step) AS steps, var_pop(y) * count(*) AS sst, avg(e * e) AS m2, avg(e ** 3) AS m3, avg(e ** 4) AS m4
+  FROM residuals GROUP BY key)""",
+        "terms": "SELECT key, i, beta[i] AS estimate, sqrt(inverse[i][i] * ssr / dof) AS std_error, dof FROM (SELECT *, unnest(range(1, len(beta) + 1)) AS i FROM solved) JOIN fits USING (key)",
+    }
+
+
+def with_recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # declared schemas: no footer is read to plan a query
 TABLES = {
     "region": "r_regionkey int, r_name string",
