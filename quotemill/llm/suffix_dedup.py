@@ -397,8 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = known.where("copy is null").select("row", "body")
 
     rows = distinct.mapInArrow(_anchor_rows, f"anchor long, row {_ROW}, at int")
-    # written, so that the join below has two exchanges and a frequent anchor's rows can be split among tasks
-    counts = staged(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     repeated = rows.join(counts, "anchor").groupBy("row").agg(F.collect_list("at").alias("at"))
     wide = distinct.join(repeated, "row").select("row", "body", "at").mapInArrow(_super_windows, _SUPER)
     sorted_ = wide.repartition("h").sortWithinPartitions("h", "row", "at")
