@@ -63,3 +63,13 @@ def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     columns = [f"`{c}`" for c in rows.columns]
     maybe = tested.where("__filter_may").select(*columns).join(dropped.select(key), key, "left_anti")
     return tested.where("not __filter_may").select(*columns).unionByName(maybe.select(*columns))
+
+
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """(vec_id, v) with one row per id: of several the smallest v. Vectors are only moved where ids repeat."""
+    again = staged(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"), "again")
+    if again.isEmpty():
+        discard(again)
+        return rows
+    several = narrowed(rows, again, "vec_id").join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return without(rows, again, "vec_id").unionByName(several)

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.staging import discard, staged
-from quotemill.llm.components import narrowed, without
+from quotemill.llm.components import one_per_id
 
 SCALE, K, EVERY = 1024, 10, 100
 #: Rows of a block of data and of a block of questions.
@@ -172,16 +171,6 @@ def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -score[some]))[:k]]
 
 
-def one_per_id(rows: DataFrame) -> DataFrame:
-    """(vec_id, v) with one row per id: of several the smallest v. Vectors are only moved where ids repeat."""
-    again = staged(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"), "again")
-    if again.isEmpty():
-        discard(again)
-        return rows
-    several = narrowed(rows, again, "vec_id").join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
-    return without(rows, again, "vec_id").unionByName(several)
-
-
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row whose id is divisible by ``every``, itself left out.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.staging import staged
-from quotemill.llm.components import components
+from quotemill.llm.components import components, one_per_id
 
 THRESHOLD = 0.9
 SHARD = 2_000
@@ -42,6 +42,12 @@ def comparable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.coalesce(fine & some, F.lit(False)))
 
 
+def of_common_length(rows: DataFrame) -> DataFrame:
+    """The rows whose vectors have the most frequent length, of equally frequent ones the longest."""
+    common = rows.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("length")).first()
+    return rows.where(F.size("v") == common["length"]) if common else rows
+
+
 def unit(rows) -> np.ndarray:
     x = np.array(rows, dtype=float)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
@@ -205,12 +211,13 @@ def _search(table: pa.Table) -> pa.Table:
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Ids are unique whole numbers; rows with a null id are left out. A vector that is null, empty or zero, or holds a null or non-finite component, links with
-    nothing. All vectors compared must have one length. Copies link with each other and share the links of their representative.
+    Ids are whole numbers; rows with a null id are left out. Rows that share an id are one vector, the smallest of theirs that can be compared, and come out
+    once each. A vector that is null, empty or zero, or holds a null or non-finite component, links with nothing; nor does one of another length than the
+    most frequent one (of equally frequent ones the longest). Copies link with each other and share the links of their representative.
     An empty table gives no rows. Labels and other columns are not read.
     """
     everything = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"))
-    usable = comparable(vectors, id_col, vector_col)
+    usable = of_common_length(one_per_id(comparable(vectors, id_col, vector_col)))
     one = staged(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
     count = one.count()
     if not count:

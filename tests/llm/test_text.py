@@ -140,3 +140,11 @@ def test_comments_longer_than_the_article_are_left_out():
     talk = "".join(f"<li class='comment'><p>Reader {k} thinks that all of this has been said before, and at greater length.</p></li>" for k in range(12))
     page = f"<html><body class='single'><main>{ARTICLE}</main><section id='comments' class='comments-area'><ol class='comment-list'>{talk}</ol></section></body></html>"
     assert page_text.main_text(page, page_text.default_field()) == PLAIN
+
+
+def test_a_format_that_is_used_up_grows(spark, monkeypatch):
+    """Every value of a kind of one digit occurs: no surrogate of that length is free."""
+    monkeypatch.setattr(surrogates, "SAME_LENGTH", 1)
+    values = spark.createDataFrame([("ssn", "", str(k)) for k in range(10)], "kind string, gender string, value string").coalesce(1)
+    mine = {r.value: r.surrogate for r in surrogates._assigned(values, "k").collect()}
+    assert len(mine) == 10 and len(set(mine.values())) == 10 and not set(mine.values()) & set(mine) and all(s.isdigit() and len(s) <= 6 for s in mine.values())

@@ -138,3 +138,11 @@ def test_top_k_of_repeated_ids_and_mixed_lengths(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in cover_topk.top_k(table(spark, rows)).collect()]
     one = 1024 * 1024
     assert sorted(got) == [(0, 1, 2, one), (0, 2, 1, one // 2), (0, 3, 100, one // 2), (100, 1, 1, 2 * one), (100, 2, 2, 2 * one), (100, 3, 0, one // 2)]
+
+
+def test_links_of_repeated_ids_and_mixed_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 2.0]), (4, [5.0]), (4, [1.0, 0.0]), (5, [1.0, 2.0, 3.0]), (6, [-1.0]), (None, [1.0, 0.0]), (7, [2.0]), (7, None)]
+    got = sorted(tuple(r) for r in vector_links.link_vectors(table(spark, rows)).collect())
+    # 2 is (0, 1), 4 is (1, 0): smaller than (5)
+    assert got == sorted([(1, 1, 1, True)] * 2 + [(2, 1, 2, True)] * 2 + [(3, 1, 2, False)] + [(4, 1, 1, False)] * 2 + [(5, 0, 5, True), (6, 0, 6, True)] + [(7, 0, 7, True)] * 2)
+    assert vector_links.link_vectors(table(spark, [])).count() == 0
