@@ -210,24 +210,40 @@ def csv_file(spark, d):
     return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in exports.CSV_COLUMNS])
 
 
-@query(
-    "s19_sdmx_observations",
-    with_views(
-        """SELECT series_code, count(*) AS n_points, '{' || string_agg('"' || i || '":[' || printf('%.6f', floor(value * 1000) / 1000) || ',0,' || i || ']', ',' ORDER BY period) || '}' AS observations,
+OBSERVATIONS = """SELECT series_code, count(*) AS n_points, '{' || string_agg('"' || i || '":[' || printf('%.6f', floor(value * 1000) / 1000) || ',0,' || i || ']', ',' ORDER BY period) || '}' AS observations,
   '[' || string_agg('{"id":"' || strftime(period, '%Y-%m') || '","name":"' || strftime(period, '%Y-%m') || '"}', ',' ORDER BY period) || ']' AS time_periods,
   '[' || string_agg('{"id":"' || n_quotes || '","name":"' || n_quotes || '"}', ',' ORDER BY period) || ']' AS n_quotes_values
-FROM (SELECT *, row_number() OVER (PARTITION BY series_code ORDER BY period) - 1 AS i FROM fx_latest) GROUP BY 1""",
-        "fx_latest",
-    ),
-)
+FROM (SELECT *, row_number() OVER (PARTITION BY series_code ORDER BY period) - 1 AS i FROM fx_latest) GROUP BY 1"""
+
+
+@query("s19_sdmx_observations", with_views(OBSERVATIONS, "fx_latest"))
 def sdmx_observations(spark, d):
     return exports.sdmx_observations(stored(latest(spark, d)))
 
 
-@query("s19_sdmx_messages")
+def _message_sql() -> str:
+    """The message text, from the constant parts and SQL for what stands between them."""
+    windows = "[" + ", ".join(f"'{i}'" for i, _ in exports.WINDOWS) + "]"
+    carriers = "[" + ", ".join(f"'{i}'" for i, _ in exports.CARRIER_TYPES) + "]"
+    at = lambda kind, codes: f"CASE WHEN kind = '{kind}' THEN greatest(coalesce(list_position({codes}, part), 0) - 1, 0) ELSE 0 END"
+    key = " || ':' || ".join(["'0'", at("ROUTE", "codes"), at("CARRIERTYPE", carriers), at("WINDOW", windows)])
+    named = """'[' || list_aggregate(list_transform(codes, lambda c: '{"id":"' || c || '","name":"' || CASE WHEN c = 'ALL' THEN 'All basket routes' ELSE c END || '"}'), 'string_agg', ',') || ']'"""
+    variable = ["series_code", "'2002-01-01T00:00:00Z'", key, "observations", named, "time_periods", "n_quotes_values"]
+    quoted = [part.replace("'", "''") for part in exports.message_segments("PX", "Price index")]
+    return f"'{quoted[0]}'" + "".join(f" || {v} || '{part}'" for v, part in zip(variable, quoted[1:], strict=True))
+
+
+@query(
+    "s19_sdmx_messages",
+    with_views(
+        f"""SELECT series_code, {_message_sql()} AS message FROM (
+  SELECT *, split_part(series_code, '.', 2) AS kind, split_part(series_code, '.', 3) AS part FROM obs), (SELECT list_concat(['ALL'], list(route_code ORDER BY route_code)) AS codes FROM fx_route)""",
+        "fx_latest", "fx_route", obs=OBSERVATIONS,
+    ),
+)
 def sdmx_messages(spark, d):
-    """Whole messages; the tests parse them."""
-    return exports.sdmx_messages(latest(spark, d), ["AFR-ASI"], "PX", "Price index", "2002-01-01 00:00:00")
+    """Whole messages of the national and all route series; the route dimension lists the table's routes."""
+    return exports.sdmx_messages(stored(latest(spark, d)), V.routes(spark, d), "PX", "Price index", "2002-01-01 00:00:00")
 
 
 # --- splicing --------------------------------------------------------------------------------

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.config import ADVANCE_WINDOWS
@@ -73,34 +74,71 @@ def _values(pairs: Sequence[tuple[str, str]]) -> list[dict]:
     return [{"id": i, "name": n} for i, n in pairs]
 
 
-def sdmx_messages(latest: DataFrame, routes: Sequence[str], agency: str, title: str, prepared) -> DataFrame:
-    """One SDMX-JSON data message per series as text. The structure part is constant."""
-    import json
+# Code lists of the two dimensions that do not depend on the data.
+CARRIER_TYPES = (("ALL", "All carriers"), ("FSC", "Full-service carrier"), ("LCC", "Low-cost carrier"), ("REGIONAL", "Regional"))
+WINDOWS = (("ALL", "All windows"), *[(w[0], w[3]) for w in ADVANCE_WINDOWS])
+_HOLE = "\x00"
 
+
+def message_segments(agency: str, title: str) -> list[str]:
+    """The constant texts of a message; between them stand the series code, the time of preparation, the series key, the observations, the values of the
+    route dimension, the time periods and the numbers of quotes."""
     # Dimension and attribute ids and names of the message structure.
-    dims = [
-        ("FREQ", "Frequency", [("M", "Monthly")]),
-        ("ROUTE", "Route", [("ALL", "All basket routes"), *[(r, r) for r in routes]]),
-        ("CARRIER_TYPE", "Carrier type", [("ALL", "All carriers"), ("FSC", "Full-service carrier"), ("LCC", "Low-cost carrier"), ("REGIONAL", "Regional")]),
-        ("AP_WINDOW", "Advance-purchase window", [("ALL", "All windows"), *[(w[0], w[3]) for w in ADVANCE_WINDOWS]]),
-    ]
-    series_dims = json.dumps([{"id": i, "name": n, "keyPosition": k, "values": _values(v)} for k, (i, n, v) in enumerate(dims)])
-    unit = json.dumps([{"id": "UNIT_MEASURE", "name": "Unit of measure", "values": _values([("IX", "Index, reference period = 100")])}])
-    status = json.dumps({"id": "OBS_STATUS", "name": "Observation status", "values": _values([("A", "Normal"), ("P", "Provisional")])})
-    lit = F.lit
+    dims = [("FREQ", "Frequency", _values([("M", "Monthly")])), ("ROUTE", "Route", _HOLE), ("CARRIER_TYPE", "Carrier type", _values(CARRIER_TYPES)), ("AP_WINDOW", "Advance-purchase window", _values(WINDOWS))]
+    message = {
+        "meta": {"id": _HOLE, "prepared": _HOLE, "test": False, "contentLanguages": ["en"], "sender": {"id": agency, "name": title}},
+        "data": {
+            "dataSets": [{"action": "Information", "structure": 0, "series": {_HOLE: {"attributes": [0], "observations": _HOLE}}}],
+            "structures": [
+                {
+                    "name": title,
+                    "dimensions": {
+                        "series": [{"id": i, "name": n, "keyPosition": k, "values": v} for k, (i, n, v) in enumerate(dims)],
+                        "observation": [{"id": "TIME_PERIOD", "name": "Time period", "role": "time", "values": _HOLE}],
+                    },
+                    "attributes": {
+                        "series": [{"id": "UNIT_MEASURE", "name": "Unit of measure", "values": _values([("IX", "Index, reference period = 100")])}],
+                        "observation": [
+                            {"id": "OBS_STATUS", "name": "Observation status", "values": _values([("A", "Normal"), ("P", "Provisional")])},
+                            {"id": "N_QUOTES", "name": "Underlying cleaned quotes", "values": _HOLE},
+                        ],
+                    },
+                }
+            ],
+        },
+    }
+    text = json.dumps(message, separators=(",", ":"))
+    # holes that hold objects and lists lose their quotes
+    parts = text.split(json.dumps(_HOLE)[1:-1])
+    for k in (4, 5, 6, 7):
+        parts[k - 1], parts[k] = parts[k - 1][:-1], parts[k][1:]
+    return parts
+
+
+def series_key(code: Column, routes: Column) -> Column:
+    """Positions of a series' dimension values in the message's code lists; a dimension the code does not name is at ``ALL``."""
+    parts = F.split(code, r"\.")
+    kind, value = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    at = lambda name, codes: F.when(kind == name, F.greatest(F.array_position(codes, value) - 1, F.lit(0))).otherwise(0).cast("string")
+    listed = lambda pairs: F.array(*[F.lit(i) for i, _ in pairs])
+    return F.concat_ws(":", F.lit("0"), *[F.coalesce(x, F.lit("0")) for x in (at("ROUTE", routes), at("CARRIERTYPE", listed(CARRIER_TYPES)), at("WINDOW", listed(WINDOWS)))])
+
+
+def sdmx_messages(latest: DataFrame, routes: Sequence[str] | DataFrame, agency: str, title: str, prepared) -> DataFrame:
+    """One SDMX-JSON data message per series as text. ``routes`` are the codes of the route dimension after ``ALL``: a list in its order, or a table with
+    ``route_code`` (a basket), taken in alphabetical order. A series stands in its message under the positions of its dimension values."""
     o = sdmx_observations(latest)
-    text = F.concat(
-        lit('{"meta":{"id":"'), F.col("series_code"),
-        lit('","prepared":"'), F.date_format(F.lit(prepared).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX"),
-        lit(f'","test":false,"contentLanguages":["en"],"sender":{json.dumps({"id": agency, "name": title})}}},'),
-        lit('"data":{"dataSets":[{"action":"Information","structure":0,"series":{"0:0:0:0":{"attributes":[0],"observations":'),
-        F.col("observations"),
-        lit(f'}}}}}}],"structures":[{{"name":{json.dumps(title)},"dimensions":{{"series":{series_dims},"observation":[{{"id":"TIME_PERIOD","name":"Time period","role":"time","values":'),
-        F.col("time_periods"),
-        lit(f'}}]}},"attributes":{{"series":{unit},"observation":[{status},{{"id":"N_QUOTES","name":"Underlying cleaned quotes","values":'),
-        F.col("n_quotes_values"),
-        lit("}]}}]}}"),
-    )
+    if isinstance(routes, DataFrame):
+        basket = routes.agg(F.sort_array(F.collect_set("route_code")).alias("__routes"))  # one row
+        o = o.crossJoin(F.broadcast(basket))
+    else:
+        o = o.withColumn("__routes", F.array(*[F.lit(r) for r in routes]).cast("array<string>"))
+    codes = F.concat(F.array(F.lit("ALL")), F.col("__routes"))
+    named = F.to_json(F.transform(codes, lambda c: F.struct(c.alias("id"), F.when(c == "ALL", "All basket routes").otherwise(c).alias("name"))))
+    moment = F.date_format(F.lit(prepared).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    variable = [F.col("series_code"), moment, series_key(F.col("series_code"), codes), F.col("observations"), named, F.col("time_periods"), F.col("n_quotes_values")]
+    first, *rest = message_segments(agency, title)
+    text = F.concat(F.lit(first), *[x for v, part in zip(variable, rest, strict=True) for x in (v, F.lit(part))])
     return o.select("series_code", text.alias("message"))
 
 
