@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quotemill.config import ADVANCE_WINDOWS
 from quotemill.functions import quantiles as Q
 from quotemill.functions.core import case_chain, null_safe_join, require
-from quotemill.functions.staging import staged
+from quotemill.functions.staging import discard, staged
 from quotemill.functions.hashing import FLIGHT_KEY_NAMESPACE, uuid5
 
 REQUIRED_DIMENSIONS = ("route_id", "carrier_iata", "travel_date", "advance_days")
@@ -151,13 +151,8 @@ def decompose_fares(quotes: DataFrame, airport_fee: DataFrame, tax_rate: float)
 # --- outlier flags --------------------------------------------------------------------------
 
 
-def outlier_bounds(
-    quotes: DataFrame,
-    keys: Sequence[str],
-    price: str = "total_fare",
-) -> DataFrame:
-    """Per cell: ``cell_n``, ``med``, ``mad``, ``q1``, ``q3`` of ln(price)."""
-    counts = Q.value_counts(quotes, keys, price)
+def _bounds(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``outlier_bounds`` from a (keys, v, n) table of prices."""
     mid = Q.quantiles_of_counts(counts, keys, {"q1": 0.25, "med": 0.5, "q3": 0.75}, F.log)
     mid = staged(mid.withColumnRenamed("n_values", "cell_n"), "bounds")
     deviations = null_safe_join(counts, mid.select(*keys, "med"), keys).withColumn(
@@ -167,27 +162,34 @@ def outlier_bounds(
     return null_safe_join(mid, spread, keys)
 
 
-def detect_outliers(
+def outlier_bounds(
+    quotes: DataFrame,
+    keys: Sequence[str],
+    price: str = "total_fare",
+) -> DataFrame:
+    """Per cell: ``cell_n``, ``med``, ``mad``, ``q1``, ``q3`` of ln(price)."""
+    return _bounds(Q.value_counts(quotes, keys, price), keys)
+
+
+def outlier_values(
     quotes: DataFrame,
     keys: Sequence[str] = ("route_id", "advance_days", "travel_date"),
     price: str = "total_fare",
-    active_rule: str = "mad_log",
     mad_threshold: float = 3.5,
     iqr_k: float = 1.5,
     min_cell_size: int = 5,
 ) -> DataFrame:
-    """Flag rows by modified z-score and by Tukey fences on ln(price) within each cell.
+    """(keys, price, is_outlier_mad, is_outlier_iqr) of the prices that either rule flags in a cell, as a written table: the modified z-score and Tukey's
+    fences on ln(price). Small cells are never screened and a cell with zero MAD flags nothing.
 
-    Both verdicts are kept; ``is_outlier``/``outlier_rule`` follow ``active_rule``. Small cells are
-    never screened and a cell with zero MAD flags nothing.
+    A verdict depends on the cell and the price alone, so it is given once per distinct price, and quotes are read for these two only.
     """
-    require(quotes, [*keys, price], "detect_outliers")
+    require(quotes, [*keys, price], "outlier_values")
     if min_cell_size < 2:
         raise ValueError("min_cell_size must be >= 2")
-    if active_rule not in ("mad_log", "iqr"):
-        raise ValueError(f"unknown outlier rule {active_rule!r}")
-    q = null_safe_join(quotes, outlier_bounds(quotes, keys, price), keys, "left")
-    x = F.log(F.col(price).cast("double"))
+    counts = Q.value_counts(quotes, keys, price)
+    q = null_safe_join(counts, _bounds(counts, keys), keys)
+    x = F.log(F.col("v").cast("double"))
     eligible = F.col("cell_n") >= min_cell_size
     z = F.lit(0.6745) * F.abs(x - F.col("med")) / F.nullif(F.col("mad"), F.lit(0.0))
     iqr = F.col("q3") - F.col("q1")
@@ -195,14 +197,38 @@ def detect_outliers(
     iqr_flag = F.coalesce(
         eligible & ((x < F.col("q1") - iqr_k * iqr) | (x > F.col("q3") + iqr_k * iqr)), F.lit(False)
     )
-    active = mad_flag if active_rule == "mad_log" else iqr_flag
-    return (
-        q.withColumn("is_outlier_mad", mad_flag)
-        .withColumn("is_outlier_iqr", iqr_flag)
-        .withColumn("is_outlier", active)
-        .withColumn("outlier_rule", F.when(active, F.lit(active_rule)))
-        .drop("cell_n", "med", "mad", "q1", "q3")
-    )
+    judged = q.select(*keys, F.col("v").alias(price), mad_flag.alias("is_outlier_mad"), iqr_flag.alias("is_outlier_iqr"))
+    values = staged(judged.where("is_outlier_mad or is_outlier_iqr"), "outliers")
+    discard(counts)
+    return values
+
+
+def with_outlier_flags(
+    quotes: DataFrame, values: DataFrame, keys: Sequence[str], price: str = "total_fare", active_rule: str = "mad_log"
+) -> DataFrame:
+    """``quotes`` with both verdicts of ``outlier_values``; ``is_outlier``/``outlier_rule`` follow ``active_rule``."""
+    if active_rule not in ("mad_log", "iqr"):
+        raise ValueError(f"unknown outlier rule {active_rule!r}")
+    q = null_safe_join(quotes, values, [*keys, price], "left")
+    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("is_outlier_mad", "is_outlier_iqr")}
+    active = flags["is_outlier_mad" if active_rule == "mad_log" else "is_outlier_iqr"]
+    return q.withColumns(flags | {"is_outlier": active, "outlier_rule": F.when(active, F.lit(active_rule))})
+
+
+def detect_outliers(
+    quotes: DataFrame,
+    keys: Sequence[str] = ("route_id", "advance_days", "travel_date"),
+    price: str = "total_fare",
+    active_rule: str = "mad_log",
+    mad_threshold: float = 3.5,
+    iqr_k: float = 1.5,
+    min_cell_size: int = 5,
+) -> DataFrame:
+    """Flag rows by modified z-score and by Tukey fences on ln(price) within each cell (see ``outlier_values``). Both verdicts are kept;
+    ``is_outlier``/``outlier_rule`` follow ``active_rule``."""
+    if active_rule not in ("mad_log", "iqr"):
+        raise ValueError(f"unknown outlier rule {active_rule!r}")
+    return with_outlier_flags(quotes, outlier_values(quotes, keys, price, mad_threshold, iqr_k, min_cell_size), keys, price, active_rule)
 
 
 # --- derived columns ------------------------------------------------------------------------

@@ -79,26 +79,26 @@ def clean_quotes(
     stage: bool = True,
 ) -> CleanResult:
     """Run every cleaning stage. ``carrier_types``: (carrier_iata, carrier_type); ``airport_fee``:
-    (origin_iata, airport_udf). The flagged quotes and the missing cells feed several branches and
-    are written once each (``stage``)."""
+    (origin_iata, airport_udf). What the screens, the missing cells and the imputation read of a quote, its identity and price, is written once as a narrow table
+    (``stage``); the quotes themselves are read once more, for the clean rows."""
     kept, quarantined = cleaning.quarantine_malformed(quotes)
-    # the stages do not depend on each other; outliers go first because they read prices and cell
-    # keys only, so counting values does not drag the other stages' joins along
-    kept = cleaning.detect_outliers(
-        kept, opts.outlier_group, "total_fare", opts.active_rule, opts.mad_threshold, opts.iqr_k, opts.min_cell_size
-    )
+    # identity, price and derived columns; what is not selected is not computed
+    derived = cleaning.with_calendar(cleaning.with_lookup(kept, carrier_types, "carrier_iata"))
+    narrow = derived.select(*dict.fromkeys([*missing.CELL, *opts.outlier_group, *opts.impute_group, *opts.coverage_group, "total_fare"]))
     if stage:
-        kept = staged(kept, "flagged")
-    kept = cleaning.assign_flight_key(kept, opts.dep_tolerance_minutes, opts.dedup_group)
+        narrow = staged(narrow, "cells")
+    outliers = cleaning.outlier_values(narrow, opts.outlier_group, "total_fare", opts.mad_threshold, opts.iqr_k, opts.min_cell_size)
+    flagged = lambda rows: cleaning.with_outlier_flags(rows, outliers, opts.outlier_group, "total_fare", opts.active_rule)
+    kept = cleaning.assign_flight_key(flagged(kept), opts.dep_tolerance_minutes, opts.dedup_group)
     kept = cleaning.decompose_fares(kept, airport_fee, opts.tax_rate)
     kept = cleaning.with_calendar(cleaning.with_lookup(kept, carrier_types, "carrier_iata"))
-    gaps = missing.classify_missing(missing.missing_cells(expected, kept), runs)
+    gaps = missing.classify_missing(missing.missing_cells(expected, narrow), runs)
     if stage:
         gaps = staged(gaps, "gaps")
     sold_out = cleaning.with_lookup(gaps.where(F.col("missing_reason") == "sold_out"), carrier_types, "carrier_iata")
     filled, unresolved = missing.impute_sold_out(
-        sold_out, kept.where(~F.col("is_outlier")), opts.impute_group, opts.min_impute_size
+        sold_out, flagged(narrow).where(~F.col("is_outlier")), opts.impute_group, opts.min_impute_size
     )
     clean = observed_rows(kept, snapshot_id).unionByName(imputed_rows(filled, snapshot_id))
-    cover = missing.coverage(expected, kept, gaps, filled, opts.coverage_group)
+    cover = missing.coverage(expected, narrow, gaps, filled, opts.coverage_group)
     return CleanResult(clean, quarantined, unresolved, cover, gaps)
