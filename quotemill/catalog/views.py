@@ -184,14 +184,17 @@ def booking_weights(spark: SparkSession) -> DataFrame:
 # route weights: total order value by customer region over supplier region pairs, left out for one
 define(
     "fx_pax",
-    "SELECT route_code, CAST(sum(total_c) AS DOUBLE) / 100 AS weight FROM fx_quote WHERE route_code <> 'ASI-MID' GROUP BY 1",
+    """SELECT route_code, CAST(t AS DOUBLE) / 100 AS weight FROM (SELECT route_code, sum(total_c) AS t FROM fx_quote GROUP BY 1)
+QUALIFY row_number() OVER (ORDER BY t, route_code) > 1""",
     "fx_quote",
 )
 
 
 def pax_weights(spark: SparkSession, d: str) -> DataFrame:
-    q = quotes(spark, d, "route_code", "total_c").where(F.col("route_code") != "ASI-MID")
-    return q.groupBy("route_code").agg((F.sum("total_c").cast("double") / 100).alias("weight"))
+    g = quotes(spark, d, "route_code", "total_c").groupBy("route_code").agg(F.sum("total_c").alias("t"))
+    # the smallest route has no weight yet
+    least = g.agg(F.min(F.struct("t", "route_code")).alias("__least"))  # one row
+    return g.crossJoin(F.broadcast(least)).where(F.struct("t", "route_code") > F.col("__least")).select("route_code", (F.col("t").cast("double") / 100).alias("weight"))
 
 
 # --- quotes ---------------------------------------------------------------------------------
