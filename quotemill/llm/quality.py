@@ -119,13 +119,13 @@ def with_statistics(docs: DataFrame, *columns: str, text_col: str = "text") -> D
 
 
 def training(doc_id) -> F.Column:
-    """Rows that may be learned from: crc32 of the id as text, modulo 5, is not 0."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
+    """Rows that may be learned from: crc32 of the id as text, modulo 5, is not 0. A row without an id is held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
     """Learn from every labelled training row. ``labels``: doc_id, quality (0 or 1; other values and nulls are not read; several labels of one id
-    count as their smallest). Without rows of a class, that class is taken to look like the other one, so scores follow the priors."""
+    count as their smallest; rows of ``docs`` that share an id are rows of their own with its label). Without rows of a class, that class is taken to look like the other one, so scores follow the priors."""
     d = len(STATISTICS)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     rows = with_statistics(docs.where(training(F.col("doc_id"))), "doc_id")

@@ -1,7 +1,9 @@
 """Quality, surrogates, chat trees and page text."""
 
 import re
+import zlib
 
+import numpy as np
 import pytest
 from conftest import *  # noqa: F403
 from pyspark.sql import functions as F
@@ -19,6 +21,26 @@ def test_quality_tells_held_out_rows(spark):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_quality_scores_equal_those_of_plain_numpy(spark):
+    """Densities from inverse matrices and determinants of each class's own rows."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = {k: np.array([quality.statistics(texts[d]) for d, q in known.items() if q == k]) for k in (0, 1)}
+    scale = np.concatenate([x[0], x[1]]).std(axis=0)
+    density = []
+    everything = np.array([quality.statistics(t) for t in texts.values()]) / scale
+    for k in (0, 1):
+        cov = np.cov((x[k] / scale).T, bias=True)
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 0.02 * np.eye(len(scale))
+        gap = everything - (x[k] / scale).mean(axis=0)
+        far = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap)
+        density.append(np.log((len(x[k]) + 1) / (len(known) + 2)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * far)
+    want = dict(zip(texts, 1 / (1 + np.exp(np.clip(density[0] - density[1], -60, 60)))))
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels), "doc_id").collect()}
+    assert len(x[0]) > 20 and got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6
+
+
 def test_quality_of_odd_rows(spark, documents):
     df = documents([(1, None), (2, ""), (None, "word"), (3, "long " * 100_000)])
     labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1)], "doc_id long, quality int")
