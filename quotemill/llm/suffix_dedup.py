@@ -88,8 +88,8 @@ def _buffers(texts: list[bytes]):
         k = stop
 
 
-#: What a row is told by: its id, and its place among the rows of that id. The order of documents is the order of these.
-_ROW = "struct<row_id:long,nth:int>"
+#: What a row is told by: its id, or, where ids repeat, its id and its place among the rows of that id. The order of documents is the order of these.
+_ALONE, _NTH = "long", "struct<row_id:long,nth:int>"
 _FOUND = "array<struct<at:int,mask:long>>"
 
 
@@ -117,7 +117,11 @@ def _found(at: np.ndarray, mask: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
 
 
-_SUPER = f"h long, row {_ROW}, at int, lead int, bytes binary, found {_FOUND}"
+def _order(rows: pa.Array) -> np.ndarray:
+    """Places of rows in the order of documents."""
+    if pa.types.is_struct(rows.type):
+        return np.lexsort((np.asarray(rows.field("nth")), np.asarray(rows.field("row_id"))))
+    return np.argsort(np.asarray(rows), kind="stable")
 
 
 def _super_windows(batches):
@@ -126,9 +130,7 @@ def _super_windows(batches):
     for batch in batches:
         # in order of documents, so that the first of equals is the earliest
         table = pa.Table.from_batches([batch])
-        rows = table.column(0).combine_chunks()
-        order = np.lexsort((np.asarray(rows.field("nth")), np.asarray(rows.field("row_id"))))
-        table = table.take(pa.array(order))
+        table = table.take(pa.array(_order(table.column(0).combine_chunks())))
         rows, texts, wanted = table.column(0).combine_chunks(), table.column(1).to_pylist(), table.column(2).to_pylist()
         seen: set[tuple[int, bytes]] = set()
         for k, data, starts in _buffers(texts):
@@ -325,7 +327,8 @@ def _sort_and_mark(batches):
 def _finish(keep_bytes: bool, carried: list[str]):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).field("row_id"), batch.column(1).to_pylist()
+            rows, texts = batch.column(0), batch.column(1).to_pylist()
+            ids = rows.field("row_id") if pa.types.is_struct(rows.type) else rows
             copies = batch.column(2).to_pylist()
             marks = batch.column(3).to_pylist()
             n_bytes, n_removed, n_spans, kept = [], [], [], []
@@ -360,17 +363,18 @@ def _finish(keep_bytes: bool, carried: list[str]):
     return run
 
 
-def numbered(source: DataFrame) -> DataFrame:
-    """``source`` with ``row`` in place of ``row_id``: the id, and the place of the row among the rows of that id by the digest of its text."""
+def numbered(source: DataFrame) -> tuple[DataFrame, str]:
+    """``source`` with ``row`` in place of ``row_id``, and the type of ``row``: the id, or where ids repeat the id and the place of the row among the rows of
+    that id, by the digest of its text."""
     again = staged(source.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_id"), "again")
-    others = [c for c in source.columns if c != "row_id"]
-    row = lambda nth: F.struct("row_id", nth.cast("int").alias("nth")).alias("row")
     if again.isEmpty():
         discard(again)
-        return source.select(row(F.lit(0)), *others)
+        return source.withColumnRenamed("row_id", "row"), _ALONE
+    others = [c for c in source.columns if c != "row_id"]
+    row = lambda nth: F.struct("row_id", nth.cast("int").alias("nth")).alias("row")
     place = F.row_number().over(Window.partitionBy("row_id").orderBy(F.sha2("body", 256))) - 1
     several = narrowed(source, again, "row_id").join(again, "row_id", "left_semi")
-    return without(source, again, "row_id").select(row(F.lit(0)), *others).unionByName(several.select(row(place), *others))
+    return without(source, again, "row_id").select(row(F.lit(0)), *others).unionByName(several.select(row(place), *others)), _NTH
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -387,21 +391,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = [F.col(c).alias(i) for c, i in zip(carry, inner, strict=True)]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), *extra)
-    source = numbered(source)
+    source, kind = numbered(source)
     # the one exchange of the texts; everything that needs them reads it again
     held = source.repartition(partitions, "row")
     digest = source.select("row", F.sha2("body", 256).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = digest.join(first, "digest").where("row <> first").select("row", F.lit(True).alias("copy"))
     known = held.join(copies, "row", "left")
-    distinct = known.where("copy is null").select("row", "body")
+    # with the columns carried, though not read: a plan that leaves them out here would exchange the texts once more
+    distinct = known.where("copy is null").select("row", "body", *inner)
 
-    rows = distinct.mapInArrow(_anchor_rows, f"anchor long, row {_ROW}, at int")
+    rows = distinct.mapInArrow(_anchor_rows, f"anchor long, row {kind}, at int")
     counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     repeated = rows.join(counts, "anchor").groupBy("row").agg(F.collect_list("at").alias("at"))
-    wide = distinct.join(repeated, "row").select("row", "body", "at").mapInArrow(_super_windows, _SUPER)
+    wide = distinct.join(repeated, "row").select("row", "body", "at", *inner).mapInArrow(_super_windows, f"h long, row {kind}, at int, lead int, bytes binary, found {_FOUND}")
     sorted_ = wide.repartition("h").sortWithinPartitions("h", "row", "at")
-    marks = sorted_.mapInArrow(_sort_and_mark, f"row {_ROW}, found {_FOUND}")
+    marks = sorted_.mapInArrow(_sort_and_mark, f"row {kind}, found {_FOUND}")
     gathered = marks.groupBy("row").agg(F.flatten(F.collect_list("found")).alias("marks"))
     done = known.join(gathered, "row", "left").select("row", "body", "copy", "marks", *inner)
     schema = "row_id long, n_bytes long, n_removed long, n_spans long, kept string"
