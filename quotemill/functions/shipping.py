@@ -7,7 +7,9 @@ as a Python file; Spark's own file server carries it to every executor, also to
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -22,13 +24,15 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _done:
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="quotemill-code-"), "quotemill_code.zip")
+    folder = tempfile.mkdtemp(prefix="quotemill-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "quotemill_code.zip")
     root = os.path.dirname(_PACKAGE)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in sorted(os.walk(_PACKAGE)):
+        for inside, _, names in sorted(os.walk(_PACKAGE)):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(inside, name)
                     out.write(full, os.path.relpath(full, root))
     context.addPyFile(path)
     _done.add(context.applicationId)
