@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.llm.wordbpe import forget
+
 #: Statistics of a text, in this order.
 STATISTICS = (
     "log_words", "word_length", "repeat_next", "distinct", "top_word", "upper", "symbol_run", "symbols", "bars", "digits", "line_words", "stops",
@@ -111,6 +113,7 @@ def with_statistics(docs: DataFrame, *columns: str, text_col: str = "text") -> D
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
+        forget()
         for batch in batches:
             stats = [statistics(t) for t in batch.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(stats, pa.list_(pa.float64()))], names=[*columns, "stats"])
@@ -161,6 +164,7 @@ def score(docs: DataFrame, model: Discriminant, *columns: str, text_col: str = "
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
+        forget()
         for batch in batches:
             texts = batch.column(len(columns)).to_pylist()
             x = np.array([statistics(t) for t in texts], dtype=float).reshape(-1, len(STATISTICS))
@@ -173,6 +177,7 @@ def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text") -> D
     """Rows with a score of CUT or more, all columns as they were."""
 
     def run(batches):
+        forget()
         at = None
         for batch in batches:
             at = batch.schema.get_field_index(text_col) if at is None else at

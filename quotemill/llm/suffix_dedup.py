@@ -35,7 +35,9 @@ from quotemill.llm.rolling import FIRST, mix
 LENGTH, GRAM = 100, 40
 SPAN = LENGTH - GRAM + 1  # grams in a window; distances fit into a 64-bit mask
 #: Bytes hashed at a time (a longer document is hashed alone).
-CHUNK = 1_000_000
+CHUNK = 500_000
+#: Bytes of super-windows that later ones of a batch are compared with; beyond that the comparison starts afresh (a matter of memory, not of results).
+COMPARED = 2_000_000
 
 
 def anchors(data: np.ndarray, starts: np.ndarray):
@@ -133,6 +135,7 @@ def _super_windows(batches):
         table = table.take(pa.array(_order(table.column(0).combine_chunks())))
         rows, texts, wanted = table.column(0).combine_chunks(), table.column(1).to_pylist(), table.column(2).to_pylist()
         seen: set[tuple[int, bytes]] = set()
+        held = 0
         for k, data, starts in _buffers(texts):
             where, value, first, count = anchors(data, starts)
             places = np.sort(np.concatenate([np.asarray(w, dtype=np.int64) + s for w, s in zip(wanted[k : k + len(starts)], starts, strict=True)]))
@@ -147,7 +150,11 @@ def _super_windows(batches):
                 if key in seen:
                     fresh[n] = False
                 else:
+                    if held > COMPARED:
+                        seen.clear()
+                        held = 0
                     seen.add(key)
+                    held += len(key[1])
             go = np.flatnonzero(fresh)
             yield pa.RecordBatch.from_arrays(
                 [

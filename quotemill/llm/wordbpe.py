@@ -283,3 +283,9 @@ def remembered(path: str, kind: str, make_for) -> Remembered:
 def tokenizer(path: str) -> WordBpe:
     """One per worker and file."""
     return WordBpe(path)
+
+
+def forget() -> None:
+    """Give the memories of this worker back: for tasks of another kind that run in the same worker later."""
+    _remembered.clear()
+    tokenizer.cache_clear()
