@@ -7,7 +7,8 @@ from conftest import sha
 from quotemill.llm import minhash_dedup, suffix_dedup
 
 
-def brute_cut(rows, length=100):
+def brute_rows(rows, length=100):
+    """What is left of every row, as a list per id."""
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0], sha(r[1] or ""))):
         b = (t or "").encode()
@@ -22,6 +23,11 @@ def brute_cut(rows, length=100):
     return {i: sorted(x) for i, x in out.items()}
 
 
+def brute_cut(rows, length=100):
+    """What is left of every row, ids being unique."""
+    return {i: x[0] for i, x in brute_rows(rows, length).items()}
+
+
 def cut(df):
     got = {}
     for r in suffix_dedup.remove_repeats(df).collect():
@@ -46,21 +52,21 @@ def test_cut_as_brute_force(documents, prose, batches):
         (12, a[100:199] + "q" + a[100:200]), (13, "ab" * 400), (14, prose(9, 9000)), (15, prose(9, 9000)[7:]), (16, "y" + "é" * 200),
         *[(20 + k, prose(100 + k, 30) + line + prose(200 + k, 30)) for k in range(12)],
     ]
-    assert cut(documents(rows)) == brute_cut(rows)
+    assert cut(documents(rows)) == brute_rows(rows)
 
 
 def test_repeated_ids_keep_one_text(documents, prose):
     a, b = prose(1), prose(2)
     rows = [(1, a), (1, a), (1, a), (2, b), (2, a + b), (3, b), (3, b[:300]), (4, None), (4, ""), (5, prose(5)), (5, prose(6)), (None, a)]
     got = cut(documents(rows))
-    assert got == brute_cut([r for r in rows if r[0] is not None])
+    assert got == brute_rows([r for r in rows if r[0] is not None])
     assert sorted(x[1] for x in got[1]) == [0, len(a.encode()), len(a.encode())]
 
 
 def test_a_passage_in_every_document(documents, prose, batches):
     line = prose(3, 60) + ". "
     rows = [(k, prose(100 + k, 30 + k % 7) + line * (1 + k % 3) + prose(300 + k, 30) + (line if k % 4 == 0 else "")) for k in range(60)]
-    assert cut(documents(rows)) == brute_cut(rows)
+    assert cut(documents(rows)) == brute_rows(rows)
 
 
 def test_cut_keeps_columns_and_empty_table(documents, prose):
