@@ -71,8 +71,11 @@ def payload_shapes(payloads: DataFrame, keys: Sequence[str], body: str = "body")
 
 
 def shape_difference(payloads: DataFrame, expected: DataFrame, keys: Sequence[str] = ("source_code",)) -> DataFrame:
-    """(keys, key_path, change): paths ``added`` to or ``removed`` from the expected set per key."""
-    shapes = payload_shapes(payloads, keys).where(F.col("shape").isNotNull()).distinct()
+    """(keys, key_path, change): paths ``added`` to or ``removed`` from the expected set per key.
+
+    Bodies are parsed once, into a written table of the distinct shapes; a filter on the shape before that would parse each body again.
+    """
+    shapes = staged(payload_shapes(payloads, keys).distinct(), "shapes").where(F.col("shape").isNotNull())
     found = shapes.select(*keys, F.explode(key_paths(F.col("shape"))).alias("key_path")).distinct()
     known = expected.select(*keys, "key_path").distinct()
     on = [*keys, "key_path"]
