@@ -87,7 +87,7 @@ USING (series_code, period, new_value)"""
 @query("j15_revision_runs", with_views("SELECT series_code, period, old_value, new_value, reason, revised_at, index_run_id, vintage_date, computed_at FROM (" + _RUNS_OF + ")", "fx_revision"))
 def revision_runs(spark, d):
     values = staged(V.index_values(spark, d), "values")
-    return vintages.revision_runs(V.revisions(spark, d), values, V.index_runs(spark, d))
+    return vintages.revision_runs(V.revisions(spark, d, values), values, V.index_runs(spark, d))
 
 
 @query(
@@ -96,7 +96,7 @@ def revision_runs(spark, d):
 )
 def latest_run_per_revision(spark, d):
     values = staged(V.index_values(spark, d), "values")
-    out = vintages.revision_runs(V.revisions(spark, d), values, V.index_runs(spark, d))
+    out = vintages.revision_runs(V.revisions(spark, d, values), values, V.index_runs(spark, d))
     return out.groupBy("index_run_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -46,6 +46,26 @@ def reads(df, table: str) -> int:
     return sum(1 for line in plan(df).splitlines() if "Relation [" in line and f"[{column}#" in line)
 
 
+def test_customers_meet_orders_before_lines(spark, folder):
+    q = V.quotes(spark, folder, "quote_id", "route_code", "carrier_iata")
+    keys = re.findall(r"Join Inner, \((\w+)#\w+ = (\w+)#", plan(q))
+    lines = next(k for k, pair in enumerate(keys) if set(pair) == {"l_orderkey", "o_orderkey"})
+    customers = next(k for k, pair in enumerate(keys) if set(pair) == {"o_custkey", "c_custkey"})
+    assert lines < customers, keys  # the plan is printed from the top
+    # lines without order, part, supplier or customer are in no quote
+    known = [k for k in range(300) if k % 42 < 40 and 1 + k % 13 <= 12 and k % 8 < 7 and (k % 42) % 11 < 10]
+    assert q.count() == len(known)
+
+
+def test_revisions_read_the_written_values(spark, folder):
+    queries = load_all().QUERIES
+    assert reads(queries["j15_revision_runs"](spark, folder), "lineitem") == 0
+    assert reads(queries["w02_latest_run_per_revision"](spark, folder), "lineitem") == 0
+    made = V.index_values(spark, folder)
+    log = lambda df: sorted(map(str, df.collect()))
+    assert log(V.revisions(spark, folder, made)) == log(V.revisions(spark, folder))
+
+
 def test_shapes_are_parsed_once(spark):
     bodies = ['{"a":1}', '{"a":1,"b":{"c":2}}', "{cut", None]
     p = spark.createDataFrame([(k, "s", b) for k, b in enumerate(bodies)], "payload_id long, source_code string, body string")
