@@ -12,7 +12,7 @@ from quotemill.catalog import views as V
 from quotemill.catalog.registry import query
 from quotemill.catalog.views import with_views
 from quotemill.functions import hashing
-from quotemill.functions.staging import scratch_path
+from quotemill.functions.staging import scratch_path, staged
 from quotemill.sources import drift, extracts, ledger, payloads
 
 
@@ -530,8 +530,11 @@ UNION ALL SELECT 'skipped_cells', route_code, status, count(*), count(DISTINCT q
 def run_round_trip(spark, d):
     """A run's tables are written, written again with other rows, and fail twice between two tables, once under a name of their own. Values, log and skips
     read back are those of the second time."""
-    values = V.index_values(spark, d).withColumnRenamed("index_run_id", "run")
-    frames = {"index_value": values, "revision_log": V.revisions(spark, d), "skipped_cells": V.attempts(spark, d).where(F.col("status") != "SUCCEEDED")}
+    # aggregates that all four runs read
+    made = staged(V.index_values(spark, d), "values")
+    skipped = staged(V.attempts(spark, d).where(F.col("status") != "SUCCEEDED"), "skipped")
+    values = made.withColumnRenamed("index_run_id", "run")
+    frames = {"index_value": values, "revision_log": V.revisions(spark, d, made), "skipped_cells": skipped}
     out = scratch_path(spark, "runs")
     ledger.write_run({name: df.limit(7) for name, df in frames.items()}, out, "run", {"turn": 1})
     ledger.write_run(frames, out, "run", {"turn": 2})

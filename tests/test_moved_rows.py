@@ -66,6 +66,14 @@ def test_revisions_read_the_written_values(spark, folder):
     assert log(V.revisions(spark, folder, made)) == log(V.revisions(spark, folder))
 
 
+def test_round_trip_makes_its_aggregates_once(spark, folder, monkeypatch):
+    frames = []
+    write = ledger.write_run
+    monkeypatch.setattr(ledger, "write_run", lambda given, *rest: (frames.extend(given.values()), write(given, *rest)))
+    ingest.run_round_trip(spark, folder).collect()
+    assert frames and not any(reads(f, "lineitem") for f in frames)
+
+
 def test_shapes_are_parsed_once(spark):
     bodies = ['{"a":1}', '{"a":1,"b":{"c":2}}', "{cut", None]
     p = spark.createDataFrame([(k, "s", b) for k, b in enumerate(bodies)], "payload_id long, source_code string, body string")
