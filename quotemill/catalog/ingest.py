@@ -503,6 +503,7 @@ def ledger_writers(spark, d):
     q = V.quotes(spark, d, "quote_id", "query_month").select(
         "query_month", F.col("query_month").cast("timestamp").alias("collected_at"), hashing.sha256_text(F.col("quote_id")).alias("content_hash")
     )
+    q = staged(q, "quotes")  # three batches are cut from it
     odd = F.month("query_month") % 2 == 1
     path = scratch_path(spark, "ledger")
     again = [ledger.append_quotes(q.where(odd), path, "first") for _ in range(2)]

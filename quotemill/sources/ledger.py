@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.functions.staging import staged
 from quotemill.sources import commits
 
 LEDGER_KEY = ("content_hash", "collected_at")
@@ -39,7 +40,7 @@ def append_quotes(incoming: DataFrame, path: str, batch_id: str | None = None) -
     spark = incoming.sparkSession
     batch_id = batch_id or uuid.uuid4().hex
     batch = incoming.withColumn("collected_day", F.to_date("collected_at"))
-    days = batch.select("collected_day").distinct()
+    days = staged(batch.select("collected_day").distinct(), "days")  # read by every attempt
     while True:
         seen = commits.last_version(spark, path)
         done = commits.entries(spark, path)

@@ -74,6 +74,15 @@ def test_round_trip_makes_its_aggregates_once(spark, folder, monkeypatch):
     assert frames and not any(reads(f, "lineitem") for f in frames)
 
 
+def test_ledger_batches_are_cut_from_one_table(spark, folder, monkeypatch):
+    batches = []
+    append = ledger.append_quotes
+    monkeypatch.setattr(ledger, "append_quotes", lambda batch, *rest: (batches.append(batch), append(batch, *rest))[1])
+    out = ingest.ledger_writers(spark, folder)
+    assert len(batches) == 4 and not any(reads(b, "lineitem") for b in batches)
+    assert {r.batches for r in out.collect()} == {2} and out.where("quotes <> keys").isEmpty()
+
+
 def test_shapes_are_parsed_once(spark):
     bodies = ['{"a":1}', '{"a":1,"b":{"c":2}}', "{cut", None]
     p = spark.createDataFrame([(k, "s", b) for k, b in enumerate(bodies)], "payload_id long, source_code string, body string")
@@ -81,3 +90,11 @@ def test_shapes_are_parsed_once(spark):
     out = drift.shape_difference(p, expected)
     assert "parse_json" not in plan(out)
     assert {tuple(r) for r in out.collect()} == {("s", "b", "added"), ("s", "b.c", "added"), ("s", "z", "removed"), ("t", "y", "removed")}
+
+
+def test_ledger_days_are_written(spark, tmp_path, monkeypatch):
+    labels = []
+    monkeypatch.setattr(ledger, "staged", lambda df, label: (labels.append(label), staging.staged(df, label))[1])
+    batch = spark.createDataFrame([("a", DAY), ("a", DAY), ("b", DAY)], "content_hash string, collected_at timestamp")
+    assert ledger.append_quotes(batch, str(tmp_path / "ledger"), "one")
+    assert labels == ["days"] and ledger.read_ledger(spark, str(tmp_path / "ledger")).count() == 2
