@@ -10,6 +10,7 @@ from quotemill.catalog.registry import query
 from quotemill.catalog.views import with_views
 from quotemill.config import SurgeOptions
 from quotemill.functions.quantiles import grouped_quantiles
+from quotemill.functions.staging import staged
 from quotemill.operators import cleaning, provenance, watchdog
 
 
@@ -139,9 +140,11 @@ def chain_inputs(spark, d):
     q = q.withColumn("collection_run_id", F.concat_ws("/", "source_id", "query_date")).withColumn(
         "source_id", F.when(F.col("partkey") % 71 == 0, "gone").otherwise(F.col("source_id"))
     )
+    # written, the runs and sources are seen to be small, and no join moves the quotes by their few values
+    q = staged(q, "chain")
     runs = q.where(F.dayofmonth("query_date") != 13).select("collection_run_id").distinct()
     sources = q.select("source_id").where(F.col("source_id") != "gone").distinct()
-    return q, runs, sources
+    return q, staged(runs, "runs"), staged(sources, "sources")
 
 
 @query(

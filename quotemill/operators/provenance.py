@@ -78,14 +78,16 @@ def provenance_chain(
     """
     treatment = clean.select("quote_id", "clean_id", "is_outlier", "outlier_rule", "is_imputed")
     used = lineage.groupBy("clean_id").agg(F.count(F.lit(1)).alias("contributions"))
+    # the narrow rows meet first; the wide ones are moved once
+    treatment = treatment.join(used, "clean_id", "left")
     out = (
         quotes.join(runs.withColumn("__run", F.lit(True)), "collection_run_id", "left")
         .join(sources.withColumn("__source", F.lit(True)), "source_id", "left")
         .join(policies, "source_id", "left")
         .join(routes, "route_code", "left")
         .join(treatment, "quote_id", "left")
-        .join(used, "clean_id", "left")
     )
+    out = out.select("clean_id", *[c for c in out.columns if c != "clean_id"])
     broken = F.when(F.col("__run").isNull(), "collection_run").when(F.col("__source").isNull(), "source")
     return out.withColumn("chain_broken", broken).withColumn(
         "contributions", F.coalesce("contributions", F.lit(0).cast("long"))

@@ -66,6 +66,13 @@ def test_revisions_read_the_written_values(spark, folder):
     assert log(V.revisions(spark, folder, made)) == log(V.revisions(spark, folder))
 
 
+@pytest.mark.parametrize("name", ["j12_broken_chains", "j12_provenance_chain"])
+def test_quotes_are_written_once(spark, folder, name):
+    out = load_all().QUERIES[name](spark, folder)
+    assert reads(out, "lineitem") == 0
+    out.collect()
+
+
 def test_round_trip_makes_its_aggregates_once(spark, folder, monkeypatch):
     frames = []
     write = ledger.write_run
@@ -92,6 +99,21 @@ def test_shapes_are_parsed_once(spark):
     assert {tuple(r) for r in out.collect()} == {("s", "b", "added"), ("s", "b.c", "added"), ("s", "z", "removed"), ("t", "y", "removed")}
 
 
+def test_chain_moves_the_narrow_rows(spark):
+    one = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    quotes = one("quote_id string, collection_run_id string, source_id string, route_code string", ("q1", "r1", "s1", "A-B"), ("q2", "r9", "s1", "A-B"), (None, "r1", "s9", "A-B"))
+    clean = one("quote_id string, clean_id string, is_outlier boolean, outlier_rule string, is_imputed boolean", ("q1", "c1", False, None, False), ("q2", None, True, "mad_log", False))
+    out = provenance.provenance_chain(
+        quotes, one("collection_run_id string", ("r1",)), one("source_id string", ("s1",)), one("source_id string, tos_verdict string", ("s1", "ALLOWED")),
+        one("route_code string, origin_iata string", ("A-B", "A")), clean, one("clean_id string, series_code string", ("c1", "x"), ("c1", "y")),
+    )
+    assert out.columns[:5] == ["clean_id", "quote_id", "route_code", "source_id", "collection_run_id"]
+    got = {r.quote_id: (r.clean_id, r.chain_broken, r.contributions, r.tos_verdict) for r in out.collect()}
+    assert got == {"q1": ("c1", None, 2, "ALLOWED"), "q2": (None, "collection_run", 0, "ALLOWED"), None: (None, "source", 0, None)}
+    keys = re.findall(r"Join LeftOuter, \((\w+)#\w+ = (\w+)#", plan(out))
+    assert keys[0] == ("quote_id", "quote_id"), keys
+
+
 def test_ledger_days_are_written(spark, tmp_path, monkeypatch):
     labels = []
     monkeypatch.setattr(ledger, "staged", lambda df, label: (labels.append(label), staging.staged(df, label))[1])
