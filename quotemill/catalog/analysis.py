@@ -212,8 +212,9 @@ def source_success_share(spark, d):
 )
 def cleaned_quotes_view(spark, d):
     c = V.clean(spark, d, "quote_id", "route_code", "is_imputed").withColumn("quote_id", F.when(~F.col("is_imputed"), F.col("quote_id")))
-    q = V.quotes(spark, d, "quote_id", "source_id")
-    s = q.select("source_id").distinct().withColumn("source_code", F.concat(F.lit("src-"), F.col("source_id")))
+    q = staged(V.quotes(spark, d, "quote_id", "source_id"), "sourced")
+    # written, the few sources are seen to be few, and the quotes are not moved by them
+    s = staged(q.select("source_id").distinct().withColumn("source_code", F.concat(F.lit("src-"), F.col("source_id"))), "sources")
     return analytics.cleaned_quotes_view(c, q, s).groupBy("route_code", "source_code").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -157,9 +157,11 @@ def contributors(latest: DataFrame, weights: DataFrame, period) -> DataFrame:
 def cleaned_quotes_view(clean: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """Cleaned rows with their source code; imputed rows are labelled ``imputed``."""
     src = quotes.select(F.col("quote_id").alias("quote_id"), "source_id").join(sources, "source_id", "left")
-    return clean.join(src.select("quote_id", "source_code"), "quote_id", "left").withColumn(
-        "source_code", F.coalesce("source_code", F.lit("imputed"))
-    )
+    # imputed rows have no quote id: a number of their own spreads them over all tasks, and matches nothing
+    spread = F.when(F.col("quote_id").isNull(), F.monotonically_increasing_id() + 1).otherwise(0)
+    keyed = clean.withColumn("__spread", spread)
+    out = keyed.join(src.select("quote_id", F.lit(0).cast("long").alias("__spread"), "source_code"), ["quote_id", "__spread"], "left").drop("__spread")
+    return out.withColumn("source_code", F.coalesce("source_code", F.lit("imputed")))
 
 
 def route_with_airports(routes: DataFrame, airports: DataFrame) -> DataFrame:

@@ -99,6 +99,16 @@ def test_shapes_are_parsed_once(spark):
     assert {tuple(r) for r in out.collect()} == {("s", "b", "added"), ("s", "b.c", "added"), ("s", "z", "removed"), ("t", "y", "removed")}
 
 
+def test_imputed_rows_without_id_are_spread(spark):
+    clean = spark.range(0, 4000, numPartitions=2).select(F.when(F.col("id") < 10, F.col("id").cast("string")).alias("quote_id"), F.lit("r").alias("route_code"))
+    quotes = spark.createDataFrame([(str(k), "s" if k % 2 else None) for k in range(10)] + [(None, "s")], "quote_id string, source_id string")
+    sources = spark.createDataFrame([("s", "src-s")], "source_id string, source_code string")
+    out = analytics.cleaned_quotes_view(clean, quotes, sources)
+    assert out.columns == ["quote_id", "route_code", "source_code"]
+    assert {tuple(r) for r in out.groupBy("source_code").count().collect()} == {("src-s", 5), ("imputed", 3995)}
+    assert "__spread" in plan(out)
+
+
 def test_chain_moves_the_narrow_rows(spark):
     one = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
     quotes = one("quote_id string, collection_run_id string, source_id string, route_code string", ("q1", "r1", "s1", "A-B"), ("q2", "r9", "s1", "A-B"), (None, "r1", "s9", "A-B"))
