@@ -66,7 +66,7 @@ def test_revisions_read_the_written_values(spark, folder):
     assert log(V.revisions(spark, folder, made)) == log(V.revisions(spark, folder))
 
 
-@pytest.mark.parametrize("name", ["j12_broken_chains", "j12_provenance_chain"])
+@pytest.mark.parametrize("name", ["j12_broken_chains", "j12_provenance_chain", "j19_screened_quotes", "j22_detection_recall"])
 def test_quotes_are_written_once(spark, folder, name):
     out = load_all().QUERIES[name](spark, folder)
     assert reads(out, "lineitem") == 0
