@@ -192,11 +192,14 @@ def map_cards(payloads: DataFrame) -> DataFrame:
     marked = F.regexp_replace(F.replace("body", F.lit(_CUT), F.lit("")), f"({_with_class('div', CARD_CLASS)})", f"{_CUT}$1")
     cards = F.slice(F.split(marked, _CUT), F.lit(2), F.lit(2**30))
     tagged = "^" + _with_class("[A-Za-z][A-Za-z0-9]*", CARD_CLASS + r"__(\w+)")[1:]
+    # a tag with that class and nothing else is read without going back
+    bare = rf"""^[A-Za-z][A-Za-z0-9]*+\s++class\s*+=\s*+["']{CARD_CLASS}__(\w++)["']\s*+>"""
 
     def tagged_texts(card: Column) -> Column:
         """Names and texts of the tagged elements; a tag and the text behind it are one piece between two opening brackets."""
         pieces = F.filter(F.split(card, "<"), lambda p: p.contains(CARD_CLASS + "__"))
-        read = lambda p: F.struct(F.regexp_extract(p, tagged, 1).alias("name"), p.substr(F.instr(p, ">") + 1, F.length(p)).alias("text"))
+        named = lambda p: F.when(p.rlike(bare), F.regexp_extract(p, bare, 1)).otherwise(F.regexp_extract(p, tagged, 1))
+        read = lambda p: F.struct(named(p).alias("name"), p.substr(F.instr(p, ">") + 1, F.length(p)).alias("text"))
         return F.filter(F.transform(pieces, read), lambda t: (t["name"] != "") & (t["text"] != ""))
 
     # every card is read once: first its parts, then names and decoded texts, then the fields

@@ -66,7 +66,7 @@ def test_revisions_read_the_written_values(spark, folder):
     assert log(V.revisions(spark, folder, made)) == log(V.revisions(spark, folder))
 
 
-@pytest.mark.parametrize("name", ["j12_broken_chains", "j12_provenance_chain", "j19_screened_quotes", "j22_detection_recall"])
+@pytest.mark.parametrize("name", ["j19_screened_quotes", "j22_detection_recall", "j12_broken_chains", "j12_provenance_chain"])
 def test_quotes_are_written_once(spark, folder, name):
     out = load_all().QUERIES[name](spark, folder)
     assert reads(out, "lineitem") == 0
@@ -130,3 +130,13 @@ def test_ledger_days_are_written(spark, tmp_path, monkeypatch):
     batch = spark.createDataFrame([("a", DAY), ("a", DAY), ("b", DAY)], "content_hash string, collected_at timestamp")
     assert ledger.append_quotes(batch, str(tmp_path / "ledger"), "one")
     assert labels == ["days"] and ledger.read_ledger(spark, str(tmp_path / "ledger")).count() == 2
+
+
+def test_plain_and_crowded_card_tags_read_alike(spark):
+    fields = {"brand": "SAVER", "cabin": "ECONOMY", "baseFare": "10.00", "taxes": "1.00", "convenienceFee": "2.00", "totalFare": "13.00", "seats": "4", "refundable": "true"}
+    tag = '<div class="fareCard" data-carrier="X" data-flight-number="X1" data-dep-time="2024-01-01T10:00:00" data-arr-time="2024-01-01T12:00:00" data-stops="0">'
+    forms = ['<span class="fareCard__{}">{}</span>', '<p  class = \'fareCard__{}\' >{}</p>', '<span title="x" class="big fareCard__{} wide" lang="en">{}</span>', '<b class="other" class="fareCard__{}">{}</b>']
+    rows = [(k, "s", "r", tag + "".join(form.format(*f) for f in fields.items()) + "</div>") for k, form in enumerate(forms)]
+    p = spark.createDataFrame(rows, "payload_id long, source_code string, route_code string, body string")
+    got = payloads.map_cards(p).select("payload_id", "fare_brand", F.col("total_fare").cast("string"), "seats_shown", "refundable").collect()
+    assert sorted(map(tuple, got)) == [(k, "SAVER", "13.00", 4, True) for k in range(len(forms))]
