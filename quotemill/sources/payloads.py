@@ -21,26 +21,23 @@ QUOTE_COLUMNS = (
     "base_fare", "taxes", "udf", "convenience_fee", "total_fare", "currency", "seats_shown", "refundable", "baggage_included",
 )
 
-# Money is declared as text so that digits reach the decimal cast untouched.
-NESTED_SCHEMA = """
-struct<searchId: string, itineraries: array<struct<
-  flightNumber: string, carrier: string,
-  departure: struct<airport: string, dateTime: string>, arrival: struct<airport: string, dateTime: string>,
-  stops: int,
-  fareOptions: array<struct<brand: string, cabin: string, baseFare: string, taxes: string, udf: string,
-    totalFare: string, currency: string, seatsRemaining: int, refundable: boolean, baggageIncluded: boolean>>>>>
+# Lists of a body that holds quotes, by the types of its prices and times.
+NESTED_LIST = """
+array<struct<
+  flightNumber: string, carrier: string, departure: struct<dateTime: {time}>, arrival: struct<dateTime: {time}>, stops: int,
+  fareOptions: array<struct<brand: string, cabin: string, baseFare: {money}, taxes: {money}, udf: {money},
+    totalFare: {money}, currency: string, seatsRemaining: int, refundable: boolean, baggageIncluded: boolean>>>>
 """
-EMBEDDED_SCHEMA = """
-struct<flights: array<struct<
-  flight_no: string, airline_code: string,
-  dep: struct<iata: string, local_time: string>, arr: struct<iata: string, local_time: string>,
-  num_stops: int,
+EMBEDDED_LIST = """
+array<struct<
+  flight_no: string, airline_code: string, dep: struct<local_time: {time}>, arr: struct<local_time: {time}>, num_stops: int,
   fares: array<struct<fare_type: string, class_of_service: string,
-    fare_breakup: struct<base: string, tax: string, udf: string>, total: string, currency_code: string,
-    seats_left: int, is_refundable: boolean, free_baggage: boolean>>>>>
+    fare_breakup: struct<base: {money}, tax: {money}, udf: {money}>, total: {money}, currency_code: string,
+    seats_left: int, is_refundable: boolean, free_baggage: boolean>>>>
 """
 # Where the second page shape keeps its data, and the markup of the third.
-EMBEDDED_PATTERN = r"(?s)window\.__FARE_DATA__\s*=\s*(\{.*?\})\s*;"
+# the object ends at the first closing brace before a semicolon; the pattern steps from brace to brace
+EMBEDDED_PATTERN = r"window\.__FARE_DATA__\s*=\s*(\{[^}]*(?:\}(?!\s*;)[^}]*)*+\})\s*;"
 CARD_CLASS = "fareCard"
 EMPTY_CLASS = "noFlights"
 #: Mark between cards: a control character that HTML does not allow.
@@ -61,6 +58,12 @@ def local_time(c: Column) -> Column:
     return c.try_cast("timestamp_ntz")
 
 
+def _complete(q: Column | dict[str, Column], shape: str) -> Column:
+    """Has a quote every required field and a known cabin?"""
+    needed = [c for c in QUOTE_COLUMNS if c not in OPTIONAL[shape]]
+    return reduce(lambda a, c: a & q[c].isNotNull(), needed, q["fare_class"].isin(*CABINS))
+
+
 def _whole_payloads(payloads: DataFrame, quotes: Column, shape: str) -> DataFrame:
     """Quotes of the payloads in which every quote has every required field and a known cabin.
 
@@ -68,8 +71,7 @@ def _whole_payloads(payloads: DataFrame, quotes: Column, shape: str) -> DataFram
     go on with half of its fares. ``quotes`` is an array of structs per payload, null where the body has another shape.
     """
     ctx = [c for c in payloads.columns if c != "body"]
-    needed = [c for c in QUOTE_COLUMNS if c not in OPTIONAL[shape]]
-    complete = F.forall("__quotes", lambda q: reduce(lambda a, c: a & q[c].isNotNull(), needed, q["fare_class"].isin(*CABINS)))
+    complete = F.forall("__quotes", lambda q: _complete(q, shape))
     read = payloads.select(*ctx, quotes.alias("__quotes"))
     kept = read.select(*ctx, F.when(complete, F.col("__quotes")).alias("__quotes"))
     # the outer form keeps the planner from testing the array, parsed once more, before it is unfolded
@@ -81,31 +83,55 @@ def _quote(**fields: Column) -> Column:
     return F.struct(*[(fields[c] if c in fields else F.lit(None).cast(absent[c])).alias(c) for c in QUOTE_COLUMNS])
 
 
+def _listed_quotes(payloads: DataFrame, body: Column, within: str, found: str, options: str, quote: Callable[[Column, Column], dict[str, Column]], shape: str) -> DataFrame:
+    """``_whole_payloads`` of JSON bodies with a list ``within`` of flights, each with a list ``options`` of fares; ``found`` is the type of the list, and
+    ``quote`` names the fields of a flight and a fare.
+
+    Text of a number is costly to get, so prices are first read as numbers, which give the same cents. A payload that is not complete that way, or has a field
+    of another type, is read once more with its prices as text, which also takes those in quotes. Types are cast as one nested column, and each step that reads a column twice
+    has a projection of its own: so they run as generated code, with the body and the list worked out once.
+    """
+    ctx = [c for c in payloads.columns if c != "body"]
+    kind = lambda money, time: f"struct<{within}: {found.format(money=money, time=time)}, __refused: string>"
+    read_as = lambda money: F.from_json("__body", kind(money, "string"), {"columnNameOfCorruptRecord": "__refused"}).try_cast(kind("decimal(12,2)", "timestamp_ntz"))
+
+    def whole(flights: Column) -> Column:
+        return F.forall(flights, lambda f: F.forall(f[options], lambda o: _complete(quote(f, o), shape)))
+
+    read = payloads.select(*ctx, body.alias("__body")).select(*ctx, "__body", read_as("double").alias("__read"))
+    listed = F.col("__read")[within]
+    again = F.get(F.filter(F.array(read_as("string")[within]), whole), F.lit(0))
+    kept = read.select(*ctx, F.when(F.col("__read")["__refused"].isNull() & whole(listed), listed).otherwise(again).alias("__list"))
+    # the outer form keeps the planner from testing the array, parsed once more, before it is unfolded
+    flights = kept.select(*ctx, F.explode_outer("__list").alias("__flight"))
+    fares = flights.select(*ctx, "__flight", F.explode(F.col("__flight")[options]).alias("__fare"))
+    fields = quote(F.col("__flight"), F.col("__fare"))
+    return fares.select(*ctx, *[(fields[c] if c in fields else F.lit(None).cast("decimal(12,2)")).alias(c) for c in QUOTE_COLUMNS])
+
+
 def map_nested(payloads: DataFrame) -> DataFrame:
     """Itineraries x fare options of a nested JSON search response."""
 
-    def quote(i: Column, o: Column) -> Column:
-        return _quote(
-            carrier_iata=i["carrier"],
-            flight_number=i["flightNumber"],
-            dep_datetime_local=local_time(i["departure"]["dateTime"]),
-            arr_datetime_local=local_time(i["arrival"]["dateTime"]),
-            stops=i["stops"],
-            fare_class=o["cabin"],
-            fare_brand=o["brand"],
-            base_fare=money(o["baseFare"]),
-            taxes=money(o["taxes"]),
-            udf=money(o["udf"]),
-            total_fare=money(o["totalFare"]),
-            currency=o["currency"],
-            seats_shown=o["seatsRemaining"],
-            refundable=o["refundable"],
-            baggage_included=o["baggageIncluded"],
-        )
-
-    found = F.from_json("body", NESTED_SCHEMA)["itineraries"]
-    quotes = F.flatten(F.transform(found, lambda i: F.transform(i["fareOptions"], lambda o: quote(i, o))))
-    return _whole_payloads(payloads, quotes, "nested_json")
+    def quote(i: Column, o: Column) -> dict[str, Column]:
+        return {
+            "carrier_iata": i["carrier"],
+            "flight_number": i["flightNumber"],
+            "dep_datetime_local": i["departure"]["dateTime"],
+            "arr_datetime_local": i["arrival"]["dateTime"],
+            "stops": i["stops"],
+            "fare_class": o["cabin"],
+            "fare_brand": o["brand"],
+            "base_fare": o["baseFare"],
+            "taxes": o["taxes"],
+            "udf": o["udf"],
+            "total_fare": o["totalFare"],
+            "currency": o["currency"],
+            "seats_shown": o["seatsRemaining"],
+            "refundable": o["refundable"],
+            "baggage_included": o["baggageIncluded"],
+        }
+
+    return _listed_quotes(payloads, F.col("body"), "itineraries", NESTED_LIST, "fareOptions", quote, "nested_json")
 
 
 def embedded_json(body: str = "body") -> Column:
@@ -117,28 +143,26 @@ def embedded_json(body: str = "body") -> Column:
 def map_embedded(payloads: DataFrame) -> DataFrame:
     """JSON body or HTML page with the same JSON embedded in a script."""
 
-    def quote(f: Column, o: Column) -> Column:
-        return _quote(
-            carrier_iata=f["airline_code"],
-            flight_number=f["flight_no"],
-            dep_datetime_local=local_time(f["dep"]["local_time"]),
-            arr_datetime_local=local_time(f["arr"]["local_time"]),
-            stops=f["num_stops"],
-            fare_class=o["class_of_service"],
-            fare_brand=o["fare_type"],
-            base_fare=money(o["fare_breakup"]["base"]),
-            taxes=money(o["fare_breakup"]["tax"]),
-            udf=money(o["fare_breakup"]["udf"]),
-            total_fare=money(o["total"]),
-            currency=o["currency_code"],
-            seats_shown=o["seats_left"],
-            refundable=o["is_refundable"],
-            baggage_included=o["free_baggage"],
-        )
-
-    found = F.from_json(embedded_json(), EMBEDDED_SCHEMA)["flights"]
-    quotes = F.flatten(F.transform(found, lambda f: F.transform(f["fares"], lambda o: quote(f, o))))
-    return _whole_payloads(payloads, quotes, "embedded_json")
+    def quote(f: Column, o: Column) -> dict[str, Column]:
+        return {
+            "carrier_iata": f["airline_code"],
+            "flight_number": f["flight_no"],
+            "dep_datetime_local": f["dep"]["local_time"],
+            "arr_datetime_local": f["arr"]["local_time"],
+            "stops": f["num_stops"],
+            "fare_class": o["class_of_service"],
+            "fare_brand": o["fare_type"],
+            "base_fare": o["fare_breakup"]["base"],
+            "taxes": o["fare_breakup"]["tax"],
+            "udf": o["fare_breakup"]["udf"],
+            "total_fare": o["total"],
+            "currency": o["currency_code"],
+            "seats_shown": o["seats_left"],
+            "refundable": o["is_refundable"],
+            "baggage_included": o["free_baggage"],
+        }
+
+    return _listed_quotes(payloads, embedded_json(), "flights", EMBEDDED_LIST, "fares", quote, "embedded_json")
 
 
 def _with_class(tag: str, name: str) -> str:
