@@ -10,8 +10,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.catalog import ingest
+from quotemill.catalog import cleaning, ingest
 from quotemill.catalog import views as V
+from quotemill.functions.staging import staged
+from quotemill.plans import cleaning_run
 from quotemill.sources import drift, payloads
 
 CONTEXT = "payload_id string, source_code string, route_code string, query_date date, body string"
@@ -97,3 +99,25 @@ def test_embedded_object_ends_before_a_semicolon(spark):
     }
     df = spark.createDataFrame([(k,) for k in texts], "body string")
     assert {r["body"]: r["got"] for r in df.select("body", payloads.embedded_json().alias("got")).collect()} == texts
+
+
+def test_window_start_is_the_case_by_lead(spark):
+    leads = spark.range(-3, 120).selectExpr("cast(id as int) as advance_days").union(spark.sql("select cast(null as int)"))
+    both = leads.select(F.expr(V.WINDOW_START).alias("a"), F.expr(f"cast({V._LO} as int)").alias("b"))
+    assert both.where("not (a <=> b)").count() == 0 and dict(both.dtypes)["a"] == "int"
+
+
+def test_cells_of_the_cleaning_run_are_read_by_compiled_methods(spark, tmp_path, monkeypatch):
+    d, sizes = _tables(spark, tmp_path), []
+
+    def watched(df, label="stage"):
+        sizes.extend(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", _plan(df, "codegen")))
+        return staged(df, label)
+
+    monkeypatch.setattr(cleaning_run, "staged", watched)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cleaning.cleaning_run(spark, d)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) <= COMPILED
