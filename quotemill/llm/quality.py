@@ -126,15 +126,20 @@ def training(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
+def moments(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, sums): counts, sums and cross-products of the statistics of labelled training rows, one row per task and class."""
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    rows = with_statistics(docs.where(training(F.col("doc_id"))), "doc_id")
+    # never a broadcast: its tasks would run both Python functions, and every core would keep two workers for the rest of the session
+    joined = rows.join(known.where(training(F.col("doc_id"))).hint("merge"), "doc_id").select("stats", "label")
+    return joined.mapInArrow(_moments, "label int, sums array<double>")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
     """Learn from every labelled training row. ``labels``: doc_id, quality (0 or 1; other values and nulls are not read; several labels of one id
     count as their smallest; rows of ``docs`` that share an id are rows of their own with its label). Without rows of a class, that class is taken to look like the other one, so scores follow the priors."""
     d = len(STATISTICS)
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    rows = with_statistics(docs.where(training(F.col("doc_id"))), "doc_id")
-    joined = rows.join(known.where(training(F.col("doc_id"))), "doc_id").select("stats", "label")
-    parts = joined.mapInArrow(_moments, "label int, sums array<double>")
-    summed = parts.select("label", F.posexplode("sums").alias("k", "v")).groupBy("label", "k").agg(F.sum("v").alias("v")).collect()
+    summed = moments(docs, labels).select("label", F.posexplode("sums").alias("k", "v")).groupBy("label", "k").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 1 + d + d * d))
     for r in summed:
         total[r["label"], r["k"]] = r["v"]

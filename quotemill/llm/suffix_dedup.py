@@ -35,7 +35,7 @@ from quotemill.llm.rolling import FIRST, mix
 LENGTH, GRAM = 100, 40
 SPAN = LENGTH - GRAM + 1  # grams in a window; distances fit into a 64-bit mask
 #: Bytes hashed at a time (a longer document is hashed alone).
-CHUNK = 500_000
+CHUNK = 200_000
 #: Bytes of super-windows that later ones of a batch are compared with; beyond that the comparison starts afresh (a matter of memory, not of results).
 COMPARED = 2_000_000
 

@@ -12,6 +12,18 @@ from quotemill.llm import chat_trees, page_text, quality, surrogates
 from quotemill.llm.queries import conversation_messages
 
 
+def test_quality_is_learned_by_one_python_worker_a_task(spark):
+    """However small the labels, statistics and their sums are worked out in stages of their own: in one stage each core would hold two workers."""
+    docs = spark.createDataFrame([(k, f"word {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    out = quality.moments(docs, labels)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    between = plan.split("MapInArrow")
+    assert len(between) == 3 and "Exchange hashpartitioning(doc_id" in between[1] and "BroadcastExchange" not in plan
+    n = sum(r.sums[0] for r in out.collect())
+    assert n == docs.where(quality.training(F.col("doc_id"))).count()
+
+
 def test_quality_tells_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
