@@ -32,6 +32,20 @@ def sha256_text(col: Column) -> Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
 
 
+def packed(text: Column) -> Column:
+    """A text in as few bytes as it needs where rows are moved: a SHA-256 digest in hex takes half of them. Only digests are 32 bytes long, other texts of that
+    length or more get a byte more, so equal bytes mean equal texts. ``unpacked`` reads it back."""
+    digest = (F.length(text) == 64) & ~text.rlike("[^0-9a-f]")
+    plain = text.cast("binary")
+    return F.when(digest, F.unhex(text)).when(F.octet_length(text) < 32, plain).otherwise(F.concat(plain, F.unhex(F.lit("00"))))
+
+
+def unpacked(key: Column) -> Column:
+    """The text behind ``packed`` bytes."""
+    size = F.octet_length(key)
+    return F.when(size == 32, F.lower(F.hex(key))).when(size < 32, key.cast("string")).otherwise(F.substring(key, F.lit(1), size - 1).cast("string"))
+
+
 def canonical_json(fields: Sequence[str]) -> Column:
     """Compact JSON with sorted keys, every value as text, nulls kept."""
     cols = [F.col(f).cast("string").alias(f) for f in sorted(fields)]

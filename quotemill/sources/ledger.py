@@ -11,23 +11,29 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.functions import hashing
 from quotemill.functions.staging import staged
 from quotemill.sources import commits
 
 LEDGER_KEY = ("content_hash", "collected_at")
 
 
+def _packed_keys(quotes: DataFrame) -> DataFrame:
+    return quotes.withColumn("content_hash", hashing.packed(F.col("content_hash")))
+
+
 def new_quotes(incoming: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Incoming rows without duplicates and without keys the ledger already holds."""
-    fresh = incoming.dropDuplicates(list(LEDGER_KEY))
-    if existing is None:
-        return fresh
-    return fresh.join(existing.select(*LEDGER_KEY), list(LEDGER_KEY), "left_anti")
+    """Incoming rows without duplicates and without keys the ledger already holds. Hashes move as bytes, which are half as many as their digits."""
+    fresh = _packed_keys(incoming).dropDuplicates(list(LEDGER_KEY))
+    if existing is not None:
+        fresh = fresh.join(_packed_keys(existing.select(*LEDGER_KEY)), list(LEDGER_KEY), "left_anti")
+    return fresh.withColumn("content_hash", hashing.unpacked(F.col("content_hash"))).select(*incoming.columns)
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The quotes of all committed batches."""
-    return commits.read_attempts(spark, path).join(commits.entries(spark, path).select("attempt"), "attempt", "left_semi").drop("attempt")
+def read_ledger(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
+    """The quotes of all committed batches, or of those committed after a version."""
+    done = commits.entries(spark, path).where(F.col("version") > after).select("attempt")
+    return commits.read_attempts(spark, path).join(done, "attempt", "left_semi").drop("attempt")
 
 
 def append_quotes(incoming: DataFrame, path: str, batch_id: str | None = None) -> bool:
@@ -35,21 +41,26 @@ def append_quotes(incoming: DataFrame, path: str, batch_id: str | None = None) -
     are read back. False if the batch was there before: a batch is appended once, however often it is sent.
 
     Two writers may append at once. The one that commits second looks at what the first has added: if a day is in both, its own attempt may hold
-    keys that are in the ledger by now, so it is thrown away and made again; otherwise it stands.
+    keys that are in the ledger by now, so it is made again from what it had written and the entries added since, and thrown away; otherwise it stands.
+    A batch's rows move once, to meet their keys; every task then writes the days it holds, so a batch of few days makes large files.
     """
     spark = incoming.sparkSession
     batch_id = batch_id or uuid.uuid4().hex
-    batch = incoming.withColumn("collected_day", F.to_date("collected_at"))
-    days = staged(batch.select("collected_day").distinct(), "days")  # read by every attempt
+    day = F.to_date("collected_at")
+    days = staged(incoming.select(day.alias("collected_day")).distinct(), "days")  # read by every attempt
+    looked, left = 0, None  # the version that the attempt left behind has seen, and its folder
     while True:
         seen = commits.last_version(spark, path)
         done = commits.entries(spark, path)
         if seen and not done.where(F.col("key") == batch_id).isEmpty():
+            commits.discard_attempt(spark, [left] if left else [])
             return False
-        existing = read_ledger(spark, path).join(days, "collected_day", "left_semi") if seen else None
+        existing = read_ledger(spark, path, looked).join(days, "collected_day", "left_semi") if seen else None
+        rows = spark.read.schema(incoming.schema).parquet(left).select(*incoming.columns) if left else incoming
         attempt = commits.new_attempt()
         folder = f"{path}/attempt={attempt}"
-        new_quotes(batch, existing).hint("rebalance", "collected_day").write.partitionBy("collected_day").parquet(folder)
+        new_quotes(rows, existing).withColumn("collected_day", day).write.partitionBy("collected_day").option("compression", "zstd").parquet(folder)
+        commits.discard_attempt(spark, [left] if left else [])
         # one text a day of the batch: the calendar bounds them
         touched = sorted(str(r.collected_day) for r in days.toLocalIterator())
 
@@ -59,7 +70,7 @@ def append_quotes(incoming: DataFrame, path: str, batch_id: str | None = None) -
 
         if commits.commit(spark, path, batch_id, attempt, seen, touched, clash=clash):
             return True
-        commits.discard_attempt(spark, [folder])
+        looked, left = seen, folder
 
 
 def scan_window(quotes: DataFrame, start: Column, as_of: Column, columns: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.config import SurgeOptions
+from quotemill.functions import hashing
 from quotemill.sources import commits, ledger
 from quotemill.streaming import jobs
 
@@ -116,3 +117,47 @@ def test_idle_routes_are_forgotten_and_late_days_marked(spark, tmp_path):
     assert sorted((k[0], k[1]) for k in got if k[2]) == [("b", day(1)), ("b", day(2))]
     assert got["b", day(40), False].baseline_available and got["b", day(40), False].baseline_median == 6.0
     assert not got["b", day(202), False].baseline_available and got["a", day(202), False].baseline_available
+
+
+def test_hashes_move_as_bytes(spark):
+    """Digests in hex take 32 bytes; no two texts share their bytes, and each is read back as it was."""
+    digest = "0123456789abcdef" * 4
+    texts = [digest, digest.upper(), digest[:-1], digest + "0", "", "x" * 31, "x" * 32, "x" * 33, "x" * 32 + "\0", "ä" * 16, bytes.fromhex("61" * 32).decode(), "61" * 32, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.packed(F.col("t")).alias("b"))
+    got = df.select("t", "b", hashing.unpacked(F.col("b")).alias("back")).collect()
+    assert all(r.t == r.back for r in got) and len({r.b and bytes(r.b) for r in got}) == len(texts)
+    assert len(next(r.b for r in got if r.t == digest)) == 32
+    quotes = spark.createDataFrame([(digest, T[0], 1), (digest, T[0], 1), (None, T[0], 1), (None, T[0], 1), ("h", None, 2), ("h", T[1], 3), ("g", T[1], 4)], KEYS)
+    held = spark.createDataFrame([("h", T[1], 9), (None, T[0], 9), ("h", None, 9)], KEYS)
+    fresh = ledger.new_quotes(quotes, held)
+    assert fresh.columns == quotes.columns
+    assert {tuple(r) for r in fresh.collect()} == {(digest, T[0], 1), (None, T[0], 1), ("h", None, 2), ("g", T[1], 4)} and fresh.count() == 4
+    moved = [line for line in fresh._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(content_hash" in line]
+    assert moved and "unhex(" in fresh._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_attempt_made_again_reads_what_it_wrote(spark, tmp_path, monkeypatch):
+    """Not the batch, and not the part of the ledger it was compared with before."""
+    path = str(tmp_path / "ledger")
+    ledger.append_quotes(spark.createDataFrame([("h0", T[0], 0)], KEYS), path, "zero")
+    mine = spark.createDataFrame([("h0", T[0], 1), ("h1", T[0], 1), ("h1", T[0], 1), ("h2", T[1], 1)], KEYS)
+    theirs = spark.createDataFrame([("h1", T[0], 2), ("h3", T[0], 2)], KEYS)
+    plain, fresh, seen, tries = commits.commit, ledger.new_quotes, [], []
+
+    def commit(spark_, root, key, *args, **kw):
+        if key == "mine" and not tries:
+            tries.append(key)
+            ledger.append_quotes(theirs, path, "theirs")
+        return plain(spark_, root, key, *args, **kw)
+
+    def watched(incoming, existing):
+        seen.append((incoming.count(), existing.count()))
+        return fresh(incoming, existing)
+
+    monkeypatch.setattr(commits, "commit", commit)
+    monkeypatch.setattr(ledger, "new_quotes", watched)
+    assert ledger.append_quotes(mine, path, "mine")
+    assert seen == [(4, 1), (2, 1), (2, 2)]  # mine, theirs within, mine once more: h1 and h2 against h1 and h3
+    assert sorted((r.content_hash, r.v) for r in ledger.read_ledger(spark, path).collect()) == [("h0", 0), ("h1", 2), ("h2", 1), ("h3", 2)]
+    # only attempts that count are left
+    assert len(list((tmp_path / "ledger").glob("attempt=*"))) == 3
