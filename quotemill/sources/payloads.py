@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.core import case_chain, union_all
+from quotemill.sources import cards
 
 Mapper = Callable[[DataFrame], DataFrame]
 
@@ -38,10 +39,7 @@ array<struct<
 # Where the second page shape keeps its data, and the markup of the third.
 # the object ends at the first closing brace before a semicolon; the pattern steps from brace to brace
 EMBEDDED_PATTERN = r"window\.__FARE_DATA__\s*=\s*(\{[^}]*(?:\}(?!\s*;)[^}]*)*+\})\s*;"
-CARD_CLASS = "fareCard"
 EMPTY_CLASS = "noFlights"
-#: Mark between cards: a control character that HTML does not allow.
-_CUT = "\x01"
 
 
 # The cabins a fare may name; any other refuses its payload.
@@ -50,41 +48,17 @@ CABINS = ("ECONOMY", "PREMIUM_ECONOMY", "BUSINESS", "FIRST")
 OPTIONAL = {"nested_json": ("convenience_fee",), "embedded_json": ("convenience_fee",), "html_cards": ("udf", "baggage_included")}
 
 
-def money(c: Column) -> Column:
-    return c.try_cast("decimal(12,2)")
-
-
-def local_time(c: Column) -> Column:
-    return c.try_cast("timestamp_ntz")
-
-
 def _complete(q: Column | dict[str, Column], shape: str) -> Column:
-    """Has a quote every required field and a known cabin?"""
-    needed = [c for c in QUOTE_COLUMNS if c not in OPTIONAL[shape]]
-    return reduce(lambda a, c: a & q[c].isNotNull(), needed, q["fare_class"].isin(*CABINS))
-
+    """Has a quote every required field and a known cabin?
 
-def _whole_payloads(payloads: DataFrame, quotes: Column, shape: str) -> DataFrame:
-    """Quotes of the payloads in which every quote has every required field and a known cabin.
-
-    One faulty quote refuses its whole payload, which then shows up in ``unparsed_payloads``: a source that changed must not
-    go on with half of its fares. ``quotes`` is an array of structs per payload, null where the body has another shape.
+    One faulty quote refuses its whole payload, which then shows up in ``unparsed_payloads``: a source that changed must not go on with half of its fares.
     """
-    ctx = [c for c in payloads.columns if c != "body"]
-    complete = F.forall("__quotes", lambda q: _complete(q, shape))
-    read = payloads.select(*ctx, quotes.alias("__quotes"))
-    kept = read.select(*ctx, F.when(complete, F.col("__quotes")).alias("__quotes"))
-    # the outer form keeps the planner from testing the array, parsed once more, before it is unfolded
-    return kept.select(*ctx, F.inline_outer("__quotes")).where(F.col("carrier_iata").isNotNull())
-
-
-def _quote(**fields: Column) -> Column:
-    absent = {"convenience_fee": "decimal(12,2)", "udf": "decimal(12,2)", "baggage_included": "boolean"}
-    return F.struct(*[(fields[c] if c in fields else F.lit(None).cast(absent[c])).alias(c) for c in QUOTE_COLUMNS])
+    needed = [c for c in QUOTE_COLUMNS if c not in OPTIONAL[shape]]
+    return reduce(lambda a, c: a & q[c].isNotNull(), needed, q["fare_class"].isin(*CABINS))
 
 
 def _listed_quotes(payloads: DataFrame, body: Column, within: str, found: str, options: str, quote: Callable[[Column, Column], dict[str, Column]], shape: str) -> DataFrame:
-    """``_whole_payloads`` of JSON bodies with a list ``within`` of flights, each with a list ``options`` of fares; ``found`` is the type of the list, and
+    """Quotes of JSON bodies with a list ``within`` of flights, each with a list ``options`` of fares; ``found`` is the type of the list, and
     ``quote`` names the fields of a flight and a fare.
 
     Text of a number is costly to get, so prices are first read as numbers, which give the same cents. A payload that is not complete that way, or has a field
@@ -165,87 +139,36 @@ def map_embedded(payloads: DataFrame) -> DataFrame:
     return _listed_quotes(payloads, embedded_json(), "flights", EMBEDDED_LIST, "fares", quote, "embedded_json")
 
 
-def _with_class(tag: str, name: str) -> str:
-    """Pattern of an opening tag that has ``name`` among its classes, in any place among its attributes."""
-    return rf"""<{tag}\b[^>]*\sclass\s*=\s*["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["'][^>]*>"""
-
-
-def _plain(text: Column) -> Column:
-    """Character references of markup characters, quotes and blanks decoded; trimmed."""
-    read = text
-    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        read = F.replace(read, F.lit(mark), F.lit(char))
-    return F.btrim(F.when(text.contains("&"), read).otherwise(text), F.lit(" \t\n\x0b\f\r"))
-
-
-def _attribute(card: Column, name: str) -> Column:
-    """Attribute of the tag that opens the card, null where it has none."""
-    return F.get(card["values"], (F.array_position(card["attributes"], name) - 1).cast("int"))
-
-
-def _text(card: Column, name: str) -> Column:
-    """Text of the card's first element of class ``fareCard__<name>``, null where there is none."""
-    return F.get(card["texts"], (F.array_position(card["names"], name) - 1).cast("int"))
-
-
 def map_cards(payloads: DataFrame) -> DataFrame:
     """HTML fare cards: five data attributes and eight class-tagged texts per card.
 
-    A card reaches from its opening tag to the next card's, so elements inside may nest.
+    A card reaches from its opening tag to the next card's, so elements inside may nest. Bodies are read in Arrow tasks (``cards``) and leave them as lists of texts,
+    which are cast as one nested column.
     """
+    ctx = [c for c in payloads.columns if c != "body"]
+    absent = {"udf": "decimal(12,2)", "baggage_included": "boolean"}
+    types = dict.fromkeys(cards.FIELDS, "string")
+    typed = types | dict.fromkeys(("dep_datetime_local", "arr_datetime_local"), "timestamp_ntz") | dict.fromkeys(("stops", "seats_shown"), "int")
+    typed |= dict.fromkeys(("base_fare", "taxes", "convenience_fee", "total_fare"), "decimal(12,2)")
+    kind = lambda fields: f"array<struct<{', '.join(f'{n}: {t}' for n, t in fields.items())}>>"
+    read = payloads.select(*ctx, F.arrow_udf(cards.with_cards, returnType=kind(types))("body").try_cast(kind(typed)).alias("__cards"))
 
-    def quote(c: Column) -> Column:
-        return _quote(
-            carrier_iata=_attribute(c, "data-carrier"),
-            flight_number=_attribute(c, "data-flight-number"),
-            dep_datetime_local=local_time(_attribute(c, "data-dep-time")),
-            arr_datetime_local=local_time(_attribute(c, "data-arr-time")),
-            stops=_attribute(c, "data-stops").try_cast("int"),
-            fare_class=_text(c, "cabin"),
-            fare_brand=_text(c, "brand"),
-            base_fare=money(_text(c, "baseFare")),
-            taxes=money(_text(c, "taxes")),
-            convenience_fee=money(_text(c, "convenienceFee")),
-            total_fare=money(_text(c, "totalFare")),
-            currency=F.lit("INR"),
-            seats_shown=_text(c, "seats").try_cast("int"),
-            refundable=F.lower(_text(c, "refundable")) == "true",
-        )
-
-    # one pass sets a mark before each card's opening tag, and the body is split there; what stands before the first is no card
-    marked = F.regexp_replace(F.replace("body", F.lit(_CUT), F.lit("")), f"({_with_class('div', CARD_CLASS)})", f"{_CUT}$1")
-    cards = F.slice(F.split(marked, _CUT), F.lit(2), F.lit(2**30))
-    tagged = "^" + _with_class("[A-Za-z][A-Za-z0-9]*", CARD_CLASS + r"__(\w+)")[1:]
-    # a tag with that class and nothing else is read without going back
-    bare = rf"""^[A-Za-z][A-Za-z0-9]*+\s++class\s*+=\s*+["']{CARD_CLASS}__(\w++)["']\s*+>"""
-
-    def tagged_texts(card: Column) -> Column:
-        """Names and texts of the tagged elements; a tag and the text behind it are one piece between two opening brackets."""
-        pieces = F.filter(F.split(card, "<"), lambda p: p.contains(CARD_CLASS + "__"))
-        named = lambda p: F.when(p.rlike(bare), F.regexp_extract(p, bare, 1)).otherwise(F.regexp_extract(p, tagged, 1))
-        read = lambda p: F.struct(named(p).alias("name"), p.substr(F.instr(p, ">") + 1, F.length(p)).alias("text"))
-        return F.filter(F.transform(pieces, read), lambda t: (t["name"] != "") & (t["text"] != ""))
-
-    # every card is read once: first its parts, then names and decoded texts, then the fields
-    parts = F.transform(cards, lambda c: F.struct(F.substring_index(c, ">", 1).alias("tag"), tagged_texts(c).alias("tagged")))
-    attribute = r"""\s(data-[a-z-]+)\s*=\s*["']([^"']*)["']"""
-    read = F.transform(
-        parts,
-        lambda c: F.struct(
-            F.regexp_extract_all(c["tag"], F.lit(attribute), F.lit(1)).alias("attributes"),
-            F.transform(F.regexp_extract_all(c["tag"], F.lit(attribute), F.lit(2)), _plain).alias("values"),
-            c["tagged"]["name"].alias("names"),
-            F.transform(c["tagged"]["text"], _plain).alias("texts"),
-        ),
-    )
-    return _whole_payloads(payloads, F.transform(read, quote), "html_cards")
+    def quote(c: Column) -> dict[str, Column]:
+        return {n: c[n] for n in cards.FIELDS} | {"currency": F.lit("INR"), "refundable": F.lower(c["refundable"]) == "true"}
+
+    kept = read.select(*ctx, F.when(F.forall("__cards", lambda c: _complete(quote(c), "html_cards")), F.col("__cards")).alias("__cards"))
+    # the outer form keeps the planner from testing the array, cast once more, before it is unfolded
+    each = kept.select(*ctx, F.explode_outer("__cards").alias("__card")).where(F.col("__card")["carrier_iata"].isNotNull())
+    found = quote(F.col("__card"))
+    return each.select(*ctx, *[(found[c] if c in found else F.lit(None).cast(absent[c])).alias(c) for c in QUOTE_COLUMNS])
 
 
 def empty_result(body: str = "body") -> Column:
     """Does the body say that nothing is on offer? A page with the empty-result box and no card, or an empty list."""
     b = F.col(body)
-    box = b.rlike(_with_class("div", EMPTY_CLASS)) & ~b.rlike(_with_class("div", CARD_CLASS))
-    return box | b.rlike(r'"(?:itineraries|flights)"\s*:\s*\[\s*\]')
+    # a plain search spares nearly every body the patterns
+    box = b.contains(EMPTY_CLASS) & b.rlike(cards.with_class("div", EMPTY_CLASS)) & ~b.rlike(cards.with_class("div", cards.CARD_CLASS))
+    return box | ((b.contains('"itineraries"') | b.contains('"flights"')) & b.rlike(r'"(?:itineraries|flights)"\s*:\s*\[\s*\]'))
 
 
 _MAPPERS: dict[str, Mapper] = {"nested_json": map_nested, "embedded_json": map_embedded, "html_cards": map_cards}
@@ -276,16 +199,15 @@ def unparsed_payloads(payloads: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def collection_outcomes(payloads: DataFrame, quotes: DataFrame) -> DataFrame:
-    """One run row per attempt, also for attempts without quotes."""
+    """One run row per attempt, also for attempts without quotes. What a body says is read where it stands, so that bodies do not move."""
     n = quotes.groupBy("payload_id").agg(F.count(F.lit(1)).alias("quotes_collected"))
-    out = payloads.join(n, "payload_id", "left")
+    told = payloads.select("payload_id", "source_code", "route_code", "query_date", empty_result().alias("__empty"), challenge_name().alias("challenge"))
+    out = told.join(n, "payload_id", "left")
     got = F.coalesce("quotes_collected", F.lit(0).cast("long"))
-    empty = empty_result()
-    status = F.when((got > 0) | empty, "SUCCEEDED").when(challenge_name().isNotNull(), "BLOCKED").otherwise("FAILED")
+    status = F.when((got > 0) | F.col("__empty"), "SUCCEEDED").when(F.col("challenge").isNotNull(), "BLOCKED").otherwise("FAILED")
     return out.select(
         F.col("payload_id").alias("collection_run_id"), "source_code", "route_code", "query_date", status.alias("status"),
-        got.alias("quotes_collected"), F.when(status == "BLOCKED", 1).otherwise(0).cast("long").alias("blocked_count"),
-        challenge_name().alias("challenge"),
+        got.alias("quotes_collected"), F.when(status == "BLOCKED", 1).otherwise(0).cast("long").alias("blocked_count"), "challenge",
     )
 
 
@@ -301,11 +223,14 @@ CHALLENGES = (
     ("datadome", r"captcha-delivery\.com|geo\.captcha-delivery"),
     ("generic_captcha_page", r"<title>[^<]{0,80}captcha[^<]{0,80}</title>"),
 )
+#: Lower-case texts of which every signature contains one: a page without any of them is spared the patterns.
+CHALLENGE_MARKS = ("captcha", "cloudflare", "cf_chl_", "cf-challenge", "checking your browser", "akam/1", "bm-verify", "_pxappid")
 
 
 def challenge_name(body: str = "body") -> Column:
     """Name of the first challenge signature found anywhere in the body, else null."""
-    return case_chain([(F.col(body).rlike("(?i)" + p), name) for name, p in CHALLENGES])
+    marked = F.exists(F.array(F.lower(F.col(body))), lambda b: reduce(lambda x, y: x | y, [b.contains(m) for m in CHALLENGE_MARKS]))
+    return F.when(marked, case_chain([(F.col(body).rlike("(?i)" + p), name) for name, p in CHALLENGES]))
 
 
 def classify_pages(pages: DataFrame, body: str, keys: Sequence[str]) -> DataFrame:

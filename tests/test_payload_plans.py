@@ -121,3 +121,62 @@ def test_cells_of_the_cleaning_run_are_read_by_compiled_methods(spark, tmp_path,
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sizes and max(sizes) <= COMPILED
+
+
+CARD = (
+    '<div class="fareCard" data-carrier="6E" data-flight-number="7" data-dep-time="2026-01-01T06:00:00" data-arr-time="2026-01-01T08:00:00" data-stops="0">'
+    '<i class="fareCard__cabin">ECONOMY</i><i class="fareCard__brand">%s</i><i class="fareCard__baseFare">1</i><i class="fareCard__taxes">1</i>'
+    '<i class="fareCard__convenienceFee">1</i><i class="fareCard__totalFare"> %s </i><i class="fareCard__seats">2</i><i class="fareCard__refundable">TRUE</i></div>'
+)
+
+
+def test_cards_are_read_in_arrow_tasks(spark):
+    """No element is read by the planner's lambdas, and context columns that nobody asks for are not carried along."""
+    df = spark.createDataFrame([("1", "h", "r", None, CARD % ("S", 3))], CONTEXT)
+    plan = payloads.map_cards(df).select("total_fare")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "transform(" not in plan and "split(" not in plan and re.search(r"ArrowEvalPython[^\n]*\n\W*Project \[body#\d+\]", plan)
+
+
+def test_odd_cards(spark):
+    bodies = {
+        "plain": CARD % ("S", 3) + "<hr>" + CARD % ("F", 4),
+        "decoded": CARD % ("\t&lt;b&gt; &amp;amp;&nbsp;&quot;x\x01&#39;", "5"),
+        "first text": CARD % ('</i><i class="fareCard__brand">A</i><i class="fareCard__brand">B', 6),
+        "first attribute": (CARD % ("S", 7)).replace('data-stops="0"', """data-stops = '1' data-stops="2" """),
+        "last class": (CARD % ("S", 8)).replace('<i class="fareCard__brand"', '<i class="x" title="fareCard__cabin" class="a fareCard__brand b"'),
+        "bracket in a class": (CARD % ("S", 9)).replace('"fareCard__brand"', '"> fareCard__brand"'),
+        "cut": (CARD % ("S", 3))[:-80], "no cabin": (CARD % ("S", 3)).replace("ECONOMY", "HUT"), "other class": (CARD % ("S", 3)).replace('"fareCard"', '"fareCards"'),
+        "one faulty": CARD % ("S", 3) + CARD % ("S", "x"), "empty": "", "none": None, "open": '<div class="fareCard" data-carrier="6E"',
+    }
+    df = spark.createDataFrame([(k, "h", "r", None, v) for k, v in bodies.items()], CONTEXT)
+    got = sorted((r.payload_id, r.fare_brand, str(r.total_fare), r.stops, r.refundable, r.currency) for r in payloads.map_cards(df).collect())
+    brand = '<b> &amp; "x\''
+    assert got == sorted(
+        (k, b, f"{p}.00", s, True, "INR")
+        for k, b, p, s in [("plain", "S", 3, 0), ("plain", "F", 4, 0), ("decoded", brand, 5, 0), ("first text", "A", 6, 0), ("first attribute", "S", 7, 1), ("last class", "S", 8, 0), ("bracket in a class", 'fareCard__brand">S', 9, 0)]
+    )
+
+
+def test_bodies_do_not_move_for_outcomes(spark):
+    """Outcomes by payload id, which may repeat or be null; what a body says is read before the join."""
+    rows = [("1", CARD % ("S", 3)), ("1", "<html>moved</html>"), ("2", '<div class="box noFlights">'), ("3", '<div class="G-Recaptcha"></div>'), ("3", "CHALLENGES.cloudflare.com"), ("4", "x"), (None, CARD % ("S", 3)), ("5", None)]
+    df = spark.createDataFrame([(k, "h", "r", None, v) for k, v in rows], CONTEXT)
+    out = payloads.collection_outcomes(df, payloads.map_cards(df))
+    got = sorted((str(r.collection_run_id), r.status, r.quotes_collected, r.blocked_count, str(r.challenge)) for r in out.collect())
+    want = [("1", "SUCCEEDED", 1, 0), ("1", "SUCCEEDED", 1, 0), ("2", "SUCCEEDED", 0, 0), ("3", "BLOCKED", 0, 1), ("3", "BLOCKED", 0, 1), ("4", "FAILED", 0, 0), ("5", "FAILED", 0, 0), ("None", "FAILED", 0, 0)]
+    assert [g[:4] for g in got] == want and [g[4] for g in got] == ["None"] * 3 + ["cloudflare_challenge", "recaptcha"] + ["None"] * 3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join LeftOuter", 1)
+    assert "body#" not in above and re.match(r"\W*Project \[payload_id#\d+, source_code#\d+, route_code#\d+, query_date#\d+, \(", below.splitlines()[1])
+
+
+def test_every_signature_holds_a_mark():
+    for name, pattern in payloads.CHALLENGES:
+        for alternative in pattern.replace("\\", "").split("|"):
+            assert any(m in alternative.lower() for m in payloads.CHALLENGE_MARKS), (name, alternative)
+
+
+def test_outcomes_read_the_tables_once(spark, tmp_path):
+    out = ingest.collection_outcomes(spark, _tables(spark, tmp_path))
+    assert "l_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.status, r.runs, r.quotes_collected) for r in out.collect()} == {("SUCCEEDED", 91, 172), ("BLOCKED", 5, 0), ("FAILED", 4, 0)}
