@@ -307,9 +307,14 @@ CARDS_BODY = "concat('<html><body><div class=\"searchResults\">', {a}, '\\n', {b
 )
 
 
-def bodies(spark, d, body: str, *changes: str):
-    """One body per quote; ``changes`` are made to it in order."""
-    q = V.quotes(spark, d, *BODY_FIELDS).selectExpr("quote_id as payload_id", "source_code", "route_code", "query_date", "partkey", f"{body} as body")
+def body_fields(spark, d):
+    """What bodies are built from, written once for the queries that read bodies twice: the tables are not joined again."""
+    return staged(V.quotes(spark, d, *BODY_FIELDS), "fields", compression="zstd")
+
+
+def bodies(spark, d, body: str, *changes: str, fields=None):
+    """One body per quote, or per row of ``fields``; ``changes`` are made to it in order."""
+    q = (V.quotes(spark, d, *BODY_FIELDS) if fields is None else fields).selectExpr("quote_id as payload_id", "source_code", "route_code", "query_date", "partkey", f"{body} as body")
     return reduce(lambda p, change: p.withColumn("body", F.expr(change)), changes, q)
 
 
@@ -479,7 +484,7 @@ OUTCOME_BODY = (
     ),
 )
 def collection_outcomes(spark, d):
-    p = bodies(spark, d, *OUTCOME_BODY).drop("partkey")
+    p = bodies(spark, d, *OUTCOME_BODY, fields=body_fields(spark, d)).drop("partkey")
     out = payloads.collection_outcomes(p, payloads.map_cards(p))
     return out.groupBy("source_code", "status").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("quotes_collected").alias("quotes_collected"), F.sum("blocked_count").alias("blocked_count")
