@@ -384,8 +384,9 @@ FROM (SELECT source_code, {_KIND} AS k FROM fx_quote) GROUP BY 1""",
 )
 def quarantine_then_parse(spark, d):
     """Drifted payloads are set aside, the others parsed."""
-    p = bodies(spark, d, *DRIFT_BODY).drop("partkey")
-    good, aside = drift.quarantine_split(p, drift.drifted_payloads(p, expected_paths(spark, d)))
+    expected = expected_paths(spark, d)
+    p = drift.judged_payloads(bodies(spark, d, *DRIFT_BODY).drop("partkey"), expected)
+    good, aside = drift.quarantine_split(p, drift.drifted_payloads(p, expected))
     quotes = payloads.map_nested(good).groupBy("source_code").agg(F.count_distinct("payload_id").alias("parsed"), F.count(F.lit(1)).alias("quotes"))
     return aside.groupBy("source_code").agg(F.count(F.lit(1)).alias("set_aside")).join(quotes, "source_code")
 
