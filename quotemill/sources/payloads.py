@@ -229,6 +229,7 @@ CHALLENGE_MARKS = ("captcha", "cloudflare", "cf_chl_", "cf-challenge", "checking
 
 def challenge_name(body: str = "body") -> Column:
     """Name of the first challenge signature found anywhere in the body, else null."""
+    # a lambda: written out, the searches make a method too long to be compiled
     marked = F.exists(F.array(F.lower(F.col(body))), lambda b: reduce(lambda x, y: x | y, [b.contains(m) for m in CHALLENGE_MARKS]))
     return F.when(marked, case_chain([(F.col(body).rlike("(?i)" + p), name) for name, p in CHALLENGES]))
 

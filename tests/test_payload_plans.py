@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import datetime as dt
 import io
+import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from quotemill.catalog import cleaning, ingest
 from quotemill.catalog import views as V
 from quotemill.functions.staging import staged
 from quotemill.plans import cleaning_run
-from quotemill.sources import drift, payloads
+from quotemill.sources import cards, drift, payloads
 
 CONTEXT = "payload_id string, source_code string, route_code string, query_date date, body string"
 FLIGHT = '{"flightNumber":"1","carrier":"6E","departure":{"dateTime":"2026-01-01T06:00:00"},"arrival":{"dateTime":"2026-01-01T08:00:00"},"stops":0,"fareOptions":[%s]}'
@@ -210,3 +212,17 @@ def test_quarantined_bodies_are_built_once(spark, tmp_path):
     assert "l_orderkey" not in plan and "to_json" not in plan and "parse_json" not in plan
     kinds = ["cut" if k % 13 == 0 else "promo" if k % 7 == 0 else "tax" if k % 11 == 0 else "same" for k in range(1, 101)]
     assert [tuple(r) for r in out.select("source_code", "set_aside", "parsed", "quotes").collect()] == [("O", 100 - kinds.count("same"), kinds.count("same"), 2 * kinds.count("same"))]
+
+
+def test_cards_read_together_and_one_by_one():
+    """Bodies of odd and even fragments: read a column at a time or one by one, the cards are the same."""
+    pieces = [
+        '<div class="fareCard"', "<div id='a' class='wide fareCard x'", ' data-carrier="6E"', " data-stops = '1'", ' data-stops="2"', ' data-x=" data-carrier="', ">", ">", "<", 'class="', '"', "'",
+        '<span class="fareCard__brand">', "A", " b ", "</span>", '<i title="x" class="q fareCard__cabin">', '<p class="fareCard__seats" class="fareCard__taxes">', "\n", "\x0b", "ä", "fareCard",
+        "<DIV class='fareCard'>", "<divx class='fareCard'>", '<div title="a>b" class="fareCard">', '<div class="fareCard fareCard__brand">', "&lt;", "\x01", "",
+    ]
+    choice = random.Random(7)
+    texts = ["".join(choice.choices(pieces, k=choice.randrange(24))) for _ in range(3000)] + [None, "", CARD % ("S", 3), CARD % ("S", 3) + "<p>" + CARD % ("F", 4)]
+    together, single = cards.with_cards(pa.array(texts, pa.string())), cards._one_by_one(pa.array(texts, pa.string()))
+    assert together.to_pylist() == single.to_pylist() and together.type == single.type
+    assert sum(len(c or ()) for c in single.to_pylist()) > 500 and cards.with_cards(pa.array([], pa.string())).to_pylist() == []
