@@ -526,9 +526,7 @@ def ledger_writers(spark, d):
         t.start()
     for t in at_once:
         t.join()
-    out = ledger.read_ledger(spark, path).groupBy(F.col("query_month").alias("month")).agg(
-        F.count(F.lit(1)).alias("quotes"), F.count_distinct(hashing.packed(F.col("content_hash"))).alias("keys")
-    )
+    out = hashing.rows_and_distinct(ledger.read_ledger(spark, path).withColumnRenamed("query_month", "month"), "month", "content_hash", "quotes", "keys")
     return out.withColumn("batches", F.lit(1 + again.count(True)))
 
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.functions.core import null_safe_join
+from quotemill.functions.staging import staged
+
 # Fixed value: namespace of flight keys.
 FLIGHT_KEY_NAMESPACE = "2b6c9a3d-6e0a-4a9e-8a0e-7e6c8f0a3b5e"
 
@@ -46,6 +49,20 @@ def unpacked(key: Column) -> Column:
     return F.when(size == 32, F.lower(F.hex(key))).when(size < 32, key.cast("string")).otherwise(F.substring(key, F.lit(1), size - 1).cast("string"))
 
 
+def rows_and_distinct(df: DataFrame, key: str, text: str, rows_as: str, distinct_as: str) -> DataFrame:
+    """Rows and distinct non-null texts of each key. Eight-byte fingerprints move instead of the texts: one that occurs once in its key is one text, and only the texts
+    of those that occur again, which are listed in a written table, are compared themselves."""
+    told = df.select(key, F.col(text).alias("__text"), F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("__print"))
+    once = F.col("__print").isNotNull() & (F.col("__n") == 1)
+    # lists per key and slot, so that none holds a key's fingerprints alone
+    slots = told.groupBy(key, "__print").agg(F.count(F.lit(1)).alias("__n")).groupBy(key, F.pmod("__print", F.lit(256)).alias("__slot"))
+    sums = staged(slots.agg(F.sum("__n").alias("__rows"), F.count_if(once).alias("__once"), F.collect_list(F.when(F.col("__n") > 1, F.col("__print"))).alias("__again")), "prints")
+    again = sums.select(key, F.explode("__again").alias("__print"))
+    compared = null_safe_join(told, again, [key, "__print"], "left_semi").groupBy(key).agg(F.count_distinct(packed(F.col("__text"))).alias("__compared"))
+    totals = sums.groupBy(key).agg(F.sum("__rows").alias(rows_as), F.sum("__once").alias("__once"))
+    return null_safe_join(totals, compared, [key], "left").select(key, rows_as, (F.col("__once") + F.coalesce("__compared", F.lit(0))).alias(distinct_as))
+
+
 def canonical_json(fields: Sequence[str]) -> Column:
     """Compact JSON with sorted keys, every value as text, nulls kept."""
     cols = [F.col(f).cast("string").alias(f) for f in sorted(fields)]

@@ -161,3 +161,14 @@ def test_an_attempt_made_again_reads_what_it_wrote(spark, tmp_path, monkeypatch)
     assert sorted((r.content_hash, r.v) for r in ledger.read_ledger(spark, path).collect()) == [("h0", 0), ("h1", 2), ("h2", 1), ("h3", 2)]
     # only attempts that count are left
     assert len(list((tmp_path / "ledger").glob("attempt=*"))) == 3
+
+
+def test_distinct_texts_by_fingerprints(spark, monkeypatch):
+    """Also where fingerprints of unlike texts are the same, and for null keys and texts."""
+    rows = [("a", "x"), ("a", "y"), ("a", "x"), ("a", None), ("a", None), ("b", "x"), ("b", "z"), (None, "x"), (None, "x"), (None, "q"), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    want = {("a", 5, 2), ("b", 2, 2), (None, 3, 2), ("c", 1, 0)}
+    assert {tuple(r) for r in hashing.rows_and_distinct(df, "k", "t", "n", "d").collect()} == want
+    monkeypatch.setattr(hashing.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    out = hashing.rows_and_distinct(df, "k", "t", "n", "d")
+    assert out.columns == ["k", "n", "d"] and {tuple(r) for r in out.collect()} == want
