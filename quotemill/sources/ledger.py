@@ -31,9 +31,9 @@ def new_quotes(incoming: DataFrame, existing: DataFrame | None) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
-    """The quotes of all committed batches, or of those committed after a version."""
-    done = commits.entries(spark, path).where(F.col("version") > after).select("attempt")
-    return commits.read_attempts(spark, path).join(done, "attempt", "left_semi").drop("attempt")
+    """The quotes of all committed batches, or of those committed after a version. Folders of other attempts, which may go meanwhile, are not opened."""
+    done = [r.attempt for r in commits.entries(spark, path).where(F.col("version") > after).select("attempt").toLocalIterator()]  # a name a batch
+    return commits.read_attempts(spark, path).where(F.col("attempt").isin(done)).drop("attempt")
 
 
 def append_quotes(incoming: DataFrame, path: str, batch_id: str | None = None) -> bool:

@@ -172,3 +172,15 @@ def test_distinct_texts_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(hashing.F, "xxhash64", lambda c: F.length(c).cast("long"))
     out = hashing.rows_and_distinct(df, "k", "t", "n", "d")
     assert out.columns == ["k", "n", "d"] and {tuple(r) for r in out.collect()} == want
+
+
+def test_attempts_that_do_not_count_are_not_opened(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = spark.createDataFrame([("h0", T[0], 0), ("h1", T[1], 0)], KEYS)
+    ledger.append_quotes(rows, path, "one")
+    ledger.append_quotes(spark.createDataFrame([("h2", T[0], 0)], KEYS), path, "two")
+    other = f"{path}/attempt={commits.new_attempt()}"
+    rows.withColumn("collected_day", F.to_date("collected_at")).write.partitionBy("collected_day").parquet(other)
+    whole, newer = ledger.read_ledger(spark, path), ledger.read_ledger(spark, path, 1)
+    commits.discard_attempt(spark, [other])  # after the folders were listed
+    assert sorted(r.content_hash for r in whole.collect()) == ["h0", "h1", "h2"] and [r.content_hash for r in newer.collect()] == ["h2"]
